@@ -481,7 +481,7 @@ def explain_path(s: Standins) -> DataFrame:
 
 def _focus(s: Standins) -> DataFrame:
     """The top supplier of every event."""
-    return views.top_supplier(s.exposure_table)
+    return views.top_supplier(s.exposure_at_rest)
 
 
 def _breakdown(s: Standins) -> DataFrame:
@@ -594,7 +594,7 @@ def exposure_table(s: Standins) -> DataFrame:
 
 @query
 def exposure_top_n(s: Standins) -> DataFrame:
-    table = s.exposure_table
+    table = s.exposure_at_rest
     return (views.top_rows(table).select("event_id", "position", "vendor_id", "priority")
             .join(views.hidden_counts(table), "event_id"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions import fixed
 from riskloom.functions.normalize import MONEY, SHARE, sum_units, units
-from riskloom.operators.spread import skew_join
+from riskloom.operators.spread import spread_join
 
 
 def top_by(value: str, weight: Column, tie: str | None = None) -> Column:
@@ -81,7 +81,7 @@ def commodity_risk(import_flow: DataFrame, risk: DataFrame, scenario: str) -> Da
     Few countries carry all flows, so their join keys are hot and get split.
     """
     flows = import_flow.select("cn8_code", "iso3", "share_of_uk_imports")
-    met = skew_join(flows, risk.select(scenario, "iso3", "risk"), ["iso3"], spread_by=["cn8_code"])
+    met = spread_join(flows, risk.select(scenario, "iso3", "risk"), ["iso3"], spread_by=["cn8_code"])
     part = F.col("share_of_uk_imports") * F.col("risk")
     return met.groupBy(scenario, "cn8_code").agg(sum_units(part, SHARE).alias("risk_units"),
                                                  top_by("iso3", part).alias("top_country"))
@@ -102,7 +102,7 @@ def footprint_exposure(weights: DataFrame, import_flow: DataFrame, countries: Da
     """(footprint, vendor_id): exposure at risk 1, main commodity and country, path type."""
     unit = commodity_risk(import_flow, countries.withColumn("risk", F.lit(1.0)), "footprint")
     home = weights.filter("is_home").select("vendor_id", "cn8_code", "w")
-    met = skew_join(home, unit, ["cn8_code"], spread_by=["vendor_id"])
+    met = home.join(unit, "cn8_code")
     part = units(F.col("w") * (F.col("risk_units") / F.lit(SHARE)), SHARE)
     inferred = (met.withColumn("part", part).groupBy("footprint", "vendor_id")
                 .agg(F.sum("part").alias("unit_sum"),
@@ -115,7 +115,7 @@ def footprint_exposure(weights: DataFrame, import_flow: DataFrame, countries: Da
     abroad = (weights.filter(~F.col("is_home") & (F.col("total_units") != 0) & F.col("country_iso3").isNotNull())
               .groupBy("vendor_id", F.col("country_iso3").alias("iso3"))
               .agg(top_by("cn8_code", F.col("w")).alias("driver_commodity")))
-    direct = (skew_join(abroad, countries, ["iso3"], spread_by=["vendor_id"])
+    direct = (spread_join(abroad, countries, ["iso3"], spread_by=["vendor_id"])
               .select("footprint", "vendor_id", F.lit(1.0).alias("unit"), "driver_commodity",
                       F.col("iso3").alias("driver_country"), F.lit("direct").alias("path_type")))
     return inferred.unionByName(direct)

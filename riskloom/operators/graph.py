@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskloom.functions.normalize import MONEY, SHARE, sum_units, units
 from riskloom.operators.exposure import top_by
-from riskloom.operators.spread import skew_join
+from riskloom.operators.spread import spread_join
 from riskloom.plans.spec import LINKS, OBJECTS
 
 Tables = Mapping[str, DataFrame]
@@ -82,7 +82,7 @@ def event_impact(node: DataFrame, edge: DataFrame, home: DataFrame) -> DataFrame
                      .withColumnRenamed("node_id", "flow"), edge, "flow_of_commodity", "flow", "commodity"),
                 edge, "flow_from_country", "flow", "country")
     part = F.col("share")
-    risk = (skew_join(flow.select("country", "commodity", "share"), hit, ["country"], spread_by=["commodity"])
+    risk = (spread_join(flow.select("country", "commodity", "share"), hit, ["country"], spread_by=["commodity"])
             .groupBy("event", "severity", "commodity")
             .agg(sum_units(part, SHARE).alias("unit"), top_by("country", part).alias("via")))
 
@@ -97,8 +97,7 @@ def event_impact(node: DataFrame, edge: DataFrame, home: DataFrame) -> DataFrame
                                           F.lit(0.0))))
     at_home = home.select(F.col("node_id").alias("vendor"))
 
-    met = skew_join(weight.join(at_home, "vendor", "left_semi").select("vendor", "commodity", "w"), risk,
-                    ["commodity"], spread_by=["vendor"])
+    met = weight.join(at_home, "vendor", "left_semi").select("vendor", "commodity", "w").join(risk, "commodity")
     inferred = (met.withColumn("part", units(F.col("w") * (F.col("unit") / F.lit(SHARE)), SHARE))
                 .groupBy("event", "severity", "vendor")
                 .agg((F.sum("part") / F.lit(SHARE)).alias("unit"),
@@ -113,7 +112,7 @@ def event_impact(node: DataFrame, edge: DataFrame, home: DataFrame) -> DataFrame
                                                                           key_of(F.col("commodity")).alias("k")))
                                            .alias("commodity")),
                     edge, "located_in", "vendor", "country"))
-    direct = (skew_join(located, hit, ["country"], spread_by=["vendor"])
+    direct = (spread_join(located, hit, ["country"], spread_by=["vendor"])
               .select("event", "vendor", "severity", F.lit(1.0).alias("unit"), "commodity", "country",
                       F.lit("direct").alias("path_type")))
     return (inferred.unionByName(direct)
@@ -132,11 +131,11 @@ def reached(po: DataFrame, suppliers: DataFrame, import_flow: DataFrame, affects
     """
     from_country = import_flow.select("cn8_code", "iso3").distinct()
     buys = po.select("vendor_id", "cn8_code").distinct().join(suppliers.select("vendor_id"), "vendor_id", "left_semi")
-    via_flow = skew_join(buys, from_country, ["cn8_code"], spread_by=["vendor_id"]).select("vendor_id", "iso3")
+    via_flow = buys.join(from_country, "cn8_code").select("vendor_id", "iso3")
     located = suppliers.filter(F.col("country_iso3").isNotNull()).select(
         "vendor_id", F.col("country_iso3").alias("iso3"))
     touch = via_flow.union(located).distinct()
-    return (skew_join(touch, affects.select("event_id", "iso3").distinct(), ["iso3"], spread_by=["vendor_id"])
+    return (spread_join(touch, affects.select("event_id", "iso3").distinct(), ["iso3"], spread_by=["vendor_id"])
             .select("event_id", "vendor_id").distinct())
 
 
@@ -167,31 +166,36 @@ def explain_path(exposure: DataFrame, t: Tables, home: Column) -> DataFrame:
 def breakdown(pairs: DataFrame, t: Tables, weights: DataFrame) -> DataFrame:
     """Why each (event_id, vendor_id) pair is exposed: one row per commodity and driving country.
 
-    Commodities without risk keep one row with null country. Countries come by falling share.
+    Commodities without risk keep one row with null country.
     """
     ev = t["risk_event"].select("event_id", "severity")
-    affects = t["link_event_affects"].select("event_id", "iso3").distinct()
+    affects = t["link_event_affects"].select("event_id", "iso3").distinct().withColumn("_hit", F.lit(True))
     lines = pairs.select("event_id", "vendor_id").distinct().join(ev, "event_id").join(
         weights.select("vendor_id", "cn8_code", "country_iso3", "is_home", "spend", "w", "po_lines"), "vendor_id")
     flows = t["import_flow"].select("cn8_code", "iso3", "flow_id", F.col("share_of_uk_imports").alias("share"),
                                     "value_gbp")
-    hit = (lines.filter("is_home").select("event_id", "vendor_id", "cn8_code").join(flows, "cn8_code")
-           .join(affects, ["event_id", "iso3"], "left_semi"))
-    abroad = (lines.filter(~F.col("is_home")).select("event_id", "vendor_id", "cn8_code",
-                                                     F.col("country_iso3").alias("iso3"))
-              .join(affects, ["event_id", "iso3"], "left_semi")
-              .withColumns({"flow_id": F.lit(None).cast("string"), "share": F.lit(1.0),
-                            "value_gbp": F.lit(None).cast("double")}))
-    countries = hit.unionByName(abroad)
-    share = countries.groupBy("event_id", "vendor_id", "cn8_code").agg(sum_units(F.col("share"), SHARE).alias("_u"))
-    risk = F.coalesce(F.col("_u") / F.lit(SHARE) * F.col("severity"), F.lit(0.0))
+    # One row per (pair, commodity, candidate country): all source countries, or the supplier's own.
+    home = lines.filter("is_home").join(flows, "cn8_code", "left")
+    abroad = lines.filter(~F.col("is_home")).withColumns({
+        "iso3": F.col("country_iso3"), "flow_id": F.lit(None).cast("string"), "share": F.lit(1.0),
+        "value_gbp": F.lit(None).cast("double")})
+    sourced = home.unionByName(abroad, allowMissingColumns=True)
+    marked = sourced.join(affects, ["event_id", "iso3"], "left")
+    # A commodity comes from at most the world's countries, so these groups are short.
+    group = W.partitionBy("event_id", "vendor_id", "cn8_code")
+    struck = F.coalesce("_hit", F.lit(False))
+    total = F.coalesce(F.sum(F.when(struck, units(F.col("share"), SHARE))).over(group), F.lit(0))
+    kept = (marked.withColumn("risk", total / F.lit(SHARE) * F.col("severity"))
+            .withColumn("_pos", F.row_number().over(group.orderBy("iso3")))
+            .withColumn("_any", F.max(struck).over(group))
+            .filter(struck | (~F.col("_any") & (F.col("_pos") == 1))))
     names = t["country"].select("iso3", F.col("name").alias("country"))
     what = t["commodity"].select("cn8_code", "description")
-    return (lines.join(share, ["event_id", "vendor_id", "cn8_code"], "left")
-            .select("event_id", "vendor_id", "cn8_code", "is_home", "spend", F.col("w").alias("weight"), "po_lines",
-                    risk.alias("risk"), (F.col("w") * risk).alias("contribution"))
-            .join(what, "cn8_code", "left")
-            .join(countries, ["event_id", "vendor_id", "cn8_code"], "left").join(names, "iso3", "left"))
+    shown = lambda c: F.when(struck, F.col(c)).alias(c)
+    return (kept.select("event_id", "vendor_id", "cn8_code", "is_home", "spend", F.col("w").alias("weight"),
+                        "po_lines", "risk", (F.col("w") * F.col("risk")).alias("contribution"), shown("iso3"),
+                        shown("flow_id"), shown("share"), shown("value_gbp"))
+            .join(what, "cn8_code", "left").join(names, "iso3", "left"))
 
 
 def breakdown_nested(flat: DataFrame) -> DataFrame:

@@ -15,10 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from riskloom.functions import fixed, similarity as sim
-from riskloom.operators.spread import skew_join
+from riskloom.operators.spread import ensure_checkpoint_dir, skew_join
 
 # A postcode pair under the lowest postcode rule gets confidence 0, so it need not be generated.
 POSTCODE_SCORE_FLOOR = min(score for method, score, _ in fixed.MATCH_RULES if method == "postcode_name")
+NUMBER_SCORE_FLOOR = min(score for method, score, _ in fixed.MATCH_RULES if method == "registration_number")
 
 
 def _company_side(companies: DataFrame) -> DataFrame:
@@ -129,8 +130,10 @@ def postcode_pairs(records: DataFrame, companies: DataFrame, floor: float = POST
     a, b = F.col("rec_core_size"), F.col("cand_core_size")
     needed = ((a + b) * F.lit(1 - 3 * (1 - floor / 100.0)) + 2) / 2
     possible = F.least(a - F.col("rec_core_pos"), b - F.col("cand_core_pos")) + 1
-    met = (skew_join(exploded(left, "rec_core"), exploded(right, "cand_core"), ["postcode_norm", "token"],
-                     spread_by=["rec_core"])
+    # At rest, so that hot (postcode, letter pair) groups can be counted without running the signatures twice.
+    ensure_checkpoint_dir(records.sparkSession)
+    by_token = exploded(left, "rec_core").checkpoint()
+    met = (skew_join(by_token, exploded(right, "cand_core"), ["postcode_norm", "token"], spread_by=["rec_core"])
            .filter(sim.ratio_can_reach(a, b, floor) & (possible >= needed - F.lit(1e-9)))
            .select("postcode_norm", "rec_core", "cand_core").distinct())
     return (met.withColumn("jw", sim.jaro_winkler("rec_core", "cand_core"))
@@ -177,7 +180,11 @@ def best_by_postcode(records: DataFrame, companies: DataFrame, pairs: DataFrame
 
 def scored_candidates(records: DataFrame, companies: DataFrame) -> DataFrame:
     """Every candidate that can still win, with its evidence: at most one per record and method."""
-    number = block_number(records, companies)
+    # Lengths rule out most wrong numbers before any name is compared. Token sorting collapses inner blanks.
+    squeezed = lambda c: F.length(F.regexp_replace(c, " +", " "))
+    number = block_number(records, companies).filter(
+        sim.ratio_can_reach(F.length("rec_core"), F.length("cand_core"), NUMBER_SCORE_FLOOR)
+        | sim.ratio_can_reach(squeezed("rec_core"), squeezed("cand_core"), NUMBER_SCORE_FLOOR))
     by_number = (number.withColumn("match_score", sim.match_score("rec_core", "cand_core"))
                  .withColumn("full_score", sim.indel_ratio("rec_full", "cand_full")))
     # Equal normalised names have equal cores: nothing to compare.

@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, functions as F, types as T
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -25,29 +25,36 @@ def pieces(spark: SparkSession) -> int:
     return max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], cut: int) -> DataFrame:
-    """Keys with more than 1/cut of the rows, and the number of salts that brings each piece under 1/cut.
+# A key with more rows than this is worth splitting.
+HOT_ROWS = 500_000
 
-    There can be no more than `cut` such keys, so the result is small whatever the size of df.
+
+def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> list[Row]:
+    """The keys with more than hot_rows rows, largest first, at most pieces() of them.
+
+    Counted with map-side combine; only this bounded list comes to the driver. Keys beyond the list hold less than
+    1/pieces() of the rows each.
     """
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_t")).scalar()
-    return (counts.filter(F.col("_n") * F.lit(cut) > total)
-            .select(*on, F.ceil(F.col("_n") * F.lit(cut) / total).cast("int").alias("_salts")))
+    return (df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > F.lit(hot_rows))
+            .orderBy(F.desc("_n"), *on).limit(pieces(df.sparkSession)).collect())
 
 
 def skew_join(big: DataFrame, other: DataFrame, on: Sequence[str], spread_by: Sequence[str],
-              how: str = "inner", profile: DataFrame | None = None) -> DataFrame:
-    """Equi-join in which the rows of a hot key of `big` go to many tasks.
+              hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner equi-join that cuts hot keys of `big` into pieces of about hot_rows rows.
 
-    Hot keys get salts in proportion to their rows: `big` rows take one salt by the hash of `spread_by`,
-    `other` rows are repeated once per salt of their key. Cold keys are untouched. `profile` may name a cheaper
-    frame whose key counts follow those of `big`. The broadcast holds at most `pieces()` rows by construction.
+    Counts the keys of `big` first, so give it a table at rest (written or checkpointed). Rows of a hot key take one
+    salt by the hash of `spread_by`; the matching rows of `other` are repeated per salt. Cold keys are untouched,
+    and without hot keys this is a plain join.
     """
-    if how not in ("inner", "left"):
-        raise ValueError(how)
     on = list(on)
-    hot = F.broadcast(hot_keys(profile if profile is not None else big, on, pieces(big.sparkSession)))
+    found = hot_keys(big, on, hot_rows)
+    if not found:
+        return big.join(other, on)
+    spark = big.sparkSession
+    types = T.StructType([big.schema[k] for k in on] + [T.StructField("_salts", T.IntegerType())])
+    salts = [tuple(r[k] for k in on) + (-(-r["_n"] // hot_rows),) for r in found]
+    hot = F.broadcast(spark.createDataFrame(salts, types))  # at most pieces() rows
     left = (big.join(hot, on, "left")
             .withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0))
                         .otherwise(F.pmod(F.xxhash64(*spread_by), F.col("_salts")).cast("int")))
@@ -55,7 +62,21 @@ def skew_join(big: DataFrame, other: DataFrame, on: Sequence[str], spread_by: Se
     right = (other.join(hot, on, "left")
              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
              .drop("_salts"))
-    return left.join(right, on + ["_salt"], how).drop("_salt")
+    return left.join(right, on + ["_salt"]).drop("_salt")
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by: Sequence[str]) -> DataFrame:
+    """Inner equi-join on a key with few values (a country): every key is hot, so every key is salted.
+
+    The salts grow with the session's shuffle partitions (one on a laptop, 64 on a large cluster). `small` is
+    repeated per salt; Spark broadcasts it instead whenever its size allows.
+    """
+    salts = min(64, max(1, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // 16))
+    if salts == 1:
+        return big.join(small, list(on))
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
 # Above this many rows per key a single task should not number them.
@@ -94,17 +115,17 @@ def number_within(df: DataFrame, key: Sequence[str], order: Sequence[Column], na
             .select(*df.columns, name))
 
 
-DIGIT_BITS = 16
+DIGIT_BITS = 21
 
 
 def rows_below(df: DataFrame, value: str) -> DataFrame:
-    """For each distinct non-negative long `value`: how many rows hold a smaller one (`below`), and how many it (`n`).
+    """For each distinct long `value`: how many rows hold a smaller one (`below`), and how many it (`n`).
 
-    Exact global ranking without a global window: counts are summed digit by digit (four 16-bit digits), so each
-    window partition holds at most 65,536 rows, whatever the number of rows or ties.
+    Exact global ranking without a global window: counts are summed digit by digit (three 21-bit digits), so each
+    window partition holds at most two million rows, whatever the number of rows or ties.
     """
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    shifts = (48, 32, 16, 0)
+    shifts = (42, 21, 0)
     parent = None
     for shift in shifts:
         prefix = f"_p{shift}"

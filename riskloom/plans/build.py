@@ -102,10 +102,10 @@ def criticality_cuts(spend: DataFrame) -> DataFrame:
 
 def supplier_criticality(spend: DataFrame, overrides: DataFrame) -> DataFrame:
     """A person's choice, else high / medium / low by percent rank of spend over all suppliers."""
-    cuts = criticality_cuts(spend.select("spend_units"))
+    cuts = criticality_cuts(spend.select("spend_units")).select(F.struct(*fixed.CRITICALITY_CUTS)).scalar()
     level = F.lit("low")
     for name in reversed(list(fixed.CRITICALITY_CUTS)):
-        level = F.when(F.col("spend_units") >= cuts.select(name).scalar(), F.lit(name)).otherwise(level)
+        level = F.when(F.col("spend_units") >= cuts[name], F.lit(name)).otherwise(level)
     return (spend.join(overrides.select("vendor_id", F.col("criticality").alias("_set")), "vendor_id", "left")
             .withColumn("criticality", F.coalesce("_set", level)).drop("_set"))
 
@@ -193,7 +193,7 @@ def build(t: Tables, as_of: Column) -> dict[str, DataFrame]:
     out.update(apply_edits({**t, **out}, as_of))
     out["risk_event"] = t["clean_risk_event"]
     out["link_event_affects"] = t["clean_event_country"].select("event_id", "iso3").distinct()
-    keys = country_keys(t["clean_imports"], t["clean_event_country"], t["clean_sanctions"], out["erp_supplier"])
+    keys = country_keys(t["clean_imports"], t["clean_event_country"], t["clean_sanctions"], t["clean_erp_supplier"])
     out["country"] = country(keys, t["country_names"], t["clean_sanctions"], out["risk_event"],
                              out["link_event_affects"])
     out["import_flow"] = import_flow(t["clean_imports"], out["commodity"])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom.functions import normalize as nz
 from riskloom.operators import actions, exposure, matching
+from riskloom.operators.spread import ensure_checkpoint_dir
 from riskloom.plans import build, views
 from riskloom.sources import erp, trade
 
@@ -335,6 +336,12 @@ class Standins:
     def exposure_table(self) -> DataFrame:
         return views.exposure_table(self.serving, self.exposure)
 
+    @cached_property
+    def exposure_at_rest(self) -> DataFrame:
+        """The exposure table checkpointed, for questions that read it several times."""
+        ensure_checkpoint_dir(self.spark)
+        return self.exposure_table.checkpoint()
+
     # ---- names for entity resolution -------------------------------------------------------------------------
 
     @cached_property

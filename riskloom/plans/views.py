@@ -100,12 +100,13 @@ def top_supplier(table: DataFrame) -> DataFrame:
 
 def default_focus(t: Tables, table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row: the current event (any event when none is current) with most material suppliers, and its top one."""
-    material = table.filter(F.col("exposure_score") >= threshold).groupBy("event_id").agg(
-        F.count(F.lit(1)).alias("m"))
-    pool = t["risk_event"].select("event_id", "is_current").join(material, "event_id", "left")
-    event = pool.agg(F.min_by("event_id", F.struct(
-        (~F.col("is_current")).alias("c"), (-F.coalesce("m", F.lit(0))).alias("m"), "event_id")).alias("event_id"))
-    return event.join(top_supplier(table), "event_id", "left")
+    per_event = table.groupBy("event_id").agg(
+        F.count_if(F.col("exposure_score") >= threshold).alias("m"),
+        F.min_by("vendor_id", F.struct((-F.col("priority")).alias("p"), "vendor_name", "vendor_id"))
+        .alias("vendor_id"))
+    pool = t["risk_event"].select("event_id", "is_current").join(per_event, "event_id", "left")
+    rank = F.struct((~F.col("is_current")).alias("c"), (-F.coalesce("m", F.lit(0))).alias("m"), "event_id")
+    return pool.agg(F.min_by(F.struct("event_id", "vendor_id"), rank).alias("f")).select("f.*")
 
 
 def supplier_detail(t: Tables) -> DataFrame:
