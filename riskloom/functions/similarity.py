@@ -5,9 +5,19 @@ ratio 200 * LCS / (len a + len b), with the LCS length found bit-parallel.
 """
 from __future__ import annotations
 
+import math
+import sys
+import zlib
+from collections import Counter
+
+import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F, types as T
 
+# Executors need not have this package: the functions travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def jaro_winkler_py(a: str, b: str) -> float:
     la, lb = len(a), len(b)
@@ -74,20 +84,111 @@ def match_score_py(a: str, b: str) -> float:
     return max(indel_ratio_py(a, b), token_sort_ratio_py(a, b))
 
 
-def _pairwise(fn):
+def lcs_batch(a: list[str], b: list[str]) -> np.ndarray:
+    """lcs_length of many pairs at once: the bit-parallel step runs over all short ASCII pairs as one vector."""
+    out = np.zeros(len(a), dtype=np.int64)
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)]
+    fast = np.array([len(x) <= 64 and len(y) <= 256 and x.isascii() and y.isascii() for x, y in pairs], dtype=bool)
+    for i in np.flatnonzero(~fast):
+        out[i] = lcs_length(*pairs[i])
+    at = np.flatnonzero(fast)
+    if len(at):
+        la = np.array([len(pairs[i][0]) for i in at], dtype=np.uint64)
+        x, y = (np.array([pairs[i][k] for i in at], dtype=np.bytes_) for k in (0, 1))
+        x, y = (z.view(np.uint8).reshape(len(at), -1) if z.dtype.itemsize else np.zeros((len(at), 0), np.uint8)
+                for z in (x, y))
+        rows = np.arange(len(at))
+        masks = np.zeros((len(at), 128), dtype=np.uint64)
+        for i in range(x.shape[1]):
+            masks[rows, x[:, i]] |= np.uint64(1) << np.uint64(i)
+        masks[:, 0] = 0  # padding matches nothing
+        state = np.full(len(at), np.iinfo(np.uint64).max, dtype=np.uint64)
+        for j in range(y.shape[1]):
+            hit = state & masks[rows, y[:, j]]
+            state = (state + hit) | (state - hit)
+        full = np.where(la == 64, np.iinfo(np.uint64).max, (np.uint64(1) << (la % np.uint64(64))) - np.uint64(1))
+        out[at] = la.astype(np.int64) - np.bitwise_count(state & full).astype(np.int64)
+    return out
+
+
+def ratio_batch(a: list[str], b: list[str]) -> np.ndarray:
+    total = np.array([len(x) + len(y) for x, y in zip(a, b)], dtype=np.float64)
+    return np.where(total == 0, 100.0, 200.0 * lcs_batch(a, b) / np.maximum(total, 1))
+
+
+def score_batch(a: list[str], b: list[str]) -> np.ndarray:
+    ordered: dict[str, str] = {}
+    for x in (*a, *b):
+        if x not in ordered:
+            ordered[x] = sort_tokens(x)
+    best = np.maximum(ratio_batch(a, b), ratio_batch([ordered[x] for x in a], [ordered[x] for x in b]))
+    return np.where([bool(x) and bool(y) for x, y in zip(a, b)], best, 0.0)
+
+
+def _batched(fn):
+    """UDF over two text columns; null when either is null."""
     @F.pandas_udf(T.DoubleType())
     def scored(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else fn(x, y) for x, y in zip(a, b)], dtype="float64")
+        known = (a.notna() & b.notna()).to_numpy()
+        out = np.full(len(a), np.nan)
+        if known.any():
+            out[known] = fn(list(a[known]), list(b[known]))
+        return pd.Series(out).where(known, None)
 
     return scored
 
 
-jaro_winkler = _pairwise(jaro_winkler_py)
-indel_ratio = _pairwise(indel_ratio_py)
-token_sort_ratio = _pairwise(token_sort_ratio_py)
-match_score = _pairwise(match_score_py)
+jaro_winkler = _batched(lambda a, b: np.array([jaro_winkler_py(x, y) for x, y in zip(a, b)]))
+indel_ratio = _batched(ratio_batch)
+token_sort_ratio = _batched(lambda a, b: ratio_batch([sort_tokens(x) for x in a], [sort_tokens(x) for x in b]))
+match_score = _batched(score_batch)
 
 
 def ratio_can_reach(len_a, len_b, floor: float):
     """Upper bound of the indel ratio from lengths alone: 200 * min / (a + b) >= floor."""
     return F.least(len_a, len_b) * F.lit(200.0) >= (len_a + len_b) * F.lit(float(floor))
+
+
+WORDS = 4  # 64-bit words of the bitmap of a name's letter pairs
+
+
+def signature_udf(rarity: dict[str, int], floor: float):
+    """UDF: the letter pairs of a name that any name with an indel ratio >= floor must share one of.
+
+    With d = indel distance, names of lengths m and n share at least ((m + n + 2) - 3d) / 2 of their padded letter
+    pairs. A ratio >= floor means d <= (1 - floor/100)(m + n), and the shorter is at least floor/(200 - floor)
+    of the longer, so the overlap has a lower bound from one length alone, and two such names must meet within
+    all but (bound - 1) of their pairs when both are ordered rarest first. Pairs come once for the plain and once
+    for the token-sorted name, with their position and a bitmap of all pairs of that form, so that the join can
+    bound the overlap from above.
+    """
+    loss = 1.0 - floor / 100.0
+    shorter = floor / (200.0 - floor)
+
+    def tokens(form: str, s: str):
+        n = len(s)
+        padded = f"^{s}$"
+        seen: Counter = Counter()
+        parts = []
+        bits = 0
+        for i in range(n + 1):
+            g = padded[i:i + 2]
+            seen[g] += 1
+            parts.append((rarity.get(g, 0), g, seen[g]))
+            bits |= 1 << (zlib.crc32(f"{g}{seen[g]}".encode()) % (64 * WORDS))
+        parts.sort()
+        least = (n * (1 + shorter) * (1 - 3 * loss) + 2) / 2
+        keep = len(parts) - max(math.ceil(least - 1e-9), 1) + 1
+        words = {f"w{k}": ((bits >> (64 * k)) + (1 << 63)) % (1 << 64) - (1 << 63) for k in range(WORDS)}
+        return [{"token": f"{form}{g}{k}", "pos": i, "size": n, **words}
+                for i, (_, g, k) in enumerate(parts[:keep])]
+
+    schema = T.ArrayType(T.StructType(
+        [T.StructField("token", T.StringType()), T.StructField("pos", T.IntegerType()),
+         T.StructField("size", T.IntegerType())] + [T.StructField(f"w{k}", T.LongType()) for k in range(WORDS)]))
+
+    @F.pandas_udf(schema)
+    def signature(cores: pd.Series) -> pd.Series:
+        return pd.Series([tokens("=", c) + tokens("~", sort_tokens(c)) for c in cores])
+
+    return signature

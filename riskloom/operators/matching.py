@@ -9,10 +9,7 @@ pairs over distinct names; decisions are made per distinct name and joined back.
 """
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions import fixed, similarity as sim
 from riskloom.operators.spread import ensure_checkpoint_dir, skew_join
@@ -62,40 +59,10 @@ def _bigrams(core: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substr(padded, i, F.lit(2)))
 
 
-def _signature(rarity: dict[str, int], floor: float):
-    """UDF: the letter pairs of a name that any name with an indel ratio >= floor must share one of.
-
-    With d = indel distance, names of lengths m and n share at least ((m + n + 2) - 3d) / 2 of their padded letter
-    pairs. A ratio >= floor means d <= (1 - floor/100)(m + n), and the shorter is at least floor/(200 - floor)
-    of the longer, so the overlap has a lower bound from one length alone, and two such names must meet within
-    all but (bound - 1) of their pairs when both are ordered rarest first. Pairs come once for the plain and once
-    for the token-sorted name, with their position, so that the join can bound the overlap still possible.
-    """
-    loss = 1.0 - floor / 100.0
-    shorter = floor / (200.0 - floor)
-
-    def tokens(variant: str, s: str):
-        n = len(s)
-        padded = f"^{s}$"
-        seen: Counter = Counter()
-        parts = []
-        for i in range(n + 1):
-            g = padded[i:i + 2]
-            seen[g] += 1
-            parts.append((rarity.get(g, 0), g, seen[g]))
-        parts.sort()
-        least = (n * (1 + shorter) * (1 - 3 * loss) + 2) / 2
-        keep = len(parts) - max(int(-(-(least - 1e-9) // 1)), 1) + 1
-        return [{"token": f"{variant}{g}{k}", "pos": i, "size": n} for i, (_, g, k) in enumerate(parts[:keep])]
-
-    schema = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("pos", T.IntegerType()),
-                                       T.StructField("size", T.IntegerType())]))
-
-    @F.pandas_udf(schema)
-    def signature(cores: pd.Series) -> pd.Series:
-        return pd.Series([tokens("=", c) + tokens("~", sim.sort_tokens(c)) for c in cores])
-
-    return signature
+def _missing(here: str, there: str) -> Column:
+    """At least so many letter pairs of one name are not in the other: bits set in one bitmap only."""
+    return sum((F.bit_count(F.col(f"{here}_w{k}").bitwiseAND(F.bitwise_not(F.col(f"{there}_w{k}"))))
+                for k in range(sim.WORDS)), F.lit(0))
 
 
 def postcode_pairs(records: DataFrame, companies: DataFrame, floor: float = POSTCODE_SCORE_FLOOR) -> DataFrame:
@@ -106,8 +73,13 @@ def postcode_pairs(records: DataFrame, companies: DataFrame, floor: float = POST
     if floor <= 200.0 / 3:
         raise ValueError("the letter-pair bound needs a floor above 66.7")
     usable = F.col("postcode_norm").isNotNull() & (F.col("core") != "")
+    spark = records.sparkSession
+    ensure_checkpoint_dir(spark)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     left = records.select("postcode_norm", F.col("name_core").alias("core")).filter(usable).distinct()
-    right = companies.select("postcode_norm", F.col("name_core").alias("core")).filter(usable).distinct()
+    # The distinct names are used several times below: at rest, normalising them is paid once.
+    right = (companies.select("postcode_norm", F.col("name_core").alias("core")).filter(usable).distinct()
+             .repartition(tasks, "postcode_norm", "core").checkpoint())
 
     # Lengths per postcode rule out names with no possible partner before anything is taken apart. Token sorting
     # collapses inner blanks, so the shorter of the two forms bounds from below.
@@ -116,30 +88,43 @@ def postcode_pairs(records: DataFrame, companies: DataFrame, floor: float = POST
     band = right.groupBy("postcode_norm").agg(F.max(F.length("core")).alias("_hi"), F.min(squeezed).alias("_lo"))
     left = (left.join(band, "postcode_norm")
             .filter((squeezed <= F.col("_hi") * F.lit(factor)) & (F.length("core") * F.lit(factor) >= F.col("_lo")))
-            .drop("_hi", "_lo"))
+            .drop("_hi", "_lo").repartition(tasks, "postcode_norm", "core").checkpoint())
 
     # At most one row per letter pair of the normalised alphabet (A-Z, 0-9, blank, two end marks): 1,521 rows.
     counts = right.select(F.explode(_bigrams(F.col("core"))).alias("g")).groupBy("g").count().collect()
-    signature = _signature({r["g"]: r["count"] for r in counts}, floor)
+    signature = sim.signature_udf({r["g"]: r["count"] for r in counts}, floor)
+
+    # Names and (postcode, letter pair) keys travel as 64-bit hashes. A collision can only add a candidate, which the
+    # comparisons then reject.
+    name_id = F.xxhash64("postcode_norm", "core")
 
-    def exploded(df: DataFrame, name: str) -> DataFrame:
-        return (df.select("postcode_norm", F.col("core").alias(name), F.explode(signature("core")).alias("s"))
-                .select("postcode_norm", name, F.col("s.token").alias("token"), F.col("s.pos").alias(f"{name}_pos"),
-                        F.col("s.size").alias(f"{name}_size")))
+    def exploded(df: DataFrame, side: str) -> DataFrame:
+        return (df.select("postcode_norm", name_id.alias(f"{side}_id"), F.explode(signature("core")).alias("s"))
+                .select(F.xxhash64("postcode_norm", "s.token").alias("meet"), f"{side}_id",
+                        F.col("s.pos").alias(f"{side}_pos"), F.col("s.size").alias(f"{side}_size"),
+                        *[F.col(f"s.w{k}").alias(f"{side}_w{k}") for k in range(sim.WORDS)]))
 
-    a, b = F.col("rec_core_size"), F.col("cand_core_size")
+    a, b = F.col("rec_size"), F.col("cand_size")
     needed = ((a + b) * F.lit(1 - 3 * (1 - floor / 100.0)) + 2) / 2
-    possible = F.least(a - F.col("rec_core_pos"), b - F.col("cand_core_pos")) + 1
+    # Upper bounds of the overlap: what can still follow the pair they meet in, and what the bitmaps have in common.
+    possible = F.least(a - F.col("rec_pos") + 1, b - F.col("cand_pos") + 1,
+                       a + 1 - _missing("rec", "cand"), b + 1 - _missing("cand", "rec"))
     # At rest, so that hot (postcode, letter pair) groups can be counted without running the signatures twice.
-    ensure_checkpoint_dir(records.sparkSession)
-    by_token = exploded(left, "rec_core").checkpoint()
-    met = (skew_join(by_token, exploded(right, "cand_core"), ["postcode_norm", "token"], spread_by=["rec_core"])
+    by_token = exploded(left, "rec").checkpoint()
+    met = (skew_join(by_token, exploded(right, "cand"), ["meet"], spread_by=["rec_id"])
            .filter(sim.ratio_can_reach(a, b, floor) & (possible >= needed - F.lit(1e-9)))
-           .select("postcode_norm", "rec_core", "cand_core").distinct())
-    return (met.withColumn("jw", sim.jaro_winkler("rec_core", "cand_core"))
-            .filter(F.col("jw") >= F.lit(fixed.POSTCODE_JW_FLOOR))
-            .withColumn("match_score", sim.match_score("rec_core", "cand_core"))
-            .filter(F.col("match_score") >= F.lit(float(floor))))
+           .select("rec_id", "cand_id").distinct())
+    # The comparisons stay behind a table at rest; otherwise they are pushed under the distinct.
+    named = (met.join(left.select(name_id.alias("rec_id"), "postcode_norm", F.col("core").alias("rec_core")), "rec_id")
+             .join(right.select(name_id.alias("cand_id"), F.col("postcode_norm").alias("_pc"),
+                                F.col("core").alias("cand_core")), "cand_id")
+             .filter(F.col("postcode_norm") == F.col("_pc"))
+             .select("postcode_norm", "rec_core", "cand_core").checkpoint())
+    # The ratio runs vectorised over a batch of pairs, Jaro-Winkler pair by pair: few are left for the second.
+    return (named.withColumn("match_score", sim.match_score("rec_core", "cand_core"))
+            .filter(F.col("match_score") >= F.lit(float(floor)))
+            .withColumn("jw", sim.jaro_winkler("rec_core", "cand_core"))
+            .filter(F.col("jw") >= F.lit(fixed.POSTCODE_JW_FLOOR)))
 
 
 # ---- scoring and decision ------------------------------------------------------------------------------------
