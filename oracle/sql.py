@@ -275,8 +275,11 @@ T: dict[str, str] = {
     "expo": f"""SELECT event_id, vendor_id, least(1.0::DOUBLE, min(sev) * (sum(part)::BIGINT / 1e12)) AS exposure_score,
         arg_min(cn8_code, (-part, cn8_code)) AS driver_commodity,
         arg_min(top_country, (-part, cn8_code)) AS driver_country, 'inferred' AS path_type
-        FROM (SELECT c.event_id, w.vendor_id, w.cn8_code, c.sev, c.top_country, {share('w.w * (c.u / 1e12)')} AS part
-              FROM wt w JOIN evcom c USING (cn8_code) WHERE w.is_home) GROUP BY 1, 2 HAVING exposure_score > 0
+        FROM (SELECT a.event_id, w.vendor_id, w.cn8_code, min(a.risk) AS sev,
+              sum({share('w.w * f.share_of_uk_imports')})::BIGINT AS part,
+              arg_min(f.iso3, (-f.share_of_uk_imports, f.iso3)) AS top_country
+              FROM wt w JOIN flow f USING (cn8_code) JOIN evrisk a USING (iso3) WHERE w.is_home GROUP BY 1, 2, 3)
+        GROUP BY 1, 2 HAVING exposure_score > 0
         UNION ALL
         SELECT a.event_id, d.vendor_id, least(1.0::DOUBLE, a.risk), d.cn8_code, a.iso3, 'direct'
         FROM (SELECT vendor_id, country_iso3, arg_min(cn8_code, (-w, cn8_code)) AS cn8_code FROM wt

@@ -98,19 +98,42 @@ def inferred_for_events(import_flow: DataFrame, risk_event: DataFrame, affects:
 
 # ---- exposure ------------------------------------------------------------------------------------------------
 
+def inherited_exposure(lines: DataFrame, flows: DataFrame, hits: DataFrame, scenario: str) -> DataFrame:
+    """(scenario, vendor_id, unit, driver_commodity, driver_country): sum over the countries hit of w x share.
+
+    lines: vendor_id, cn8_code, w. flows: cn8_code, iso3, share. hits: scenario, iso3.
+
+    The sum needs no commodities: it is taken per (supplier, country) before any event is met. Only the driver - the
+    commodity that adds most - looks at (event, commodity), and few can win: one whose share over ALL countries is
+    below the best single-country share of the supplier among the countries hit cannot. That bound is checked inside
+    the join, so the product of events and purchases is never shuffled or sorted.
+    """
+    sourced = (lines.join(flows, "cn8_code")
+               .select("vendor_id", "cn8_code", "iso3", "share", units(F.col("w") * F.col("share"), SHARE).alias("part")))
+    by_country = sourced.groupBy("vendor_id", "iso3").agg(F.sum("part").alias("part"), F.max("part").alias("top"))
+    unit = (spread_join(by_country, hits.select(scenario, "iso3"), ["iso3"], spread_by=["vendor_id"])
+            .groupBy(scenario, "vendor_id").agg(F.sum("part").alias("units"), F.max("top").alias("at_least"))
+            .filter(F.col("units") > 0))
+    at_most = sourced.groupBy("vendor_id", "cn8_code").agg(F.sum("part").alias("at_most"))
+    rivals = (at_most.join(unit, "vendor_id").filter(F.col("at_most") >= F.col("at_least"))
+              .select(scenario, "vendor_id", "cn8_code"))
+    driver = (rivals.join(sourced, ["vendor_id", "cn8_code"])
+              .join(hits.select(scenario, "iso3"), [scenario, "iso3"])
+              .groupBy(scenario, "vendor_id", "cn8_code")
+              .agg(F.sum("part").alias("part"), top_by("iso3", F.col("share")).alias("country"))
+              .groupBy(scenario, "vendor_id")
+              .agg(F.min_by(F.struct("cn8_code", "country"), F.struct((-F.col("part")).alias("p"), "cn8_code"))
+                   .alias("d")))
+    return unit.join(driver, [scenario, "vendor_id"]).select(
+        scenario, "vendor_id", (F.col("units") / F.lit(SHARE)).alias("unit"),
+        F.col("d.cn8_code").alias("driver_commodity"), F.col("d.country").alias("driver_country"))
+
+
 def footprint_exposure(weights: DataFrame, import_flow: DataFrame, countries: DataFrame) -> DataFrame:
     """(footprint, vendor_id): exposure at risk 1, main commodity and country, path type."""
-    unit = commodity_risk(import_flow, countries.withColumn("risk", F.lit(1.0)), "footprint")
+    flows = import_flow.select("cn8_code", "iso3", F.col("share_of_uk_imports").alias("share"))
     home = weights.filter("is_home").select("vendor_id", "cn8_code", "w")
-    met = home.join(unit, "cn8_code")
-    part = units(F.col("w") * (F.col("risk_units") / F.lit(SHARE)), SHARE)
-    inferred = (met.withColumn("part", part).groupBy("footprint", "vendor_id")
-                .agg(F.sum("part").alias("unit_sum"),
-                     F.min_by(F.struct("cn8_code", "top_country"),
-                              F.struct((-F.col("part")).alias("p"), "cn8_code")).alias("top"))
-                .select("footprint", "vendor_id", (F.col("unit_sum") / F.lit(SHARE)).alias("unit"),
-                        F.col("top.cn8_code").alias("driver_commodity"),
-                        F.col("top.top_country").alias("driver_country"), F.lit("inferred").alias("path_type")))
+    inferred = inherited_exposure(home, flows, countries, "footprint").withColumn("path_type", F.lit("inferred"))
 
     abroad = (weights.filter(~F.col("is_home") & (F.col("total_units") != 0) & F.col("country_iso3").isNotNull())
               .groupBy("vendor_id", F.col("country_iso3").alias("iso3"))

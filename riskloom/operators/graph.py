@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskloom.functions.normalize import MONEY, SHARE, sum_units, units
-from riskloom.operators.exposure import top_by
+from riskloom.operators.exposure import inherited_exposure
 from riskloom.operators.spread import spread_join
 from riskloom.plans.spec import LINKS, OBJECTS
 
@@ -81,11 +81,6 @@ def event_impact(node: DataFrame, edge: DataFrame, home: DataFrame) -> DataFrame
     flow = step(step(_property(node, "ImportFlow", share="share_of_uk_imports double")
                      .withColumnRenamed("node_id", "flow"), edge, "flow_of_commodity", "flow", "commodity"),
                 edge, "flow_from_country", "flow", "country")
-    part = F.col("share")
-    risk = (spread_join(flow.select("country", "commodity", "share"), hit, ["country"], spread_by=["commodity"])
-            .groupBy("event", "severity", "commodity")
-            .agg(sum_units(part, SHARE).alias("unit"), top_by("country", part).alias("via")))
-
     # What we buy, per (supplier, commodity), read off the purchase-line edges once.
     bought = (step(step(_property(node, "PurchaseOrderLine", amount="amount_gbp double")
                         .withColumnRenamed("node_id", "line"), edge, "po_commodity", "line", "commodity"),
@@ -97,15 +92,15 @@ def event_impact(node: DataFrame, edge: DataFrame, home: DataFrame) -> DataFrame
                                           F.lit(0.0))))
     at_home = home.select(F.col("node_id").alias("vendor"))
 
-    met = weight.join(at_home, "vendor", "left_semi").select("vendor", "commodity", "w").join(risk, "commodity")
-    inferred = (met.withColumn("part", units(F.col("w") * (F.col("unit") / F.lit(SHARE)), SHARE))
-                .groupBy("event", "severity", "vendor")
-                .agg((F.sum("part") / F.lit(SHARE)).alias("unit"),
-                     F.min_by(F.struct("commodity", "via"),
-                              F.struct((-F.col("part")).alias("p"), key_of(F.col("commodity")).alias("k")))
-                     .alias("top"))
-                .select("event", "vendor", "severity", "unit", F.col("top.commodity").alias("commodity"),
-                        F.col("top.via").alias("country"), F.lit("inferred").alias("path_type")))
+    lines = weight.join(at_home, "vendor", "left_semi").select(
+        F.col("vendor").alias("vendor_id"), F.col("commodity").alias("cn8_code"), "w")
+    inferred = (inherited_exposure(
+        lines, flow.select(F.col("commodity").alias("cn8_code"), F.col("country").alias("iso3"), "share"),
+        hit.select("event", F.col("country").alias("iso3")), "event")
+        .join(events.withColumnRenamed("node_id", "event"), "event")
+        .select("event", F.col("vendor_id").alias("vendor"), "severity", "unit",
+                F.col("driver_commodity").alias("commodity"), F.col("driver_country").alias("country"),
+                F.lit("inferred").alias("path_type")))
 
     located = (step(weight.filter(F.col("total") != 0).join(at_home, "vendor", "left_anti")
                     .groupBy("vendor").agg(F.min_by("commodity", F.struct((-F.col("w")).alias("w"),
