@@ -32,8 +32,8 @@ def split_lines(lines: DataFrame) -> DataFrame:
     """line -> the fixed fields, SIC codes by pattern, the confirmation date from the right."""
     cells = F.col("cells")
     rows = (lines.select(csv_cells(F.col("line")).alias("cells"))
-            .filter((F.size(cells) >= MIN_FIELDS) & (F.trim(cells[FIELDS["company_number"]]) != HEADER_NUMBER)))
-    tail = F.slice(cells, SIC_FROM + 1, F.size(cells) - SIC_FROM)
+            .filter((F.size(cells) >= MIN_FIELDS) & (F.trim(F.get(cells, F.lit(FIELDS["company_number"]))) != HEADER_NUMBER)))
+    tail = F.slice(cells, SIC_FROM + 1, F.greatest(F.size(cells) - SIC_FROM, F.lit(0)))
     # The run of codes ends at the first field that is neither a code nor 'None Supplied'.
     is_sic = lambda c: c.rlike("^[0-9]{5} - |^None Supplied$")
     run = F.aggregate(tail, F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("codes")),
@@ -43,8 +43,9 @@ def split_lines(lines: DataFrame) -> DataFrame:
                                  F.concat(acc["codes"], F.array(F.substring(c, 1, 5))))
                           .otherwise(acc["codes"]).alias("codes")),
                       lambda acc: acc["codes"])
-    fixed = [(F.trim(cells[i]) if name in TRIMMED else cells[i]).alias(name) for name, i in FIELDS.items()]
-    return rows.select(*fixed, run.alias("sic_codes"), F.element_at(cells, -2).alias("confstmt_next_due"))
+    cell = lambda i: F.get(cells, F.lit(i))
+    fixed = [(F.trim(cell(i)) if name in TRIMMED else cell(i)).alias(name) for name, i in FIELDS.items()]
+    return rows.select(*fixed, run.alias("sic_codes"), F.try_element_at(cells, F.lit(-2)).alias("confstmt_next_due"))
 
 
 def open_quotes(lines: DataFrame) -> DataFrame:

@@ -18,13 +18,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def split_lines(lines: DataFrame) -> DataFrame:
     f = F.col("f")
-    part = lambda i: F.trim(f[i])
+    # Filters may be evaluated in any order, so nothing here may fail on a short line.
+    part = lambda i: F.trim(F.get(f, F.lit(i)))
     address = F.array_join(F.filter(F.transform(F.slice(f, 4, 5), F.trim), lambda x: x != ""), ", ")
     return (lines.select(F.split("line", "\t", -1).alias("f"))
-            .filter((F.size("f") >= MIN_FIELDS) & f[0].rlike("^[0-9]+$"))
-            .select(part(2).alias("name"), part(8).alias("postcode"), f[0].cast("int").alias("month_id"),
-                    F.coalesce(f[1].try_cast("int"), F.lit(1)).alias("seq"), address.alias("address"),
-                    F.filter(F.transform(F.slice(f, 10, F.size(f) - 9), F.trim), lambda x: x != "").alias("codes")))
+            .filter((F.size("f") >= MIN_FIELDS) & F.get(f, F.lit(0)).rlike("^[0-9]+$"))
+            .select(part(2).alias("name"), part(8).alias("postcode"), F.get(f, F.lit(0)).try_cast("int").alias("month_id"),
+                    F.coalesce(F.get(f, F.lit(1)).try_cast("int"), F.lit(1)).alias("seq"), address.alias("address"),
+                    F.filter(F.transform(F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0))), F.trim), lambda x: x != "").alias("codes")))
 
 
 def traders(rows: DataFrame) -> DataFrame:
