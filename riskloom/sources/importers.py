@@ -25,7 +25,8 @@ def split_lines(lines: DataFrame) -> DataFrame:
             .filter((F.size("f") >= MIN_FIELDS) & F.get(f, F.lit(0)).rlike("^[0-9]+$"))
             .select(part(2).alias("name"), part(8).alias("postcode"), F.get(f, F.lit(0)).try_cast("int").alias("month_id"),
                     F.coalesce(F.get(f, F.lit(1)).try_cast("int"), F.lit(1)).alias("seq"), address.alias("address"),
-                    F.filter(F.transform(F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0))), lambda x: F.trim(x)), lambda x: x != "").alias("codes")))
+                    F.filter(F.transform(F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0))), lambda x: F.trim(x)),
+                             lambda x: x != "").alias("codes")))
 
 
 def traders(rows: DataFrame) -> DataFrame:

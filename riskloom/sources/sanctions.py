@@ -15,10 +15,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     names = [f"c{i}" for i in range(WIDTH)]
     raw = (spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"')
            .schema(", ".join(f"{n} string" for n in names)).csv(path))
-    is_header = F.array_contains(F.array(*names), F.lit("Unique ID"))
+    # array_contains gives null, not false, beside empty cells.
+    is_header = F.coalesce(F.array_contains(F.array(*names), F.lit("Unique ID")), F.lit(False))
     header = raw.filter(is_header).limit(1).collect()[0]
     at = {v: k for k, v in header.asDict().items() if v is not None}
-    return (raw.filter(~is_header & ~F.col("c0").startswith("Report Date"))
+    return (raw.filter(~is_header & ~F.coalesce(F.col("c0"), F.lit("")).startswith("Report Date"))
             .select(*[F.col(at[c]).alias(n) for c, n in COLUMNS.items()]))
 
 
