@@ -649,10 +649,23 @@ def entry(spark: SparkSession) -> DataFrame:
     return QUERIES["supplier_exposure"](spark, "/root/testdata/sf0.001")
 
 
+try:  # the one guard: this module works without the subpackage and the pipeline
+    import corpus_pipeline
+    from riskloom.llm import registry
+except ModuleNotFoundError as e:
+    if e.name not in ("corpus_pipeline", "riskloom.llm"):
+        raise
+    LLM_QUERIES, LLM_SQL = {}, {}
+else:
+    LLM_QUERIES, LLM_SQL = {**registry.QUERIES, "pipeline": corpus_pipeline.run}, dict(registry.SQL)
+    if corpus_pipeline.ORACLE_SQL:
+        LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return {**QUERIES, **LLM_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle.sql import ORACLES
-    return dict(ORACLES)
+    return {**ORACLES, **LLM_SQL}
