@@ -300,7 +300,7 @@ def country_union(s: Standins) -> DataFrame:
 
 @query
 def country_risk(s: Standins) -> DataFrame:
-    return s.serving["country"]
+    return s.ontology["country"]
 
 
 @query
@@ -316,17 +316,17 @@ def supplier_spend(s: Standins) -> DataFrame:
 
 @query
 def supplier_criticality(s: Standins) -> DataFrame:
-    return s.serving["erp_supplier"].select("vendor_id", "spend_12m_gbp", "criticality")
+    return s.ontology["erp_supplier"].select("vendor_id", "spend_12m_gbp", "criticality")
 
 
 @query
 def resolves_to_override(s: Standins) -> DataFrame:
-    return s.serving["link_supplier_resolves_to"]
+    return s.ontology["link_supplier_resolves_to"]
 
 
 @query
 def company_scope(s: Standins) -> DataFrame:
-    r = s.serving["link_supplier_resolves_to"]
+    r = s.ontology["link_supplier_resolves_to"]
     return build.company_scope(s.companies, s.imports_link, r).select("company_number", "name")
 
 
@@ -340,7 +340,7 @@ def company_fragility(s: Standins) -> DataFrame:
 @query
 def apply_edits(s: Standins) -> DataFrame:
     """The tables decisions change, joined: supplier, its match and its company."""
-    t = build.apply_edits(s.serving, s.as_of)
+    t = build.apply_edits(s.ontology, s.as_of)
     c = t["company"].select("company_number", "name", "fragility_score")
     return (t["erp_supplier"].select("vendor_id", "criticality")
             .join(t["link_supplier_resolves_to"], "vendor_id", "left").join(c, "company_number", "left"))
@@ -348,7 +348,7 @@ def apply_edits(s: Standins) -> DataFrame:
 
 @query
 def data_quality_report(s: Standins) -> DataFrame:
-    return build.data_quality_report(s.serving)
+    return build.data_quality_report(s.ontology)
 
 
 # ---- contract --------------------------------------------------------------------------------------------------
@@ -368,11 +368,11 @@ def contract_pk(s: Standins) -> DataFrame:
 
 @query
 def contract_orphans(s: Standins) -> DataFrame:
-    """Trader and alert references without a target, which the given tables do contain."""
-    t = s.serving
+    """Both ends of all nine links, and the trader codes, some of which are unknown."""
+    t = s.ontology
     parts = [contract.orphans(t[l.table], key, t[OBJECTS[obj].table], OBJECTS[obj].key).select(
         F.lit(f"{name} {side}").alias("link"), "n")
-        for name, l in LINKS.items() if l.table != "po_line"
+        for name, l in LINKS.items()
         for side, key, obj in (("from", l.source_key, l.source), ("to", l.target_key, l.target))]
     parts.append(contract.orphans(s.trader_commodity, "cn8_code", s.commodity, "cn8_code").select(
         F.lit("trader codes").alias("link"), "n"))
@@ -382,9 +382,9 @@ def contract_orphans(s: Standins) -> DataFrame:
 @query
 def contract_cardinality(s: Standins) -> DataFrame:
     """Links checked as if each were many-to-one; the many-to-many ones show their fan-out."""
-    t = s.serving
+    t = s.ontology
     parts = [contract.fan_out(t[l.table], l).select(F.lit(name).alias("link"), "n")
-             for name, l in LINKS.items() if l.table != "po_line"]
+             for name, l in LINKS.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -411,7 +411,7 @@ def inferred_commodity_risk(s: Standins) -> DataFrame:
 
 @query
 def exposure_per_line(s: Standins) -> DataFrame:
-    return ex.per_line(_weights(s), s.import_flow, s.serving["country"]).select(
+    return ex.per_line(_weights(s), s.import_flow, s.ontology["country"]).select(
         "vendor_id", "cn8_code", "w", "risk", F.coalesce("via_country", F.lit(-1)).alias("via_country"), "path_type")
 
 
@@ -422,7 +422,7 @@ def supplier_exposure(s: Standins) -> DataFrame:
 
 @query
 def supplier_exposure_all_risk(s: Standins) -> DataFrame:
-    return ex.all_risk_exposure(_weights(s), s.import_flow, s.serving["country"])
+    return ex.all_risk_exposure(_weights(s), s.import_flow, s.ontology["country"])
 
 
 @query
@@ -455,7 +455,7 @@ def graph_edges(s: Standins) -> DataFrame:
 @query
 def graph_step(s: Standins) -> DataFrame:
     """Two hops from every event: the countries it affects, the suppliers located there."""
-    t = s.serving
+    t = s.ontology
     e = graph.edges(t, ["affects", "located_in"])
     start = t["risk_event"].select(graph.node_id("RiskEvent", F.col("event_id")).alias("event"))
     there = graph.step(start, e, "affects", "event", "country")
@@ -475,7 +475,7 @@ def graph_event_impact(s: Standins) -> DataFrame:
 
 @query
 def explain_path(s: Standins) -> DataFrame:
-    t = {**s.serving, "erp_supplier": s.clean_vendors}
+    t = {**s.ontology, "erp_supplier": s.clean_vendors}
     return graph.explain_path(s.exposure, t, F.col("is_home"))
 
 
@@ -485,7 +485,7 @@ def _focus(s: Standins) -> DataFrame:
 
 
 def _breakdown(s: Standins) -> DataFrame:
-    return graph.breakdown(_focus(s), s.serving, _weights(s))
+    return graph.breakdown(_focus(s), s.ontology, _weights(s))
 
 
 @query
@@ -498,7 +498,7 @@ def exposure_breakdown(s: Standins) -> DataFrame:
 
 @query
 def path_subgraph(s: Standins) -> DataFrame:
-    return graph.path_subgraph(_breakdown(s), s.serving, s.serving["link_supplier_resolves_to"])
+    return graph.path_subgraph(_breakdown(s), s.ontology, s.ontology["link_supplier_resolves_to"])
 
 
 @query
@@ -565,14 +565,14 @@ def action_log(s: Standins) -> DataFrame:
 
 @query
 def event_list(s: Standins) -> DataFrame:
-    return views.event_list(s.serving, s.exposure).select(
+    return views.event_list(s.ontology, s.exposure).select(
         "event_id", "event_type", "name", "alert_level", "severity", *text("start_date", "end_date"), "is_current",
         "countries", "n_countries", "material")
 
 
 @query
 def event_detail(s: Standins) -> DataFrame:
-    return views.event_detail(s.serving).select("event_id", "name", "alert_level", *text("start_date"), "countries")
+    return views.event_detail(s.ontology).select("event_id", "name", "alert_level", *text("start_date"), "countries")
 
 
 def _shown(table: DataFrame) -> DataFrame:
@@ -606,12 +606,12 @@ def event_kpis(s: Standins) -> DataFrame:
 
 @query
 def default_focus(s: Standins) -> DataFrame:
-    return views.default_focus(s.serving, s.exposure_table)
+    return views.default_focus(s.ontology, s.exposure_table)
 
 
 @query
 def supplier_detail(s: Standins) -> DataFrame:
-    return views.supplier_detail(s.serving).select(
+    return views.supplier_detail(s.ontology).select(
         "vendor_id", "vendor_name", "criticality", F.coalesce("company_number", F.lit("")).alias("company_number"),
         F.coalesce("match_method", F.lit("")).alias("match_method"),
         F.coalesce("confidence", F.lit(-1.0)).alias("confidence"),
@@ -622,19 +622,19 @@ def supplier_detail(s: Standins) -> DataFrame:
 
 @query
 def supplier_alerts(s: Standins) -> DataFrame:
-    return views.supplier_alerts(s.serving).select("vendor_id", "alert_id", "status", *text("created_at"),
+    return views.supplier_alerts(s.ontology).select("vendor_id", "alert_id", "status", *text("created_at"),
                                                    "event_name")
 
 
 @query
 def alert_queue(s: Standins) -> DataFrame:
-    return views.alert_queue(s.serving).select("alert_id", "status", *text("updated_at"), "vendor_name",
+    return views.alert_queue(s.ontology).select("alert_id", "status", *text("updated_at"), "vendor_name",
                                                "criticality", "event_name", "alert_level")
 
 
 @query
 def review_queue(s: Standins) -> DataFrame:
-    return views.review_queue(s.serving)
+    return views.review_queue(s.ontology)
 
 
 @query

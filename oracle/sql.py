@@ -6,7 +6,8 @@ from __future__ import annotations
 
 import re
 
-from riskloom.functions.fixed import FRAGILITY_WEIGHTS as FW
+# What each fragility signal weighs.
+FW = {"not_active": 1.0, "accounts_overdue": 0.35, "confirmation_overdue": 0.2, "younger_than_2y": 0.15, "charges_outstanding": 0.1}
 
 
 def money(x: str) -> str:
@@ -88,16 +89,16 @@ def confidence(method: str, score: str) -> str:
 
 T: dict[str, str] = {
     # events
-    "readings": """SELECT e.user_id, e.value, e.event_type, CAST(e.ts AS DATE) AS day,
-        e.event_type || '-' || strftime(e.ts, '%Y-%m-%d') AS event_id, c.c_nationkey AS iso3
+    "readings": """SELECT e.user_id, e.value, e.event_type, date_trunc('hour', e.ts) AS hour,
+        e.event_type || '-' || strftime(e.ts, '%Y-%m-%d-%H') AS event_id, c.c_nationkey AS iso3
         FROM events e JOIN customer c ON c.c_custkey = e.user_id""",
-    "ev": f"""SELECT event_id, 'readings' AS source, event_type, event_type || ' on ' || CAST(day AS VARCHAR) AS name,
+    "ev": f"""SELECT event_id, 'readings' AS source, event_type, event_type || ' at ' || strftime(hour, '%Y-%m-%d %H') AS name,
         {band('max(value)', (200, 'Red'), (100, 'Orange'), low='Green')} AS alert_level,
         {severity(band('max(value)', (200, 'Red'), (100, 'Orange'), low='Green'))} AS severity,
-        day AS start_date, day AS end_date,
-        day >= (SELECT CAST(max(ts) AS DATE) - 2 FROM events) AS is_current
-        FROM readings GROUP BY event_id, event_type, day""",
-    "aff": "SELECT DISTINCT event_id, iso3 FROM readings WHERE value >= 100",
+        CAST(hour AS DATE) AS start_date, CAST(hour AS DATE) AS end_date,
+        CAST(hour AS DATE) >= (SELECT CAST(max(ts) AS DATE) - 2 FROM events) AS is_current
+        FROM readings GROUP BY event_id, event_type, hour""",
+    "aff": "SELECT DISTINCT event_id, iso3 FROM readings",
     "features": f"""SELECT e.event_id AS position, 'GDACS-' || e.event_type || '-' || {K} AS event_id, e.event_type, e.ts,
         e.value AS v, c.c_nationkey::VARCHAR AS nation, e.event_id AS reading
         FROM events e JOIN customer c ON c.c_custkey = e.user_id""",
@@ -182,14 +183,15 @@ T: dict[str, str] = {
              WHEN 'purchase' THEN 'confirm_match' WHEN 'signup' THEN 'reject_match'
              WHEN 'error' THEN 'set_criticality' END AS action,
         user_id AS vendor_id,
-        CASE WHEN value < 5 THEN 'none-' ELSE 'click-' END || strftime(ts, '%Y-%m-%d') AS event_id,
+        CASE WHEN value < 5 THEN 'none-' ELSE 'click-' END || strftime(ts, '%Y-%m-%d-%H') AS event_id,
         'ALT-' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS alert_id,
         {band('value', (25, 'closed'), (10, 'mitigating'), low='acknowledged')} AS status, {K} AS company_number,
         {band('value', (60, 'urgent'), (25, 'high'), (10, 'medium'), low='low')} AS criticality,
         CASE WHEN value >= 8 THEN ' owner ' || {K} ELSE ' ' END AS owner,
         CASE WHEN value < 60 THEN 'note ' || {K} END AS note, 'user ' || user_id AS actor,
         date_trunc('second', ts) AS requested_at FROM events""",
-    "alert": f"""SELECT 'ALT-' || user_id || '-' || day AS alert_id, user_id AS vendor_id, 'click-' || day AS event_id,
+    "alert": f"""SELECT 'ALT-' || user_id || '-' || day AS alert_id, user_id AS vendor_id,
+        'click-' || strftime(created_at, '%Y-%m-%d-%H') AS event_id,
         {band('v', (100, 'closed'), (70, 'mitigating'), (40, 'acknowledged'), low='open')} AS status, 'desk' AS owner,
         CASE WHEN v < 20 THEN '' ELSE 'seen' END AS note, created_at, updated_at
         FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, max(value) AS v, min(date_trunc('second', ts)) AS created_at,
@@ -224,10 +226,10 @@ T: dict[str, str] = {
         FROM confirm_j WHERE reason IS NULL
         UNION ALL SELECT vendor_id, company_number, 'reject', actor, requested_at, request_id
         FROM reject_j WHERE reason IS NULL""",
-    "match_over": """SELECT * FROM decisions WHERE requested_at >= TIMESTAMP '2024-01-29 00:00:00'
+    "match_over": """SELECT * FROM decisions
         QUALIFY row_number() OVER (PARTITION BY vendor_id ORDER BY requested_at DESC, request_id DESC) = 1""",
     "crit_over": """SELECT vendor_id, criticality FROM crit_j
-        WHERE reason IS NULL AND requested_at >= TIMESTAMP '2024-01-29 00:00:00'
+        WHERE reason IS NULL
         QUALIFY row_number() OVER (PARTITION BY vendor_id ORDER BY requested_at DESC, request_id DESC) = 1""",
     # status changes: numbered requests folded one by one
     "upd": """SELECT request_id, alert_id, status AS to_status, note, actor, requested_at,
@@ -648,11 +650,11 @@ QUESTIONS: dict[str, str] = {
         f"SELECT '{n}' AS object_type, count(*) AS n, count(DISTINCT {k}) AS n_distinct, count(*) - count({k}) AS n_null "
         f"FROM {t}" for n, t, k in KEYS),
     "contract_orphans": " UNION ALL ".join(
-        [f"SELECT '{e[0]} {side}' AS link, n FROM ({_orphans(e[1], k, t, pk)})" for e in ENDS if e[1] != "opo"
+        [f"SELECT '{e[0]} {side}' AS link, n FROM ({_orphans(e[1], k, t, pk)})" for e in ENDS
          for side, k, t, pk in (("from", e[2], e[3], e[4]), ("to", e[5], e[6], e[7]))]
         + [f"SELECT 'trader codes', n FROM ({_orphans('trader_codes', 'cn8_code', 'com', 'cn8_code')})"]),
     "contract_cardinality": " UNION ALL ".join(
-        f"SELECT '{e[0]}' AS link, n FROM ({_fan(e[1], e[2], e[5])})" for e in ENDS if e[1] != "opo"),
+        f"SELECT '{e[0]}' AS link, n FROM ({_fan(e[1], e[2], e[5])})" for e in ENDS),
     # exposure
     "exposure_event_risk": "SELECT event_id, iso3, risk FROM evrisk",
     "spend_weights": "SELECT vendor_id, cn8_code, country_iso3, spend, w FROM wt",

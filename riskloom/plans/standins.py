@@ -29,6 +29,11 @@ def band(value: Column, *steps: tuple[float, str], low: str | None) -> Column:
     return out
 
 
+def hour_of(ts: str) -> Column:
+    """The hour that names an event."""
+    return F.date_format(ts, "yyyy-MM-dd-HH")
+
+
 def alert_level(value: Column) -> Column:
     return band(value, (200, "Red"), (100, "Orange"), low="Green")
 
@@ -48,10 +53,10 @@ class Standins:
 
     @cached_property
     def readings(self) -> DataFrame:
-        """Event readings with the day they belong to and the nation they hit."""
+        """Event readings with the hour they belong to and the nation they hit."""
         ev = self.given("events").select(
-            "user_id", "value", "event_type", F.to_date("ts").alias("day"),
-            F.concat_ws("-", "event_type", F.date_format("ts", "yyyy-MM-dd")).alias("event_id"))
+            "user_id", "value", "event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"),
+            F.concat_ws("-", "event_type", hour_of("ts")).alias("event_id"))
         who = self.given("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("iso3"))
         return ev.join(who, "user_id")
 
@@ -59,17 +64,18 @@ class Standins:
     def risk_event(self) -> DataFrame:
         last = self.given("events").agg(F.to_date(F.max("ts")).alias("d")).scalar()
         level = alert_level(F.col("worst"))
-        return (self.readings.groupBy("event_id", "event_type", "day").agg(F.max("value").alias("worst"))
+        day = F.to_date("hour")
+        return (self.readings.groupBy("event_id", "event_type", "hour").agg(F.max("value").alias("worst"))
                 .select("event_id", F.lit("readings").alias("source"), "event_type",
-                        F.concat(F.col("event_type"), F.lit(" on "), F.col("day").cast("string")).alias("name"),
-                        level.alias("alert_level"), nz.severity(level).alias("severity"),
-                        F.col("day").alias("start_date"), F.col("day").alias("end_date"),
-                        (F.col("day") >= F.date_sub(last, 2)).alias("is_current"),
+                        F.concat(F.col("event_type"), F.lit(" at "), F.date_format("hour", "yyyy-MM-dd HH"))
+                        .alias("name"), level.alias("alert_level"), nz.severity(level).alias("severity"),
+                        day.alias("start_date"), day.alias("end_date"),
+                        (day >= F.date_sub(last, 2)).alias("is_current"),
                         F.lit(None).cast("string").alias("url")))
 
     @cached_property
     def event_country(self) -> DataFrame:
-        return self.readings.filter("value >= 100").select("event_id", "iso3").distinct()
+        return self.readings.select("event_id", "iso3").distinct()
 
     @cached_property
     def features(self) -> DataFrame:
@@ -250,7 +256,7 @@ class Standins:
                                             "purchase": "confirm_match", "signup": "reject_match",
                                             "error": "set_criticality"}).alias("action"),
             F.col("user_id").alias("vendor_id"),
-            F.concat(F.when(v < 5, "none-").otherwise("click-"), day).alias("event_id"),
+            F.concat(F.when(v < 5, "none-").otherwise("click-"), hour_of("ts")).alias("event_id"),
             F.concat_ws("-", F.lit("ALT"), "user_id", day).alias("alert_id"),
             band(v, (25, "closed"), (10, "mitigating"), low="acknowledged").alias("status"), k.alias("company_number"),
             band(v, (60, "urgent"), (25, "high"), (10, "medium"), low="low").alias("criticality"),
@@ -268,7 +274,7 @@ class Standins:
         return (e.groupBy("user_id", day.alias("day"))
                 .agg(F.max("value").alias("v"), F.min(at).alias("created_at"), F.max(at).alias("updated_at"))
                 .select(F.concat_ws("-", F.lit("ALT"), "user_id", "day").alias("alert_id"),
-                        F.col("user_id").alias("vendor_id"), F.concat(F.lit("click-"), "day").alias("event_id"),
+                        F.col("user_id").alias("vendor_id"), F.concat(F.lit("click-"), hour_of("created_at")).alias("event_id"),
                         band(F.col("v"), (100, "closed"), (70, "mitigating"), (40, "acknowledged"), low="open")
                         .alias("status"), F.lit("desk").alias("owner"),
                         F.when(F.col("v") < 20, F.lit("")).otherwise("seen").alias("note"), "created_at",
@@ -288,14 +294,11 @@ class Standins:
 
     @cached_property
     def match_override(self) -> DataFrame:
-        """Decisions late in the period, so that most machine matches stay."""
-        late = F.col("requested_at") >= F.lit("2024-01-29 00:00:00").cast("timestamp_ntz")
-        return actions.match_overrides(self.confirmed.filter(late), self.rejected.filter(late))
+        return actions.match_overrides(self.confirmed, self.rejected)
 
     @cached_property
     def criticality_override(self) -> DataFrame:
-        late = F.col("requested_at") >= F.lit("2024-01-29 00:00:00").cast("timestamp_ntz")
-        return actions.criticality_overrides(self.criticality_judged.filter(late))
+        return actions.criticality_overrides(self.criticality_judged)
 
     # ---- ontology --------------------------------------------------------------------------------------------
 
@@ -320,13 +323,6 @@ class Standins:
         """Every ontology table. Reading one does not compute the others."""
         return self._built(self.clean_po_line)
 
-    @cached_property
-    def serving(self) -> dict[str, DataFrame]:
-        """The same without purchase-line ids, which the views never show and which take a sort to give."""
-        return self._built(self.purchases.withColumns({
-            "po_line_id": F.lit(None).cast("string"), "item_description": F.lit(None).cast("string"),
-            "order_date": F.lit(None).cast("date")}))
-
     @cached_property
     def exposure(self) -> DataFrame:
         return exposure.supplier_exposure(self.po, self.vendor_home, self.import_flow, self.risk_event,
@@ -334,7 +330,7 @@ class Standins:
 
     @cached_property
     def exposure_table(self) -> DataFrame:
-        return views.exposure_table(self.serving, self.exposure)
+        return views.exposure_table(self.ontology, self.exposure)
 
     @cached_property
     def exposure_at_rest(self) -> DataFrame:

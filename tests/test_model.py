@@ -138,4 +138,5 @@ def test_same_answer_in_sql(spark, name):
 
 def test_every_query_has_sql():
     import __spark_entry__ as e
-    assert set(e.oracle_sql()) == set(e.queries())
+    from oracle.sql import ORACLES
+    assert set(ORACLES) == set(e.QUERIES)
