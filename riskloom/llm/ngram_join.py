@@ -7,8 +7,9 @@ into fragments, so that a document's set becomes short segments and each task co
 2. A fragment's task knows the exact frequency of its n-grams. Those of one document only can never be shared: it
    counts them and drops them. For most documents so many are unique that no partner can reach the threshold.
 3. The rest keep their shared n-grams. Two linked sets must share one of the first `missing + 1` n-grams of the
-   order, where `missing` is how many n-grams of a set its partner may lack. Those prefixes, less the unique
-   n-grams, are the keys of the candidate search.
+   order, where `missing` is how many n-grams of a set its partner may lack: fewer if the partner is no smaller. So
+   the smaller set's short prefix meets the larger one's long prefix; these, less the unique n-grams, are the keys of
+   the candidate search. Sizes, and how many n-grams of a set are shared with any other, rule out most pairs.
 4. First each key links its documents to one of them only. What these links join is one component already, so the
    exhaustive search that follows takes pairs from different components only.
 5. For candidate pairs the overlaps of their segments are counted fragment by fragment and summed per pair.
@@ -30,7 +31,7 @@ from riskloom.llm.components import components
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 #: A set's n-grams are compared in so many fragments; candidates are counted in each and summed.
-COUNTING = 8
+COUNTING = 4
 #: Keys with more documents than this are searched by several tasks.
 KEY_BLOCK = 512
 
@@ -103,7 +104,7 @@ def ngram_sets(buffer: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     return out
 
 
-def _texts(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _texts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, bytes, offsets) of slices of a text column, some megabytes each; null is empty."""
     column = column.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
@@ -139,9 +140,14 @@ def set_names(docs: DataFrame, n: int, text: str = "text", name: str = "sid", si
     return docs.transform(mapped, run, schema)
 
 
-def missing(sizes: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """How many n-grams of a set of each size may be absent from a set that it links with."""
-    return sizes - -(-threshold.numerator * sizes // threshold.denominator)
+def missing(sizes: np.ndarray, threshold: Fraction, from_larger: bool = False) -> np.ndarray:
+    """How many n-grams of a set of each size may be absent from a set that it links with (one no smaller than it).
+
+    The overlap is at least threshold * size, and with a set of the same size or more 2 * threshold / (1 + threshold)
+    * size.
+    """
+    share = 2 * threshold / (1 + threshold) if from_larger else threshold
+    return sizes - -(-share.numerator * sizes // share.denominator)
 
 
 def _six(grams: np.ndarray) -> bytes:
@@ -161,7 +167,7 @@ def _blob(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, bytes]], *fi
     return [*first, *zip(*rows, strict=True)]
 
 
-def segments(texts: DataFrame, n: int, fragments: int, most: int = 2_000_000) -> DataFrame:
+def segments(texts: DataFrame, n: int, fragments: int, most: int = 500_000) -> DataFrame:
     """(fragment, sids, sizes, counts, grams): for some texts at a time, their sets' segments in one fragment.
 
     A set that a task has met before is not sent again.
@@ -170,8 +176,8 @@ def segments(texts: DataFrame, n: int, fragments: int, most: int = 2_000_000) ->
         sids = np.array([s for s, _ in held], np.int64)
         sizes = np.array([len(g) for _, g in held], np.int64)
         grams = np.concatenate([g for _, g in held])
-        owner = np.repeat(np.arange(len(held)), sizes)
-        fragment = ((grams >> U(32)) * U(fragments) >> U(32)).astype(np.int64)
+        owner = np.repeat(np.arange(len(held), dtype=np.int32), sizes)
+        fragment = ((grams >> U(32)) * U(fragments) >> U(32)).astype(np.int32)
         order = np.argsort(fragment, kind="stable")
         grams, owner, fragment = grams[order], owner[order], fragment[order]
         edge = np.flatnonzero(np.diff(fragment)) + 1
@@ -222,11 +228,13 @@ def shared_grams(parts: DataFrame, groups: int) -> DataFrame:
         once[first] = True
         grams = grams[np.repeat(once, counts)]
         sids, sizes, counts = sids[once], sizes[once], counts[once]
-        owner = np.repeat(np.arange(len(sids)), counts)
+        owner = np.repeat(np.arange(len(sids), dtype=np.int32), counts)
         order = np.argsort(grams, kind="stable")
         grams, owner = grams[order], owner[order]
+        del order
         new = np.concatenate([[True], grams[1:] != grams[:-1]])
-        frequency = np.diff(np.append(np.flatnonzero(new), len(grams)))[np.cumsum(new) - 1]
+        times = np.diff(np.append(np.flatnonzero(new), len(grams)))
+        frequency = np.repeat(times.astype(np.int32), times)
         unique = np.bincount(owner[frequency == 1], minlength=len(sids))
         kept = frequency > 1
         # The fragment is part of what names an n-gram.
@@ -254,7 +262,11 @@ def shared_grams(parts: DataFrame, groups: int) -> DataFrame:
 
 
 def open_sets(shared: DataFrame, threshold: Fraction) -> DataFrame:
-    """(sid, size, keys, parts): sets that may have partners; their prefix keys, and COUNTING segments each."""
+    """(sid, size, shared, short, keys, parts): sets that may have partners.
+
+    shared: how many of their n-grams other sets have. keys: the long prefix, of which the first `short` are the short
+    one. parts: COUNTING segments of what is shared.
+    """
     def gather(found: pa.Table) -> pa.Table:
         rows = found.to_pydict()
         read = lambda c, kind: np.concatenate([np.frombuffer(b, kind) for b in rows[c]])
@@ -263,7 +275,9 @@ def open_sets(shared: DataFrame, threshold: Fraction) -> DataFrame:
         names, at = np.unique(sids, return_inverse=True)
         size = np.zeros(len(names), np.int64)
         size[at] = sizes
-        keys = missing(size, threshold) + 1 - np.bincount(at, weights=unique, minlength=len(names)).astype(np.int64)
+        alone = np.bincount(at, weights=unique, minlength=len(names)).astype(np.int64)
+        keys = missing(size, threshold) + 1 - alone
+        short = np.maximum(missing(size, threshold, True) + 1 - alone, 0)
         owner = np.repeat(at, counts)
         alive = keys[owner] > 0
         owner, grams, df = owner[alive], grams[alive], df[alive]
@@ -275,15 +289,16 @@ def open_sets(shared: DataFrame, threshold: Fraction) -> DataFrame:
             if n:
                 own = grams[end - n:end]
                 part = (own % U(COUNTING)).astype(np.int64)
-                out.append((int(names[i]), int(size[i]), own[:keys[i]].astype(np.int64),
+                out.append((int(names[i]), int(size[i]), n, int(short[i]), own[:keys[i]].astype(np.int64),
                             [own[part == p].astype(np.int64) for p in range(COUNTING)]))
-        columns = list(zip(*out, strict=True)) or [[]] * 4
+        columns = list(zip(*out, strict=True)) or [[]] * 6
         longs = pa.list_(pa.int64())
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(
-            columns, [pa.int64(), pa.int64(), longs, pa.list_(longs)], strict=True)], ["sid", "size", "keys", "parts"])
+            columns, [*[pa.int64()] * 4, longs, pa.list_(longs)], strict=True)],
+            ["sid", "size", "shared", "short", "keys", "parts"])
 
     return shared.groupBy("grp").applyInArrow(
-        gather, "sid long, size long, keys array<long>, parts array<array<long>>")
+        gather, "sid long, size long, shared long, short long, keys array<long>, parts array<array<long>>")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -298,13 +313,25 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
         F.col("size_a") + F.col("size_b") - F.col("n"))).select("a", "b")
 
 
-def _near(a: Column, b: Column, threshold: Fraction) -> Column:
-    """The smaller size is at least the threshold times the larger."""
-    return threshold.denominator * F.least(a, b) >= threshold.numerator * F.greatest(a, b)
+def _may_link(threshold: Fraction) -> Column:
+    """Whether a and b may link, by their sizes and shared n-grams, and meet in the smaller one's short prefix."""
+    up, down = threshold.numerator, threshold.denominator
+    a, b = F.col("size_a"), F.col("size_b")
+    # |overlap| >= t / (1 + t) * (|a| + |b|), and the overlap is part of what either shares with others.
+    enough = (up + down) * F.least("shared_a", "shared_b") >= up * (a + b)
+    short = ((a > b) | F.col("short_a")) & ((b > a) | F.col("short_b"))
+    return (F.col("a") != F.col("b")) & (down * F.least(a, b) >= up * F.greatest(a, b)) & enough & short
+
+
+SIDE = ("size", "shared", "short")
+
+
+def _as_a(c: str) -> Column:
+    return F.col(f"{c}_b").alias(f"{c}_a")
 
 
 def linked_sets(docs: DataFrame, n: int, threshold: Fraction, text: str = "text",
-                fragment_bytes: int = 32 << 20) -> DataFrame:
+                fragment_bytes: int = 16 << 20) -> DataFrame:
     """(v, root): the components of sets that link with another set; sets without a link are not listed."""
     spark = docs.sparkSession
     texts = docs.select(text)
@@ -312,28 +339,31 @@ def linked_sets(docs: DataFrame, n: int, threshold: Fraction, text: str = "text"
     fragments = max(partitions(spark), -(-total // fragment_bytes))
     shared = shared_grams(segments(texts, n, fragments), fragments)
     sets = at_rest(open_sets(shared, threshold), "sets")
-    keys = at_rest(sets.select(F.explode("keys").alias("key"), F.col("sid").alias("b"), F.col("size").alias("size_b")),
-                   "keys")
+    keys = at_rest(sets.select("sid", "size", "shared", "short", F.posexplode("keys").alias("at", "key")).select(
+        "key", F.col("sid").alias("b"), F.col("size").alias("size_b"), F.col("shared").alias("shared_b"),
+        (F.col("at") < F.col("short")).alias("short_b")), "keys")
+    pair = ["a", "b", "size_a", "size_b"]
     # One link for each set and key, to the key's least set.
-    hubs = (keys.groupBy("key").agg(F.min(F.struct("b", "size_b")).alias("hub"), F.count(F.lit(1)).alias("n"))
-            .filter("n > 1").select("key", F.col("hub.b").alias("a"), F.col("hub.size_b").alias("size_a")))
-    stars = keys.join(hubs, "key").filter(F.col("a") != F.col("b")).filter(
-        _near(F.col("size_a"), F.col("size_b"), threshold)).select("a", "b", "size_a", "size_b").distinct()
+    hubs = keys.groupBy("key").agg(F.min(F.struct("b", *[f"{c}_b" for c in SIDE])).alias("h"),
+                                   F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        "key", F.col("h.b").alias("a"), *[F.col(f"h.{c}_b").alias(f"{c}_a") for c in SIDE])
+    stars = keys.join(hubs, "key").filter(_may_link(threshold)).select(*pair).distinct()
     first = at_rest(_links(stars, sets, threshold), "stars")
     joined = components(first)
     # All other pairs that share a key, unless they are in one component already.
-    placed = at_rest(keys.join(joined.withColumnRenamed("v", "b"), "b", "left").select(
-        "key", "b", "size_b", F.coalesce("root", "b").alias("root_b")), "placed")
+    placed = at_rest(keys.join(joined.withColumnRenamed("v", "b"), "b", "left").withColumn(
+        "root_b", F.coalesce("root", "b")).drop("root"), "placed")
     mixed = (placed.groupBy("key").agg(F.min("root_b").alias("lo"), F.max("root_b").alias("hi"),
-                                       F.count(F.lit(1)).alias("n")).filter("lo <> hi")
-             .select("key", F.ceil(F.col("n") / KEY_BLOCK).cast("int").alias("blocks")))
+                                       F.count(F.lit(1)).alias("n"), F.max("short_b").alias("any"))
+             .filter("lo <> hi and any").select("key", F.ceil(F.col("n") / KEY_BLOCK).cast("int").alias("blocks")))
     split = placed.join(mixed, "key")
-    left = split.withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).select(
-        "key", "block", *[F.col(f"{c}_b").alias(f"{c}_a") for c in ("size", "root")], F.col("b").alias("a"))
+    # One side is the smaller, which meets others by its short prefix; of equal sizes, the one of the lesser name.
+    left = split.filter("short_b").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).select(
+        "key", "block", F.col("b").alias("a"), *map(_as_a, (*SIDE, "root")))
     right = split.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    rest = (left.join(right, ["key", "block"]).filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-                                                      & _near(F.col("size_a"), F.col("size_b"), threshold))
-            .select("a", "b", "size_a", "size_b").distinct())
+    smaller = F.struct("size_a", "a") < F.struct(F.col("size_b").alias("size_a"), F.col("b").alias("a"))
+    rest = (left.join(right, ["key", "block"])
+            .filter(smaller & (F.col("root_a") != F.col("root_b")) & _may_link(threshold)).select(*pair).distinct())
     second = _links(rest, sets, threshold)
     return components(first.unionAll(second))
 
