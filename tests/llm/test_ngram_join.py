@@ -98,7 +98,9 @@ def test_missing_is_exact():
     sizes = np.arange(1, 3000)
     for t in (Fraction(85, 100), Fraction(4, 5), Fraction(1)):
         assert nj.missing(sizes, t).tolist() == [max(m for m in range(n + 1) if n - m >= t * n)
-                                                 for n in sizes.tolist()][:len(sizes)]
+                                                 for n in sizes.tolist()]
+        near = [max(m for m in range(n + 1) if (n - m) * (1 + t) >= t * 2 * n) for n in sizes.tolist()]
+        assert nj.missing(sizes, t, True).tolist() == near
 
 
 def test_components_of_chains_stars_and_loops(spark):
