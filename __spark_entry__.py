@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import sys
+from collections import ChainMap
 from collections.abc import Callable
 from functools import reduce
 
@@ -24,7 +25,7 @@ QUERIES: dict[str, Query] = {}
 
 def query(fn: Callable[[Standins], DataFrame]) -> Callable[[Standins], DataFrame]:
     """Registers fn under its name; it gets the given tables as domain tables."""
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Standins(spark, sf_dir))
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(standins.of(spark, sf_dir))
     return fn
 
 
@@ -176,15 +177,7 @@ def event_country_links(s: Standins) -> DataFrame:
 
 @query
 def vendor_clean(s: Standins) -> DataFrame:
-    """Vendor names and numbers in the shape of the vendor master, cleaned by its rules."""
-    raw = s.given("supplier").select(
-        "s_suppkey", F.concat(F.lit("the "), "s_name", F.lit(" Trading Co & Sons Ltd")).alias("n"),
-        F.concat(F.lit("wa"), "s_nationkey", F.lit(" 2dt ")).alias("z"),
-        F.when(F.col("s_acctbal") < 1000, F.concat(F.lit("sc"), "s_suppkey"))
-        .otherwise(F.col("s_suppkey").cast("string")).alias("r"))
-    return raw.select(F.col("s_suppkey").alias("vendor_id"), nz.norm_name(F.col("n")).alias("name_norm"),
-                      nz.name_core(F.col("n")).alias("name_core"), nz.norm_postcode(F.col("z")).alias("postcode_norm"),
-                      nz.regno(F.col("r")).alias("stated_company_number"))
+    return s.clean_vendors.select("vendor_id", "name_norm", "name_core", "postcode_norm", "stated_company_number")
 
 
 @query
@@ -221,14 +214,15 @@ def er_block_name(s: Standins) -> DataFrame:
 
 @query
 def er_candidates(s: Standins) -> DataFrame:
-    return matching.scored_candidates(s.records, s.registry).select("rec_id", "match_method", "company_number")
+    return matching.scored_candidates(s.records, s.registry).select("rec_id", "match_method", "company_number",
+                                                                    "score_floor")
 
 
 @query
 def er_match_score(s: Standins) -> DataFrame:
     return matching.scored_candidates(s.records, s.registry).select(
         "rec_id", "match_method", "company_number", F.round("match_score", 6).alias("match_score"),
-        F.round("full_score", 6).alias("full_score"))
+        F.round("full_score", 6).alias("full_score"), "score_floor")
 
 
 @query
@@ -239,7 +233,7 @@ def er_ambiguous(s: Standins) -> DataFrame:
 @query
 def er_confidence(s: Standins) -> DataFrame:
     return matching.scored_candidates(s.records, s.registry).select(
-        "rec_id", "match_method", "company_number", "confidence")
+        "rec_id", "match_method", "company_number", "confidence", "score_floor")
 
 
 @query
@@ -258,11 +252,10 @@ def er_trader_scope(s: Standins) -> DataFrame:
 
 @query
 def er_precision_recall(s: Standins) -> DataFrame:
-    """Vendor matches judged by their stated numbers; vendors in debt have none."""
+    """Vendor matches of the resolver judged by the rule that made the vendors, which it does not see."""
+    i = F.col("s_suppkey")
     truth = s.given("supplier").select(
-        F.col("s_suppkey").alias("rec_id"),
-        F.when(F.col("s_acctbal") > 3000, F.lpad(F.floor(F.col("s_suppkey") / 3).cast("string"), 8, "0"))
-        .alias("true_company_number"))
+        i.alias("rec_id"), F.when(i % 10 != 9, F.lpad((i * 7 + 3).cast("string"), 8, "0")).alias("true_company_number"))
     return matching.evaluate(truth, s.supplier_company)
 
 
@@ -390,10 +383,6 @@ def contract_cardinality(s: Standins) -> DataFrame:
 
 # ---- exposure --------------------------------------------------------------------------------------------------
 
-def _weights(s: Standins) -> DataFrame:
-    return ex.spend_weights(s.po, s.vendor_home)
-
-
 @query
 def exposure_event_risk(s: Standins) -> DataFrame:
     return ex.event_risk(s.risk_event, s.event_country)
@@ -401,28 +390,30 @@ def exposure_event_risk(s: Standins) -> DataFrame:
 
 @query
 def spend_weights(s: Standins) -> DataFrame:
-    return _weights(s).select("vendor_id", "cn8_code", "country_iso3", "spend", "w")
+    return s.weights.select("vendor_id", "cn8_code", "country_iso3", "spend", "w")
 
 
 @query
 def inferred_commodity_risk(s: Standins) -> DataFrame:
-    return ex.inferred_for_events(s.import_flow, s.risk_event, s.event_country)
+    """Per footprint, at severity 1."""
+    return ex.inferred_per_footprint(s.flow_at_rest, s.countries)
 
 
 @query
 def exposure_per_line(s: Standins) -> DataFrame:
-    return ex.per_line(_weights(s), s.import_flow, s.ontology["country"]).select(
+    return ex.per_line(s.weights, s.import_flow, s.ontology["country"]).select(
         "vendor_id", "cn8_code", "w", "risk", F.coalesce("via_country", F.lit(-1)).alias("via_country"), "path_type")
 
 
 @query
 def supplier_exposure(s: Standins) -> DataFrame:
-    return s.exposure
+    """Per footprint and severity: events that share both expose the same suppliers alike."""
+    return s.scored
 
 
 @query
 def supplier_exposure_all_risk(s: Standins) -> DataFrame:
-    return ex.all_risk_exposure(_weights(s), s.import_flow, s.ontology["country"])
+    return ex.all_risk_exposure(s.weights, s.import_flow, s.ontology["country"])
 
 
 @query
@@ -432,7 +423,7 @@ def priority(s: Standins) -> DataFrame:
 
 @query
 def event_material_counts(s: Standins) -> DataFrame:
-    return ex.material_counts(s.risk_event, s.exposure)
+    return ex.material_counts(s.risk_event, s.events, s.scored)
 
 
 # ---- graph -----------------------------------------------------------------------------------------------------
@@ -465,27 +456,27 @@ def graph_step(s: Standins) -> DataFrame:
 
 @query
 def graph_event_impact(s: Standins) -> DataFrame:
-    t = s.ontology
-    n = graph.nodes(t, ["RiskEvent", "ImportFlow", "PurchaseOrderLine"])
-    e = graph.edges(t, ["affects", "flow_of_commodity", "flow_from_country", "po_commodity", "ordered_from",
-                        "located_in"])
-    home = s.vendor_home.filter("is_home").select(graph.node_id("ERPSupplier", F.col("vendor_id")).alias("node_id"))
-    return graph.event_impact(n, e, home)
+    """The walk for the events of the latest hour."""
+    last = s.risk_event.agg(F.max(F.substring("name", -13, 13)).alias("h")).scalar()
+    asked = s.risk_event.filter(F.substring("name", -13, 13) == last)
+    t = ChainMap({"erp_supplier": s.clean_vendors, "import_flow": s.flow_at_rest}, s.ontology)
+    return graph.event_impact(t, s.vendor_home.filter("is_home"), asked)
 
 
 @query
 def explain_path(s: Standins) -> DataFrame:
-    t = {**s.ontology, "erp_supplier": s.clean_vendors}
-    return graph.explain_path(s.exposure, t, F.col("is_home"))
+    """For every supplier that a current event exposes."""
+    t = ChainMap({"erp_supplier": s.clean_vendors}, s.ontology)
+    return graph.explain_path(ex.for_events(s.scored, s.current), t, F.col("is_home"))
 
 
 def _focus(s: Standins) -> DataFrame:
-    """The top supplier of every event."""
-    return views.top_supplier(s.exposure_at_rest)
+    """The pairs that the breakdowns are asked for: every event and its top supplier."""
+    return views.top_supplier(s.suppliers, s.events)
 
 
 def _breakdown(s: Standins) -> DataFrame:
-    return graph.breakdown(_focus(s), s.ontology, _weights(s))
+    return graph.breakdown(_focus(s), s.ontology, s.weights)
 
 
 @query
@@ -496,6 +487,14 @@ def exposure_breakdown(s: Standins) -> DataFrame:
         F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
+@query
+def exposure_breakdown_nested(s: Standins) -> DataFrame:
+    """One row per commodity, its countries as a list."""
+    nested = graph.breakdown_nested(_breakdown(s))
+    return nested.select("event_id", "vendor_id", "cn8_code", "risk", "contribution", F.array_join(F.transform(
+        "countries", lambda c: F.concat_ws("=", c["iso3"].cast("string"), c["country"])), "; ").alias("countries"))
+
+
 @query
 def path_subgraph(s: Standins) -> DataFrame:
     return graph.path_subgraph(_breakdown(s), s.ontology, s.ontology["link_supplier_resolves_to"])
@@ -508,7 +507,10 @@ def graph_counts(s: Standins) -> DataFrame:
 
 @query
 def suppliers_reached(s: Standins) -> DataFrame:
-    return graph.reached(s.po, s.clean_vendors, s.import_flow, s.event_country)
+    """How many each event reaches, counted per footprint."""
+    n = graph.reached(s.po, s.clean_vendors, s.flow_at_rest, s.countries).groupBy("footprint").agg(
+        F.count(F.lit(1)).alias("reached"))
+    return s.events.join(n, "footprint", "left").select("event_id", F.coalesce("reached", F.lit(0)).alias("reached"))
 
 
 # ---- actions ---------------------------------------------------------------------------------------------------
@@ -558,14 +560,14 @@ def override_latest_wins(s: Standins) -> DataFrame:
 @query
 def action_log(s: Standins) -> DataFrame:
     judged, _ = actions.judge_all(s.requests, s.clean_vendors, s.risk_event, s.companies, s.alert)
-    return actions.action_log(judged).select("action", "params", "actor", *text("logged_at"))
+    return actions.action_log(judged).select("request_id", "action", "params", "actor", *text("logged_at"))
 
 
 # ---- views -----------------------------------------------------------------------------------------------------
 
 @query
 def event_list(s: Standins) -> DataFrame:
-    return views.event_list(s.ontology, s.exposure).select(
+    return views.event_list(s.ontology, ex.material_counts(s.risk_event, s.events, s.scored)).select(
         "event_id", "event_type", "name", "alert_level", "severity", *text("start_date", "end_date"), "is_current",
         "countries", "n_countries", "material")
 
@@ -594,19 +596,18 @@ def exposure_table(s: Standins) -> DataFrame:
 
 @query
 def exposure_top_n(s: Standins) -> DataFrame:
-    table = s.exposure_at_rest
-    return (views.top_rows(table).select("event_id", "position", "vendor_id", "priority")
-            .join(views.hidden_counts(table), "event_id"))
+    return (views.top_rows(s.suppliers, s.events).select("event_id", "position", "vendor_id", "priority")
+            .join(views.hidden_counts(s.suppliers, s.events), "event_id"))
 
 
 @query
 def event_kpis(s: Standins) -> DataFrame:
-    return views.event_kpis(s.exposure_table)
+    return views.event_kpis(s.ontology, s.suppliers, s.events)
 
 
 @query
 def default_focus(s: Standins) -> DataFrame:
-    return views.default_focus(s.ontology, s.exposure_table)
+    return views.default_focus(s.ontology, s.suppliers, s.events)
 
 
 @query
@@ -641,11 +642,19 @@ def review_queue(s: Standins) -> DataFrame:
 def health_summary(s: Standins) -> DataFrame:
     """Last 25 log rows."""
     judged, _ = actions.judge_all(s.requests, s.clean_vendors, s.risk_event, s.companies, s.alert)
-    return views.recent_log(actions.action_log(judged)).select("action", "params", "actor", *text("logged_at"))
+    return views.recent_log(actions.action_log(judged)).select("request_id", "action", "params", "actor", *text("logged_at"))
+
+
+@query
+def health_report(s: Standins) -> DataFrame:
+    """Checks, quality metrics and the last log rows."""
+    judged, _ = actions.judge_all(s.requests, s.clean_vendors, s.risk_event, s.companies, s.alert)
+    return views.health(s.ontology, actions.action_log(judged), contract.validate(s.ontology),
+                        build.data_quality_report(s.ontology))
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    """Every event x every supplier it exposes, over the smallest tables."""
+    """Every footprint and severity x every supplier it exposes, over the smallest tables."""
     return QUERIES["supplier_exposure"](spark, "/root/testdata/sf0.001")
 
 

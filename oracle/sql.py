@@ -41,6 +41,10 @@ def regno(x: str) -> str:
             f"ELSE nullif(upper(trim({x})), '') END")
 
 
+def letters(k: str) -> str:
+    return f"substr(translate(md5(({k})::VARCHAR), '0123456789abcdef', 'ABCDEFGHIJKLMNOP'), 1, 10)"
+
+
 def lcs(a: str, b: str) -> str:
     """Length of the longest common subsequence of two short non-empty strings: bit-parallel in 128-bit integers."""
     full = f"((1::HUGEINT << length({a})) - 1)"
@@ -128,10 +132,21 @@ T: dict[str, str] = {
         JOIN (SELECT cn8_code, sum({money('value_gbp')})::BIGINT AS tot FROM imp GROUP BY 1) t USING (cn8_code)
         WHERE b.v > 0 AND b.cn8_code IN (SELECT cn8_code FROM com)""",
     # vendors and purchases
-    "vendor": """SELECT s_suppkey AS vendor_id, s_name AS vendor_name, n_name AS postcode, n_name AS country,
-        s_nationkey AS country_iso3, lpad(s_suppkey::VARCHAR, 8, '0') AS stated_company_number,
+    "vendor": f"""SELECT vendor_id, vendor_name, {norm_name('vendor_name')} AS name_norm, postcode, country, country_iso3,
+        {regno('number')} AS stated_company_number, is_home, s_acctbal FROM (
+        SELECT s_suppkey AS vendor_id, CASE WHEN s_suppkey % 10 = 9 THEN 'Stray ' || {letters('s_suppkey + 1000000')} || ' GmbH'
+            WHEN s_suppkey % 4 = 0 THEN 'The ' || substr(l, 1, 4) || substr(l, 6) || ' ' || seg || ' Limited'
+            WHEN s_suppkey % 4 = 1 THEN substr(l, 1, 7) || substr(l, 9) || ' ' || seg || ' Ltd'
+            WHEN s_suppkey % 4 = 2 THEN l || ' ' || seg || ' ltd' ELSE reverse(l) || ' ' || seg || ' Ltd' END AS vendor_name,
+        CASE WHEN s_suppkey % 4 IN (1, 3) THEN lower(zip) WHEN s_suppkey % 4 = 0 THEN n_name END AS postcode,
+        n_name AS country, s_nationkey AS country_iso3,
+        CASE WHEN s_suppkey % 10 = 9 THEN (s_suppkey * 7 + 4)::VARCHAR WHEN s_suppkey % 4 = 0
+            THEN (s_suppkey * 7 + 3)::VARCHAR ELSE '' END AS number,
         coalesce(n_regionkey = 0, false) AS is_home, s_acctbal
-        FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey""",
+        FROM (SELECT s.*, {letters('s_suppkey * 7 + 3')} AS l, coalesce(lower(c_mktsegment), 'none') AS seg, c.zip
+              FROM supplier s LEFT JOIN (SELECT c_custkey, c_mktsegment, n_name || ' ' || (c_custkey % 97) AS zip
+                  FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey) c ON c.c_custkey = s_suppkey * 7 + 3)
+        LEFT JOIN nation ON n_nationkey = s_nationkey)""",
     "buy": f"""SELECT l_suppkey AS vendor_id, l_partkey AS cn8_code, {AMOUNT} AS amount_gbp,
         {CURRENCY} AS original_currency FROM lineitem""",
     "po": "SELECT * FROM buy WHERE cn8_code IN (SELECT cn8_code FROM com)",
@@ -148,9 +163,10 @@ T: dict[str, str] = {
         FROM (SELECT vendor_id, units, percent_rank() OVER (ORDER BY units) AS pr FROM spend) r
         LEFT JOIN crit_over o USING (vendor_id)""",
     # companies
-    "comp": """SELECT lpad(c_custkey::VARCHAR, 8, '0') AS company_number, c_name AS name,
+    "comp": f"""SELECT lpad(c_custkey::VARCHAR, 8, '0') AS company_number,
+        {letters('c_custkey')} || ' ' || lower(c_mktsegment) || ' ltd' AS name,
         CASE WHEN c_mktsegment = 'BUILDING' THEN 'Liquidation' WHEN c_mktsegment <> 'FURNITURE' THEN 'Active' END
-        AS status, c_mktsegment AS category, n_name AS postcode, CAST(first AS DATE) + 1461 AS incorporated_on,
+        AS status, c_mktsegment AS category, n_name || ' ' || (c_custkey % 97) AS postcode, CAST(first AS DATE) + 1461 AS incorporated_on,
         CAST(last AS DATE) + 60 AS accounts_next_due, CAST(last AS DATE) + 30 AS confstmt_next_due,
         c_mktsegment AS sic_codes, urgent AS mortgages_outstanding
         FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, min(o_orderdate) AS first, max(o_orderdate) AS last,
@@ -168,15 +184,24 @@ T: dict[str, str] = {
               coalesce(mortgages_outstanding > 0, false) AS ch FROM comp)""",
     "trader_codes": """SELECT DISTINCT o_custkey AS trader_id, l_partkey AS cn8_code
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
-    "trader_comp": """SELECT c_custkey AS rec_id, lpad(c_custkey::VARCHAR, 8, '0') AS company_number,
-        c_acctbal < 6000 AS needs_review FROM customer WHERE c_acctbal > 5000""",
+    "creg": f"""SELECT company_number, name_norm, {core_of('name_norm')} AS name_core,
+        {norm_postcode('postcode')} AS postcode_norm, status FROM (SELECT company_number, {norm_name('name')} AS name_norm,
+        postcode, coalesce(status, '') AS status FROM comp)""",
+    "vrec": f"""SELECT vendor_id AS rec_id, name_norm, {core_of('name_norm')} AS name_core,
+        {norm_postcode('postcode')} AS postcode_norm, stated_company_number AS stated FROM vendor""",
+    "trec": f"""SELECT rec_id, name_norm, {core_of('name_norm')} AS name_core, {norm_postcode('postcode')} AS postcode_norm,
+        NULL::VARCHAR AS stated FROM (SELECT company_number::BIGINT AS rec_id, {norm_name(
+            "CASE WHEN company_number::BIGINT % 2 = 0 THEN name ELSE substr(name, 1, 7) || substr(name, 9) END")}
+        AS name_norm, postcode FROM comp)""",
+    "trader_comp": """SELECT rec_id, company_number, confidence < 0.90 AS needs_review FROM t_scored WHERE confidence >= 0.75
+        QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY confidence DESC, match_score DESC, full_score DESC,
+            is_active DESC, company_number, match_method) = 1""",
     "imports_link": """SELECT DISTINCT r.company_number, t.cn8_code FROM trader_comp r
         JOIN trader_codes t ON t.trader_id = r.rec_id WHERE t.cn8_code IN (SELECT cn8_code FROM com)""",
-    "machine": f"""SELECT *, confidence < 0.90 AS needs_review FROM (
-        SELECT *, {confidence('match_method', 'match_score')} AS confidence FROM (
-        SELECT s_suppkey AS rec_id, lpad((s_suppkey // 2)::VARCHAR, 8, '0') AS company_number,
-        CASE WHEN s_acctbal >= 6000 THEN 'registration_number' WHEN s_acctbal >= 2000 THEN 'postcode_name' END
-        AS match_method, (floor(s_acctbal / 400) + 70)::DOUBLE AS match_score FROM supplier)) WHERE confidence >= 0.75""",
+    "machine": """SELECT rec_id, company_number, match_method, match_score, confidence, confidence < 0.90 AS needs_review
+        FROM v_scored WHERE confidence >= 0.75
+        QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY confidence DESC, match_score DESC, full_score DESC,
+            is_active DESC, company_number, match_method) = 1""",
     # actions
     "req": f"""SELECT lpad(event_id::VARCHAR, 12, '0') AS request_id,
         CASE event_type WHEN 'click' THEN 'raise_alert' WHEN 'view' THEN 'update_alert_status'
@@ -222,6 +247,16 @@ T: dict[str, str] = {
         FROM raise_q q LEFT JOIN (SELECT vendor_id, event_id, arg_min(request_id, (requested_at, request_id)) AS first_id
             FROM raise_q WHERE vk AND ek AND ok AND open_id IS NULL GROUP BY 1, 2) f
         ON f.vendor_id = q.vendor_id AND f.event_id = q.event_id""",
+    "raise_qc": """SELECT q.* EXCLUDE (open_id), CASE WHEN count(a.alert_id) > 0 THEN 'open' END AS open_id
+        FROM raise_q q LEFT JOIN (SELECT a.*, c.requested_at AS end_at, c.request_id AS end_id FROM alert a
+            LEFT JOIN closing c USING (alert_id) WHERE a.status <> 'closed') a
+        ON a.vendor_id = q.vendor_id AND a.event_id = q.event_id
+        AND (a.end_at IS NULL OR (q.requested_at, q.request_id) <= (a.end_at, a.end_id))
+        GROUP BY ALL""",
+    "raise_jc": """SELECT q.*, f.first_id, vk AND ek AND ok AND open_id IS NULL AND f.first_id = request_id AS accepted
+        FROM raise_qc q LEFT JOIN (SELECT vendor_id, event_id, arg_min(request_id, (requested_at, request_id)) AS first_id
+            FROM raise_qc WHERE vk AND ek AND ok AND open_id IS NULL GROUP BY 1, 2) f
+        ON f.vendor_id = q.vendor_id AND f.event_id = q.event_id""",
     "decisions": """SELECT vendor_id, company_number, 'confirm' AS decision, actor, requested_at, request_id
         FROM confirm_j WHERE reason IS NULL
         UNION ALL SELECT vendor_id, company_number, 'reject', actor, requested_at, request_id
@@ -232,18 +267,21 @@ T: dict[str, str] = {
         WHERE reason IS NULL
         QUALIFY row_number() OVER (PARTITION BY vendor_id ORDER BY requested_at DESC, request_id DESC) = 1""",
     # status changes: numbered requests folded one by one
-    "upd": """SELECT request_id, alert_id, status AS to_status, note, actor, requested_at,
-        row_number() OVER (PARTITION BY alert_id ORDER BY requested_at, request_id) AS k
-        FROM req WHERE action = 'update_alert_status'""",
+    "upd": """SELECT *, row_number() OVER (PARTITION BY alert_id, known ORDER BY requested_at, request_id) AS k
+        FROM (SELECT q.request_id, q.alert_id, q.status AS to_status, q.note, q.actor, q.requested_at,
+              a.alert_id IS NOT NULL AND q.requested_at >= a.created_at AS known
+              FROM req q LEFT JOIN alert a ON a.alert_id = q.alert_id WHERE q.action = 'update_alert_status')""",
+    "closing": """SELECT f.alert_id, f.requested_at, f.request_id FROM fold f
+        WHERE f.to_status = 'closed' AND legal(f.s, f.to_status, f.note)""",
     "fold": """SELECT u.request_id, u.alert_id, u.to_status, u.note, u.actor, u.requested_at, u.k, a.status AS s, a.note AS n,
-        a.updated_at AS at FROM upd u JOIN alert a USING (alert_id) WHERE u.k = 1
+        a.updated_at AS at FROM upd u JOIN alert a USING (alert_id) WHERE u.k = 1 AND u.known
         UNION ALL
         SELECT u.request_id, u.alert_id, u.to_status, u.note, u.actor, u.requested_at, u.k,
         CASE WHEN legal(f.s, f.to_status, f.note) THEN f.to_status ELSE f.s END,
         CASE WHEN legal(f.s, f.to_status, f.note) THEN noted(f.n, f.requested_at, f.actor, f.to_status, f.note)
              ELSE f.n END,
         CASE WHEN legal(f.s, f.to_status, f.note) THEN f.requested_at ELSE f.at END
-        FROM fold f JOIN upd u ON u.alert_id = f.alert_id AND u.k = f.k + 1""",
+        FROM fold f JOIN upd u ON u.alert_id = f.alert_id AND u.k = f.k + 1 AND u.known""",
     # ontology
     "resolves": """SELECT vendor_id, coalesce(o.company_number, m.company_number) AS company_number,
         CASE WHEN o.decision IS NOT NULL THEN 'human_' || o.decision ELSE m.match_method END AS match_method,
@@ -287,6 +325,8 @@ T: dict[str, str] = {
         FROM (SELECT vendor_id, country_iso3, arg_min(cn8_code, (-w, cn8_code)) AS cn8_code FROM wt
               WHERE NOT is_home AND tot <> 0 GROUP BY 1, 2) d
         JOIN evrisk a ON a.iso3 = d.country_iso3 WHERE a.risk > 0""",
+    "fp": "SELECT event_id, md5(string_agg(iso3::VARCHAR, ',' ORDER BY iso3)) AS footprint FROM aff GROUP BY 1",
+    "now": "SELECT event_id FROM ev WHERE is_current",
     "allcom": f"""SELECT f.cn8_code, sum({share('f.share_of_uk_imports * c.country_risk')})::BIGINT AS u,
         arg_min(f.iso3, (-(f.share_of_uk_imports * c.country_risk), f.iso3)) AS top_country
         FROM flow f JOIN cty c USING (iso3) GROUP BY 1""",
@@ -365,10 +405,6 @@ T: dict[str, str] = {
     "by_number": """SELECT r.rec_id, c.company_number, r.name_core AS rec_core, c.name_core AS cand_core,
         r.name_norm AS rec_full, c.name_norm AS cand_full, (c.status = 'Active')::INT AS is_active
         FROM rec r JOIN reg c ON c.company_number = r.stated""",
-    "near_number": r"""SELECT * FROM by_number WHERE 200 * least(length(rec_core), length(cand_core)) >= 70 *
-        (length(rec_core) + length(cand_core)) OR 200 * least(length(regexp_replace(rec_core, ' +', ' ', 'g')),
-        length(regexp_replace(cand_core, ' +', ' ', 'g'))) >= 70 * (length(regexp_replace(rec_core, ' +', ' ', 'g')) +
-        length(regexp_replace(cand_core, ' +', ' ', 'g')))""",
     "by_postcode": f"""SELECT r.rec_id, c.company_number, p.score AS match_score,
         {ratio('r.name_norm', 'c.name_norm')} AS full_score, (c.status = 'Active')::INT AS is_active
         FROM rec r JOIN pairs p ON p.postcode_norm = r.postcode_norm AND p.rec_core = r.name_core
@@ -418,23 +454,25 @@ REGIME = ("CASE WHEN c_mktsegment = 'BUILDING' THEN 'The Global Human Rights San
           "ELSE 'The ' || n_name || ' (Sanctions) (EU Exit) Regulations' END")
 LEVEL4 = band("value", (100, "Red"), (50, "Orange"), (10, "Green"), low="White")
 LEVEL4V = LEVEL4.replace("value", "v")
-VENDOR_NAME = "'the ' || s_name || ' Trading Co & Sons Ltd'"
-VENDOR_NO = "CASE WHEN s_acctbal < 1000 THEN 'sc' || s_suppkey ELSE s_suppkey::VARCHAR END"
 SCORED = f"""SELECT rec_id, match_method, company_number, match_score, full_score,
+    CASE WHEN match_method = 'postcode_name' THEN 80.0::DOUBLE ELSE 0.0::DOUBLE END AS score_floor,
     {confidence('match_method', 'match_score')} AS confidence, is_active FROM (
     SELECT rec_id, 'registration_number' AS match_method, company_number, is_active,
         CASE WHEN rec_core = '' OR cand_core = '' THEN 0.0::DOUBLE WHEN rec_core = cand_core THEN 100.0::DOUBLE ELSE
         greatest({ratio('cand_core', 'rec_core')}, {ratio(tokens('cand_core'), tokens('rec_core'))}) END AS match_score,
         CASE WHEN rec_full = '' OR cand_full = '' THEN 0.0::DOUBLE ELSE {ratio('cand_full', 'rec_full')} END AS full_score
-    FROM near_number
+    FROM by_number
     UNION ALL SELECT r.rec_id, 'exact_name', u.company_number, u.is_active,
         CASE WHEN r.name_core = '' THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END, 100.0::DOUBLE
     FROM rec r JOIN uniq u USING (name_norm) WHERE u.n_exact = 1
-    UNION ALL SELECT rec_id, 'postcode_name', company_number, is_active, match_score, full_score FROM (
-        SELECT *, {confidence("'postcode_name'", 'match_score')} AS c FROM by_postcode)
-    QUALIFY row_number() OVER (PARTITION BY rec_id
-        ORDER BY c DESC, match_score DESC, full_score DESC, is_active DESC, company_number) = 1)"""
+    UNION ALL SELECT rec_id, 'postcode_name', company_number, is_active, match_score, full_score FROM by_postcode)"""
 T["scored"] = SCORED
+# The same rules for vendors and for importers against the company register.
+_MATCHING = ("pairs0", "pairs", "uniq", "by_number", "by_postcode", "scored")
+for _p, _records in (("v_", "vrec"), ("t_", "trec")):
+    _new = {**{n: _p + n for n in _MATCHING}, "rec": _records, "reg": "creg"}
+    for _n in _MATCHING:
+        T[_p + _n] = re.sub(r"\b(FROM|JOIN)(\s+)(\w+)\b", lambda m: f"{m[1]}{m[2]}{_new.get(m[3], m[3])}", T[_n])
 
 KEYS = [("Company", "company", "company_number"), ("Commodity", "com", "cn8_code"), ("Country", "cty", "iso3"),
         ("ImportFlow", "flow", "flow_id"), ("RiskEvent", "ev", "event_id"), ("ERPSupplier", "vendor", "vendor_id"),
@@ -478,23 +516,23 @@ def _checks() -> str:
     return " UNION ALL ".join(parts)
 
 
-_LOG = """SELECT 'raise_alert' AS action, '{"alert_id":"ALT-' || upper(substr(md5(request_id), 1, 16)) || '","vendor_id":'
+_LOG = """SELECT request_id, 'raise_alert' AS action, '{"alert_id":"ALT-' || upper(substr(md5(request_id), 1, 16)) || '","vendor_id":'
     || vendor_id || ',"event_id":"' || event_id || '","owner":"' || owner || '","note":' ||
     coalesce('"' || note || '"', 'null') || '}' AS params, actor, strftime(requested_at, '%Y-%m-%d %H:%M:%S') AS logged_at
-    FROM raise_j WHERE reason IS NULL
-    UNION ALL SELECT 'update_alert_status', '{"alert_id":"' || alert_id || '","from":"' || s || '","to":"' || to_status
+    FROM raise_jc WHERE accepted
+    UNION ALL SELECT f.request_id, 'update_alert_status', '{"alert_id":"' || alert_id || '","from":"' || s || '","to":"' || to_status
     || '","note":' || coalesce('"' || note || '"', 'null') || '}', actor, strftime(requested_at, '%Y-%m-%d %H:%M:%S')
     FROM fold f WHERE legal(f.s, f.to_status, f.note)
-    UNION ALL SELECT 'confirm_match', '{"vendor_id":' || vendor_id || ',"company_number":"' || company_number || '"}',
+    UNION ALL SELECT request_id, 'confirm_match', '{"vendor_id":' || vendor_id || ',"company_number":"' || company_number || '"}',
     actor, strftime(requested_at, '%Y-%m-%d %H:%M:%S') FROM confirm_j WHERE reason IS NULL
-    UNION ALL SELECT 'reject_match', '{"vendor_id":' || vendor_id || '}', actor,
+    UNION ALL SELECT request_id, 'reject_match', '{"vendor_id":' || vendor_id || '}', actor,
     strftime(requested_at, '%Y-%m-%d %H:%M:%S') FROM reject_j WHERE reason IS NULL
-    UNION ALL SELECT 'set_criticality', '{"vendor_id":' || vendor_id || ',"criticality":"' || criticality || '"}', actor,
+    UNION ALL SELECT request_id, 'set_criticality', '{"vendor_id":' || vendor_id || ',"criticality":"' || criticality || '"}', actor,
     strftime(requested_at, '%Y-%m-%d %H:%M:%S') FROM crit_j WHERE reason IS NULL"""
 T["log"] = _LOG
 
 _JUDGE = "request_id, vendor_id, reason IS NULL AS accepted, reason"
-_MOVE = ("CASE WHEN a.alert_id IS NULL THEN 'Unknown alert ' || u.alert_id WHEN NOT ({move}) THEN 'Cannot move ' || f.s "
+_MOVE = ("CASE WHEN NOT u.known THEN 'Unknown alert ' || u.alert_id WHEN NOT ({move}) THEN 'Cannot move ' || f.s "
          "|| ' -> ' || u.to_status || '. Allowed: ' || CASE f.s WHEN 'open' THEN 'acknowledged, closed' "
          "WHEN 'acknowledged' THEN 'closed, mitigating' WHEN 'mitigating' THEN 'closed' ELSE 'none (closed)' END "
          "WHEN u.to_status = 'closed' AND trim(coalesce(u.note, '')) = '' "
@@ -528,7 +566,7 @@ _DQ = [("traders_in_scope", "SELECT count(DISTINCT trader_id) FROM trader_codes"
        ("traders_needing_review", "SELECT count(*) FROM trader_comp WHERE needs_review"),
        ("trader_codes_unknown", "SELECT count(DISTINCT t.cn8_code) FROM trader_codes t "
                                 "WHERE t.cn8_code NOT IN (SELECT cn8_code FROM com)"),
-       ("import_value_without_country", f"SELECT round(coalesce(sum({money('value_gbp')}), 0)::BIGINT / 1e4) FROM imp "
+       ("import_value_without_country", f"SELECT round(coalesce(sum({money('value_gbp')}), 0)::DOUBLE / 1e4) FROM imp "
                                         f"WHERE iso3 IS NULL"),
        ("vendors", "SELECT count(*) FROM vendor"),
        ("vendors_resolved", "SELECT count(company_number) FROM resolves"),
@@ -588,9 +626,8 @@ QUESTIONS: dict[str, str] = {
         '/report/' || reading AS url
         FROM features QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY position) = 1""",
     "event_country_links": "SELECT DISTINCT event_id, nation AS iso3 FROM features WHERE v >= 5",
-    "vendor_clean": f"""SELECT s_suppkey AS vendor_id, {norm_name(VENDOR_NAME)} AS name_norm,
-        {core_of(norm_name(VENDOR_NAME))} AS name_core, {norm_postcode("'wa' || s_nationkey || ' 2dt '")} AS postcode_norm,
-        {regno(VENDOR_NO)} AS stated_company_number FROM supplier""",
+    "vendor_clean": """SELECT rec_id AS vendor_id, name_norm, name_core, postcode_norm, stated AS stated_company_number
+        FROM vrec""",
     "po_line_clean": """SELECT po_line_id, vendor_id, cn8_code, item_description, amount_gbp, original_currency,
         order_date::VARCHAR AS order_date FROM poid""",
     "trailing12_rollup": """SELECT cn8_code AS commodity_id, coalesce(iso3, -1) AS country_id, value_gbp, period_start,
@@ -602,10 +639,10 @@ QUESTIONS: dict[str, str] = {
     "er_block_name": """SELECT r.rec_id, CASE WHEN u.n_exact = 1 THEN u.company_number END AS company_number, u.n_exact
         FROM rec r JOIN uniq u USING (name_norm)""",
     "er_ambiguous": "SELECT r.rec_id, u.n_exact FROM rec r JOIN uniq u USING (name_norm) WHERE u.n_exact > 1",
-    "er_candidates": "SELECT rec_id, match_method, company_number FROM scored",
+    "er_candidates": "SELECT rec_id, match_method, company_number, score_floor FROM scored",
     "er_match_score": """SELECT rec_id, match_method, company_number, round(match_score, 6) AS match_score,
-        round(full_score, 6) AS full_score FROM scored""",
-    "er_confidence": "SELECT rec_id, match_method, company_number, confidence FROM scored",
+        round(full_score, 6) AS full_score, score_floor FROM scored""",
+    "er_confidence": "SELECT rec_id, match_method, company_number, confidence, score_floor FROM scored",
     "er_best_match": """SELECT rec_id, company_number, match_method, round(match_score, 6) AS match_score, confidence,
         confidence < 0.90 AS needs_review FROM scored WHERE confidence >= 0.75
         QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY confidence DESC, match_score DESC, full_score DESC,
@@ -617,8 +654,8 @@ QUESTIONS: dict[str, str] = {
         round(count(*) FILTER (WHERE p = t) / greatest(count(p), 1), 3) AS "precision",
         round(count(*) FILTER (WHERE p = t) / greatest(count(t), 1), 3) AS recall,
         count(*) FILTER (WHERE p IS NOT NULL AND t IS NULL) AS false_matches_without_truth
-        FROM (SELECT m.company_number AS p, CASE WHEN s_acctbal > 3000 THEN lpad((s_suppkey // 3)::VARCHAR, 8, '0') END
-              AS t FROM supplier LEFT JOIN machine m ON m.rec_id = s_suppkey)""",
+        FROM (SELECT m.company_number AS p, CASE WHEN s_suppkey % 10 <> 9 THEN lpad((s_suppkey * 7 + 3)::VARCHAR, 8, '0')
+              END AS t FROM supplier LEFT JOIN machine m ON m.rec_id = s_suppkey)""",
     "er_unambiguous_pool": """SELECT r.rec_id, min(c.company_number) AS company_number FROM rec r JOIN reg c
         ON c.name_norm = r.name_norm AND c.postcode_norm = r.postcode_norm WHERE c.status = 'Active'
         GROUP BY r.rec_id HAVING count(*) = 1""",
@@ -658,16 +695,18 @@ QUESTIONS: dict[str, str] = {
     # exposure
     "exposure_event_risk": "SELECT event_id, iso3, risk FROM evrisk",
     "spend_weights": "SELECT vendor_id, cn8_code, country_iso3, spend, w FROM wt",
-    "inferred_commodity_risk": "SELECT event_id, cn8_code, sev * (u / 1e12) AS risk, top_country FROM evcom",
+    "inferred_commodity_risk": """SELECT DISTINCT footprint, cn8_code, u / 1e12 AS risk, top_country
+        FROM evcom JOIN fp USING (event_id)""",
     "exposure_per_line": """SELECT vendor_id, cn8_code, w, risk, coalesce(via_country, -1) AS via_country, path_type
         FROM line""",
-    "supplier_exposure": "SELECT * FROM expo",
+    "supplier_exposure": """SELECT DISTINCT footprint, e.severity, vendor_id, exposure_score, driver_commodity,
+        driver_country, path_type FROM expo JOIN fp USING (event_id) JOIN ev e USING (event_id)""",
     "supplier_exposure_all_risk": f"""SELECT vendor_id, least(1.0::DOUBLE, sum(part)::BIGINT / 1e12) AS exposure_score,
         arg_min(cn8_code, (-part, cn8_code)) AS driver_commodity,
         arg_min(via_country, (-part, cn8_code)) FILTER (WHERE via_country IS NOT NULL) AS driver_country,
         max(path_type) AS path_type
         FROM (SELECT *, {share('w * risk')} AS part FROM line) GROUP BY 1""",
-    "priority": "SELECT event_id, vendor_id, priority FROM prio",
+    "priority": "SELECT event_id, vendor_id, priority FROM prio WHERE event_id IN (SELECT event_id FROM now)",
     "event_material_counts": """SELECT e.event_id, count(x.vendor_id) AS reached,
         count(*) FILTER (WHERE x.exposure_score >= 0.1::DOUBLE) AS material FROM ev e LEFT JOIN expo x USING (event_id)
         GROUP BY 1""",
@@ -676,8 +715,8 @@ QUESTIONS: dict[str, str] = {
     "graph_edges": "SELECT * FROM edge",
     "graph_step": """SELECT 'RiskEvent:' || a.event_id AS event, 'Country:' || a.iso3 AS country,
         'ERPSupplier:' || v.vendor_id AS supplier FROM aff a JOIN vendor v ON v.country_iso3 = a.iso3""",
-    "graph_event_impact": """SELECT event_id, vendor_id::VARCHAR AS vendor_id, exposure_score,
-        driver_commodity::VARCHAR AS driver_commodity, driver_country::VARCHAR AS driver_country, path_type FROM expo""",
+    "graph_event_impact": """SELECT x.* FROM expo x JOIN ev e USING (event_id)
+        WHERE right(e.name, 13) = (SELECT max(right(name, 13)) FROM ev)""",
     "explain_path": """SELECT x.event_id, x.vendor_id, concat_ws(' > ', e.name || ' (' || e.alert_level || ')',
         'affects ' || c.name, CASE WHEN v.is_home THEN 'which supplies ' ||
         CAST(floor(coalesce(f.share_of_uk_imports, 0) * 100 + 0.5) AS BIGINT) || '% of UK imports of ' ||
@@ -685,22 +724,27 @@ QUESTIONS: dict[str, str] = {
         ELSE 'where ' || v.vendor_name || ' is located (direct supplier)' END) AS path
         FROM expo x JOIN ev e USING (event_id) JOIN vendor v USING (vendor_id) LEFT JOIN cty c ON c.iso3 = x.driver_country
         LEFT JOIN com m ON m.cn8_code = x.driver_commodity
-        LEFT JOIN flow f ON f.cn8_code = x.driver_commodity AND f.iso3 = x.driver_country""",
+        LEFT JOIN flow f ON f.cn8_code = x.driver_commodity AND f.iso3 = x.driver_country
+        WHERE x.event_id IN (SELECT event_id FROM now)""",
     "exposure_breakdown": """SELECT event_id, vendor_id, cn8_code, description, spend, weight, po_lines, risk, contribution,
         coalesce(iso3, -1) AS iso3, coalesce(country, '') AS country, coalesce(share, 0.0::DOUBLE) AS share FROM bd""",
+    "exposure_breakdown_nested": """SELECT event_id, vendor_id, cn8_code, risk, contribution,
+        coalesce(string_agg(iso3 || '=' || country, '; ' ORDER BY share DESC, iso3), '') AS countries FROM bd
+        GROUP BY 1, 2, 3, 4, 5""",
     "path_subgraph": SUBGRAPH,
     "graph_counts": """SELECT 'node' AS kind, object_type AS type, count(*) AS n FROM node GROUP BY 2
         UNION ALL SELECT 'edge', link_type, count(*) FROM edge GROUP BY 2""",
-    "suppliers_reached": """SELECT DISTINCT event_id, vendor_id FROM (
+    "suppliers_reached": """SELECT f.event_id, count(DISTINCT vendor_id) AS reached FROM fp f LEFT JOIN (
         SELECT a.event_id, p.vendor_id FROM (SELECT DISTINCT p.vendor_id, f.iso3 FROM po p JOIN flow f USING (cn8_code)) p
         JOIN aff a USING (iso3)
-        UNION ALL SELECT a.event_id, v.vendor_id FROM aff a JOIN vendor v ON v.country_iso3 = a.iso3)""",
+        UNION ALL SELECT a.event_id, v.vendor_id FROM aff a JOIN vendor v ON v.country_iso3 = a.iso3) USING (event_id)
+        GROUP BY 1""",
     # actions
     "action_raise_alert": f"""SELECT {_JUDGE}, event_id,
         CASE WHEN reason IS NULL THEN 'ALT-' || upper(substr(md5(request_id), 1, 16)) END AS alert_id FROM raise_j""",
     "action_alert_transitions": f"""SELECT u.request_id, u.alert_id, f.s AS "from", u.to_status AS "to",
         ({_MOVE}) IS NULL AS accepted, {_MOVE} AS reason
-        FROM upd u LEFT JOIN alert a USING (alert_id) LEFT JOIN fold f ON f.request_id = u.request_id""",
+        FROM upd u LEFT JOIN fold f ON f.request_id = u.request_id""",
     "alert_after_updates": """SELECT a.alert_id, coalesce(x.s, a.status) AS status, coalesce(x.n, a.note) AS note,
         strftime(coalesce(x.at, a.updated_at), '%Y-%m-%d %H:%M:%S') AS updated_at FROM alert a LEFT JOIN (
         SELECT f.alert_id, CASE WHEN legal(f.s, f.to_status, f.note) THEN f.to_status ELSE f.s END AS s,
@@ -726,7 +770,7 @@ QUESTIONS: dict[str, str] = {
         coalesce(company_name, '') AS company_name, coalesce(company_status, '') AS company_status,
         coalesce(fragility_score, -1.0::DOUBLE) AS fragility_score, coalesce(fragility_reasons, '') AS fragility_reasons,
         coalesce(alert_id, '') AS alert_id, coalesce(alert_status, '') AS alert_status, priority, hs4_description,
-        driver_country_name FROM prio""",
+        driver_country_name FROM prio WHERE event_id IN (SELECT event_id FROM now)""",
     "exposure_top_n": """SELECT t.event_id, t.position, t.vendor_id, t.priority, h.hidden FROM (
         SELECT event_id, vendor_id, priority, row_number() OVER (PARTITION BY event_id
             ORDER BY priority DESC, vendor_name, vendor_id) AS position FROM prio WHERE exposure_score >= 0.1::DOUBLE
@@ -734,7 +778,7 @@ QUESTIONS: dict[str, str] = {
         FROM prio GROUP BY 1) h USING (event_id)""",
     "event_kpis": """SELECT event_id, count(*) AS reached, count(*) FILTER (WHERE m) AS material,
         count(*) FILTER (WHERE m AND criticality = 'high') AS high_material,
-        coalesce(sum(CAST(floor(spend_12m_gbp * exposure_score * 1e4 + 0.5) AS BIGINT)) FILTER (WHERE m), 0)::BIGINT / 1e4
+        coalesce(sum(CAST(floor(spend_12m_gbp * exposure_score * 1e4 + 0.5) AS BIGINT)) FILTER (WHERE m), 0)::DOUBLE / 1e4
         AS weighted_spend,
         count(*) FILTER (WHERE m AND alert_status IN ('open', 'acknowledged', 'mitigating')) AS in_flight
         FROM (SELECT *, exposure_score >= 0.1::DOUBLE AS m FROM prio) GROUP BY 1""",
@@ -758,7 +802,14 @@ QUESTIONS: dict[str, str] = {
         c.name AS company_name, c.postcode AS company_postcode, r.match_method, r.match_score, r.confidence
         FROM resolves r JOIN vendor v USING (vendor_id) LEFT JOIN company c ON c.company_number = r.company_number
         WHERE r.needs_review""",
-    "health_summary": "SELECT * FROM log ORDER BY logged_at DESC, action, params LIMIT 25",
+    "health_report": f"""SELECT 'check' AS section, "check" AS name,
+        CASE WHEN detail = '' THEN passed::VARCHAR || ': ' ELSE passed::VARCHAR || ': ' || detail END AS value
+        FROM ({_checks()})
+        UNION ALL SELECT 'metric', metric, value::BIGINT::VARCHAR FROM ({' UNION ALL '.join(
+            f"SELECT '{m}' AS metric, CAST(({q}) AS DOUBLE) AS value" for m, q in _DQ)})
+        UNION ALL SELECT 'log', request_id, action FROM (SELECT * FROM log
+            ORDER BY logged_at DESC, action, params, request_id LIMIT 25)""",
+    "health_summary": "SELECT * FROM log ORDER BY logged_at DESC, action, params, request_id LIMIT 25",
 }
 
 ORACLES = {name: with_tables(sql) for name, sql in QUESTIONS.items()}

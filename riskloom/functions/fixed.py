@@ -70,3 +70,27 @@ ALERT_TRANSITIONS = {
 
 # Fixed value: the country whose suppliers inherit the national sourcing mix.
 HOME_COUNTRY = "GBR"
+
+# White space that is cut off both ends of what people type.
+WHITE_SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+# The steps that make company names comparable, in order (pattern, replacement).
+NAME_STEPS = (
+    ("&", " AND "),
+    ("[^A-Z0-9 ]", " "),
+    (r"\bLTD\b", "LIMITED"),
+    (r"\bCO\b", "COMPANY"),
+    ("^THE ", ""),
+    (" +", " "),
+)
+
+# Words that state the legal form, and the pattern of a misspelt LIMITED at the end.
+LEGAL_FORMS = ("LIMITED", "PLC", "LLP", "LP", "INCORPORATED", "INC", "CORPORATION", "CORP", "GMBH")
+MISSPELT_FORM = r"\bL[IMTED]{4,7}$"
+
+# Fixed value: the subject of a sanctions regime in its title.
+REGIME_SUBJECT = r"^(?:The )?(.+?) \(Sanctions\)"
+
+# Industry codes in the company file, and the word for none.
+SIC_CODE = "^[0-9]{5} - "
+NO_SIC_CODE = "^None Supplied$"

@@ -18,32 +18,26 @@ def _upper(c: Column) -> Column:
     return F.upper(F.translate(c, EXPANDING, " " * len(EXPANDING)))
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, f"^[{fixed.WHITE_SPACE}]+|[{fixed.WHITE_SPACE}]+$", "")
+
+
 def norm_name(c: Column) -> Column:
     """Company name in comparable form. The order of the steps is part of the meaning."""
-    steps = (
-        ("&", " AND "),
-        ("[^A-Z0-9 ]", " "),
-        (r"\bLTD\b", "LIMITED"),
-        (r"\bCO\b", "COMPANY"),
-        ("^THE ", ""),
-        (" +", " "),
-    )
-    return F.trim(reduce(lambda acc, s: F.regexp_replace(acc, F.lit(s[0]), F.lit(s[1])), steps, _upper(c)))
+    return F.trim(reduce(lambda acc, s: F.regexp_replace(acc, F.lit(s[0]), F.lit(s[1])), fixed.NAME_STEPS, _upper(c)))
 
 
 def norm_postcode(c: Column) -> Column:
     return F.nullif(F.regexp_replace(_upper(c), "[^A-Z0-9]", ""), F.lit(""))
 
 
-# Words that state the legal form and never tell two companies apart.
-LEGAL_FORMS = ("LIMITED", "PLC", "LLP", "LP", "INCORPORATED", "INC", "CORPORATION", "CORP", "GMBH")
+FORM_WORDS = rf"\b({'|'.join(fixed.LEGAL_FORMS)})\b"
 
 
 def core_of(normalised: Column) -> Column:
-    """name_core of a name that is already normalised."""
-    bare = F.regexp_replace(normalised, rf"\b({'|'.join(LEGAL_FORMS)})\b", "")
-    # A trailing misspelt LIMITED (LIMTED, LMITED ...) goes too.
-    return F.trim(F.regexp_replace(bare, r"\bL[IMTED]{4,7}$", ""))
+    """name_core of a name that is already normalised: without legal form, also a misspelt one at the end."""
+    return F.trim(F.regexp_replace(F.regexp_replace(normalised, FORM_WORDS, ""), fixed.MISSPELT_FORM, ""))
 
 
 def name_core(c: Column) -> Column:
@@ -57,7 +51,7 @@ def surrogate_key(name: Column, postcode: Column) -> Column:
 
 def regno(c: Column) -> Column:
     """All digits: restore leading zeros to eight places. Else trimmed upper case, blank as null."""
-    return F.when(c.rlike("^[0-9]+$"), F.lpad(c, 8, "0")).otherwise(F.nullif(F.upper(F.trim(c)), F.lit("")))
+    return F.when(c.rlike("^[0-9]+$"), F.lpad(c, 8, "0")).otherwise(F.nullif(F.upper(strip(c)), F.lit("")))
 
 
 def fx_rate(currency: Column) -> Column:
@@ -74,8 +68,8 @@ def lookup(c: Column, mapping: dict) -> Column:
 
 
 def day_month_year(c: Column) -> Column:
-    """dd/mm/yyyy, null when blank or impossible."""
-    return F.try_to_date(F.nullif(c, F.lit("")), "dd/MM/yyyy")
+    """Day, month and year with slashes, leading zeros or not; null when blank or impossible."""
+    return F.try_to_date(F.nullif(c, F.lit("")), "d/M/yyyy")
 
 
 def day_mon_yy(c: Column) -> Column:
@@ -96,7 +90,7 @@ def in_scope(cn8: Column, chapters=fixed.CHAPTERS) -> Column:
 
 def regime_subject(regime: Column) -> Column:
     """'The Russia (Sanctions) (EU Exit) Regulations 2019' -> 'Russia'; thematic regimes -> null."""
-    return F.nullif(F.regexp_extract(regime, r"^(?:The )?(.+?) \(Sanctions\)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(regime, fixed.REGIME_SUBJECT, 1), F.lit(""))
 
 
 def month_label(yyyymm: Column) -> Column:
@@ -105,7 +99,7 @@ def month_label(yyyymm: Column) -> Column:
 
 def company_number_input(c: Column) -> Column:
     """A number typed by a person: trim, upper, pad digits to eight but never cut."""
-    t = F.upper(F.trim(F.coalesce(c, F.lit(""))))
+    t = F.upper(strip(F.coalesce(c, F.lit(""))))
     return F.when(t.rlike("^[0-9]+$") & (F.length(t) < 8), F.lpad(t, 8, "0")).otherwise(t)
 
 
@@ -122,14 +116,20 @@ def sum_units(c: Column, scale: float) -> Column:
     return F.sum(units(c, scale))
 
 
+def total_units(c: Column) -> Column:
+    """Sum of whole units over any number of rows: a decimal, which a total over everything cannot overflow."""
+    return F.coalesce(F.sum(c.cast("decimal(28,0)")), F.lit(0).cast("decimal(38,0)"))
+
+
 def register_sql(spark: SparkSession) -> None:
-    """The three name rules as SQL functions, for people who write SQL."""
-    name_steps = "upper(translate(coalesce(s, ''), '{0}', '{1}'))".format(EXPANDING, " " * len(EXPANDING))
-    for pat, to in (("&", " AND "), ("[^A-Z0-9 ]", " "), (r"\\bLTD\\b", "LIMITED"), (r"\\bCO\\b", "COMPANY"),
-                    ("^THE ", ""), (" +", " ")):
-        name_steps = f"regexp_replace({name_steps}, '{pat}', '{to}')"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION norm_name(s STRING) RETURNS STRING RETURN trim({name_steps})")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION norm_postcode(s STRING) RETURNS STRING RETURN "
-              "nullif(regexp_replace(upper(coalesce(s, '')), '[^A-Z0-9]', ''), '')")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION name_core(s STRING) RETURNS STRING RETURN trim(regexp_replace("
-              rf"regexp_replace(norm_name(s), '\\b({'|'.join(LEGAL_FORMS)})\\b', ''), '\\bL[IMTED]{{4,7}}$', ''))")
+    """The three name rules as SQL functions, for people who write SQL. Built from the same steps as the columns."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    upper = f"upper(translate(coalesce(s, ''), {quoted(EXPANDING)}, {quoted(' ' * len(EXPANDING))}))"
+    replaced = lambda x, pattern, to: f"regexp_replace({x}, {quoted(pattern)}, {quoted(to)})"
+    steps = {
+        "norm_name": f"trim({reduce(lambda acc, step: replaced(acc, *step), fixed.NAME_STEPS, upper)})",
+        "norm_postcode": f"nullif({replaced(upper, '[^A-Z0-9]', '')}, '')",
+        "name_core": f"trim({replaced(replaced('norm_name(s)', FORM_WORDS, ''), fixed.MISSPELT_FORM, '')})",
+    }
+    for name, body in steps.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(s STRING) RETURNS STRING RETURN {body}")

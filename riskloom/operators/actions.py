@@ -1,17 +1,19 @@
 """User actions as validated batches: requests x current state -> accepted and rejected rows with a reason.
 
 Requests: request_id, action, vendor_id, event_id, alert_id, status, company_number, criticality, owner, note, actor,
-requested_at. State is the fold of what was accepted; nothing is updated in place. Within one batch raises are judged
-before status changes, and requests of one key in the order (requested_at, request_id).
+requested_at. State is the fold of what was accepted; nothing is updated in place. Within one batch requests count in
+the order (requested_at, request_id).
 """
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions import fixed
-from riskloom.functions.normalize import company_number_input
+from riskloom.functions.normalize import company_number_input, strip
+from riskloom.operators.spread import at_rest
 
 ALERT_ID_HEX = 16  # eight hex digits would collide from some ten thousand alerts on
 
@@ -23,7 +25,7 @@ def _order() -> Column:
 
 
 def _blank(c: str) -> Column:
-    return F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    return strip(F.coalesce(F.col(c), F.lit(""))) == ""
 
 
 def _exists(requests: DataFrame, known: DataFrame, key: str, flag: str) -> DataFrame:
@@ -50,17 +52,32 @@ def alert_id(request_id: Column) -> Column:
     return F.concat(F.lit("ALT-"), F.upper(F.substring(F.md5(request_id.cast("string")), 1, ALERT_ID_HEX)))
 
 
-def raise_alert(requests: DataFrame, suppliers: DataFrame, events: DataFrame, alerts: DataFrame) -> DataFrame:
+def raise_alert(requests: DataFrame, suppliers: DataFrame, events: DataFrame, alerts: DataFrame,
+                closings: DataFrame | None = None) -> DataFrame:
     """Every raise_alert request with accepted, reason and alert_id.
 
-    Rules in order: supplier known, event known, owner given, no alert that is not closed for (supplier, event) -
-    neither before the batch nor from an earlier valid request in it.
+    Rules in order: supplier known, event known, owner given, no alert that is not closed for (supplier, event) when
+    the request comes - neither from before the batch nor from an earlier valid request in it.
+    closings: alert_id, requested_at, request_id of the moves in this batch that closed an alert.
     """
     r = requests.filter(F.col("action") == "raise_alert").drop("alert_id")
     r = _exists(_exists(r, suppliers, "vendor_id", "_v"), events, "event_id", "_e")
     pair = ["vendor_id", "event_id"]
-    live = (alerts.filter(F.col("status") != "closed").groupBy(*pair).agg(F.min("alert_id").alias("_open")))
+    live = alerts.filter(F.col("status") != "closed").select(*pair, "alert_id")
+    never = F.lit(True)
+    if closings is not None:
+        ended = closings.select("alert_id", F.struct(*ORDER).alias("_end"))
+        live, never = live.join(ended, "alert_id", "left"), F.col("_end").isNull()
+        last = F.when(F.count_if(never) == 0, F.max("_end"))
+    else:
+        last = F.lit(None).cast("struct<requested_at:timestamp,request_id:string>")
+    live = live.groupBy(*pair).agg(F.coalesce(F.min(F.when(never, F.col("alert_id"))), F.min("alert_id"))
+                                   .alias("_open"), last.alias("_free_from"))
     r = r.join(live, pair, "left")
+    # Closed by then: the pair is free again.
+    if closings is not None:
+        r = r.withColumn("_open", F.when(~F.coalesce(_order() > F.col("_free_from"), F.lit(False)), F.col("_open")))
+    r = r.drop("_free_from")
     valid = F.col("_v") & F.col("_e") & ~_blank("owner") & F.col("_open").isNull()
     # First valid request per pair: an aggregate, so a pair with very many requests is combined before the shuffle.
     first = (r.filter(valid).groupBy(*pair).agg(F.min(_order()).alias("_first"))
@@ -81,9 +98,9 @@ def raise_alert(requests: DataFrame, suppliers: DataFrame, events: DataFrame, al
 def new_alerts(judged: DataFrame) -> DataFrame:
     """Rows for the alert table from accepted raise_alert requests."""
     return judged.filter("accepted").select(
-        "alert_id", "vendor_id", "event_id", F.lit("open").alias("status"), F.trim("owner").alias("owner"),
+        "alert_id", "vendor_id", "event_id", F.lit("open").alias("status"), strip(F.col("owner")).alias("owner"),
         F.coalesce("note", F.lit("")).alias("note"), F.col("requested_at").alias("created_at"),
-        F.col("requested_at").alias("updated_at"))
+        F.col("requested_at").alias("updated_at"), F.col("request_id").cast("string").alias("raised_by"))
 
 
 def _may_move(current: Column, to: Column) -> Column:
@@ -99,27 +116,38 @@ def _allowed(current: Column) -> Column:
     return out
 
 
-# A status only moves forward, so an alert accepts at most this many changes.
-LONGEST_CHAIN = 3
+def longest_chain(moves: Mapping[str, Sequence[str]]) -> int:
+    """How often an alert can move at most: the longest path through the table of legal moves."""
+    def from_(status: str, seen: tuple[str, ...]) -> int:
+        if status in seen:
+            raise ValueError(f"statuses must not return: {status}")
+        return max((1 + from_(to, (*seen, status)) for to in moves.get(status, ())), default=0)
+
+    return max((from_(s, ()) for s in moves), default=0)
+
+
+LONGEST_CHAIN = longest_chain(fixed.ALERT_TRANSITIONS)
 
 
 def update_alert_status(requests: DataFrame, alerts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(judged requests, alerts after the batch).
 
-    An alert can move at most three times, so the batch is folded in three rounds. Each round finds, per alert, the
-    first request after its last move that is legal from its status - an aggregate with map-side combine, however
-    many requests one alert has. A request is then judged by the status the alert had when it came.
+    The batch is folded in as many rounds as an alert can move (a status never returns). Each round finds, per alert,
+    the first request after its last move that is legal from its status - an aggregate with map-side combine, however
+    many requests one alert has. A request is then judged by the status the alert had when it came; one that came
+    before the alert was created knows no alert.
     """
     r = requests.filter(F.col("action") == "update_alert_status").select(
         "request_id", "alert_id", F.col("status").alias("to"), "note", "actor", "requested_at")
     at_type = dict(requests.dtypes)["requested_at"]
     closing_ok = (F.col("to") != "closed") | ~_blank("note")
-    state = alerts.select("alert_id", F.col("status").alias("from"),
-                          F.lit(None).cast(f"struct<requested_at:{at_type},request_id:string>").alias("at"))
+    raised_by = F.col("raised_by") if "raised_by" in alerts.columns else F.lit("")
+    born = F.struct(F.col("created_at").cast(at_type).alias("requested_at"), raised_by.alias("request_id"))
+    state = alerts.select("alert_id", F.col("status").alias("from"), born.alias("at"))
     r = r.withColumn("request_id", F.col("request_id").cast("string"))
     moves = []
     for n in range(LONGEST_CHAIN):
-        later = F.col("at").isNull() | (_order() > F.col("at"))
+        later = _order() > F.col("at")
         move = (r.join(state, "alert_id").filter(later & _may_move(F.col("from"), F.col("to")) & closing_ok)
                 .groupBy("alert_id").agg(F.min_by(F.struct("from", "to", "note", "actor", *ORDER), _order())
                                          .alias("m")))
@@ -128,20 +156,21 @@ def update_alert_status(requests: DataFrame, alerts: DataFrame) -> tuple[DataFra
         state = move.select("alert_id", F.col("m.to").alias("from"),
                             F.struct(F.col("m.requested_at"), F.col("m.request_id")).alias("at"))
 
-    base = alerts.select("alert_id", F.col("status").alias("s0"), F.lit(True).alias("known"))
+    base = alerts.select("alert_id", F.col("status").alias("s0"), born.alias("born"))
     for n, move in enumerate(moves, 1):
         base = base.join(move.withColumnRenamed("m", f"m{n}"), "alert_id", "left")
 
     judged = r.join(base, "alert_id", "left")
     # Status when the request came: that of the last move before it.
-    current = F.col("s0")
+    known = F.coalesce(_order() > F.col("born"), F.lit(False))
+    current = F.when(known, F.col("s0"))
     for n in range(1, LONGEST_CHAIN + 1):
         m = F.col(f"m{n}")
         before = m.isNotNull() & (_order() > F.struct(m["requested_at"], m["request_id"]))
         current = F.when(before, m["to"]).otherwise(current)
     judged = judged.withColumn("from", current)
     judged = _judged(
-        judged, (F.col("known"), F.concat(F.lit("Unknown alert "), F.coalesce("alert_id", F.lit("None")))),
+        judged, (known, F.concat(F.lit("Unknown alert "), F.coalesce("alert_id", F.lit("None")))),
         (_may_move(F.col("from"), F.col("to")), F.concat(
             F.lit("Cannot move "), F.col("from"), F.lit(" -> "), F.coalesce("to", F.lit("None")),
             F.lit(". Allowed: "), _allowed(F.col("from")))),
@@ -158,7 +187,7 @@ def update_alert_status(requests: DataFrame, alerts: DataFrame) -> tuple[DataFra
     updated = F.coalesce(*[m["requested_at"] for m in reversed(ms)], F.col("updated_at"))
     note = F.nullif(F.concat_ws("\n", F.nullif("note", F.lit("")), *[F.when(m.isNotNull(), line(m)) for m in ms]),
                     F.lit(""))
-    after = alerts.join(base.drop("s0", "known"), "alert_id", "left").select(
+    after = alerts.join(base.drop("s0", "born"), "alert_id", "left").select(
         "alert_id", "vendor_id", "event_id", status.alias("status"), "owner",
         F.coalesce(note, F.col("note")).alias("note"), "created_at", updated.alias("updated_at"))
     return judged, after
@@ -224,24 +253,66 @@ LOGGED = {
 
 
 def action_log(judged: dict[str, DataFrame]) -> DataFrame:
-    """(action, params, actor, logged_at) of the accepted requests; params as JSON."""
+    """(request_id, action, params, actor, logged_at) of the accepted requests; params as JSON."""
     parts = [df.filter("accepted").select(
-        F.lit(action).alias("action"), F.to_json(F.struct(*LOGGED[action]), {"ignoreNullFields": "false"})
+        F.col("request_id").cast("string").alias("request_id"), F.lit(action).alias("action"),
+        F.to_json(F.struct(*LOGGED[action]), {"ignoreNullFields": "false"})
         .alias("params"), "actor", F.col("requested_at").alias("logged_at"))
         for action, df in judged.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _closings(moved: DataFrame) -> DataFrame:
+    return moved.filter(F.col("accepted") & (F.col("to") == "closed")).select("alert_id", *ORDER)
+
+
 def judge_all(requests: DataFrame, suppliers: DataFrame, events: DataFrame, companies: DataFrame,
               alerts: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Every request of a batch against current state: (judged per action, alert table after the batch)."""
-    raised = raise_alert(requests, suppliers, events, alerts)
+    """Every request of a batch against current state: (judged per action, alert table after the batch).
+
+    Raises and status changes of a (supplier, event) count in time order: an alert that a change closes frees its pair
+    for a later raise, and a change knows an alert from its raise on. An alert raised in this batch can be closed in
+    it and raised again; such rounds go on while a pair that was freed has later raises, and each one judges only
+    those. Requests are compared by (requested_at, request_id).
+    """
     cols = ["alert_id", "vendor_id", "event_id", "status", "owner", "note", "created_at", "updated_at"]
-    moved, after = update_alert_status(requests, alerts.select(*cols).unionByName(new_alerts(raised).select(*cols)))
+    changes = requests.filter(F.col("action") == "update_alert_status")
+    moved, after = update_alert_status(changes, alerts.select(*cols))
+    moved = at_rest(moved, "moved")  # read by the raises, by the next rounds and by the caller
+    raised = at_rest(raise_alert(requests, suppliers, events, alerts, _closings(moved)), "raised")
+    new = new_alerts(raised)
+
+    def change_new() -> tuple[DataFrame, DataFrame]:
+        """Changes that name an alert of this batch, and the alerts after them."""
+        of_new = changes.join(new.select("alert_id"), "alert_id", "left_semi")
+        judged, state = update_alert_status(of_new, new)
+        return at_rest(judged, "moved"), state
+
+    moved_new, after_new = change_new()
+    all_raised, all_moved, all_after = raised, moved_new, after_new
+    closed = _closings(moved_new)
+    while not closed.isEmpty():
+        # Raises that only the alert closed just now stood against.
+        ends = new.join(closed.select("alert_id", F.struct(*ORDER).alias("_end")), "alert_id").select(
+            "vendor_id", "event_id", "_end")
+        pair = ["vendor_id", "event_id"]
+        again = requests.filter(F.col("action") == "raise_alert").join(ends, pair).filter(
+            _order() > F.col("_end")).drop("_end")
+        if again.isEmpty():
+            break
+        raised = at_rest(raise_alert(again, suppliers, events, alerts.limit(0)), "raised")
+        new = new_alerts(raised)
+        moved_new, after_new = change_new()
+        closed = _closings(moved_new)
+        all_raised = all_raised.join(again.select("request_id"), "request_id", "left_anti").unionByName(
+            raised.select(*all_raised.columns))
+        all_moved, all_after = all_moved.unionByName(moved_new), all_after.unionByName(after_new)
+    moved = moved.join(all_moved.select("request_id"), "request_id", "left_anti").unionByName(
+        all_moved.select(*moved.columns))
     return {
-        "raise_alert": raised,
+        "raise_alert": all_raised,
         "update_alert_status": moved,
         "confirm_match": confirm_match(requests, suppliers, companies),
         "reject_match": reject_match(requests, suppliers),
         "set_criticality": set_criticality(requests, suppliers),
-    }, after
+    }, after.select(*cols).unionByName(all_after.select(*cols))

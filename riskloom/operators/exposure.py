@@ -2,8 +2,9 @@
 
 Home suppliers inherit the national sourcing mix (event -> country -> import flow -> commodity -> purchase), the
 others carry the risk of their own country. All events are scored in one plan. Events that hit the same set of
-countries differ only by severity, so each distinct set (a footprint) is walked once with risk 1 and the result is
-scaled. Purchases are reduced to (supplier, commodity) before they meet any event.
+countries (a footprint) with the same severity expose the same suppliers alike, so results are kept per footprint,
+severity and supplier; `for_events` expands them for the events somebody asks for, and counts need no expansion.
+Purchases are reduced to (supplier, commodity) before they meet any event.
 
 Sums are taken in fixed point (1e-4 for money, 1e-12 for shares): independent of order, retries and partitioning.
 """
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions import fixed
 from riskloom.functions.normalize import MONEY, SHARE, sum_units, units
-from riskloom.operators.spread import spread_join
+from riskloom.operators.spread import at_rest, spread_join
 
 
 def top_by(value: str, weight: Column, tie: str | None = None) -> Column:
@@ -61,18 +62,22 @@ def event_risk(risk_event: DataFrame, affects: DataFrame) -> DataFrame:
             .join(risk_event.select("event_id", F.col("severity").alias("risk")), "event_id"))
 
 
-def footprints(risk_event: DataFrame, affects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(event_id, severity, footprint) and the distinct (footprint, iso3).
+def footprints(affects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(event_id, footprint) and the distinct (footprint, iso3).
 
     The set collected per event is at most the list of countries.
     """
-    sets = (event_risk(risk_event, affects).filter(F.col("risk") > 0).groupBy("event_id")
-            .agg(F.first("risk").alias("severity"), F.sort_array(F.collect_set("iso3")).alias("isos"))
+    sets = (affects.groupBy("event_id").agg(F.sort_array(F.collect_set("iso3")).alias("isos"))
             .withColumn("footprint", F.md5(F.concat_ws(",", F.col("isos").cast("array<string>")))))
-    events = sets.select("event_id", "severity", "footprint")
     countries = (sets.groupBy("footprint").agg(F.min("isos").alias("isos"))
                  .select("footprint", F.explode("isos").alias("iso3")))
-    return events, countries
+    return sets.select("event_id", "footprint"), countries
+
+
+def for_events(per_footprint: DataFrame, events: DataFrame) -> DataFrame:
+    """Rows per (footprint, severity) as rows per event. events: event_id, footprint, severity."""
+    return per_footprint.join(events.select("event_id", "footprint", "severity"), ["footprint", "severity"]).drop(
+        "footprint", "severity")
 
 
 def commodity_risk(import_flow: DataFrame, risk: DataFrame, scenario: str) -> DataFrame:
@@ -87,13 +92,10 @@ def commodity_risk(import_flow: DataFrame, risk: DataFrame, scenario: str) -> Da
                                                  top_by("iso3", part).alias("top_country"))
 
 
-def inferred_for_events(import_flow: DataFrame, risk_event: DataFrame, affects: DataFrame) -> DataFrame:
-    """(event_id, cn8_code, risk, top_country) for every event."""
-    events, countries = footprints(risk_event, affects)
+def inferred_per_footprint(import_flow: DataFrame, countries: DataFrame) -> DataFrame:
+    """(footprint, cn8_code, risk, top_country) at severity 1; an event scales it by its own."""
     unit = commodity_risk(import_flow, countries.withColumn("risk", F.lit(1.0)), "footprint")
-    return unit.join(events, "footprint").select(
-        "event_id", "cn8_code", (F.col("severity") * (F.col("risk_units") / F.lit(SHARE))).alias("risk"),
-        "top_country")
+    return unit.select("footprint", "cn8_code", (F.col("risk_units") / F.lit(SHARE)).alias("risk"), "top_country")
 
 
 # ---- exposure ------------------------------------------------------------------------------------------------
@@ -108,8 +110,9 @@ def inherited_exposure(lines: DataFrame, flows: DataFrame, hits: DataFrame, scen
     below the best single-country share of the supplier among the countries hit cannot. That bound is checked inside
     the join, so the product of events and purchases is never shuffled or sorted.
     """
-    sourced = (lines.join(flows, "cn8_code")
-               .select("vendor_id", "cn8_code", "iso3", "share", units(F.col("w") * F.col("share"), SHARE).alias("part")))
+    # Read three times below.
+    sourced = at_rest(lines.join(flows, "cn8_code").select(
+        "vendor_id", "cn8_code", "iso3", "share", units(F.col("w") * F.col("share"), SHARE).alias("part")), "sourced")
     by_country = sourced.groupBy("vendor_id", "iso3").agg(F.sum("part").alias("part"), F.max("part").alias("top"))
     unit = (spread_join(by_country, hits.select(scenario, "iso3"), ["iso3"], spread_by=["vendor_id"])
             .groupBy(scenario, "vendor_id").agg(F.sum("part").alias("units"), F.max("top").alias("at_least"))
@@ -144,13 +147,15 @@ def footprint_exposure(weights: DataFrame, import_flow: DataFrame, countries: Da
     return inferred.unionByName(direct)
 
 
-def supplier_exposure(po_line: DataFrame, suppliers: DataFrame, import_flow: DataFrame, risk_event: DataFrame,
-                      affects: DataFrame) -> DataFrame:
-    """Every event x every supplier it exposes (score above 0)."""
-    events, countries = footprints(risk_event, affects)
-    unit = footprint_exposure(spend_weights(po_line, suppliers), import_flow, countries)
-    return (unit.join(events, "footprint")
-            .select("event_id", "vendor_id",
+def supplier_exposure(weights: DataFrame, import_flow: DataFrame, events: DataFrame, countries: DataFrame) -> DataFrame:
+    """(footprint, severity, vendor_id) with a score above 0, main commodity and country, path type.
+
+    events: event_id, footprint, severity. countries: footprint, iso3.
+    """
+    unit = footprint_exposure(weights, import_flow, countries)
+    kinds = events.select("footprint", "severity").distinct()
+    return (unit.join(kinds, "footprint")
+            .select("footprint", "severity", "vendor_id",
                     F.least(F.lit(1.0), F.col("severity") * F.col("unit")).alias("exposure_score"),
                     "driver_commodity", "driver_country", "path_type")
             .filter(F.col("exposure_score") > 0))
@@ -192,8 +197,9 @@ def priority(exposure: Column, criticality: Column, fragility: Column) -> Column
     return exposure * weight * (F.lit(1.0) + known) / F.lit(2.0)
 
 
-def material_counts(risk_event: DataFrame, exposure: DataFrame, threshold: float = 0.10) -> DataFrame:
+def material_counts(risk_event: DataFrame, events: DataFrame, scored: DataFrame, threshold: float = 0.10) -> DataFrame:
     """Per event: suppliers reached and suppliers at or above the threshold; 0 where none."""
-    n = exposure.groupBy("event_id").agg(F.count(F.lit(1)).alias("reached"),
-                                         F.count_if(F.col("exposure_score") >= F.lit(threshold)).alias("material"))
-    return risk_event.select("event_id").join(n, "event_id", "left").na.fill(0, ["reached", "material"])
+    n = scored.groupBy("footprint", "severity").agg(
+        F.count(F.lit(1)).alias("reached"), F.count_if(F.col("exposure_score") >= F.lit(threshold)).alias("material"))
+    return risk_event.select("event_id").join(for_events(n, events), "event_id", "left").na.fill(
+        0, ["reached", "material"])

@@ -6,8 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from riskloom.functions.normalize import MONEY, SHARE, sum_units, units
-from riskloom.operators.exposure import inherited_exposure
+from riskloom.functions.normalize import SHARE, units
 from riskloom.operators.spread import spread_join
 from riskloom.plans.spec import LINKS, OBJECTS
 
@@ -58,71 +57,55 @@ def step(frontier: DataFrame, edge: DataFrame, link_type: str, node: str, reache
     return frontier.join(hop, node)
 
 
-def _property(node: DataFrame, object_type: str, **wanted: str) -> DataFrame:
-    """node id and typed properties read back from a node table: name="column type"."""
-    ddl = ", ".join(wanted.values())
-    return node.filter(F.col("object_type") == object_type).select(
-        "node_id", F.from_json("properties", ddl).alias("p")).select(
-        "node_id", *[F.col(f"p.{spec.split()[0]}").alias(alias) for alias, spec in wanted.items()])
+def event_impact(t: Tables, home: DataFrame, asked: DataFrame) -> DataFrame:
+    """Suppliers that each asked event touches, by walking typed edges from the event, summing at every step.
 
-
-def event_impact(node: DataFrame, edge: DataFrame, home: DataFrame) -> DataFrame:
-    """Suppliers each event touches, by walking edges only. Agrees with the relational exposure.
-
-    inferred: event -affects-> country <-flow_from_country- flow -flow_of_commodity-> commodity
-              <-po_commodity- purchase line -ordered_from-> supplier
-    direct:   event -affects-> country <-located_in- supplier
-    home: node_id of home-country suppliers.
+    A home supplier is reached against the purchases: over the countries hit, the flows that come from them, their
+    commodities and the lines that buy those. Any other supplier is reached where it is located. Shares no scoring
+    code with the relational exposure, which it must equal.
+    asked: event_id. home: vendor_id of home-country suppliers.
     """
-    events = _property(node, "RiskEvent", severity="severity double").filter(F.col("severity") > 0)
-    hit = step(events.withColumnRenamed("node_id", "event"), edge, "affects", "event", "country")
-
-    # Flows carry their commodity and share before they meet the events of their country.
-    flow = step(step(_property(node, "ImportFlow", share="share_of_uk_imports double")
-                     .withColumnRenamed("node_id", "flow"), edge, "flow_of_commodity", "flow", "commodity"),
-                edge, "flow_from_country", "flow", "country")
-    # What we buy, per (supplier, commodity), read off the purchase-line edges once.
-    bought = (step(step(_property(node, "PurchaseOrderLine", amount="amount_gbp double")
-                        .withColumnRenamed("node_id", "line"), edge, "po_commodity", "line", "commodity"),
-                   edge, "ordered_from", "line", "vendor")
-              .groupBy("vendor", "commodity").agg(F.coalesce(sum_units(F.col("amount"), MONEY), F.lit(0).cast("bigint")).alias("spend")))
-    total = bought.groupBy("vendor").agg(F.sum("spend").alias("total"))
-    weight = (bought.join(total, "vendor")
-              .withColumn("w", F.coalesce(F.try_divide(F.col("spend").cast("double"), F.col("total").cast("double")),
-                                          F.lit(0.0))))
-    at_home = home.select(F.col("node_id").alias("vendor"))
-
-    lines = weight.join(at_home, "vendor", "left_semi").select(
-        F.col("vendor").alias("vendor_id"), F.col("commodity").alias("cn8_code"), "w")
-    inferred = (inherited_exposure(
-        lines, flow.select(F.col("commodity").alias("cn8_code"), F.col("country").alias("iso3"), "share"),
-        hit.select("event", F.col("country").alias("iso3")), "event")
-        .join(events.withColumnRenamed("node_id", "event"), "event")
-        .select("event", F.col("vendor_id").alias("vendor"), "severity", "unit",
-                F.col("driver_commodity").alias("commodity"), F.col("driver_country").alias("country"),
-                F.lit("inferred").alias("path_type")))
-
-    located = (step(weight.filter(F.col("total") != 0).join(at_home, "vendor", "left_anti")
-                    .groupBy("vendor").agg(F.min_by("commodity", F.struct((-F.col("w")).alias("w"),
-                                                                          key_of(F.col("commodity")).alias("k")))
-                                           .alias("commodity")),
-                    edge, "located_in", "vendor", "country"))
-    direct = (spread_join(located, hit, ["country"], spread_by=["vendor"])
-              .select("event", "vendor", "severity", F.lit(1.0).alias("unit"), "commodity", "country",
-                      F.lit("direct").alias("path_type")))
-    return (inferred.unionByName(direct)
-            .select(key_of(F.col("event")).alias("event_id"), key_of(F.col("vendor")).alias("vendor_id"),
-                    F.least(F.lit(1.0), F.col("severity") * F.col("unit")).alias("exposure_score"),
-                    key_of(F.col("commodity")).alias("driver_commodity"),
-                    key_of(F.col("country")).alias("driver_country"), "path_type")
-            .filter(F.col("exposure_score") > 0))
-
-
-def reached(po: DataFrame, suppliers: DataFrame, import_flow: DataFrame, affects: DataFrame) -> DataFrame:
-    """(event_id, vendor_id) on any path before scoring: located there, or selling a commodity imported from there.
-
-    Both ends are cut down first: countries per commodity and commodities per supplier become countries per
-    supplier, so events meet at most one row per supplier and country.
+    edge = lambda table, a, b, *more: t[table].filter(
+        F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b, *more)
+    event = t["risk_event"].join(asked.select("event_id"), "event_id", "left_semi").filter("severity > 0").select(
+        "event_id", "severity")
+    hit = event.join(edge("link_event_affects", "event_id", "iso3").distinct(), "event_id")
+
+    # Step from the lines to what each supplier buys, before anything else.
+    cents = F.floor(F.col("amount_gbp") * F.lit(1e4) + F.lit(0.5))
+    bought = edge("po_line", "vendor_id", "cn8_code", "amount_gbp").groupBy("vendor_id", "cn8_code").agg(
+        F.coalesce(F.sum(cents.cast("decimal(28,0)")), F.lit(0)).alias("spend"))
+    total = bought.groupBy("vendor_id").agg(F.sum("spend").alias("total"))
+    share = F.coalesce(F.try_divide(F.col("spend").cast("double"), F.col("total").cast("double")), F.lit(0.0))
+    weight = bought.join(total, "vendor_id").select("vendor_id", "cn8_code", "total", share.alias("w"))
+
+    from_hit = hit.join(edge("import_flow", "cn8_code", "iso3", "share_of_uk_imports"), "iso3")
+    lines = weight.join(home.select("vendor_id"), "vendor_id", "left_semi").join(from_hit, "cn8_code")
+    part = F.floor(F.col("w") * F.col("share_of_uk_imports") * F.lit(1e12) + F.lit(0.5))
+    per_commodity = lines.groupBy("event_id", "severity", "vendor_id", "cn8_code").agg(
+        F.sum(part).alias("part"),
+        F.min(F.struct((-F.col("share_of_uk_imports")).alias("s"), "iso3"))["iso3"].alias("iso3"))
+    inferred = per_commodity.groupBy("event_id", "severity", "vendor_id").agg(
+        (F.sum("part") / F.lit(1e12)).alias("unit"),
+        F.min(F.struct((-F.col("part")).alias("p"), "cn8_code", "iso3")).alias("d"), F.lit("inferred").alias("path_type"))
+
+    main = weight.filter("total <> 0").join(home.select("vendor_id"), "vendor_id", "left_anti").groupBy("vendor_id").agg(
+        F.min(F.struct((-F.col("w")).alias("p"), "cn8_code")).alias("m"))
+    located = edge("erp_supplier", "vendor_id", "country_iso3").withColumnRenamed("country_iso3", "iso3")
+    direct = main.join(located, "vendor_id").join(hit, "iso3").select(
+        "event_id", "severity", "vendor_id", F.lit(1.0).alias("unit"),
+        F.struct(F.lit(0).alias("p"), F.col("m.cn8_code").alias("cn8_code"), "iso3").alias("d"),
+        F.lit("direct").alias("path_type"))
+    columns = ["event_id", "vendor_id", F.least(F.lit(1.0), F.col("severity") * F.col("unit")).alias("exposure_score"),
+               F.col("d.cn8_code").alias("driver_commodity"), F.col("d.iso3").alias("driver_country"), "path_type"]
+    return inferred.select(*columns).unionByName(direct.select(*columns)).filter("exposure_score > 0")
+
+
+def reached(po: DataFrame, suppliers: DataFrame, import_flow: DataFrame, countries: DataFrame) -> DataFrame:
+    """(footprint, vendor_id) on any path before scoring: located there, or selling a commodity imported from there.
+
+    Events with one footprint reach the same suppliers. Both ends are cut down first: countries per commodity and
+    commodities per supplier become countries per supplier.
     """
     from_country = import_flow.select("cn8_code", "iso3").distinct()
     buys = po.select("vendor_id", "cn8_code").distinct().join(suppliers.select("vendor_id"), "vendor_id", "left_semi")
@@ -130,8 +113,8 @@ def reached(po: DataFrame, suppliers: DataFrame, import_flow: DataFrame, affects
     located = suppliers.filter(F.col("country_iso3").isNotNull()).select(
         "vendor_id", F.col("country_iso3").alias("iso3"))
     touch = via_flow.union(located).distinct()
-    return (spread_join(touch, affects.select("event_id", "iso3").distinct(), ["iso3"], spread_by=["vendor_id"])
-            .select("event_id", "vendor_id").distinct())
+    return (spread_join(touch, countries.select("footprint", "iso3"), ["iso3"], spread_by=["vendor_id"])
+            .select("footprint", "vendor_id").distinct())
 
 
 # ---- explanation ---------------------------------------------------------------------------------------------

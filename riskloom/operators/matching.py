@@ -12,11 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions import fixed, similarity as sim
-from riskloom.operators.spread import ensure_checkpoint_dir, skew_join
+from riskloom.operators.spread import at_rest, skew_join
 
 # A postcode pair under the lowest postcode rule gets confidence 0, so it need not be generated.
 POSTCODE_SCORE_FLOOR = min(score for method, score, _ in fixed.MATCH_RULES if method == "postcode_name")
-NUMBER_SCORE_FLOOR = min(score for method, score, _ in fixed.MATCH_RULES if method == "registration_number")
 
 
 def _company_side(companies: DataFrame) -> DataFrame:
@@ -74,21 +73,20 @@ def postcode_pairs(records: DataFrame, companies: DataFrame, floor: float = POST
         raise ValueError("the letter-pair bound needs a floor above 66.7")
     usable = F.col("postcode_norm").isNotNull() & (F.col("core") != "")
     spark = records.sparkSession
-    ensure_checkpoint_dir(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     left = records.select("postcode_norm", F.col("name_core").alias("core")).filter(usable).distinct()
     # The distinct names are used several times below: at rest, normalising them is paid once.
-    right = (companies.select("postcode_norm", F.col("name_core").alias("core")).filter(usable).distinct()
-             .repartition(tasks, "postcode_norm", "core").checkpoint())
+    right = at_rest(companies.select("postcode_norm", F.col("name_core").alias("core")).filter(usable).distinct()
+                    .repartition(tasks, "postcode_norm", "core"), "company-names")
 
     # Lengths per postcode rule out names with no possible partner before anything is taken apart. Token sorting
     # collapses inner blanks, so the shorter of the two forms bounds from below.
     squeezed = F.length(F.regexp_replace("core", " +", " "))
     factor = (200.0 - floor) / floor
     band = right.groupBy("postcode_norm").agg(F.max(F.length("core")).alias("_hi"), F.min(squeezed).alias("_lo"))
-    left = (left.join(band, "postcode_norm")
-            .filter((squeezed <= F.col("_hi") * F.lit(factor)) & (F.length("core") * F.lit(factor) >= F.col("_lo")))
-            .drop("_hi", "_lo").repartition(tasks, "postcode_norm", "core").checkpoint())
+    left = at_rest(left.join(band, "postcode_norm")
+                   .filter((squeezed <= F.col("_hi") * F.lit(factor)) & (F.length("core") * F.lit(factor) >= F.col("_lo")))
+                   .drop("_hi", "_lo").repartition(tasks, "postcode_norm", "core"), "record-names")
 
     # At most one row per letter pair of the normalised alphabet (A-Z, 0-9, blank, two end marks): 1,521 rows.
     counts = right.select(F.explode(_bigrams(F.col("core"))).alias("g")).groupBy("g").count().collect()
@@ -109,17 +107,17 @@ def postcode_pairs(records: DataFrame, companies: DataFrame, floor: float = POST
     # Upper bounds of the overlap: what can still follow the pair they meet in, and what the bitmaps have in common.
     possible = F.least(a - F.col("rec_pos") + 1, b - F.col("cand_pos") + 1,
                        a + 1 - _missing("rec", "cand"), b + 1 - _missing("cand", "rec"))
-    # At rest, so that hot (postcode, letter pair) groups can be counted without running the signatures twice.
-    by_token = exploded(left, "rec").checkpoint()
-    met = (skew_join(by_token, exploded(right, "cand"), ["meet"], spread_by=["rec_id"])
+    # At rest, so that (postcode, letter pair) groups are counted without running the signatures twice.
+    by_token, to_token = (at_rest(exploded(df, side), f"{side}-pairs") for df, side in ((left, "rec"), (right, "cand")))
+    met = (skew_join(by_token, to_token, ["meet"], left_by=["rec_id"], right_by=["cand_id"])
            .filter(sim.ratio_can_reach(a, b, floor) & (possible >= needed - F.lit(1e-9)))
            .select("rec_id", "cand_id").distinct())
     # The comparisons stay behind a table at rest; otherwise they are pushed under the distinct.
-    named = (met.join(left.select(name_id.alias("rec_id"), "postcode_norm", F.col("core").alias("rec_core")), "rec_id")
+    named = at_rest(met.join(left.select(name_id.alias("rec_id"), "postcode_norm", F.col("core").alias("rec_core")), "rec_id")
              .join(right.select(name_id.alias("cand_id"), F.col("postcode_norm").alias("_pc"),
                                 F.col("core").alias("cand_core")), "cand_id")
              .filter(F.col("postcode_norm") == F.col("_pc"))
-             .select("postcode_norm", "rec_core", "cand_core").checkpoint())
+             .select("postcode_norm", "rec_core", "cand_core"), "name-pairs")
     # The ratio runs vectorised over a batch of pairs, Jaro-Winkler pair by pair: few are left for the second.
     return (named.withColumn("match_score", sim.match_score("rec_core", "cand_core"))
             .filter(F.col("match_score") >= F.lit(float(floor)))
@@ -163,23 +161,43 @@ def best_by_postcode(records: DataFrame, companies: DataFrame, pairs: DataFrame
                     "is_active"))
 
 
-def scored_candidates(records: DataFrame, companies: DataFrame) -> DataFrame:
-    """Every candidate that can still win, with its evidence: at most one per record and method."""
-    # Lengths rule out most wrong numbers before any name is compared. Token sorting collapses inner blanks.
-    squeezed = lambda c: F.length(F.regexp_replace(c, " +", " "))
-    number = block_number(records, companies).filter(
-        sim.ratio_can_reach(F.length("rec_core"), F.length("cand_core"), NUMBER_SCORE_FLOOR)
-        | sim.ratio_can_reach(squeezed("rec_core"), squeezed("cand_core"), NUMBER_SCORE_FLOOR))
-    by_number = (number.withColumn("match_score", sim.match_score("rec_core", "cand_core"))
+def postcode_candidates(records: DataFrame, companies: DataFrame) -> DataFrame:
+    """Every (record, company) of one postcode whose names reach the lowest postcode rule."""
+    pairs = postcode_pairs(records, companies)
+    company = _company_side(companies).select("postcode_norm", "cand_core", "cand_full", "company_number", "is_active")
+    return (_record_side(records).select("rec_id", "postcode_norm", "rec_core", "rec_full")
+            .join(pairs, ["postcode_norm", "rec_core"]).join(company, ["postcode_norm", "cand_core"])
+            .withColumn("full_score", sim.indel_ratio("rec_full", "cand_full"))
+            .withColumn("match_method", F.lit("postcode_name"))
+            .withColumn("confidence", confidence(F.lit("postcode_name"), F.col("match_score"))))
+
+
+CANDIDATE = ["rec_id", "company_number", "match_method", "match_score", "full_score", "confidence", "is_active"]
+
+
+def _number_and_name(records: DataFrame, companies: DataFrame) -> DataFrame:
+    """Candidates by number, and by names that one company has; at most one of each per record."""
+    by_number = (block_number(records, companies)
+                 .withColumn("match_score", sim.match_score("rec_core", "cand_core"))
                  .withColumn("full_score", sim.indel_ratio("rec_full", "cand_full")))
     # Equal normalised names have equal cores: nothing to compare.
     by_name = (block_name(records, companies).filter(F.col("n_exact") == 1)
                .withColumn("match_score", F.when(F.col("rec_core") == "", 0.0).otherwise(100.0))
                .withColumn("full_score", F.lit(100.0)))
-    cols = ["rec_id", "company_number", "match_method", "match_score", "full_score", "confidence", "is_active"]
-    ruled = [d.withColumn("confidence", confidence(F.col("match_method"), F.col("match_score"))).select(*cols)
+    ruled = [d.withColumn("confidence", confidence(F.col("match_method"), F.col("match_score"))).select(*CANDIDATE)
              for d in (by_number, by_name)]
-    return ruled[0].unionByName(ruled[1]).unionByName(best_by_postcode(records, companies).select(*cols))
+    return ruled[0].unionByName(ruled[1])
+
+
+def scored_candidates(records: DataFrame, companies: DataFrame) -> DataFrame:
+    """Candidates with their evidence and `score_floor`, the score under which a method's pairs are not listed.
+
+    Every candidate by number and by unique name is listed, whatever its score; of the pairs of one postcode those
+    that can be accepted (a pair under the lowest postcode rule has confidence 0).
+    """
+    floor = F.when(F.col("match_method") == "postcode_name", F.lit(float(POSTCODE_SCORE_FLOOR))).otherwise(F.lit(0.0))
+    return (_number_and_name(records, companies)
+            .unionByName(postcode_candidates(records, companies).select(*CANDIDATE)).withColumn("score_floor", floor))
 
 
 def decide(candidates: DataFrame) -> DataFrame:
@@ -190,7 +208,9 @@ def decide(candidates: DataFrame) -> DataFrame:
 
 
 def resolve(records: DataFrame, companies: DataFrame) -> DataFrame:
-    return decide(scored_candidates(records, companies))
+    """Only the best postcode pair of a record's name can win, so the others are not expanded to records."""
+    best = best_by_postcode(records, companies).select(*CANDIDATE)
+    return decide(_number_and_name(records, companies).unionByName(best))
 
 
 def trader_records(traders: DataFrame, trader_commodity: DataFrame) -> DataFrame:

@@ -2,117 +2,80 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder; a temporary one only for a local session that names none."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. A temporary one only where none is named and one local JVM does everything."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not sc.master.startswith("local"):
+    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="riskloom-checkpoint-")
-    sc.setCheckpointDir(named)
+        found = tempfile.mkdtemp(prefix="riskloom-checkpoint-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(found)
+    return sc.getCheckpointDir()
 
 
-def pieces(spark: SparkSession) -> int:
-    """Into how many pieces a single key that held everything would be cut."""
-    return max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def at_rest(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the session's shared folder and read back."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# A key with more rows than this is worth splitting.
-HOT_ROWS = 500_000
+# Rows of one key that meet in one task, from either side of a join.
+BLOCK = 20_000
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> list[Row]:
-    """The keys with more than hot_rows rows, largest first, at most pieces() of them.
+def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_by: Sequence[str], right_by: Sequence[str],
+              block: int = BLOCK) -> DataFrame:
+    """Inner equi-join whose hot keys are cut on both sides: a grid of tasks, each with `block` rows of either side.
 
-    Counted with map-side combine; only this bounded list comes to the driver. Keys beyond the list hold less than
-    1/pieces() of the rows each.
+    Both sides' counts per key join them, so nothing is decided at plan time; a key that fits a block on both sides is
+    one cell. Rows take their row or column of the grid by the hash of left_by / right_by, and are repeated across it.
     """
-    return (df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > F.lit(hot_rows))
-            .orderBy(F.desc("_n"), *on).limit(pieces(df.sparkSession)).collect())
+    on = list(on)
+    n = lambda df, c: df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(c))
+    grid = n(left, "_rows").join(n(right, "_columns"), on)
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    place = lambda by, c: F.pmod(F.xxhash64(*by), F.col(c)).cast("int")
+    a = left.join(grid, on).withColumn("_i", place(left_by, "_rows")).withColumn("_j", every("_columns"))
+    b = right.join(grid, on).withColumn("_j", place(right_by, "_columns")).withColumn("_i", every("_rows"))
+    drop = ["_rows", "_columns"]
+    return a.drop(*drop).join(b.drop(*drop), [*on, "_i", "_j"]).drop("_i", "_j")
 
 
-def skew_join(big: DataFrame, other: DataFrame, on: Sequence[str], spread_by: Sequence[str],
-              hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner equi-join that cuts hot keys of `big` into pieces of about hot_rows rows.
+def spread_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by: Sequence[str],
+                salts: int = 16) -> DataFrame:
+    """Inner equi-join on a key with few values (a country): every key is hot, so every key is cut by `salts`.
 
-    Counts the keys of `big` first, so give it a table at rest (written or checkpointed). Rows of a hot key take one
-    salt by the hash of `spread_by`; the matching rows of `other` are repeated per salt. Cold keys are untouched,
-    and without hot keys this is a plain join.
-    """
-    on = list(on)
-    found = hot_keys(big, on, hot_rows)
-    if not found:
-        return big.join(other, on)
-    spark = big.sparkSession
-    types = T.StructType([big.schema[k] for k in on] + [T.StructField("_salts", T.IntegerType())])
-    salts = [tuple(r[k] for k in on) + (-(-r["_n"] // hot_rows),) for r in found]
-    hot = F.broadcast(spark.createDataFrame(salts, types))  # at most pieces() rows
-    left = (big.join(hot, on, "left")
-            .withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0))
-                        .otherwise(F.pmod(F.xxhash64(*spread_by), F.col("_salts")).cast("int")))
-            .drop("_salts"))
-    right = (other.join(hot, on, "left")
-             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-             .drop("_salts"))
-    return left.join(right, on + ["_salt"]).drop("_salt")
-
-
-def spread_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by: Sequence[str]) -> DataFrame:
-    """Inner equi-join on a key with few values (a country): every key is hot, so every key is salted.
-
-    The salts grow with the session's shuffle partitions (one on a laptop, 64 on a large cluster). `small` is
-    repeated per salt; Spark broadcasts it instead whenever its size allows.
+    `small` is repeated per salt; Spark broadcasts it instead whenever its size allows.
     """
-    salts = min(64, max(1, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // 16))
-    if salts == 1:
-        return big.join(small, list(on))
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
-# Above this many rows per key a single task should not number them.
-GROUP_LIMIT = 1_000_000
-
-
-def number_within(df: DataFrame, key: Sequence[str], order: Sequence[Column], name: str,
-                  limit: int = GROUP_LIMIT) -> DataFrame:
-    """row_number() per key. The largest key decides how: a plain window, or a distributed sort with offsets."""
-    key = list(key)
-    by_key = W.partitionBy(*key).orderBy(*order)
-    oversized = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > F.lit(limit))
-    if oversized.isEmpty():
-        return df.withColumn(name, F.row_number().over(by_key))
-
-    # Range partitions cut hot keys; equal rows are told apart by a salt so that copies spread as well. The
-    # checkpoint fixes which row is in which partition, so lost executors cannot change the numbers.
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    salted = df.withColumn("_copy", F.pmod(F.monotonically_increasing_id(), F.lit(4096)))
-    parted = (salted.repartitionByRange(pieces(spark), *[F.col(k) for k in key], *order, F.col("_copy"))
-              .withColumn("_part", F.spark_partition_id())
-              .checkpoint())
-    seen = W.partitionBy(*key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    # One row per (key, partition): a key has at most pieces() of them.
-    offsets = (parted.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n"))
-               .withColumn("_before", F.coalesce(F.sum("_n").over(seen), F.lit(0)))
-               .select(*[F.col(k).alias(f"_k_{k}") for k in key], F.col("_part").alias("_p"), "_before"))
-    local = W.partitionBy(*key, "_part").orderBy(*order, F.col("_copy"))
-    same = F.col("_part") == F.col("_p")
-    for k in key:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return (parted.withColumn("_row", F.row_number().over(local))
-            .join(offsets, same)
-            .withColumn(name, (F.col("_row") + F.col("_before")).cast("int"))
-            .select(*df.columns, name))
+def number_within(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """row_number() per key, in one lazy plan: rows are numbered within (key, first order column), and the numbers
+    before come from a window over those groups' counts. So a key with very many rows is cut by its first order
+    column, whatever its size. Null order values come first."""
+    key, first = list(key), order[0]
+    inner = W.partitionBy(*key, first).orderBy(*[F.col(c) for c in order[1:]] or [F.lit(0)])
+    before = W.partitionBy(*key).orderBy(F.col(first)).rowsBetween(W.unboundedPreceding, -1)
+    groups = df.groupBy(*key, first).agg(F.count(F.lit(1)).alias("_n")).select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate([*key, first])],
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.lit(True)
+    for i, c in enumerate([*key, first]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return (df.withColumn("_row", F.row_number().over(inner)).join(groups, same)
+            .withColumn(name, (F.col("_row") + F.col("_before")).cast("int")).select(*df.columns, name))
 
 
 DIGIT_BITS = 21

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions import fixed
-from riskloom.functions.normalize import MONEY, sum_units
+from riskloom.functions.normalize import MONEY, sum_units, total_units, units
 from riskloom.operators.spread import rows_below
 
 Tables = Mapping[str, DataFrame]
@@ -219,7 +219,7 @@ def data_quality_report(t: Tables) -> DataFrame:
         _count(codes.select("cn8_code").distinct().join(t["clean_commodity"].select("cn8_code"), "cn8_code",
                                                         "left_anti"), "trader_codes_unknown"),
         _count(t["clean_imports"].filter(F.col("iso3").isNull()), "import_value_without_country",
-               F.round(F.coalesce(sum_units(F.col("value_gbp"), MONEY), F.lit(0)) / F.lit(MONEY))),
+               F.round(total_units(units(F.col("value_gbp"), MONEY)).cast("double") / F.lit(MONEY))),
         _count(t["clean_erp_supplier"], "vendors"),
         _count(resolves.filter(F.col("company_number").isNotNull()), "vendors_resolved"),
         _count(resolves.filter(review), "vendors_needing_review"),

@@ -4,13 +4,14 @@ Every table is a lazy DataFrame over whole inputs; keys stay numeric where the i
 """
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom.functions import normalize as nz
 from riskloom.operators import actions, exposure, matching
-from riskloom.operators.spread import ensure_checkpoint_dir
+from riskloom.operators.spread import at_rest
 from riskloom.plans import build, views
 from riskloom.sources import erp, trade
 
@@ -38,6 +39,48 @@ def alert_level(value: Column) -> Column:
     return band(value, (200, "Red"), (100, "Orange"), low="Green")
 
 
+def name_letters(key: Column) -> Column:
+    """Ten letters that a number stands for; neighbouring numbers have nothing in common."""
+    return F.substring(F.translate(F.md5(key.cast("string").cast("binary")), "0123456789abcdef", "ABCDEFGHIJKLMNOP"),
+                       1, 10)
+
+
+def _named(df: DataFrame, *columns) -> DataFrame:
+    """The name and postcode columns that matching needs."""
+    named = df.withColumn("name_norm", nz.norm_name(F.col("name")))
+    return named.select(*columns, "name", "name_norm", nz.core_of(F.col("name_norm")).alias("name_core"),
+                        nz.norm_postcode(F.col("postcode")).alias("postcode_norm"))
+
+
+class AtRest(Mapping):
+    """Tables by name, each written to the shared folder when it is first asked for."""
+
+    def __init__(self, tables: Mapping[str, DataFrame]):
+        self.tables, self.kept = tables, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.kept:
+            self.kept[name] = at_rest(self.tables[name], name)
+        return self.kept[name]
+
+    def __iter__(self):
+        return iter(self.tables)
+
+    def __len__(self) -> int:
+        return len(self.tables)
+
+
+_BUILT: dict[tuple[str, str], Standins] = {}
+
+
+def of(spark: SparkSession, sf_dir: str) -> Standins:
+    """The domain's tables over a folder; what is put at rest is built once for each session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        _BUILT[key] = Standins(spark, sf_dir)
+    return _BUILT[key]
+
+
 class Standins:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -150,15 +193,35 @@ class Standins:
 
     # ---- vendors and purchases -------------------------------------------------------------------------------
 
+    @cached_property
+    def raw_vendors(self) -> DataFrame:
+        """Vendor master as a buying system writes it. Vendor i is company 7 i + 3 and shows it in one of four ways: by
+        number and a misspelt name, by postcode and a misspelt name, by the exact name, or by neither. One in ten is
+        nobody and states another's number."""
+        i = F.col("s_suppkey")
+        true = self.registered.select(F.col("c_custkey").alias("j"), "segment", F.col("postcode").alias("zip"))
+        n = self.given("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+        way, stray, letters = i % 4, i % 10 == 9, name_letters(i * 7 + 3)
+        after = lambda word, end: F.concat(word, F.lit(" "), F.coalesce("segment", F.lit("none")), F.lit(end))
+        without = lambda k: F.concat(F.substring(letters, 1, k - 1), F.substring(letters, k + 1, 10))
+        return (self.given("supplier").withColumn("j", i * 7 + 3).join(true, "j", "left").join(n, "s_nationkey", "left")
+                .select(i.alias("VENDOR_ID"), F.when(stray, F.concat(F.lit("Stray "), name_letters(i + 1_000_000),
+                                                                      F.lit(" GmbH")))
+                        .when(way == 0, F.concat(F.lit("The "), after(without(5), " Limited")))
+                        .when(way == 1, after(without(8), " Ltd")).when(way == 2, after(letters, " ltd"))
+                        .otherwise(after(F.reverse(letters), " Ltd")).alias("VENDOR_NAME"),
+                        F.when(way.isin(1, 3), F.lower("zip")).when(way == 0, F.col("n_name")).alias("ZIP"),
+                        F.col("n_name").alias("COUNTRY"),
+                        F.when(stray, (F.col("j") + 1).cast("string")).when(way == 0, F.col("j").cast("string"))
+                        .otherwise("").alias("REGISTRATION_NUMBER"), F.lit("01-JAN-20").alias("CREATION_DATE")))
+
     @cached_property
     def clean_vendors(self) -> DataFrame:
-        s = self.given("supplier")
-        n = self.given("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name", "n_regionkey")
-        return s.join(n, "s_nationkey", "left").select(
-            F.col("s_suppkey").alias("vendor_id"), F.col("s_name").alias("vendor_name"),
-            F.col("n_name").alias("postcode"), F.col("n_name").alias("country"),
-            F.col("s_nationkey").alias("country_iso3"),
-            nz.regno(F.col("s_suppkey").cast("string")).alias("stated_company_number"),
+        s = self.given("supplier").select(F.col("s_suppkey").alias("vendor_id"), "s_nationkey", "s_acctbal")
+        n = self.given("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+        return erp.clean_vendors(self.raw_vendors).join(s.join(n, "s_nationkey", "left"), "vendor_id").select(
+            "vendor_id", "vendor_name", "name_norm", "name_core", "postcode", "postcode_norm", "country",
+            F.col("s_nationkey").alias("country_iso3"), "stated_company_number",
             F.coalesce(F.col("n_regionkey") == HOME_REGION, F.lit(False)).alias("is_home"), "s_acctbal")
 
     @cached_property
@@ -201,17 +264,31 @@ class Standins:
 
     # ---- companies -------------------------------------------------------------------------------------------
 
+    @cached_property
+    def registered(self) -> DataFrame:
+        """Customers as the company register knows them: ten letters and the segment as name, nation and a number as
+        postcode."""
+        n = self.given("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+        k, segment = F.col("c_custkey"), F.lower("c_mktsegment")
+        status = F.when(segment == "building", "Liquidation").when(segment != "furniture", "Active")
+        return self.given("customer").join(n, "c_nationkey", "left").select(
+            "c_custkey", F.lpad(k.cast("string"), 8, "0").alias("company_number"), segment.alias("segment"),
+            F.concat(name_letters(k), F.lit(" "), segment, F.lit(" ltd")).alias("name"),
+            F.concat_ws(" ", F.col("n_name"), (k % 97).cast("string")).alias("postcode"), status.alias("status"))
+
+    @cached_property
+    def company_register(self) -> DataFrame:
+        """What records are matched against."""
+        return _named(self.registered, "company_number", "status")
+
     @cached_property
     def companies(self) -> DataFrame:
         o = self.given("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
             F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last"),
             F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
-        n = self.given("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-        seg = F.col("c_mktsegment")
-        return (self.given("customer").join(o, "c_custkey", "left").join(n, "c_nationkey", "left").select(
-            F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("company_number"), F.col("c_name").alias("name"),
-            F.when(seg == "BUILDING", "Liquidation").when(seg != "FURNITURE", "Active").alias("status"),
-            seg.alias("category"), F.col("n_name").alias("postcode"),
+        seg = F.upper("segment")
+        return (self.registered.join(o, "c_custkey", "left").select(
+            "company_number", "name", "status", seg.alias("category"), "postcode",
             F.date_add("first", 1461).alias("incorporated_on"), F.date_add("last", 60).alias("accounts_next_due"),
             F.date_add("last", 30).alias("confstmt_next_due"), F.array(seg).alias("sic_codes"),
             F.col("urgent").cast("int").alias("mortgages_outstanding")))
@@ -225,23 +302,21 @@ class Standins:
 
     @cached_property
     def trader_company(self) -> DataFrame:
-        """Traders matched to their own company number, the sure ones not for review."""
-        bal = F.col("c_acctbal")
-        return self.given("customer").filter(bal > 5000).select(
-            F.col("c_custkey").alias("rec_id"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")
-            .alias("company_number"), (bal < 6000).alias("needs_review"))
+        """Importers matched to companies: every second one writes its name with a letter missing."""
+        k = F.col("c_custkey")
+        letters = name_letters(k)
+        short = F.concat(F.substring(letters, 1, 7), F.substring(letters, 9, 2), F.lit(" "), F.col("segment"),
+                         F.lit(" ltd"))
+        own = self.registered.withColumn("name", F.when(k % 2 == 0, F.col("name")).otherwise(short)).withColumn(
+            "stated_company_number", F.lit(None).cast("string"))
+        records = _named(own, F.col("c_custkey").alias("rec_id"), "stated_company_number")
+        return at_rest(matching.resolve(records, self.company_register), "trader-company")
 
     @cached_property
     def supplier_company(self) -> DataFrame:
-        """Machine matches: two neighbouring vendors share a company, method and score follow the balance."""
-        bal = F.col("s_acctbal")
-        method = F.when(bal >= 6000, "registration_number").when(bal >= 2000, "postcode_name")
-        scored = self.given("supplier").select(
-            F.col("s_suppkey").alias("rec_id"),
-            F.lpad(F.floor(F.col("s_suppkey") / 2).cast("string"), 8, "0").alias("company_number"),
-            method.alias("match_method"), (F.floor(bal / 400) + 70).cast("double").alias("match_score"))
-        c = scored.withColumn("confidence", matching.confidence(F.col("match_method"), F.col("match_score")))
-        return c.filter(F.col("confidence") >= 0.75).withColumn("needs_review", F.col("confidence") < 0.90)
+        """Vendors matched to companies by the resolver."""
+        return at_rest(matching.resolve(self.clean_vendors.withColumnRenamed("vendor_id", "rec_id"),
+                                        self.company_register), "supplier-company")
 
     # ---- actions ---------------------------------------------------------------------------------------------
 
@@ -319,24 +394,51 @@ class Standins:
         return {**t, **build.build(t, self.as_of)}
 
     @cached_property
-    def ontology(self) -> dict[str, DataFrame]:
-        """Every ontology table. Reading one does not compute the others."""
-        return self._built(self.clean_po_line)
+    def ontology(self) -> Mapping[str, DataFrame]:
+        """Every ontology table, at rest once it is read. Reading one does not compute the others."""
+        return AtRest(self._built(self.clean_po_line))
 
     @cached_property
-    def exposure(self) -> DataFrame:
-        return exposure.supplier_exposure(self.po, self.vendor_home, self.import_flow, self.risk_event,
-                                          self.event_country)
+    def weights(self) -> DataFrame:
+        return at_rest(exposure.spend_weights(self.po, self.vendor_home), "weights")
 
     @cached_property
-    def exposure_table(self) -> DataFrame:
-        return views.exposure_table(self.ontology, self.exposure)
+    def _footprints(self) -> tuple[DataFrame, DataFrame]:
+        events, countries = exposure.footprints(self.event_country)
+        severity = self.risk_event.select("event_id", "severity", "is_current")
+        return at_rest(events.join(severity, "event_id"), "events"), at_rest(countries, "footprints")
+
+    @property
+    def events(self) -> DataFrame:
+        """(event_id, footprint, severity, is_current) of every event."""
+        return self._footprints[0]
+
+    @property
+    def current(self) -> DataFrame:
+        """The events that the per-event views are asked for."""
+        return self.events.filter("is_current")
+
+    @property
+    def countries(self) -> DataFrame:
+        return self._footprints[1]
 
     @cached_property
-    def exposure_at_rest(self) -> DataFrame:
-        """The exposure table checkpointed, for questions that read it several times."""
-        ensure_checkpoint_dir(self.spark)
-        return self.exposure_table.checkpoint()
+    def flow_at_rest(self) -> DataFrame:
+        return at_rest(self.import_flow, "flows")
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Exposure per footprint, severity and supplier."""
+        return at_rest(exposure.supplier_exposure(self.weights, self.flow_at_rest, self.events, self.countries), "scored")
+
+    @cached_property
+    def suppliers(self) -> DataFrame:
+        """The same with the suppliers' facts."""
+        return at_rest(views.scored_suppliers(self.ontology, self.scored), "suppliers")
+
+    @property
+    def exposure_table(self) -> DataFrame:
+        return views.exposure_table(self.ontology, self.suppliers, self.current)
 
     # ---- names for entity resolution -------------------------------------------------------------------------
 

@@ -5,7 +5,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from riskloom.operators.exposure import priority
+from riskloom.functions.normalize import total_units
+from riskloom.operators.exposure import for_events, priority
 
 Tables = Mapping[str, DataFrame]
 THRESHOLD = 0.10
@@ -20,16 +21,14 @@ def affected_countries(t: Tables) -> DataFrame:
         F.count("_c").alias("n_countries"))
 
 
-def event_list(t: Tables, exposure: DataFrame | None = None, current_only: bool = False,
-               threshold: float = THRESHOLD) -> DataFrame:
-    """Events with countries and, given exposure, the number of material suppliers; newest and worst first."""
+def event_list(t: Tables, counts: DataFrame | None = None, current_only: bool = False) -> DataFrame:
+    """Events with countries and, given counts (event_id, material), their material suppliers; newest and worst first."""
     ev = t["risk_event"].filter("is_current") if current_only else t["risk_event"]
     out = ev.join(affected_countries(t), "event_id", "left").withColumn(
         "n_countries", F.coalesce("n_countries", F.lit(0)))
-    if exposure is not None:
-        material = exposure.filter(F.col("exposure_score") >= threshold).groupBy("event_id").agg(
-            F.count(F.lit(1)).alias("material"))
-        out = out.join(material, "event_id", "left").withColumn("material", F.coalesce("material", F.lit(0)))
+    if counts is not None:
+        out = out.join(counts.select("event_id", "material"), "event_id", "left").withColumn(
+            "material", F.coalesce("material", F.lit(0)))
     return out.orderBy(F.desc("is_current"), F.desc("severity"), F.desc("start_date"), "event_id")
 
 
@@ -54,57 +53,76 @@ def _supplier_facts(t: Tables) -> DataFrame:
     return s.join(r, "vendor_id", "left").join(c, "company_number", "left")
 
 
-def exposure_table(t: Tables, exposure: DataFrame) -> DataFrame:
-    """Every exposed supplier of every event with what a person needs to triage it."""
+def scored_suppliers(t: Tables, scored: DataFrame) -> DataFrame:
+    """Exposure per (footprint, severity, supplier) with the supplier's facts and its priority."""
+    return scored.join(_supplier_facts(t), "vendor_id").withColumn("priority", priority(
+        F.col("exposure_score"), F.col("criticality"), F.col("fragility_score"))).drop("company_number")
+
+
+def exposure_table(t: Tables, table: DataFrame, events: DataFrame) -> DataFrame:
+    """Every supplier that the given events expose, with what a person needs to triage it.
+
+    table: scored_suppliers(). events: event_id, footprint, severity of the events asked for.
+    """
     com = t["commodity"].select(F.col("cn8_code").alias("driver_commodity"), "hs4_description")
     cty = t["country"].select(F.col("iso3").alias("driver_country"), F.col("name").alias("driver_country_name"))
-    return (exposure.join(_supplier_facts(t), "vendor_id")
+    return (for_events(table, events)
             .join(latest_alert(t["alert"]), ["vendor_id", "event_id"], "left")
-            .join(com, "driver_commodity", "left").join(cty, "driver_country", "left")
-            .withColumn("priority", priority(F.col("exposure_score"), F.col("criticality"),
-                                             F.col("fragility_score")))
-            .drop("company_number"))
+            .join(com, "driver_commodity", "left").join(cty, "driver_country", "left"))
 
 
 def ranked(table: DataFrame) -> DataFrame:
     return table.orderBy("event_id", F.desc("priority"), "vendor_name", "vendor_id")
 
 
-def top_rows(table: DataFrame, threshold: float = THRESHOLD, k: int = 60) -> DataFrame:
-    """First k material rows per event by priority. The limit is applied before the shuffle as well."""
-    w = W.partitionBy("event_id").orderBy(F.desc("priority"), "vendor_name", "vendor_id")
-    return (table.filter(F.col("exposure_score") >= threshold).withColumn("position", F.row_number().over(w))
-            .filter(F.col("position") <= k))
+KIND = ("footprint", "severity")
+
+
+def top_rows(table: DataFrame, events: DataFrame, threshold: float = THRESHOLD, k: int = 60) -> DataFrame:
+    """First k material rows per event by priority: k per footprint and severity first, then per event."""
+    w = W.partitionBy(*KIND).orderBy(F.desc("priority"), "vendor_name", "vendor_id")
+    top = (table.filter(F.col("exposure_score") >= threshold).withColumn("position", F.row_number().over(w))
+           .filter(F.col("position") <= k))
+    return for_events(top, events)
 
 
-def hidden_counts(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    return table.groupBy("event_id").agg(F.count_if(F.col("exposure_score") < threshold).alias("hidden"))
+def hidden_counts(table: DataFrame, events: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    return for_events(table.groupBy(*KIND).agg(
+        F.count_if(F.col("exposure_score") < threshold).alias("hidden")), events)
 
 
-def event_kpis(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per event: reached, material, high-criticality material, exposure-weighted spend, alerts in flight."""
+def event_kpis(t: Tables, table: DataFrame, events: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Per event: reached, material, high-criticality material, exposure-weighted spend, alerts in flight.
+
+    All but the alerts are counted per footprint and severity. Only (event, supplier) pairs with an alert are met
+    with their score.
+    """
     material = F.col("exposure_score") >= threshold
     weighted = F.floor(F.col("spend_12m_gbp") * F.col("exposure_score") * F.lit(1e4) + F.lit(0.5)).cast("bigint")
-    return table.groupBy("event_id").agg(
+    kinds = table.groupBy(*KIND).agg(
         F.count(F.lit(1)).alias("reached"), F.count_if(material).alias("material"),
         F.count_if(material & (F.col("criticality") == "high")).alias("high_material"),
-        (F.coalesce(F.sum(F.when(material, weighted)), F.lit(0)) / F.lit(1e4)).alias("weighted_spend"),
-        F.count_if(material & F.col("alert_status").isin(list(IN_FLIGHT))).alias("in_flight"))
+        (total_units(F.when(material, weighted)).cast("double") / F.lit(1e4)).alias("weighted_spend"))
+    flying = latest_alert(t["alert"]).filter(F.col("alert_status").isin(list(IN_FLIGHT))).join(events, "event_id")
+    in_flight = flying.join(table.filter(material).select(*KIND, "vendor_id"), [*KIND, "vendor_id"]).groupBy(
+        "event_id").agg(F.count(F.lit(1)).alias("in_flight"))
+    return for_events(kinds, events).join(in_flight, "event_id", "left").na.fill(0, ["in_flight"])
+
+
+def _top(table: DataFrame) -> DataFrame:
+    return table.groupBy(*KIND).agg(F.min_by("vendor_id", F.struct(
+        (-F.col("priority")).alias("p"), "vendor_name", "vendor_id")).alias("vendor_id"),
+        F.count_if(F.col("exposure_score") >= THRESHOLD).alias("m"))
 
 
-def top_supplier(table: DataFrame) -> DataFrame:
+def top_supplier(table: DataFrame, events: DataFrame) -> DataFrame:
     """Per event its supplier of highest priority."""
-    return table.groupBy("event_id").agg(F.min_by("vendor_id", F.struct(
-        (-F.col("priority")).alias("p"), "vendor_name", "vendor_id")).alias("vendor_id"))
+    return for_events(_top(table), events).select("event_id", "vendor_id")
 
 
-def default_focus(t: Tables, table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def default_focus(t: Tables, table: DataFrame, events: DataFrame) -> DataFrame:
     """One row: the current event (any event when none is current) with most material suppliers, and its top one."""
-    per_event = table.groupBy("event_id").agg(
-        F.count_if(F.col("exposure_score") >= threshold).alias("m"),
-        F.min_by("vendor_id", F.struct((-F.col("priority")).alias("p"), "vendor_name", "vendor_id"))
-        .alias("vendor_id"))
-    pool = t["risk_event"].select("event_id", "is_current").join(per_event, "event_id", "left")
+    pool = t["risk_event"].select("event_id", "is_current").join(for_events(_top(table), events), "event_id", "left")
     rank = F.struct((~F.col("is_current")).alias("c"), (-F.coalesce("m", F.lit(0))).alias("m"), "event_id")
     return pool.agg(F.min_by(F.struct("event_id", "vendor_id"), rank).alias("f")).select("f.*")
 
@@ -148,8 +166,18 @@ def review_queue(t: Tables) -> DataFrame:
             .orderBy("confidence", "vendor_name", "vendor_id"))
 
 
+def health(t: Tables, log: DataFrame, checks: DataFrame, metrics: DataFrame, n: int = 25) -> DataFrame:
+    """(section, name, value): the checks with their outcome, the quality metrics and the last n log rows."""
+    section = lambda df, name, key, value: df.select(
+        F.lit(name).alias("section"), key.alias("name"), value.cast("string").alias("value"))
+    parts = [section(checks, "check", F.col("check"), F.concat_ws(": ", F.col("passed").cast("string"), "detail")),
+             section(metrics, "metric", F.col("metric"), F.col("value").cast("bigint")),
+             section(recent_log(log, n), "log", F.col("request_id"), F.col("action"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def recent_log(log: DataFrame, n: int = 25) -> DataFrame:
-    return log.orderBy(F.desc("logged_at"), "action", "params").limit(n)
+    return log.orderBy(F.desc("logged_at"), "action", "params", "request_id").limit(n)
 
 
 def freshness(import_flow: DataFrame, label) -> DataFrame:

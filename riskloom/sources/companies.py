@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from riskloom.functions.normalize import core_of, day_month_year, norm_name, norm_postcode
+from riskloom.functions import fixed as values
+from riskloom.functions.normalize import core_of, day_month_year, norm_name, norm_postcode, strip
 
 # 0-based field positions, the lowest field count of a usable line, and where SIC codes start.
 FIELDS = {
@@ -32,19 +33,19 @@ def split_lines(lines: DataFrame) -> DataFrame:
     """line -> the fixed fields, SIC codes by pattern, the confirmation date from the right."""
     cells = F.col("cells")
     rows = (lines.select(csv_cells(F.col("line")).alias("cells"))
-            .filter((F.size(cells) >= MIN_FIELDS) & (F.trim(F.get(cells, F.lit(FIELDS["company_number"]))) != HEADER_NUMBER)))
+            .filter((F.size(cells) >= MIN_FIELDS) & (strip(F.get(cells, F.lit(FIELDS["company_number"]))) != HEADER_NUMBER)))
     tail = F.slice(cells, SIC_FROM + 1, F.greatest(F.size(cells) - SIC_FROM, F.lit(0)))
     # The run of codes ends at the first field that is neither a code nor 'None Supplied'.
-    is_sic = lambda c: c.rlike("^[0-9]{5} - |^None Supplied$")
+    is_sic = lambda c: c.rlike(f"{values.SIC_CODE}|{values.NO_SIC_CODE}")
     run = F.aggregate(tail, F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("codes")),
                       lambda acc, c: F.struct(
                           (acc["on"] & is_sic(c)).alias("on"),
-                          F.when(acc["on"] & c.rlike("^[0-9]{5} - "),
+                          F.when(acc["on"] & c.rlike(values.SIC_CODE),
                                  F.concat(acc["codes"], F.array(F.substring(c, 1, 5))))
                           .otherwise(acc["codes"]).alias("codes")),
                       lambda acc: acc["codes"])
     cell = lambda i: F.get(cells, F.lit(i))
-    fixed = [(F.trim(cell(i)) if name in TRIMMED else cell(i)).alias(name) for name, i in FIELDS.items()]
+    fixed = [(strip(cell(i)) if name in TRIMMED else cell(i)).alias(name) for name, i in FIELDS.items()]
     return rows.select(*fixed, run.alias("sic_codes"), F.try_element_at(cells, F.lit(-2)).alias("confstmt_next_due"))
 
 

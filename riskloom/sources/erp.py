@@ -41,7 +41,7 @@ def clean_vendors(raw: DataFrame) -> DataFrame:
 def number_lines(lines: DataFrame, po: str, order: list[str]) -> DataFrame:
     """po_line_id = <order number>-<position>. Ties go by all remaining columns, so the ids are repeatable."""
     rest = [c for c in lines.columns if c not in (po, *order)]
-    numbered = number_within(lines, [po], [F.col(c) for c in (*order, *rest)], "_line")
+    numbered = number_within(lines, [po], [*order, *rest], "_line")
     return numbered.withColumn("po_line_id", F.concat_ws("-", po, "_line")).drop("_line")
 
 

@@ -11,8 +11,15 @@ PROPERTIES = ("eventtype: string, eventid: string, name: string, description: st
 SOURCE = "GDACS"
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per feature with its properties and position."""
+def read(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per feature with its properties and position.
+
+    lines: one feature per line, in any number of files, read in parallel. Else each file is one document, which one
+    task reads whole.
+    """
+    if lines:
+        each = spark.read.schema(f"properties struct<{PROPERTIES}>").json(path)
+        return each.select(F.monotonically_increasing_id().alias("position"), "properties.*")
     raw = (spark.read.option("multiLine", True)
            .schema(f"features array<struct<properties: struct<{PROPERTIES}>>>").json(path))
     return raw.select(F.posexplode("features").alias("position", "f")).select("position", "f.properties.*")

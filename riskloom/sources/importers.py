@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.functions import fixed
-from riskloom.functions.normalize import core_of, in_scope, norm_name, norm_postcode, surrogate_key
+from riskloom.functions.normalize import core_of, in_scope, norm_name, norm_postcode, surrogate_key, strip
 
 MIN_FIELDS = 10
 
@@ -19,13 +19,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def split_lines(lines: DataFrame) -> DataFrame:
     f = F.col("f")
     # Filters may be evaluated in any order, so nothing here may fail on a short line.
-    part = lambda i: F.trim(F.get(f, F.lit(i)))
-    address = F.array_join(F.filter(F.transform(F.slice(f, 4, 5), lambda x: F.trim(x)), lambda x: x != ""), ", ")
+    part = lambda i: strip(F.get(f, F.lit(i)))
+    address = F.array_join(F.filter(F.transform(F.slice(f, 4, 5), lambda x: strip(x)), lambda x: x != ""), ", ")
     return (lines.select(F.split("line", "\t", -1).alias("f"))
             .filter((F.size("f") >= MIN_FIELDS) & F.get(f, F.lit(0)).rlike("^[0-9]+$"))
             .select(part(2).alias("name"), part(8).alias("postcode"), F.get(f, F.lit(0)).try_cast("int").alias("month_id"),
                     F.coalesce(F.get(f, F.lit(1)).try_cast("int"), F.lit(1)).alias("seq"), address.alias("address"),
-                    F.filter(F.transform(F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0))), lambda x: F.trim(x)),
+                    F.filter(F.transform(F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0))), lambda x: strip(x)),
                              lambda x: x != "").alias("codes")))
 
 

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from riskloom.functions import fixed
 from riskloom.functions.normalize import lookup, regime_subject
 
-WIDTH = 100
 COLUMNS = {"Unique ID": "unique_id", "Regime Name": "regime", "Designation Type": "designation_type"}
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The three columns used, found by the names in the header row. Quoted line breaks are kept."""
-    names = [f"c{i}" for i in range(WIDTH)]
+    # The header line says how wide the file is.
+    title = spark.read.text(path).filter(F.col("value").contains("Unique ID")).first()
+    names = [f"c{i}" for i in range(title["value"].count(",") + 1)] if title else ["c0"]
     raw = (spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"')
            .schema(", ".join(f"{n} string" for n in names)).csv(path))
     # array_contains gives null, not false, beside empty cells.

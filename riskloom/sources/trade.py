@@ -6,18 +6,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom.functions import fixed
-from riskloom.functions.normalize import MONEY, lookup, sum_units
+from riskloom.functions.normalize import MONEY, lookup, strip, sum_units
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema(schema).json(path)
+def _json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """lines: one record per line, in any number of files, read in parallel. Else each file is one document, which
+    one task reads whole: for small files, or folders of pages."""
+    return spark.read.option("multiLine", not lines).schema(schema).json(path)
 
 
 # ---- reference -----------------------------------------------------------------------------------------------
 
-def read_commodity(spark: SparkSession, path: str) -> DataFrame:
+def read_commodity(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     raw = _json(spark, path, "Cn8Code string, Cn8LongDescription string, Hs2Code string, Hs4Code string, "
-                             "Hs4Description string, Hs6Description string")
+                             "Hs4Description string, Hs6Description string", lines)
     return raw.filter(F.length("Cn8Code") == 8).select(
         F.col("Cn8Code").alias("cn8_code"), F.col("Cn8LongDescription").alias("description"),
         F.col("Hs2Code").alias("hs2_code"), F.col("Hs4Code").alias("hs4_code"),
@@ -38,19 +40,27 @@ def to_iso3(df: DataFrame, alpha2: str, iso: DataFrame, out: str = "iso3") -> Da
             .drop("_iso"))
 
 
-def read_country(spark: SparkSession, path: str, iso: DataFrame) -> DataFrame:
-    raw = _json(spark, path, "CountryId long, CountryCodeAlpha string, CountryName string")
+def read_country(spark: SparkSession, path: str, iso: DataFrame, lines: bool = False) -> DataFrame:
+    raw = _json(spark, path, "CountryId long, CountryCodeAlpha string, CountryName string", lines)
     named = raw.select(F.col("CountryId").alias("hmrc_country_id"), F.col("CountryCodeAlpha").alias("hmrc_alpha"),
-                       F.trim("CountryName").alias("hmrc_name"))
+                       strip(F.col("CountryName")).alias("hmrc_name"))
     return to_iso3(named, "hmrc_alpha", iso).select("hmrc_country_id", "hmrc_alpha", "hmrc_name", "iso3")
 
 
 # ---- statistics ----------------------------------------------------------------------------------------------
 
-def read_trade(spark: SparkSession, path: str) -> DataFrame:
-    """{start, end, rows[]} -> one line per commodity and trade country."""
-    raw = _json(spark, path, "start int, end int, rows array<struct<CommodityId: long, CountryId: long, "
-                             "Value: double>>")
+def read_trade(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """{start, end, rows[]} -> one line per commodity and trade country.
+
+    lines: every line is {start, end, CommodityId, CountryId, Value}.
+    """
+    row = "CommodityId: long, CountryId: long, Value: double"
+    if lines:
+        flat = _json(spark, path, f"start: int, end: int, {row}", lines)
+        return flat.select(F.col("CommodityId").alias("commodity_id"), F.col("CountryId").alias("country_id"),
+                           F.col("Value").alias("value_gbp"), F.col("start").alias("period_start"),
+                           F.col("end").alias("period_end"))
+    raw = _json(spark, path, f"start int, end int, rows array<struct<{row}>>")
     return raw.select(F.col("start").alias("period_start"), F.col("end").alias("period_end"),
                       F.explode("rows").alias("r")).select(
         F.col("r.CommodityId").alias("commodity_id"), F.col("r.CountryId").alias("country_id"),

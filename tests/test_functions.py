@@ -27,6 +27,24 @@ def test_sql_functions(spark):
     assert tuple(row[0]) == ("ACME AND COMPANY LIMITED", "ACME", "A1B2")
 
 
+def test_sql_functions_equal_the_columns(spark):
+    nz.register_sql(spark)
+    odd = ["a\u00df1", "Stra\u00dfe GmbH & Co", "The \ufb01rm's Ltd", None, "  ", "X\\Y 'quoted' LIMTED", "\u00a0wa1\t"]
+    df = spark.createDataFrame([(x,) for x in odd], "x string")
+    for r in df.selectExpr("x", "norm_name(x) a", "name_core(x) b", "norm_postcode(x) c").collect():
+        assert (r.a, r.b, r.c) == one(spark, nz.norm_name(F.lit(r.x)), nz.name_core(F.lit(r.x)),
+                                      nz.norm_postcode(F.lit(r.x)))
+
+
+def test_white_space_dates_and_large_totals(spark):
+    assert one(spark, nz.strip(F.lit("\u00a0\t a b\u3000\n")), nz.company_number_input(F.lit("\t77\u00a0")),
+               nz.regno(F.lit("\u00a0sc1\t"))) == ("a b", "00000077", "SC1")
+    d = one(spark, *[nz.day_month_year(F.lit(x)) for x in ("1/2/2020", "01/02/2020", "31/2/2020", "1/13/2020")])
+    assert [x and x.isoformat() for x in d] == ["2020-02-01", "2020-02-01", None, None]
+    rows = spark.range(4).select(nz.units(F.lit(8e14), nz.MONEY).alias("u"))
+    assert rows.agg(nz.total_units(F.col("u")).alias("s")).first().s == 4 * 8 * 10**18
+
+
 def test_numbers_and_dates(spark):
     assert one(spark, nz.regno(F.lit("1234")), nz.regno(F.lit(" sc12 ")), nz.regno(F.lit(" ")),
                nz.regno(F.lit("123456789"))) == ("00001234", "SC12", None, "12345678")

@@ -127,18 +127,81 @@ def test_whole_job_actions_and_rebuild(spark, raw, tmp_path):
     (folder / "a.json").write_text(text + "\n" + text.splitlines()[0])  # the first one twice
     seen = []
 
-    def handle(batch):
-        if not batch.isEmpty():
-            judged, rebuilt = job.act(spark, batch, t, wh, as_of)
-            seen.append((sum(d.count() for d in judged.values()), rebuilt["erp_supplier"].count()))
+    def handle(batch, name):
+        judged, rebuilt = job.act(spark, batch, t, wh, as_of, name)
+        seen.append((sum(d.count() for d in judged.values()), rebuilt["erp_supplier"].count()))
 
     stream.start(stream.read(spark, str(folder)), handle, str(tmp_path / "ckpt")).awaitTermination(120)
     assert seen[0] == (5, 3)
     log = layers.read(spark, wh, "writeback", "action_log")
-    assert sorted(r.action for r in log.collect()) == ["confirm_match", "raise_alert", "reject_match",
-                                                       "set_criticality"]
+    done = [("q1", "raise_alert"), ("q2", "confirm_match"), ("q3", "reject_match"), ("q4", "set_criticality")]
+    assert sorted((r.request_id, r.action) for r in log.collect()) == done
+    # The same requests again, two hours old, in a later file and by hand: judged once and for all.
+    (folder / "b.json").write_text(text)
+    stream.start(stream.read(spark, str(folder)), handle, str(tmp_path / "ckpt")).awaitTermination(120)
+    job.act(spark, spark.read.schema(stream.SCHEMA).json(str(folder)), t, wh, as_of)
+    log = layers.read(spark, wh, "writeback", "action_log", job.LOG)
+    assert sorted((r.request_id, r.action) for r in log.collect()) == done
     again = job.run(spark, raw, wh, as_of)  # decisions survive the rebuild
     match = {r.vendor_id: (r.company_number, r.confidence) for r in again["link_supplier_resolves_to"].collect()}
     assert match == {"V1": ("00000001", 0.99), "V2": ("00000002", 1.0)}
     assert {r.vendor_id: r.criticality for r in again["erp_supplier"].collect()}["V3"] == "high"
     assert [r.status for r in again["alert"].collect()] == ["open"]
+
+
+def test_a_retry_after_any_append_adds_nothing(spark, tmp_path, monkeypatch):
+    as_of, known = F.lit("2026-08-01").cast("date"), "vendor_id string"
+    t = {"erp_supplier": spark.createDataFrame([("V1",)], known), "risk_event": spark.createDataFrame(
+        [("E",)], "event_id string"), "clean_companies": spark.createDataFrame([("00000001",)], "company_number string")}
+    rows = [("q1", "raise_alert", "V1", "E", None, None, None, None, "me", None, "me", dt.datetime(2026, 8, 1)),
+            ("q2", "reject_match", "V1", None, None, None, None, None, None, None, "me", dt.datetime(2026, 8, 1))]
+    requests = spark.createDataFrame(rows, stream.SCHEMA)
+    monkeypatch.setattr(job.build, "apply_edits", lambda *_: {})
+    real = layers.put
+    for broken in range(4):
+        wh, calls = str(tmp_path / f"wh{broken}"), iter(range(100))
+
+        def put(*args, calls=calls, broken=broken):
+            if next(calls) == broken:
+                raise OSError("lost")
+            real(*args)
+
+        monkeypatch.setattr(layers, "put", put)
+        with pytest.raises(OSError):
+            job.act(spark, requests, t, wh, as_of, "7")
+        monkeypatch.setattr(layers, "put", real)
+        for _ in range(2):
+            judged, _ = job.act(spark, requests, t, wh, as_of, "7")
+        log = layers.read(spark, wh, "writeback", "action_log", job.LOG)
+        assert sorted(r.request_id for r in log.collect()) == ["q1", "q2"]
+        assert layers.read(spark, wh, "writeback", "alert", job.ALERT).count() == 1
+        assert layers.read(spark, wh, "writeback", "match_override", job.MATCH).count() == 1
+        assert judged["raise_alert"].filter("accepted").count() == 1
+
+
+def test_a_failed_write_leaves_the_old_version(spark, tmp_path):
+    wh = str(tmp_path)
+    layers.write(spark.range(3), wh, "clean", "t")
+    with pytest.raises(Exception):
+        layers.write(spark.range(3).select(F.raise_error(F.lit("no")).alias("id")), wh, "clean", "t")
+    assert layers.read(spark, wh, "clean", "t").count() == 3
+    layers.write(spark.range(5), wh, "clean", "t")
+    assert layers.read(spark, wh, "clean", "t").count() == 5
+
+
+def test_json_lines_and_wide_sanctions(spark, raw, tmp_path):
+    doc = json.loads(open(raw["events"]).read())
+    (tmp_path / "pages").mkdir()
+    for i, f in enumerate(doc["features"]):
+        (tmp_path / "pages" / f"{i}.json").write_text(json.dumps(f) + "\n")
+    a = {tuple(r) for r in events.event_country(events.read(spark, raw["events"])).collect()}
+    assert a == {tuple(r) for r in events.event_country(events.read(spark, str(tmp_path / "pages"), True)).collect()}
+    t = json.loads(open(raw["trade"]).read())
+    (tmp_path / "t.json").write_text("\n".join(json.dumps({"start": t["start"], "end": t["end"], **r}) for r in t["rows"]))
+    want = sorted(map(tuple, trade.read_trade(spark, raw["trade"]).collect()))
+    assert sorted(map(tuple, trade.read_trade(spark, str(tmp_path / "t.json"), True).collect())) == want
+    wide = ",".join(f"n{i}" for i in range(150))
+    (tmp_path / "s.csv").write_text(f"Report Date: x\n{wide},Unique ID,Regime Name,Designation Type\n"
+                                    + "," * 150 + "U1,The Russia (Sanctions) Regulations,Person\n")
+    assert [tuple(r) for r in sanctions.read(spark, str(tmp_path / "s.csv")).collect()] == [
+        ("U1", "The Russia (Sanctions) Regulations", "Person")]

@@ -32,8 +32,11 @@ def test_exposure_by_hand(spark):
     ev = spark.createDataFrame([("e1", 1.0), ("e2", 0.6), ("e3", 0.0)], "event_id string, severity double")
     aff = spark.createDataFrame([("e1", "TWN"), ("e2", "TWN"), ("e2", "CHN"), ("e3", "TWN")],
                                 "event_id string, iso3 string")
+    fp, countries = ex.footprints(aff)
+    events = fp.join(ev, "event_id")
     got = {(r.event_id, r.vendor_id): (round(r.exposure_score, 9), r.driver_commodity, r.driver_country, r.path_type)
-           for r in ex.supplier_exposure(po, sup, flow, ev, aff).collect()}
+           for r in ex.for_events(ex.supplier_exposure(ex.spend_weights(po, sup), flow, events, countries), events)
+           .collect()}
     assert got == {
         ("e1", "h"): (0.375, "c1", "TWN", "inferred"), ("e1", "a"): (1.0, "c1", "TWN", "direct"),
         ("e2", "h"): (round(0.6 * (0.75 * 0.8 + 0.25), 9), "c1", "TWN", "inferred"),
@@ -45,14 +48,16 @@ def test_shares_stay_under_one(given):
     assert rows and max(r.s for r in rows) <= 1.0001 and any(r.s < 0.999 for r in rows)  # unmapped value stays below
 
 
-def test_walk_equals_joins_for_every_event(spark, given):
-    import __spark_entry__ as e
-    a = {(r.event_id, r.vendor_id): r for r in given.exposure.collect()}
-    b = {(r.event_id, int(r.vendor_id)): r for r in e.queries()["graph_event_impact"](spark, SF).collect()}
+def test_walk_equals_joins(spark, given):
+    """Two independent ways, for all events of the smallest tables."""
+    t = {**given.ontology, "erp_supplier": given.clean_vendors}
+    a = {(r.event_id, r.vendor_id): r for r in ex.for_events(given.scored, given.events).collect()}
+    walked = graph.event_impact(t, given.vendor_home.filter("is_home"), given.risk_event)
+    b = {(r.event_id, r.vendor_id): r for r in walked.collect()}
     assert a.keys() == b.keys() and a
     for k in a:
         assert abs(a[k].exposure_score - b[k].exposure_score) < 1e-9
-        assert str(a[k].driver_commodity) == b[k].driver_commodity
+        assert (a[k].driver_commodity, a[k].driver_country) == (b[k].driver_commodity, b[k].driver_country)
 
 
 def test_nested_breakdown(given):
@@ -125,8 +130,51 @@ def test_raise_alert_duplicates(spark):
     assert got == {"r1": False, "r2": True, "r3": False, "r4": False, "r5": False, "r6": True}
 
 
+def _batch(spark, *rows):
+    at = dt.datetime(2026, 1, 1)
+    cols = ("request_id string, action string, vendor_id string, event_id string, alert_id string, status string, "
+            "company_number string, criticality string, owner string, note string, actor string, requested_at timestamp")
+    full = [(i, a, "v", "e", alert, to, None, None, owner, note, "me", at + dt.timedelta(minutes=m))
+            for i, a, alert, to, owner, note, m in rows]
+    one = spark.createDataFrame([("v",)], "vendor_id string")
+    ev = spark.createDataFrame([("e",)], "event_id string")
+    co = spark.createDataFrame([("1",)], "company_number string")
+    old = spark.createDataFrame([("A", "v", "e", "open", "o", "", at, at)],
+                                "alert_id string, vendor_id string, event_id string, status string, owner string, "
+                                "note string, created_at timestamp, updated_at timestamp")
+    judged, after = actions.judge_all(spark.createDataFrame(full, cols), one, ev, co, old)
+    accepted = {r.request_id: r.accepted for k in ("raise_alert", "update_alert_status") for r in judged[k].collect()}
+    return accepted, {r.alert_id: r.status for r in after.collect()}, judged
+
+
+def _id(spark, request):
+    return spark.range(1).select(actions.alert_id(F.lit(request))).first()[0]
+
+
+def test_close_then_raise_in_one_batch(spark):
+    new, newer = _id(spark, "r2"), _id(spark, "r6")
+    accepted, after, judged = _batch(
+        spark, ("r0", "raise_alert", None, None, "o", None, 1), ("r1", "update_alert_status", "A", "closed", None, "n", 2),
+        ("r2", "raise_alert", None, None, " o\t", None, 3), ("r3", "raise_alert", None, None, "o", None, 4),
+        ("r4", "update_alert_status", new, "acknowledged", None, "x", 2), ("r5", "update_alert_status", new, "closed",
+                                                                           None, "y", 5),
+        ("r6", "raise_alert", None, None, "o", None, 6), ("r7", "raise_alert", None, None, "\t\u00a0", None, 7),
+        ("r8", "update_alert_status", newer, "acknowledged", None, None, 8))
+    assert accepted == {"r0": False, "r1": True, "r2": True, "r3": False, "r4": False, "r5": True, "r6": True,
+                        "r7": False, "r8": True}
+    assert after == {"A": "closed", new: "closed", newer: "acknowledged"}
+    reasons = {r.request_id: r.reason for r in judged["raise_alert"].collect()}
+    assert "owner" in reasons["r7"] and reasons["r0"].endswith("(A))") is False and "(A)" in reasons["r0"]
+
+
+def test_chain_length_follows_the_table():
+    assert actions.longest_chain({"a": ("b", "d"), "b": ("c",), "c": ("d",), "d": ()}) == 3
+    with pytest.raises(ValueError):
+        actions.longest_chain({"a": ("b",), "b": ("a",)})
+
+
 QUICK = ["norm_name", "po_line_id", "date_formats", "import_flow_share", "supplier_criticality", "resolves_to_override",
-         "supplier_exposure", "action_alert_transitions", "alert_after_updates", "event_kpis", "er_best_match"]
+         "supplier_exposure", "action_alert_transitions", "alert_after_updates", "event_kpis", "er_best_match", "action_log"]
 
 
 @pytest.mark.parametrize("name", QUICK)

@@ -6,30 +6,37 @@ from pyspark.sql import Window as W, functions as F
 from riskloom.operators import spread
 
 
-def test_skew_join_keeps_every_row(spark):
+def test_joins_keep_every_row(spark):
+    """Hot keys on either side, one and many cells, one and many salts."""
     r = random.Random(3)
     big = [(0 if r.random() < 0.4 else r.randint(1, 30), i) for i in range(3000)]
-    other = [(k, f"o{k}-{j}") for k in range(31) for j in range(3)]
+    other = [(1 if r.random() < 0.4 else r.randint(0, 30), f"o{j}") for j in range(300)]
     a = spark.createDataFrame(big, "k int, i int")
     b = spark.createDataFrame(other, "k int, o string")
     want = Counter(tuple(x) for x in a.join(b, "k").collect())
-    assert Counter(tuple(x) for x in spread.skew_join(a, b, ["k"], ["i"], hot_rows=100).collect()) == want
-    assert Counter(tuple(x) for x in spread.spread_join(a, b, ["k"], ["i"]).collect()) == want
+    for block in (7, 100, 10**6):
+        assert Counter(tuple(x) for x in spread.skew_join(a, b, ["k"], ["i"], ["o"], block).collect()) == want
+        assert Counter((x.k, x.i, x.o) for x in spread.skew_join(b, a, ["k"], ["o"], ["i"], block).collect()) == want
+    for salts in (1, 5, 16):
+        assert Counter(tuple(x) for x in spread.spread_join(a, b, ["k"], ["i"], salts).collect()) == want
 
 
-def test_hot_list_is_bounded(spark):
-    df = spark.range(5000).select((F.col("id") % 1000).alias("k"))
-    assert len(spread.hot_keys(df, ["k"], hot_rows=1)) <= spread.pieces(spark)
+def test_hot_keys_are_cut_on_both_sides(spark):
+    a = spark.range(1000).selectExpr("1 as k", "id as i")
+    b = spark.range(500).selectExpr("1 as k", "id as j")
+    met = spread.skew_join(a, b, ["k"], ["i"], ["j"], 100)
+    assert met.count() == 500_000
+    assert "InMemory" not in met._jdf.queryExecution().toString()
 
 
 def test_numbering_of_a_hot_key_matches_the_window(spark):
-    rows = [("hot" if i % 3 else f"k{i % 7}", i % 11, i % 5) for i in range(2000)]  # full of copies
+    rows = [("hot" if i % 3 else f"k{i % 7}", i % 11 or None, i % 5) for i in range(2000)]  # full of copies
     df = spark.createDataFrame(rows, "k string, a int, b int")
-    order = [F.col("a"), F.col("b")]
     want = Counter(tuple(r) for r in df.withColumn("n", F.row_number().over(
-        W.partitionBy("k").orderBy(*order))).collect())
-    assert Counter(tuple(r) for r in spread.number_within(df, ["k"], order, "n", limit=50).collect()) == want
-    assert Counter(tuple(r) for r in spread.number_within(df, ["k"], order, "n").collect()) == want
+        W.partitionBy("k").orderBy("a", "b"))).collect())
+    assert Counter(tuple(r) for r in spread.number_within(df, ["k"], ["a", "b"], "n").collect()) == want
+    one = Counter((r.k, r.a, r.n) for r in spread.number_within(df.drop("b"), ["k"], ["a"], "n").collect())
+    assert sum(one.values()) == 2000 and max(n for _, _, n in one) == sum(1 for r in rows if r[0] == "hot")
 
 
 def test_rows_below_is_exact(spark):
