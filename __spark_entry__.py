@@ -443,6 +443,16 @@ def graph_edges(s: Standins) -> DataFrame:
     return graph.edges(s.ontology).select("src", "dst", "link_type")
 
 
+@query
+def graph_node_properties(s: Standins) -> DataFrame:
+    return graph.node_properties(s.ontology)
+
+
+@query
+def graph_edge_properties(s: Standins) -> DataFrame:
+    return graph.edge_properties(s.ontology)
+
+
 @query
 def graph_step(s: Standins) -> DataFrame:
     """Two hops from every event: the countries it affects, the suppliers located there."""

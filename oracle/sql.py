@@ -577,6 +577,37 @@ _DQ = [("traders_in_scope", "SELECT count(DISTINCT trader_id) FROM trader_codes"
        ("current_events", "SELECT count(*) FROM ev WHERE is_current"),
        ("po_lines_without_rate", "SELECT count(*) FROM buy WHERE amount_gbp IS NULL")]
 
+# Declared properties: (table, key, text columns, number columns); `name=expression` where the column differs.
+_PROPERTIES = {
+    "Company": ("company", "company_number", "company_number name status category postcode incorporated_on sic_codes",
+                "accounts_overdue=ao confirmation_overdue=co fragility_score"),
+    "Commodity": ("com", "cn8_code", "cn8_code description hs2_code hs4_code hs4_description", ""),
+    "Country": ("cty", "iso3", "iso3 name",
+                "uk_sanctions_regime sanctions_designations active_event_severity country_risk"),
+    "ImportFlow": ("flow", "flow_id", "flow_id cn8_code iso3", "period_start period_end value_gbp share_of_uk_imports"),
+    "RiskEvent": ("ev", "event_id", "event_id source event_type name alert_level start_date end_date",
+                  "severity is_current"),
+    "ERPSupplier": ("(SELECT vendor.*, spend_12m_gbp, criticality FROM vendor JOIN crit USING (vendor_id))", "vendor_id",
+                    "vendor_id vendor_name postcode country_iso3 stated_company_number criticality", "spend_12m_gbp"),
+    "PurchaseOrderLine": ("opo", "po_line_id", "po_line_id vendor_id cn8_code item_description order_date", "amount_gbp"),
+    "Alert": ("alert", "alert_id", "alert_id vendor_id event_id status owner note created_at updated_at", ""),
+}
+
+
+def _properties() -> str:
+    parts = []
+    for kind, (table, key, texts, numbers) in _PROPERTIES.items():
+        for spec, number in [*((x, False) for x in texts.split()), *((x, True) for x in numbers.split())]:
+            name, _, expr = spec.partition("=")
+            expr = expr or name
+            text = f"strftime({expr}, '%Y-%m-%d %H:%M:%S')" if name.endswith("ed_at") else f"{expr}::VARCHAR"
+            parts.append(f"SELECT '{kind}:' || {key} AS node_id, '{name}' AS property, "
+                         + (f"NULL::VARCHAR AS text, {expr}::DOUBLE AS number" if number
+                            else f"{text} AS text, NULL::DOUBLE AS number")
+                         + f" FROM {table} WHERE {expr} IS NOT NULL")
+    return " UNION ALL ".join(parts)
+
+
 COUNTRIES = """(SELECT a.event_id, string_agg(c.name, ', ' ORDER BY c.name) AS countries, count(c.iso3) AS n_countries
     FROM aff a LEFT JOIN cty c USING (iso3) GROUP BY 1)"""
 
@@ -713,6 +744,12 @@ QUESTIONS: dict[str, str] = {
     # graph
     "graph_nodes": "SELECT node_id, object_type, coalesce(title, '') AS title FROM node",
     "graph_edges": "SELECT * FROM edge",
+    "graph_node_properties": _properties(),
+    "graph_edge_properties": " UNION ALL ".join(
+        f"SELECT 'ERPSupplier:' || vendor_id AS src, 'Company:' || company_number AS dst, 'resolves_to' AS link_type, "
+        f"'{p}' AS property, {p + '::VARCHAR' if p == 'match_method' else 'NULL::VARCHAR'} AS text, "
+        f"{'NULL' if p == 'match_method' else p}::DOUBLE AS number FROM resolves "
+        f"WHERE company_number IS NOT NULL AND {p} IS NOT NULL" for p in ("match_method", "match_score", "confidence")),
     "graph_step": """SELECT 'RiskEvent:' || a.event_id AS event, 'Country:' || a.iso3 AS country,
         'ERPSupplier:' || v.vendor_id AS supplier FROM aff a JOIN vendor v ON v.country_iso3 = a.iso3""",
     "graph_event_impact": """SELECT x.* FROM expo x JOIN ev e USING (event_id)

@@ -49,6 +49,40 @@ def edges(t: Tables, types: list[str] | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _values(properties: Mapping[str, str]) -> Column:
+    """Structs (property, text, number) of the columns that have a value, by their declared types."""
+    def one(name: str, kind: str) -> Column:
+        c = F.col(name)
+        is_number = kind in ("boolean", "int", "bigint", "double")
+        text = (F.array_join(c, ",") if kind.startswith("array") else F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+                if kind == "timestamp" else c.cast("string"))
+        value = F.struct(F.lit(name).alias("property"),
+                         (F.lit(None).cast("string") if is_number else text).alias("text"),
+                         (c.cast("double") if is_number else F.lit(None).cast("double")).alias("number"))
+        return F.when(c.isNotNull(), value)
+
+    return F.array_compact(F.array(*[one(n, k) for n, k in properties.items()]))
+
+
+def node_properties(t: Tables, types: list[str] | None = None) -> DataFrame:
+    """(node_id, property, text, number): the declared properties of every node, typed, one pass over each table."""
+    return reduce(DataFrame.unionByName, [
+        t[OBJECTS[n].table].select(node_id(n, F.col(OBJECTS[n].key)).alias("node_id"), F.inline(
+            _values(OBJECTS[n].properties))) for n in types or OBJECTS])
+
+
+def edge_properties(t: Tables, types: list[str] | None = None) -> DataFrame:
+    """(src, dst, link_type, property, text, number) of every link that carries properties."""
+    parts = []
+    for name in types or [n for n, l in LINKS.items() if l.properties]:
+        l, kinds = LINKS[name], dict(t[LINKS[name].table].dtypes)
+        linked = t[l.table].filter(F.col(l.source_key).isNotNull() & F.col(l.target_key).isNotNull())
+        parts.append(linked.select(
+            node_id(l.source, F.col(l.source_key)).alias("src"), node_id(l.target, F.col(l.target_key)).alias("dst"),
+            F.lit(name).alias("link_type"), F.inline(_values({p: kinds[p] for p in l.properties}))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def step(frontier: DataFrame, edge: DataFrame, link_type: str, node: str, reached: str,
          forward: bool = True) -> DataFrame:
     """One hop from column `node` along a link type (or against it); adds column `reached`."""
