@@ -35,7 +35,7 @@ class Rule:
 BASE = (Rule("few_words", "n_words", low=10), Rule("repeated_words", "repeat_ratio", high=0.2))
 RULES = (
     Rule("word_length", "mean_word", low=1.5, high=15),
-    Rule("symbols", "symbol_ratio", high=0.3),
+    Rule("symbols", "symbol_ratio", high=0.08),
     Rule("repeated_lines", "dup_line_ratio", high=0.5),
     Rule("no_stop_words", "stop_ratio", low=0.005, from_words=100),
 )
@@ -168,7 +168,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
   not (n_words < 10 or 100 * n_repeat_words > 20 * n_words
        or word_chars / n_words < 1.5 or word_chars / n_words > 15
-       or n_symbols / word_chars > 0.3
+       or n_symbols / word_chars > 0.08
        or (n_lines > 0 and n_dup_lines / n_lines > 0.5)
        or (n_words >= 100 and n_stop_words / n_words < 0.005)) as kept
 from m"""

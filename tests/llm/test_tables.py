@@ -182,7 +182,7 @@ def brute_pipeline(rows):
         n, chars, symbols, dups, repeated = counts(t)
         lines = [x for x in (t or "").split("\n") if WORD.search(x)]
         stops = sum(w.lower() in quality.STOP_WORDS for w in WORD.findall(t or ""))
-        if (n >= 10 and 100 * repeated <= 20 * n and 1.5 <= chars / n <= 15 and symbols <= 0.3 * chars
+        if (n >= 10 and 100 * repeated <= 20 * n and 1.5 <= chars / n <= 15 and symbols <= 0.08 * chars
                 and dups <= 0.5 * len(lines) and (n < 100 or stops >= 0.005 * n)):
             kept.append((k, t))
     return kept
