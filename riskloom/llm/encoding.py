@@ -102,6 +102,11 @@ def worker_keeps(key: tuple, make: Callable[[], object]) -> object:
     return _ENCODERS[key]
 
 
+def forget() -> None:
+    """Frees what a worker keeps, before a stage that needs its memory."""
+    _ENCODERS.clear()
+
+
 def as_bytes(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from riskloom.llm.common import mapped, spare, table
 from riskloom.llm.encoding import slices, worker_keeps
+from riskloom.llm.hashing import BASE, mix, powers
 
 UNKNOWN = "und"
 #: Added to every count, so that no piece is impossible in any language.
@@ -32,15 +33,33 @@ REMEMBERED = 500_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def tokens_of(text: str) -> list[str]:
+    """What white space, full stops and commas separate, lower-cased: few distinct strings, quickly counted."""
+    return text.lower().replace(".", " ").replace(",", " ").split()
+
+
 def words_of(token: str) -> list[str]:
-    """The runs of letters in a token, lower-cased, cut at LONGEST letters; the start mark stands before each run."""
+    """The runs of letters in a token, cut at LONGEST letters; the start mark stands before each run."""
     out = []
-    for run in _LETTERS.findall(token.lower()):
+    for run in _LETTERS.findall(token):
         run = START + run
         out += [run[i:i + LONGEST] for i in range(0, len(run), LONGEST)]
     return out
 
 
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts in a row, and how many each has."""
+    return (np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"),
+            np.fromiter(map(len, texts), np.int64, len(texts)))
+
+
+def _sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up, down = powers(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(mix(codes.astype(np.uint64) + BASE) * up[:len(codes)], out=sums[1:])
+    return sums, down
+
+
 class Vocabulary:
     """The pieces of a sentencepiece file. Letters that no piece covers get one number for all of them."""
 
@@ -53,7 +72,16 @@ class Vocabulary:
         self.pieces = {self.model.id_to_piece(i): i for i in range(n) if not (
             self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i))}
         self.size, self.other = n + 1, n
-        self.longest = max(map(len, self.pieces))
+        # Hashes of every beginning of a piece, sorted, with its number if it is a piece itself, else -1.
+        beginnings = {piece[:j]: -1 for piece in self.pieces for j in range(1, len(piece))} | self.pieces
+        texts = sorted(beginnings)
+        codes, lengths = _codes(texts)
+        sums, down = _sums(codes)
+        first = np.cumsum(lengths) - lengths
+        hashes = (sums[first + lengths] - sums[first]) * down[first]
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], np.array([beginnings[t] for t in texts])[order]
+        self.longest = int(lengths.max())
 
     def counts(self, words: Counter) -> Counter:
         """How often each piece occurs in the vocabulary's own segmentation of the words."""
@@ -66,19 +94,32 @@ class Vocabulary:
         return found
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
-        """(end, word, start, piece) of every piece found in every word, and of single uncovered letters."""
-        rows = []
-        get = self.pieces.get
-        for k, w in enumerate(words):
-            n = len(w)
-            for i in range(n):
-                single = get(w[i])
-                rows.append((i + 1, k, i, self.other if single is None else single))
-                for j in range(i + 2, min(n, i + self.longest) + 1):
-                    piece = get(w[i:j])
-                    if piece is not None:
-                        rows.append((j, k, i, piece))
-        return tuple(np.array(rows, np.int64).reshape(-1, 4).T)
+        """(end, word, start, piece) of every piece found in every word, and of single uncovered letters.
+
+        All words at once, by length: a substring goes on growing while it begins some piece. Substrings are looked up
+        by 64-bit hashes.
+        """
+        codes, lengths = _codes(words)
+        sums, down = _sums(codes)
+        word = np.repeat(np.arange(len(words)), lengths)
+        start = np.arange(len(codes)) - (np.cumsum(lengths) - lengths)[word]
+        room = lengths[word] - start
+        at, found = np.arange(len(codes)), []
+        for n in range(1, self.longest + 1):
+            hashes = (sums[at + n] - sums[at]) * down[at]
+            k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            known = self.hashes[k] == hashes
+            piece = np.where(known, self.numbers[k], -1)
+            if n == 1:
+                found.append((at, np.where(piece < 0, self.other, piece), n))
+            else:
+                found.append((at[piece >= 0], piece[piece >= 0], n))
+            at = at[known & (room[at] > n)]
+            if not len(at):
+                break
+        place = np.concatenate([p for p, _, _ in found])
+        size = np.repeat([n for _, _, n in found], [len(p) for p, _, _ in found])
+        return start[place] + size, word[place], start[place], np.concatenate([x for _, x, _ in found])
 
 
 @dataclass(frozen=True)
@@ -137,7 +178,7 @@ class Scorer:
 
     def predict(self, texts: list[str]) -> Iterator[tuple[str, float]]:
         """(language, posterior) of each whole text; `und` and 0 for texts without a letter."""
-        counted = [Counter(t.split()) for t in texts]
+        counted = [Counter(tokens_of(t)) for t in texts]
         new = set().union(*counted)
         if len(self.known) + len(new) > REMEMBERED:
             self.known, self.scores, self.letters = {}, self.scores[:0], self.letters[:0]
@@ -186,7 +227,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", path: str | N
         for batch in batches:
             for texts, names in slices(batch.columns):
                 for t, name in zip(texts, names, strict=True):
-                    tokens.setdefault(name, Counter()).update(t.split())
+                    tokens.setdefault(name, Counter()).update(tokens_of(t))
                 if sum(map(len, tokens.values())) > 200_000:
                     fold()
         fold()

@@ -27,40 +27,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from riskloom.llm.common import at_rest, mapped, partitions, spare, table
 from riskloom.llm.components import components
+from riskloom.llm.encoding import forget
+from riskloom.llm.hashing import BASE, U, mix, powers
 
-U = np.uint64
-BASE = U(0x9E3779B97F4A7C15)
 #: A set's n-grams are compared in so many fragments; candidates are counted in each and summed.
 COUNTING = 4
 #: Keys with more documents than this are searched by several tasks.
 KEY_BLOCK = 512
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scramble of 64 bits."""
-    x = (x ^ (x >> U(33))) * U(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> U(33))) * U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> U(33))
-
-
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * BASE) | U(1)
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * BASE) | U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_OF = _BYTE[_LOWER]
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
-_powers: list[np.ndarray] = []
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        _powers.clear()
-        for base in (BASE, U(pow(int(BASE), -1, 1 << 64))):
-            p = np.full(n, base)
-            p[0] = 1
-            _powers.append(np.multiply.accumulate(p))
-    return _powers[0], _powers[1]
 
 
 def word_hashes(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,10 +55,10 @@ def word_hashes(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     starts[inner] |= black[inner]
     ends[inner - 1] |= black[inner - 1]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    up, down = _power(n + 1)
+    up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE_OF[buffer] * up[:n], out=sums[1:])
-    words = _mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+    words = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
     return words, np.searchsorted(offsets, s, side="right") - 1
 
 
@@ -86,11 +67,11 @@ def ngram_sets(buffer: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     words, owner = word_hashes(buffer, offsets)
     count = np.bincount(owner, minlength=len(offsets) - 1)
     last = np.cumsum(count)
-    weights = _mix(np.arange(1, n + 1, dtype=np.uint64)) | U(1)
+    weights = mix(np.arange(1, n + 1, dtype=np.uint64)) | U(1)
     grams = np.zeros(max(0, len(words) - n + 1), np.uint64)
     for j in range(n):
         grams += words[j:j + len(grams)] * weights[j]
-    grams = _mix(grams)
+    grams = mix(grams)
     out = []
     for c, end in zip(count.tolist(), last.tolist(), strict=True):
         if c >= n:
@@ -98,7 +79,7 @@ def ngram_sets(buffer: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
             out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         elif c:
             short = (words[end - c:end] * weights[:c]).sum(dtype=np.uint64, keepdims=True)
-            out.append(_mix(short + U(c)))
+            out.append(mix(short + U(c)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -119,7 +100,7 @@ def _texts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np
 
 def set_id(grams: np.ndarray) -> int:
     """64 bits that name a set: equal sets have equal names, also across tasks."""
-    return int((_mix(grams + BASE).sum(dtype=np.uint64) ^ U(len(grams) * 0x2545F4914F6CDD1D & (1 << 64) - 1))
+    return int((mix(grams + BASE).sum(dtype=np.uint64) ^ U(len(grams) * 0x2545F4914F6CDD1D & (1 << 64) - 1))
                .astype(np.int64)) if len(grams) else 0
 
 
@@ -128,6 +109,7 @@ def set_names(docs: DataFrame, n: int, text: str = "text", name: str = "sid", si
     columns = [c for c in docs.columns if c not in (name, size)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for at, to, buffer, offsets in _texts(batch.column(columns.index(text))):
                 sets = ngram_sets(buffer, offsets, n)
@@ -191,6 +173,7 @@ def segments(texts: DataFrame, n: int, fragments: int, most: int = 500_000) -> D
             zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], ["fragment", *BLOBS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         met: set[int] = set()
         held, size = [], 0
         for batch in batches:
@@ -238,9 +221,9 @@ def shared_grams(parts: DataFrame, groups: int) -> DataFrame:
         unique = np.bincount(owner[frequency == 1], minlength=len(sids))
         kept = frequency > 1
         # The fragment is part of what names an n-gram.
-        names = _mix(grams[kept] + np.array(rows["fragment"][:1], np.uint64) * BASE)
+        names = mix(grams[kept] + np.array(rows["fragment"][:1], np.uint64) * BASE)
         owner, frequency = owner[kept], frequency[kept]
-        group = (_mix(sids.astype(np.uint64)) % U(groups)).astype(np.int64)
+        group = (mix(sids.astype(np.uint64)) % U(groups)).astype(np.int64)
         order = np.argsort(owner, kind="stable")
         names, owner, frequency = names[order], owner[order], frequency[order]
         counts = np.bincount(owner, minlength=len(sids))
