@@ -10,7 +10,7 @@ into fragments, so that a document's set becomes short segments and each task co
    order, where `missing` is how many n-grams of a set its partner may lack: fewer if the partner is no smaller. So
    the smaller set's short prefix meets the larger one's long prefix; these, less the unique n-grams, are the keys of
    the candidate search. Sizes, and how many n-grams of a set are shared with any other, rule out most pairs.
-4. First each key links its documents to one of them only. What these links join is one component already, so the
+4. First each key links its documents to one of them only, the one with the fewest n-grams of its own. What these links join is one component already, so the
    exhaustive search that follows takes pairs from different components only.
 5. For candidate pairs the overlaps of their segments are counted fragment by fragment and summed per pair.
 
@@ -326,8 +326,10 @@ def linked_sets(docs: DataFrame, n: int, threshold: Fraction, text: str = "text"
         "key", F.col("sid").alias("b"), F.col("size").alias("size_b"), F.col("shared").alias("shared_b"),
         (F.col("at") < F.col("short")).alias("short_b")), "keys")
     pair = ["a", "b", "size_a", "size_b"]
-    # One link for each set and key, to the key's least set.
-    hubs = keys.groupBy("key").agg(F.min(F.struct("b", *[f"{c}_b" for c in SIDE])).alias("h"),
+    # One link for each set and key, to the key's set with the fewest n-grams of its own: the middle of a group of
+    # near copies, which all that are near it join at once.
+    own = (F.col("size_b") - F.col("shared_b")).alias("own")
+    hubs = keys.groupBy("key").agg(F.min(F.struct(own, "b", *[f"{c}_b" for c in SIDE])).alias("h"),
                                    F.count(F.lit(1)).alias("n")).filter("n > 1").select(
         "key", F.col("h.b").alias("a"), *[F.col(f"h.{c}_b").alias(f"{c}_a") for c in SIDE])
     stars = keys.join(hubs, "key").filter(_may_link(threshold)).select(*pair).distinct()
