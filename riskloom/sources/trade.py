@@ -54,9 +54,9 @@ def read_trade(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
 
     lines: every line is {start, end, CommodityId, CountryId, Value}.
     """
-    row = "CommodityId: long, CountryId: long, Value: double"
+    row = "CommodityId long, CountryId long, Value double"
     if lines:
-        flat = _json(spark, path, f"start: int, end: int, {row}", lines)
+        flat = _json(spark, path, f"start int, end int, {row}", lines)
         return flat.select(F.col("CommodityId").alias("commodity_id"), F.col("CountryId").alias("country_id"),
                            F.col("Value").alias("value_gbp"), F.col("start").alias("period_start"),
                            F.col("end").alias("period_end"))
