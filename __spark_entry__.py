@@ -464,13 +464,23 @@ def graph_step(s: Standins) -> DataFrame:
         "event", "country", "supplier")
 
 
+def _walked(s: Standins) -> ChainMap:
+    """The tables of the walk."""
+    return ChainMap({"erp_supplier": s.clean_vendors, "import_flow": s.flow_at_rest}, s.ontology)
+
+
+@query
+def graph_footprint_impact(s: Standins) -> DataFrame:
+    """The walk for all events, once per footprint and severity; it must equal supplier_exposure."""
+    return graph.footprint_impact(_walked(s), s.vendor_home.filter("is_home"), s.events)
+
+
 @query
 def graph_event_impact(s: Standins) -> DataFrame:
     """The walk for the events of the latest hour."""
     last = s.risk_event.agg(F.max(F.substring("name", -13, 13)).alias("h")).scalar()
     asked = s.risk_event.filter(F.substring("name", -13, 13) == last)
-    t = ChainMap({"erp_supplier": s.clean_vendors, "import_flow": s.flow_at_rest}, s.ontology)
-    return graph.event_impact(t, s.vendor_home.filter("is_home"), asked)
+    return graph.event_impact(_walked(s), s.vendor_home.filter("is_home"), asked)
 
 
 @query

@@ -752,6 +752,8 @@ QUESTIONS: dict[str, str] = {
         f"WHERE company_number IS NOT NULL AND {p} IS NOT NULL" for p in ("match_method", "match_score", "confidence")),
     "graph_step": """SELECT 'RiskEvent:' || a.event_id AS event, 'Country:' || a.iso3 AS country,
         'ERPSupplier:' || v.vendor_id AS supplier FROM aff a JOIN vendor v ON v.country_iso3 = a.iso3""",
+    "graph_footprint_impact": """SELECT DISTINCT footprint, e.severity, vendor_id, exposure_score, driver_commodity,
+        driver_country, path_type FROM expo JOIN fp USING (event_id) JOIN ev e USING (event_id)""",
     "graph_event_impact": """SELECT x.* FROM expo x JOIN ev e USING (event_id)
         WHERE right(e.name, 13) = (SELECT max(right(name, 13)) FROM ev)""",
     "explain_path": """SELECT x.event_id, x.vendor_id, concat_ws(' > ', e.name || ' (' || e.alert_level || ')',

@@ -135,6 +135,15 @@ def event_impact(t: Tables, home: DataFrame, asked: DataFrame) -> DataFrame:
     return inferred.select(*columns).unionByName(direct.select(*columns)).filter("exposure_score > 0")
 
 
+def footprint_impact(t: Tables, home: DataFrame, events: DataFrame) -> DataFrame:
+    """(footprint, severity, vendor_id) of every event: the walk taken once from one event of each kind.
+
+    Events that share footprint and severity have the same edges to countries. events: event_id, footprint, severity.
+    """
+    kinds = events.groupBy("footprint", "severity").agg(F.min("event_id").alias("event_id"))
+    return event_impact(t, home, kinds).join(kinds, "event_id").drop("event_id")
+
+
 def reached(po: DataFrame, suppliers: DataFrame, import_flow: DataFrame, countries: DataFrame) -> DataFrame:
     """(footprint, vendor_id) on any path before scoring: located there, or selling a commodity imported from there.
 

@@ -60,6 +60,17 @@ def test_walk_equals_joins(spark, given):
         assert (a[k].driver_commodity, a[k].driver_country) == (b[k].driver_commodity, b[k].driver_country)
 
 
+def test_registered_walk_covers_every_event(spark, given):
+    """The registered walk holds every footprint and severity that exposes a supplier, not only the latest ones."""
+    import __spark_entry__ as e
+    got = e.queries()["graph_footprint_impact"](spark, SF)
+    keys = ["footprint", "severity", "vendor_id"]
+    assert got.select(keys).exceptAll(given.scored.select(keys)).count() == 0
+    assert given.scored.select(keys).exceptAll(got.select(keys)).count() == 0
+    impacted = ex.for_events(got, given.events).select("event_id").distinct().count()
+    assert impacted == ex.for_events(given.scored, given.events).select("event_id").distinct().count() > 5
+
+
 def test_nested_breakdown(given):
     import __spark_entry__ as e
     flat = e._breakdown(given)
