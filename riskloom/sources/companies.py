@@ -1,4 +1,4 @@
-"""Company register: ragged comma-separated lines whose tail shifts when a row carries an extra SIC code."""
+"""Company register: ragged comma-separated records whose tail shifts when a row carries an extra SIC code."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -19,14 +19,18 @@ HEADER_NUMBER = "CompanyNumber"
 
 
 def csv_cells(line: Column) -> Column:
-    """All fields of one line, empty ones included. spark.read.csv cannot tell an empty from a missing field."""
+    """All fields of one record, empty ones included. spark.read.csv cannot tell an empty from a missing field."""
     cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'), F.lit(1))
     return F.transform(cells, lambda c: F.when(
-        c.rlike('^".*"$'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+        c.rlike('(?s)^".*"$'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).withColumnRenamed("value", "line")
+    """line: each record as written, quoted line breaks inside it. One task per file; a folder may hold many."""
+    # A record of more than one field does not fit this schema, so it is handed over whole.
+    raw = (spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"')
+           .option("columnNameOfCorruptRecord", "record").schema("c0 string, record string").csv(path))
+    return raw.select(F.rtrim(F.coalesce("record", "c0"), F.lit("\r\n")).alias("line"))
 
 
 def split_lines(lines: DataFrame) -> DataFrame:
@@ -50,7 +54,7 @@ def split_lines(lines: DataFrame) -> DataFrame:
 
 
 def open_quotes(lines: DataFrame) -> DataFrame:
-    """Quality metric: lines a quoted line break cut in two (odd number of quotes)."""
+    """Quality metric: records whose quotes do not close (odd number of quotes)."""
     quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))
     return lines.agg(F.count_if(quotes % 2 == 1).alias("value")).select(
         F.lit("company_lines_with_open_quote").alias("metric"), F.col("value").cast("double").alias("value"))

@@ -97,6 +97,27 @@ def test_readers(spark, raw):
     assert {r.iso3: r.designations for r in s} == {"RUS": 1, "CHN": 1}
 
 
+def test_company_with_quoted_line_breaks(spark, tmp_path):
+    """Breaks in the first, a middle and a late field; files past the parser's buffer; both line ends."""
+    sics = ["24100 - Steel", "None Supplied", "", ""]
+    for end in ("\n", "\r\n"):
+        odd = [company_line('Delta\n"Tubes" Ltd', "00000004", "M4 4DD", sics),
+               company_line("Eta Rods Ltd", "00000005", '"M5\n5EE"', sics).replace('"""', '"'), company_line(
+                   "Theta Ltd", "00000006", "M6 6FF", sics, ["two\nlines, late"])]
+        many = [company_line(f"Plain {i} Ltd", f"{i:08d}", "M1 1AA", sics) for i in range(100, 15_100)]
+        folder = tmp_path / str(len(end))
+        folder.mkdir()
+        lines = ["CompanyName, CompanyNumber" + ",h" * 40, *many[:9_000], *odd, *many[9_000:], "too,short"]
+        (folder / "a.csv").write_bytes((end.join(lines) + end).encode())
+        (folder / "b.csv").write_bytes((company_line("Iota,\nLtd", "00000007", "M7 7GG", sics)).encode())
+        c = {r.company_number: r for r in companies.read(spark, str(folder)).collect()}
+        assert len(c) == 15_004 and c["00000004"].name == 'Delta\n"Tubes" Ltd' and c["00000007"].name == "Iota,\nLtd"
+        assert all(r.sic_codes == ["24100"] and r.confstmt_next_due == dt.date(2020, 6, 15) for r in c.values())
+        assert all(c[f"{i:08d}"].name == f"Plain {i} Ltd" for i in range(100, 15_100))
+        assert (c["00000005"].postcode_norm, c["00000006"].postcode_norm) == ("M55EE", "M66FF")
+        assert companies.open_quotes(companies.read_lines(spark, str(folder))).first().value == 0
+
+
 def test_rollup_window(spark):
     m = spark.createDataFrame([(72000001, 1, mon, flow, 1.0) for mon in (202412, 202501, 202512) for flow in (1, 2, 3)]
                               + [(11000000, 1, 202512, 1, 9.0)],
