@@ -3,7 +3,8 @@
 A text's paragraphs (lines, cut further after sentence ends) are hashed; each distinct digest is put into three cells
 of a small table, one in each third. The tables of two versions subtract cell by cell: common paragraphs vanish, and
 peeling the cells that hold a single digest recovers those that differ. Where peeling gets stuck, it is tried again
-with tables that are large enough for all paragraphs of both sides. All of it is a projection without a shuffle.
+with tables that are large enough for all paragraphs of both sides, and each of those that gets stuck with other
+cells, twice as many each time. All of it is a projection without a shuffle.
 """
 from __future__ import annotations
 
@@ -16,6 +17,8 @@ THIRD = 12
 #: On failure: cells of a third, and digests of both sides for each table.
 LARGER = 16
 PER_TABLE = 16
+#: Tries of a table of the larger ones, each with another seed and twice the cells of the try before.
+TRIES = 4
 #: Rounds of peeling in a table; each round removes every digest that stands alone in some cell.
 ROUNDS = 12
 #: Where paragraphs end.
@@ -28,8 +31,10 @@ def digests(text: Column) -> Column:
                                         lambda p: F.xxhash64(p)))
 
 
-def _cell(digest: Column, third: int, size: int) -> Column:
-    """The digest's cell in one third of a table."""
+def _cell(digest: Column, third: int, size: int, seed: int = 0) -> Column:
+    """The digest's cell in one third of a table; seed 0 takes the digest's own bits."""
+    if seed:
+        digest = F.xxhash64(digest, F.lit(1000 + seed))
     return F.lit(third * size) + F.pmod(F.shiftrightunsigned(digest, 20 * third), F.lit(size)).cast("int")
 
 
@@ -41,10 +46,10 @@ def _is(column: Column, name: str) -> Column:
     return column.alias(name)
 
 
-def cells(found: Column, size: int = THIRD) -> Column:
+def cells(found: Column, size: int = THIRD, seed: int = 0) -> Column:
     """3 * size structs (n, key, check): how many digests a cell holds, their xor, and the xor of their checks."""
     entries = F.transform(found, lambda d: F.struct(
-        _is(d, "key"), _is(_check(d), "check"), *[_is(_cell(d, t, size), f"c{t}") for t in range(3)]))
+        _is(d, "key"), _is(_check(d), "check"), *[_is(_cell(d, t, size, seed), f"c{t}") for t in range(3)]))
     zero = F.lit(0).cast("long")
     nothing = F.struct(_is(F.lit(0), "n"), _is(zero, "key"), _is(zero, "check"))
     return let(entries, lambda rows: F.transform(F.sequence(F.lit(0), F.lit(3 * size - 1)), lambda c: F.aggregate(
@@ -60,7 +65,7 @@ def subtract(a: Column, b: Column) -> Column:
         _is(x["check"].bitwiseXOR(y["check"]), "check")))
 
 
-def peeled(difference: Column, size: int = THIRD) -> Column:
+def peeled(difference: Column, size: int = THIRD, seed: int = 0) -> Column:
     """(left, found): the cells after peeling, all zero on success, and the recovered (sign, key) structs."""
     empty = F.array().cast("array<struct<sign:int,key:bigint>>")
 
@@ -72,7 +77,7 @@ def peeled(difference: Column, size: int = THIRD) -> Column:
     def without(left: Column, single: Column) -> Column:
         placed = F.transform(single, lambda s: F.struct(
             _is(s["sign"], "sign"), _is(s["key"], "key"), _is(_check(s["key"]), "check"),
-            *[_is(_cell(s["key"], t, size), f"c{t}") for t in range(3)]))
+            *[_is(_cell(s["key"], t, size, seed), f"c{t}") for t in range(3)]))
         return let(placed, lambda rows: F.transform(left, lambda c, i: F.aggregate(
             F.filter(rows, lambda s: (s["c0"] == i) | (s["c1"] == i) | (s["c2"] == i)), c,
             lambda a, s: F.struct(_is(a["n"] - s["sign"], "n"), _is(a["key"].bitwiseXOR(s["key"]), "key"),
@@ -92,15 +97,30 @@ def stuck(result: Column) -> Column:
 
 
 def one_sided(a: Column, b: Column) -> Column:
-    """The (sign, key) structs by comparing the arrays: for the rare small table that cannot be peeled at all."""
+    """The (sign, key) structs by comparing the arrays: for a table that no try could peel."""
     def only(sign: int, x: Column, y: Column) -> Column:
         return F.transform(F.array_except(x, y), lambda k: F.struct(_is(F.lit(sign), "sign"), _is(k, "key")))
 
     return F.concat(only(1, a, b), only(-1, b, a))
 
 
+def attempt(a: Column, b: Column, k: int) -> Column:
+    """(tries, a, b, found) of the k-th try of a table: a and b stay for the next try if it gets stuck, else found."""
+    size, none = LARGER << k, F.lit(None)
+    return let(peeled(subtract(cells(a, size, k), cells(b, size, k)), size, k), lambda r: F.when(
+        stuck(r), F.struct(_is(F.lit(k + 1), "tries"), _is(a, "a"), _is(b, "b"),
+                           _is(none.cast("array<struct<sign:int,key:bigint>>"), "found"))).otherwise(
+        F.struct(_is(F.lit(k), "tries"), _is(none.cast("array<bigint>"), "a"), _is(none.cast("array<bigint>"), "b"),
+                 _is(r["found"], "found"))))
+
+
+def again(tables: Column, k: int) -> Column:
+    """The tables with the k-th try of those that are stuck."""
+    return F.transform(tables, lambda t: F.when(t["found"].isNull(), attempt(t["a"], t["b"], k)).otherwise(t))
+
+
 def larger(a: Column, b: Column) -> Column:
-    """The difference by tables large enough for all digests of both sides.
+    """The first try of tables that are large enough for all digests of both sides.
 
     The large table is many small ones of LARGER cells a third, each for its share of the digests, some PER_TABLE of
     both sides together. Shares are cut twice, so that a side of n digests is read about 2 * sqrt(n) times at most.
@@ -118,13 +138,19 @@ def larger(a: Column, b: Column) -> Column:
 
         return F.struct(_is(mine(s["a"]), "a"), _is(mine(s["b"]), "b"))
 
-    def solved(t: Column) -> Column:
-        return let(peeled(subtract(cells(t["a"], LARGER), cells(t["b"], LARGER)), LARGER), lambda r: F.when(
-            stuck(r), one_sided(t["a"], t["b"])).otherwise(r["found"]))
-
     pairs = F.flatten(F.transform(shares, lambda s: F.transform(
         F.sequence(F.lit(0), s["root"] - 1), lambda j: table_of(s, j))))
-    return F.flatten(F.transform(pairs, solved))
+    return F.transform(pairs, lambda t: attempt(t["a"], t["b"], 0))
+
+
+def tried(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """df with the peeled published tables as `_name`, and as `_name_larger` the larger tables after all tries."""
+    df = df.withColumns({f"_{n}": peeled(subtract(F.col(a)["cells"], F.col(b)["cells"])) for n, (a, b) in pairs.items()})
+    df = df.withColumns({f"_{n}_larger": F.when(stuck(F.col(f"_{n}")), larger(F.col(a)["keys"], F.col(b)["keys"]))
+                         for n, (a, b) in pairs.items()})
+    for k in range(1, TRIES):
+        df = df.withColumns({f"_{n}_larger": again(F.col(f"_{n}_larger"), k) for n in pairs})
+    return df
 
 
 def compared(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
@@ -132,10 +158,9 @@ def compared(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
 
     First the two published tables are subtracted and peeled; where that gets stuck, the larger ones decide.
     """
-    peel = {f"_{n}": peeled(subtract(F.col(a)["cells"], F.col(b)["cells"])) for n, (a, b) in pairs.items()}
-    df = df.withColumns(peel)
-    return df.withColumns({n: F.when(stuck(F.col(f"_{n}")), larger(F.col(a)["keys"], F.col(b)["keys"])).otherwise(
-        F.col(f"_{n}")["found"]) for n, (a, b) in pairs.items()}).drop(*peel)
+    return tried(df, pairs).withColumns({n: F.when(F.col(f"_{n}_larger").isNotNull(), F.flatten(F.transform(
+        f"_{n}_larger", lambda t: F.coalesce(t["found"], one_sided(t["a"], t["b"]))))).otherwise(
+        F.col(f"_{n}")["found"]) for n in pairs}).drop(*[f"_{n}{end}" for n in pairs for end in ("", "_larger")])
 
 
 def likeness(a: Column, b: Column, difference: Column) -> Column:
