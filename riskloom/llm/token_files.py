@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from riskloom.llm.common import bounds_of, bucket_of, mapped, partitions, shared_folder, table
-from riskloom.llm.encoding import library_ids, slices
+from riskloom.llm.encoding import library_ids, load_tokenizer, slices
 
 END = 0
 SAMPLE = 64
@@ -69,6 +69,10 @@ class EliasFano:
         place = 8 * byte + (word & -word).bit_length() - 1
         return ((place - i) << self.low_bits) | self._low(i)
 
+    def bounds(self, i: int) -> tuple[int, int]:
+        """Where document i begins and ends, if the values are the ends of documents."""
+        return self.select(i - 1) if i else 0, self.select(i)
+
     def all(self) -> np.ndarray:
         """Every value at once."""
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
@@ -80,30 +84,43 @@ class EliasFano:
         return [self.low_bits, self.low.tobytes(), self.high.tobytes(), self.samples.tobytes()]
 
 
+def bytes_for(path: str | None) -> int:
+    """2 where every id of the vocabulary file fits, else 4."""
+    return 2 if load_tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+
+
+def packed(ids: np.ndarray, id_bytes: int) -> bytes:
+    """Ids as little-endian bytes; an id that does not fit is an error."""
+    if len(ids) and int(ids.max()) >> (8 * id_bytes):
+        raise ValueError(f"id {int(ids.max())} does not fit {id_bytes} bytes")
+    return ids.astype(f"<u{id_bytes}").tobytes()
+
+
 def tokenised(docs: DataFrame, key: str, text: str, path: str | None, id_bytes: int) -> DataFrame:
     """(_key, _n, _ids): the ids of each text with the end id, as bytes."""
-    kind = f"<u{id_bytes}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_ids(path)
         for batch in batches:
             for keys, texts in slices(batch.columns):
-                ids = [np.append(x, END).astype(kind) for x in encoder.ids([t or "" for t in texts])]
+                ids = [np.append(x, END) for x in encoder.ids([t or "" for t in texts])]
                 yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array(
-                    [x.tobytes() for x in ids], pa.binary())], ["_key", "_n", "_ids"])
+                    [packed(x, id_bytes) for x in ids], pa.binary())], ["_key", "_n", "_ids"])
 
     return docs.select(F.col(key).cast("long"), text).transform(mapped, run, "_key long, _n long, _ids binary")
 
 
 def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", path: str | None = None,
-          id_bytes: int = 2, segment_tokens: int = 4_000_000) -> None:
+          id_bytes: int | None = None, segment_tokens: int = 4_000_000) -> None:
     """Writes the token files of all texts in ascending key order.
 
     Texts are encoded where they are read; only ids are shuffled, once, to buckets that are quantile ranges of the
     key. A segment ends after segment_tokens ids, or after one document that is longer. Null texts are empty, so
     they hold the end id alone; null keys come first; equal keys follow each other in the order of their ids.
+    Without id_bytes, the vocabulary's size decides.
     """
     spark = docs.sparkSession
+    id_bytes = id_bytes or bytes_for(path)
     narrow = docs.select(F.col(key).cast("long").alias("_key"))
     bounds = bounds_of(narrow, "_key", 4 * partitions(spark))
     rows = tokenised(docs, key, text, path, id_bytes).withColumn("_bucket", bucket_of("_key", bounds))
@@ -141,9 +158,10 @@ ARROW = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("n_docs", pa.i
 NAMES = ARROW.names
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
+def read(spark: SparkSession, folder: str, key: int | None = None) -> DataFrame:
     """(key, start, n_tokens, ids): the documents of a folder, start counted over all documents before.
 
+    With a key, only the documents that have it; only their ends are then selected and only their ids are cut out.
     Segment sizes are summed in segment order: a row for each segment, read without the ids.
     """
     segments = spark.read.schema(SEGMENT).parquet(folder)
@@ -161,15 +179,19 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 n = row["n_docs"]
-                ends = EliasFano(n, *[row[c] for c in ("low_bits", "low", "high", "samples")]).all()
-                begins = np.concatenate([[0], ends[:-1]])
+                ends = EliasFano(n, *[row[c] for c in ("low_bits", "low", "high", "samples")])
                 null = np.unpackbits(np.frombuffer(row["null_keys"], np.uint8))[:n].astype(bool)
+                keys = np.frombuffer(row["keys"], "<i8")
+                chosen = range(n) if key is None else np.flatnonzero((keys == key) & ~null).tolist()
+                places = [ends.bounds(i) for i in chosen]
                 ids = np.frombuffer(row["ids"], f"<u{row['id_bytes']}")
+                at = np.array(chosen, np.int64)
                 yield pa.record_batch([
-                    pa.array(np.frombuffer(row["keys"], "<i8"), pa.int64(), mask=null),
-                    pa.array(begins + row["_start"], pa.int64()), pa.array(ends - begins, pa.int64()),
-                    pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(begins, ends, strict=True)],
-                             pa.binary())], ["key", "start", "n_tokens", "ids"])
+                    pa.array(keys[at], pa.int64(), mask=null[at]),
+                    pa.array([a + row["_start"] for a, _ in places], pa.int64()),
+                    pa.array([b - a for a, b in places], pa.int64()),
+                    pa.array([ids[a:b].astype("<u4").tobytes() for a, b in places], pa.binary())],
+                    ["key", "start", "n_tokens", "ids"])
 
     return segments.join(starts, ["bucket", "part"]).drop("n_tokens").transform(mapped,
         run, "key long, start long, n_tokens long, ids binary")

@@ -102,6 +102,21 @@ def test_token_files(spark, edge_docs, no_docs, table_dir, library, tmp_path):
     assert token_files.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_token_files_by_key(spark, edge_docs, tmp_path):
+    """Documents are found by their key and by select; ids that two bytes cannot hold are not wrapped."""
+    folder = str(tmp_path / "keyed")
+    token_files.write(edge_docs, folder, segment_tokens=100)
+    every = sorted(token_files.read(spark, folder).collect(), key=str)
+    for k in {r.key for r in every if r.key is not None} | {-5}:
+        got = sorted(token_files.read(spark, folder, k).collect(), key=str)
+        assert got == [r for r in every if r.key == k]
+    assert token_files.bytes_for(None) == 2
+    assert token_files.packed(np.array([65_535], "<u4"), 2) == b"\xff\xff"
+    with pytest.raises(ValueError):
+        token_files.packed(np.array([1, 65_536], "<u4"), 2)
+    assert token_files.packed(np.array([65_536], "<u4"), 4) == b"\0\0\1\0"
+
+
 def test_section_counts(spark, edge_docs, no_docs, library):
     for rule in attribution.RULES:
         got = {}
