@@ -6,13 +6,14 @@
    sketch only the rarest size - needed + 1 values need lists: every linked pair meets in one of them.
 3. Each list first links its members to one of them only, the one that shares most of its values with others. What
    these links join is one component already; the search of all pairs of a list then takes pairs of different
-   components only, in blocks, so that no list is a single task's work.
+   components only, in blocks, so that no list is a single task's work. Before it, sets that share too few of all
+   their shingles with any others in such lists are put aside: they have no partner.
 4. A candidate pair's union sketch, the K least hashes of both, estimates the Jaccard similarity: the share of its
    values that both retain. Pairs far below the threshold go.
 5. The others are verified on the full sets, which are made from the texts of the candidates alone.
 
 Sets of at most K shingles are their own sketches, so the bounds on them are exact. For larger ones `needed` leaves a
-linked pair a chance of less than ERROR to be missed.
+linked pair a chance of less than ERROR to be missed; it falls fast above the threshold.
 """
 from __future__ import annotations
 
@@ -38,16 +39,52 @@ ERROR = Fraction(1, 10 ** 9)
 LIST_BLOCK = 512
 
 
+#: Sets of a size are bounded as the largest of their step; each step is larger by this.
+STEP = 1.1
+
+
 @cache
-def needed(k: int, threshold: Fraction, error: Fraction = ERROR) -> int:
-    """The most values x of a union sketch of k such that a pair at the threshold shares fewer with a chance of at
-    most `error`. Draws without replacement stray less than the binomial ones that are summed here."""
-    t, below = threshold, Fraction(0)
-    for x in range(k + 1):
-        below += comb(k, x) * t ** x * (1 - t) ** (k - x)
-        if below > error:
+def least_shared(union: int, k: int, threshold: Fraction, error: Fraction = ERROR) -> int:
+    """The most x such that two sets of so large a union, at the threshold, share fewer than x of its k least hashes
+    with a chance of at most `error`: k draws without replacement."""
+    common = -(-threshold.numerator * union // threshold.denominator)
+    drawn = min(k, union)
+    low = max(0, drawn - (union - common))
+    ways, bar = 0, error * comb(union, drawn)
+    for x in range(low, min(drawn, common) + 1):
+        ways += comb(common, x) * comb(union - common, drawn - x)
+        if ways > bar:
             return x
-    return k
+    return min(drawn, common)
+
+
+@cache
+def steps(k: int, threshold: Fraction) -> tuple[list[int], list[int]]:
+    """Ascending sizes, and for sets of at most that size (more than the one before) the least share of their sketch.
+
+    A partner's union with a set of size s has s / threshold shingles at most; for smaller ones the share is larger.
+    The last step holds for all larger sizes: it takes the limit, draws with replacement.
+    """
+    sizes, least = [k], []
+    while sizes[-1] < 64 * k:
+        sizes.append(int(sizes[-1] * STEP))
+    for s in sizes:
+        least.append(least_shared(int(s / threshold), k, threshold))
+    t, below = threshold, Fraction(0)
+    limit = next(x for x in range(k + 1) if (below := below + comb(k, x) * t ** x * (1 - t) ** (k - x)) > ERROR)
+    return sizes, [*least, limit]
+
+
+def needed(size: Column, k: int, threshold: Fraction) -> Column:
+    """How many retained values a set of this size shares with any partner, but for a chance of ERROR.
+
+    Where the union is within k, it is the whole overlap: at least the threshold's share of the set.
+    """
+    own = F.ceil(size * threshold.numerator / F.lit(threshold.denominator)).cast("long")
+    sizes, least = steps(k, threshold)
+    at = F.when(size <= k, 0).otherwise(F.least(F.lit(len(sizes)), F.ceil(
+        F.log(size / F.lit(float(k))) / F.lit(float(np.log(STEP)))).cast("int") + 1))
+    return F.least(own, F.element_at(F.array(*[F.lit(x) for x in least]), at + 1).cast("long"))
 
 
 def sketches(docs: DataFrame, n: int, k: int, key: str, text: str) -> DataFrame:
@@ -127,7 +164,7 @@ def _estimated(pairs: DataFrame, sets: DataFrame, k: int, threshold: Fraction) -
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), least))
     whole = F.greatest("size_a", "size_b") <= k
     exact = _share(F.size(F.array_intersect("sa", "sb")), F.col("size_a"), F.col("size_b"), threshold)
-    enough = both >= F.least(F.lit(needed(k, threshold)), F.size(least))
+    enough = both >= needed(F.least("size_a", "size_b"), k, threshold)
     return met.filter(F.when(whole, exact).otherwise(enough)).select("a", "b", "size_a", "size_b")
 
 
@@ -144,9 +181,9 @@ def _may_link(threshold: Fraction, k: int) -> Column:
     a, b = F.col("size_a"), F.col("size_b")
     up, down = threshold.numerator, threshold.denominator
     shared = F.least("shared_a", "shared_b")
-    whole = (up + down) * shared >= up * (a + b)
+    whole = _within(shared, a, b, threshold)
     return ((F.col("a") != F.col("b")) & (down * F.least(a, b) >= up * F.greatest(a, b))
-            & F.when(F.greatest(a, b) <= k, whole).otherwise(shared >= needed(k, threshold)))
+            & (shared >= needed(F.least(a, b), k, threshold)) & ((F.greatest(a, b) > k) | whole))
 
 
 def _lists(sets: DataFrame, k: int, threshold: Fraction) -> DataFrame:
@@ -156,21 +193,40 @@ def _lists(sets: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     """
     posts = sets.select("id", "size", F.explode("sketch").alias("value"))
     frequency = at_rest(posts.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "values")
-    up, down = threshold.numerator, threshold.denominator
-    retained = F.least("size", F.lit(k))
-    # The least overlap of a sketch with that of any partner: all of its own set's, or what the estimate asks for.
-    own = F.ceil(F.col("size") * up / F.lit(down)).cast("long")
-    least = F.when(F.col("size") * down < up * k, own).otherwise(F.lit(needed(k, threshold)))
     by_set = (posts.join(frequency, "value").groupBy("id", "size")
               .agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
               # Values of this sketch alone come first in the order and have no list.
               .select("id", "size", F.size("values").alias("shared"), "values",
-                      (F.size("values") - least + 1).alias("first")))
+                      (F.size("values") - needed(F.col("size"), k, threshold) + 1).cast("int").alias("first")))
     return by_set.filter("first > 0").select(
         "id", "size", "shared", F.explode(F.slice("values", F.lit(1), F.least("first", F.size("values")))).alias("v")
     ).select(F.col("v.value").alias("value"), "id", "size", "shared")
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """(value, blocks) of the lists whose members are in several components."""
+    return placed.groupBy("value").agg(F.min("root_b").alias("lo"), F.max("root_b").alias("hi"),
+                                       F.count(F.lit(1)).alias("m")).filter("lo <> hi").select(
+        "value", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("blocks"))
+
+
+def _within(shared: Column, a: Column, b: Column, threshold: Fraction) -> Column:
+    """Whether sets of sizes a and b that share at most `shared` can reach the threshold."""
+    return (threshold.numerator + threshold.denominator) * shared >= threshold.numerator * (a + b)
+
+
+def _with_partners(placed: DataFrame, grams: DataFrame, threshold: Fraction) -> DataFrame:
+    """placed, with full_b: how many of a set's shingles, of all, other sets of placed have. Those of too many shingles
+    of their own have no partner there, and go."""
+    asked = placed.select(F.col("b").alias("id"), "size_b").distinct()
+    posts = grams.join(asked, "id").select("id", "size_b", F.explode("grams").alias("gram"))
+    several = at_rest(posts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("gram"), "several")
+    full = posts.join(several, "gram").groupBy(F.col("id").alias("b"), F.col("size_b").alias("_s")).agg(
+        F.count(F.lit(1)).alias("full_b"))
+    full = full.filter(threshold.denominator * F.col("full_b") >= threshold.numerator * F.col("_s")).drop("_s")
+    return placed.join(full, "b")
+
+
 def links(docs: DataFrame, n: int, threshold: Fraction, key: str, text: str, k: int) -> tuple[DataFrame, DataFrame]:
     """(key, sid, size) of every row, and the components (v, root) of the names of sets that link with another."""
     found = at_rest(sketches(docs, n, k, key, text), "sketches")
@@ -197,16 +253,21 @@ def links(docs: DataFrame, n: int, threshold: Fraction, key: str, text: str, k:
     # Pairs of a list that are not in one component already.
     placed = at_rest(as_b.join(joined.withColumnRenamed("v", "b"), "b", "left").withColumn(
         "root_b", F.coalesce("root", "b")).drop("root"), "placed")
-    mixed = placed.groupBy("value").agg(F.min("root_b").alias("lo"), F.max("root_b").alias("hi"),
-                                        F.count(F.lit(1)).alias("m")).filter("lo <> hi").select(
-        "value", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("blocks"))
-    split = placed.join(mixed, "value")
+    open_ = at_rest(placed.join(_mixed(placed).select("value"), "value"), "open")
+    open_ = at_rest(_with_partners(open_, grams, threshold), "partners")
+    # A pair is taken in the first list only of those that both are in.
+    mixed = at_rest(open_.join(_mixed(open_), "value"), "mixed")
+    in_lists = mixed.groupBy("b").agg(F.sort_array(F.collect_set("value")).alias("lists_b"))
+    split = mixed.join(in_lists, "b")
     left = split.withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).select(
-        "value", "block", *[F.col(f"{c}b").alias(f"{c}a") for c in ("", "size_", "shared_", "root_")])
+        "value", "block", *[F.col(f"{c}b").alias(f"{c}a") for c in (
+            "", "size_", "shared_", "root_", "full_", "lists_")])
     right = split.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     rest = left.join(right, ["value", "block"]).filter(
-        (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _may_link(threshold, k))
-    rest = at_rest(_estimated(rest.select(pair).distinct(), sets, k, threshold), "rest")
+        (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _may_link(threshold, k)
+        & _within(F.least("full_a", "full_b"), F.col("size_a"), F.col("size_b"), threshold)
+        & (F.element_at(F.array_intersect("lists_a", "lists_b"), 1) == F.col("value")))
+    rest = at_rest(_estimated(rest.select(pair), sets, k, threshold), "rest")
     second = _verified(rest, grams, threshold)
     roots = components(first.unionAll(second))
     name = sets.select("id", "sid")
