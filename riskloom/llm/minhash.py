@@ -37,6 +37,8 @@ K = 128
 ERROR = Fraction(1, 10 ** 9)
 #: Members of a list that one task compares.
 LIST_BLOCK = 512
+#: Rare shingles that a set carries for a quick look at a pair. Sets that need more go without that look.
+MOST_RARE = 256
 
 
 #: Sets of a size are bounded as the largest of their step; each step is larger by this.
@@ -216,15 +218,36 @@ def _within(shared: Column, a: Column, b: Column, threshold: Fraction) -> Column
 
 
 def _with_partners(placed: DataFrame, grams: DataFrame, threshold: Fraction) -> DataFrame:
-    """placed, with full_b: how many of a set's shingles, of all, other sets of placed have. Those of too many shingles
-    of their own have no partner there, and go."""
+    """placed, with full_b, how many of a set's shingles, of all, other sets of placed have, and rare_b, its rarest.
+
+    Sets of too many shingles of their own have no partner there, and go. Two linked sets share one of the rarest that
+    are left to either when all but the least overlap are taken away; rare_b holds these, or null where they are many.
+    The overlap is larger with a partner that is no smaller: then the first brief_b of them will do.
+    """
     asked = placed.select(F.col("b").alias("id"), "size_b").distinct()
     posts = grams.join(asked, "id").select("id", "size_b", F.explode("grams").alias("gram"))
-    several = at_rest(posts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("gram"), "several")
-    full = posts.join(several, "gram").groupBy(F.col("id").alias("b"), F.col("size_b").alias("_s")).agg(
-        F.count(F.lit(1)).alias("full_b"))
-    full = full.filter(threshold.denominator * F.col("full_b") >= threshold.numerator * F.col("_s")).drop("_s")
-    return placed.join(full, "b")
+    several = at_rest(posts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "several")
+    def overlap(share: Fraction) -> Column:
+        return F.ceil(F.col("size_b") * share.numerator / F.lit(share.denominator)).cast("int")
+
+    rarest = F.transform(F.slice("grams", F.lit(1), F.col("spare")), lambda g: g["gram"])
+    full = posts.join(several, "gram").groupBy("id", "size_b").agg(
+        F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams")).select(
+        F.col("id").alias("b"), F.size("grams").alias("full_b"), "grams",
+        (F.size("grams") - overlap(threshold) + 1).alias("spare"),
+        F.greatest(F.lit(0), F.size("grams") - overlap(2 * threshold / (1 + threshold)) + 1).alias("brief_b"))
+    return placed.join(full.filter("spare > 0").select(
+        "b", "full_b", "brief_b", F.when(F.col("spare") <= MOST_RARE, rarest).alias("rare_b")), "b")
+
+
+def _meet() -> Column:
+    """Whether a and b share one of their rarest shingles, as far as they carry them."""
+    def side(v: str, other: str) -> Column:
+        rare = F.col(f"rare_{v}")
+        return F.when(F.col(f"size_{v}") <= F.col(f"size_{other}"), F.slice(rare, F.lit(1), F.col(f"brief_{v}"))
+                      ).otherwise(rare)
+
+    return F.coalesce(F.arrays_overlap(side("a", "b"), side("b", "a")), F.lit(True))
 
 
 def links(docs: DataFrame, n: int, threshold: Fraction, key: str, text: str, k: int) -> tuple[DataFrame, DataFrame]:
@@ -261,12 +284,13 @@ def links(docs: DataFrame, n: int, threshold: Fraction, key: str, text: str, k:
     split = mixed.join(in_lists, "b")
     left = split.withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).select(
         "value", "block", *[F.col(f"{c}b").alias(f"{c}a") for c in (
-            "", "size_", "shared_", "root_", "full_", "lists_")])
+            "", "size_", "shared_", "root_", "full_", "brief_", "rare_",
+            "lists_")])
     right = split.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     rest = left.join(right, ["value", "block"]).filter(
         (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _may_link(threshold, k)
         & _within(F.least("full_a", "full_b"), F.col("size_a"), F.col("size_b"), threshold)
-        & (F.element_at(F.array_intersect("lists_a", "lists_b"), 1) == F.col("value")))
+        & _meet() & (F.element_at(F.array_intersect("lists_a", "lists_b"), 1) == F.col("value")))
     rest = at_rest(_estimated(rest.select(pair), sets, k, threshold), "rest")
     second = _verified(rest, grams, threshold)
     roots = components(first.unionAll(second))
