@@ -1,6 +1,7 @@
 """Quality rules: a table of thresholds compiled into one projection; no user function, no shuffle."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -75,8 +76,11 @@ def _repeat_words(words: Column) -> Column:
         let(hashes, lambda h: let(windows_of(h), counted)))
 
 
-def measures(text: Column) -> Column:
-    """A struct of counts and ratios of one text; null counts as the empty text."""
+def measures(text: Column, then: Callable[[Column], Column] = lambda m: m) -> Column:
+    """A struct of counts of one text, or what `then` makes of it; null counts as the empty text.
+
+    It is one expression: whatever refers to a part of it evaluates the counts once.
+    """
     text = F.coalesce(text, F.lit(""))
 
     def of(t: Column) -> Column:
@@ -85,14 +89,15 @@ def measures(text: Column) -> Column:
         lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
         def counts(ws: Column) -> Column:
-            return let(lines, lambda ls: F.struct(
+            return let(lines, lambda ls: let(F.struct(
                 F.size(ws).cast("long").alias("n_words"),
                 F.length(bare).cast("long").alias("word_chars"),
                 (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
                 (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
                 F.size(ls).cast("long").alias("n_lines"),
                 _repeat_words(ws).alias("n_repeat_words"),
-                F.size(F.filter(ws, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words")))
+                F.size(F.filter(ws, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words")),
+                then))
 
         return let(words, counts)
 
@@ -103,13 +108,8 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with the struct column `quality`: counts, ratios, `failed` (names of broken rules), base_failed, kept.
-
-    One projection, no shuffle. A null or empty text has zero words and fails the base rules; repeated rows get
-    equal verdicts; no row is dropped. A column `quality` of docs is replaced.
-    """
-    m = F.col("_m")
+def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of the counts m with `failed` (names of broken rules), base_failed and kept."""
     ratios = {
         "n_words": m["n_words"],
         "mean_word": _ratio(m["word_chars"], m["n_words"]),
@@ -130,13 +130,20 @@ def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     base_failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
     own = F.array_compact(F.array(*[broken(r) for r in rules]))
     failed = F.concat(F.array_compact(F.array(*[broken(r) for r in BASE])), own)
-    return (docs.withColumn("_m", measures(F.col(text)))
-            .withColumn("quality", F.struct(
-                *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                                          "n_lines", "n_stop_words")],
-                failed.alias("failed"), base_failed.alias("base_failed"),
-                (~base_failed & (F.size(own) == 0)).alias("kept")))
-            .drop("_m"))
+    return F.struct(
+        *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
+                                  "n_stop_words")],
+        failed.alias("failed"), base_failed.alias("base_failed"), (~base_failed & (F.size(own) == 0)).alias("kept"))
+
+
+def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with the struct column `quality`: counts, `failed` (names of broken rules), base_failed, kept.
+
+    One expression, no shuffle. A null or empty text has zero words and fails the base rules; repeated rows get
+    equal verdicts; no row is dropped; an empty table gives none. A column `quality` of docs is replaced, all others
+    stay.
+    """
+    return docs.withColumn("quality", measures(F.col(text), lambda m: verdict(m, rules)))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

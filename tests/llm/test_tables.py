@@ -43,6 +43,16 @@ def test_quality_counts(spark, edge_docs, no_docs, table_dir):
     assert {r.doc_id: r.quality.failed for r in judged.collect()}[2] == ["few_words", "word_length"]
 
 
+def test_quality_is_evaluated_once(spark, edge_docs, table_dir):
+    """Filter and columns refer to one copy of the rules, in the query and in the pipeline's stage."""
+    docs = edge_docs.withColumnRenamed("quality", "_m")
+    for df in (quality.op9_quality(spark, table_dir(documents=docs)),
+               corpus_pipeline.quality_rules(spark, spark.read.parquet(table_dir(other=docs) + "/other.parquet"), "")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("translate(") == 1
+    assert corpus_pipeline.quality_rules(spark, docs, "").columns == docs.columns
+
+
 def test_quality_keeps_prose_and_drops_junk(spark):
     rows = [(1, prose(1, 200)), (2, prose(2, 12)), (3, " ".join(f"{w}$$$" for w in prose(3, 100).split())),
             (4, "\n".join(["a very common line of text here"] * 40)), (5, " ".join("xqzt" + str(i) for i in range(200)))]
