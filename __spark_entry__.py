@@ -528,8 +528,7 @@ def graph_counts(s: Standins) -> DataFrame:
 @query
 def suppliers_reached(s: Standins) -> DataFrame:
     """How many each event reaches, counted per footprint."""
-    n = graph.reached(s.po, s.clean_vendors, s.flow_at_rest, s.countries).groupBy("footprint").agg(
-        F.count(F.lit(1)).alias("reached"))
+    n = graph.reached(s.po, s.clean_vendors, s.flow_at_rest, s.countries)
     return s.events.join(n, "footprint", "left").select("event_id", F.coalesce("reached", F.lit(0)).alias("reached"))
 
 

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions import fixed
 from riskloom.functions.normalize import MONEY, SHARE, sum_units, units
-from riskloom.operators.spread import at_rest, spread_join
+from riskloom.operators import scenarios
+from riskloom.operators.spread import spread_join
 
 
 def top_by(value: str, weight: Column, tie: str | None = None) -> Column:
@@ -94,7 +95,7 @@ def commodity_risk(import_flow: DataFrame, risk: DataFrame, scenario: str) -> Da
 
 def inferred_per_footprint(import_flow: DataFrame, countries: DataFrame) -> DataFrame:
     """(footprint, cn8_code, risk, top_country) at severity 1; an event scales it by its own."""
-    unit = commodity_risk(import_flow, countries.withColumn("risk", F.lit(1.0)), "footprint")
+    unit = scenarios.risk_of_commodities(import_flow, countries, "footprint", SHARE)
     return unit.select("footprint", "cn8_code", (F.col("risk_units") / F.lit(SHARE)).alias("risk"), "top_country")
 
 
@@ -104,32 +105,10 @@ def inherited_exposure(lines: DataFrame, flows: DataFrame, hits: DataFrame, scen
     """(scenario, vendor_id, unit, driver_commodity, driver_country): sum over the countries hit of w x share.
 
     lines: vendor_id, cn8_code, w. flows: cn8_code, iso3, share. hits: scenario, iso3.
-
-    The sum needs no commodities: it is taken per (supplier, country) before any event is met. Only the driver - the
-    commodity that adds most - looks at (event, commodity), and few can win: one whose share over ALL countries is
-    below the best single-country share of the supplier among the countries hit cannot. That bound is checked inside
-    the join, so the product of events and purchases is never shuffled or sorted.
     """
-    # Read three times below.
-    sourced = at_rest(lines.join(flows, "cn8_code").select(
-        "vendor_id", "cn8_code", "iso3", "share", units(F.col("w") * F.col("share"), SHARE).alias("part")), "sourced")
-    by_country = sourced.groupBy("vendor_id", "iso3").agg(F.sum("part").alias("part"), F.max("part").alias("top"))
-    unit = (spread_join(by_country, hits.select(scenario, "iso3"), ["iso3"], spread_by=["vendor_id"])
-            .groupBy(scenario, "vendor_id").agg(F.sum("part").alias("units"), F.max("top").alias("at_least"))
-            .filter(F.col("units") > 0))
-    at_most = sourced.groupBy("vendor_id", "cn8_code").agg(F.sum("part").alias("at_most"))
-    rivals = (at_most.join(unit, "vendor_id").filter(F.col("at_most") >= F.col("at_least"))
-              .select(scenario, "vendor_id", "cn8_code"))
-    driver = (rivals.join(sourced, ["vendor_id", "cn8_code"])
-              .join(hits.select(scenario, "iso3"), [scenario, "iso3"])
-              .groupBy(scenario, "vendor_id", "cn8_code")
-              .agg(F.sum("part").alias("part"), top_by("iso3", F.col("share")).alias("country"))
-              .groupBy(scenario, "vendor_id")
-              .agg(F.min_by(F.struct("cn8_code", "country"), F.struct((-F.col("part")).alias("p"), "cn8_code"))
-                   .alias("d")))
-    return unit.join(driver, [scenario, "vendor_id"]).select(
-        scenario, "vendor_id", (F.col("units") / F.lit(SHARE)).alias("unit"),
-        F.col("d.cn8_code").alias("driver_commodity"), F.col("d.country").alias("driver_country"))
+    found = scenarios.inherited(lines, flows, hits, scenario, SHARE)
+    return found.select(scenario, "vendor_id", (F.col("units") / F.lit(SHARE)).alias("unit"), "driver_commodity",
+                        "driver_country")
 
 
 def footprint_exposure(weights: DataFrame, import_flow: DataFrame, countries: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
 """The ontology as node and edge tables, and walks over them as joins."""
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from riskloom.functions.normalize import SHARE, units
-from riskloom.operators.spread import spread_join
+from riskloom.operators.spread import at_rest, spread_join
 from riskloom.plans.spec import LINKS, OBJECTS
 
 Tables = Mapping[str, DataFrame]
@@ -91,48 +94,156 @@ def step(frontier: DataFrame, edge: DataFrame, link_type: str, node: str, reache
     return frontier.join(hop, node)
 
 
+#: Events whose countries are sent to the tasks at once, and commodities of a supplier that one task holds.
+WALK_EVENTS = 16_384
+WALK_COMMODITIES = 4_096
+#: Commodities that are tried at once against the events that are still open.
+WALK_STEP = 64
+
+
 def event_impact(t: Tables, home: DataFrame, asked: DataFrame) -> DataFrame:
-    """Suppliers that each asked event touches, by walking typed edges from the event, summing at every step.
+    """Suppliers that each asked event touches, by messages along typed edges, one sum at every step and node.
 
     A home supplier is reached against the purchases: over the countries hit, the flows that come from them, their
     commodities and the lines that buy those. Any other supplier is reached where it is located. Shares no scoring
     code with the relational exposure, which it must equal.
+
+    The walk starts from the supplier side: lines are summed to what a supplier buys, these meet the flows once, and
+    each supplier keeps a message for each commodity and country. Events come to these messages in groups of
+    WALK_EVENTS, as the countries that each hits: no rows of event and commodity are made. The commodity that adds most
+    is found by bounds: commodities are tried by their sum over all countries, and an event is closed when none that
+    is left can beat its best one.
     asked: event_id. home: vendor_id of home-country suppliers.
     """
     edge = lambda table, a, b, *more: t[table].filter(
         F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b, *more)
     event = t["risk_event"].join(asked.select("event_id"), "event_id", "left_semi").filter("severity > 0").select(
         "event_id", "severity")
-    hit = event.join(edge("link_event_affects", "event_id", "iso3").distinct(), "event_id")
+    hit = at_rest(event.join(edge("link_event_affects", "event_id", "iso3").distinct(), "event_id"), "hit")
 
     # Step from the lines to what each supplier buys, before anything else.
     cents = F.floor(F.col("amount_gbp") * F.lit(1e4) + F.lit(0.5))
     bought = edge("po_line", "vendor_id", "cn8_code", "amount_gbp").groupBy("vendor_id", "cn8_code").agg(
         F.coalesce(F.sum(cents.cast("decimal(28,0)")), F.lit(0)).alias("spend"))
-    total = bought.groupBy("vendor_id").agg(F.sum("spend").alias("total"))
+    total = bought.groupBy("vendor_id").agg(F.sum("spend").alias("total"), F.count(F.lit(1)).alias("kinds"))
     share = F.coalesce(F.try_divide(F.col("spend").cast("double"), F.col("total").cast("double")), F.lit(0.0))
-    weight = bought.join(total, "vendor_id").select("vendor_id", "cn8_code", "total", share.alias("w"))
-
-    from_hit = hit.join(edge("import_flow", "cn8_code", "iso3", "share_of_uk_imports"), "iso3")
-    lines = weight.join(home.select("vendor_id"), "vendor_id", "left_semi").join(from_hit, "cn8_code")
-    part = F.floor(F.col("w") * F.col("share_of_uk_imports") * F.lit(1e12) + F.lit(0.5))
-    per_commodity = lines.groupBy("event_id", "severity", "vendor_id", "cn8_code").agg(
-        F.sum(part).alias("part"),
-        F.min(F.struct((-F.col("share_of_uk_imports")).alias("s"), "iso3"))["iso3"].alias("iso3"))
-    inferred = per_commodity.groupBy("event_id", "severity", "vendor_id").agg(
-        (F.sum("part") / F.lit(1e12)).alias("unit"),
-        F.min(F.struct((-F.col("part")).alias("p"), "cn8_code", "iso3")).alias("d"), F.lit("inferred").alias("path_type"))
+    weight = at_rest(bought.join(total, "vendor_id").select("vendor_id", "cn8_code", "total", "kinds",
+                                                            share.alias("w")), "bought")
+
+    # Step from the commodities to the countries that they come from.
+    mine = weight.filter("w <> 0").join(home.select("vendor_id"), "vendor_id", "left_semi")
+    part = F.floor(F.col("w") * F.col("share_of_uk_imports") * F.lit(1e12) + F.lit(0.5)).cast("double")
+    flows = edge("import_flow", "cn8_code", "iso3", "share_of_uk_imports")
+    messages = spread_join(mine, flows, ["cn8_code"], spread_by=["vendor_id"]).withColumn(
+        "block", F.pmod(F.xxhash64("cn8_code"), F.ceil(F.col("kinds") / WALK_COMMODITIES)))
+    carried = at_rest(messages.groupBy("vendor_id", "block").agg(F.collect_list(F.struct(
+        "cn8_code", "iso3", part.alias("part"), F.col("share_of_uk_imports").alias("share"))).alias("m")), "messages")
+    met = [at_rest(_met(carried, group, hit.schema), "met") for group in _groups_of_events(hit)]
+    columns = ["event_id", "vendor_id", F.least(F.lit(1.0), F.col("severity") * F.col("unit")).alias("exposure_score"),
+               F.col("d.cn8_code").alias("driver_commodity"), F.col("d.iso3").alias("driver_country"), "path_type"]
 
     main = weight.filter("total <> 0").join(home.select("vendor_id"), "vendor_id", "left_anti").groupBy("vendor_id").agg(
         F.min(F.struct((-F.col("w")).alias("p"), "cn8_code")).alias("m"))
     located = edge("erp_supplier", "vendor_id", "country_iso3").withColumnRenamed("country_iso3", "iso3")
-    direct = main.join(located, "vendor_id").join(hit, "iso3").select(
+    out = main.join(located, "vendor_id").join(hit, "iso3").select(
         "event_id", "severity", "vendor_id", F.lit(1.0).alias("unit"),
         F.struct(F.lit(0).alias("p"), F.col("m.cn8_code").alias("cn8_code"), "iso3").alias("d"),
-        F.lit("direct").alias("path_type"))
-    columns = ["event_id", "vendor_id", F.least(F.lit(1.0), F.col("severity") * F.col("unit")).alias("exposure_score"),
-               F.col("d.cn8_code").alias("driver_commodity"), F.col("d.iso3").alias("driver_country"), "path_type"]
-    return inferred.select(*columns).unionByName(direct.select(*columns)).filter("exposure_score > 0")
+        F.lit("direct").alias("path_type")).select(*columns)
+    for found in met:
+        # A supplier's blocks of commodities: their sums add up, the best one of any is the best.
+        whole = found.groupBy("event_id", "severity", "vendor_id").agg(
+            (F.sum("units") / F.lit(1e12)).alias("unit"),
+            F.min(F.struct((-F.col("best")).alias("p"), "cn8_code", "iso3")).alias("d"))
+        out = out.unionByName(whole.withColumn("path_type", F.lit("inferred")).select(*columns))
+    return out.filter("exposure_score > 0")
+
+
+def _groups_of_events(hit: DataFrame) -> Iterator[list]:
+    """(event_id, severity, countries) of every event, WALK_EVENTS at a time; an event hits the world's countries at
+    most."""
+    rows = hit.groupBy("event_id", "severity").agg(F.collect_list("iso3").alias("isos"))
+    held: list = []
+    for r in rows.toLocalIterator():
+        held.append((r["event_id"], r["severity"], r["isos"]))
+        if len(held) == WALK_EVENTS:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _met(carried: DataFrame, group: list, hit_schema: T.StructType) -> DataFrame:
+    """(event_id, severity, vendor_id, units, best, cn8_code, iso3): where the messages meet the events of a group.
+
+    units: what the supplier's commodities of a block add. best: the largest of them, of the least code on a tie, with
+    the country of its largest share.
+    """
+    countries = {c: i for i, c in enumerate(sorted({c for _, _, isos in group for c in isos}))}
+    hits = np.zeros((len(countries), len(group)), np.uint8)
+    for e, (_, _, isos) in enumerate(group):
+        hits[[countries[c] for c in isos], e] = 1
+    sent = carried.sparkSession.sparkContext.broadcast(  # WALK_EVENTS x countries bits
+        (np.packbits(hits, axis=1), len(group), countries, [g[0] for g in group], [float(g[1]) for g in group]))
+    step = WALK_STEP
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, n, number, event_ids, severities = sent.value
+        ids, severity = pa.array(event_ids), pa.array(severities, pa.float64())
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lists = batch.column(1).slice(i, 1).flatten()
+                code, iso = lists.field(0).to_pylist(), lists.field(1).to_pylist()
+                known = np.array([c in number for c in iso], bool)
+                part, share = lists.field(2).to_numpy(), lists.field(3).to_numpy()
+                codes = sorted(set(code))
+                isos = sorted({c for c in iso if c in number})
+                if not isos:
+                    continue
+                at_code = {c: k for k, c in enumerate(codes)}
+                at_iso = {c: k for k, c in enumerate(isos)}
+                row = np.array([at_code[c] for c in code])[known]
+                col = np.array([at_iso[c] for c in iso if c in number])
+                value, of = np.zeros((len(codes), len(isos))), np.full((len(codes), len(isos)), -1.0)
+                np.add.at(value, (row, col), part[known])
+                np.maximum.at(of, (row, col), share[known])
+                struck = np.unpackbits(packed[[number[c] for c in isos]], axis=1)[:, :n].astype(np.float64)
+                units = value.sum(axis=0) @ struck
+                open_ = np.flatnonzero(units > 0)
+                most = np.maximum(value, 0).sum(axis=1)
+                order = np.argsort(-most, kind="stable")
+                best, chosen = np.full(n, -np.inf), np.zeros(n, np.int64)
+                for k in range(0, len(order), step):
+                    own = np.sort(order[k:k + step])
+                    score = value[own] @ struck[:, open_]
+                    top = score.argmax(axis=0)
+                    high, which = score[top, np.arange(len(open_))], own[top]
+                    better = (high > best[open_]) | ((high == best[open_]) & (which < chosen[open_]))
+                    best[open_[better]], chosen[open_[better]] = high[better], which[better]
+                    if k + step >= len(order):
+                        break
+                    open_ = open_[best[open_] <= most[order[k + step]]]
+                    if not len(open_):
+                        break
+                seen = np.flatnonzero(units > 0)
+                via = np.where(struck[:, seen].T > 0, of[chosen[seen]], -1.0).argmax(axis=1)
+                take = pa.array(seen)
+                yield pa.record_batch(
+                    [ids.take(take), severity.take(take), pa.concat_arrays([batch.column(0).slice(i, 1)]).take(
+                        pa.array(np.zeros(len(seen), np.int64))), pa.array(units[seen]), pa.array(best[seen]),
+                     pa.array(codes).take(pa.array(chosen[seen])), pa.array(isos).take(pa.array(via))],
+                    ["event_id", "severity", "vendor_id", "units", "best", "cn8_code", "iso3"])
+
+    item = carried.schema["m"].dataType.elementType
+    schema = T.StructType([hit_schema["event_id"], T.StructField("severity", T.DoubleType()),
+                           carried.schema["vendor_id"], T.StructField("units", T.DoubleType()),
+                           T.StructField("best", T.DoubleType()), item["cn8_code"], item["iso3"]])
+    arrow = to_arrow_schema(schema)
+
+    def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.record_batch([c.cast(f.type) for c, f in zip(b.columns, arrow, strict=True)], arrow.names)
+
+    return carried.select("vendor_id", "m").mapInArrow(cast, schema)
 
 
 def footprint_impact(t: Tables, home: DataFrame, events: DataFrame) -> DataFrame:
@@ -145,19 +256,25 @@ def footprint_impact(t: Tables, home: DataFrame, events: DataFrame) -> DataFrame
 
 
 def reached(po: DataFrame, suppliers: DataFrame, import_flow: DataFrame, countries: DataFrame) -> DataFrame:
-    """(footprint, vendor_id) on any path before scoring: located there, or selling a commodity imported from there.
+    """(footprint, reached): how many suppliers are on any path before scoring, located in a country that it hits or
+    selling a commodity imported from there.
 
-    Events with one footprint reach the same suppliers. Both ends are cut down first: countries per commodity and
-    commodities per supplier become countries per supplier.
+    Both ends are cut down first: countries per commodity and commodities per supplier become suppliers per country,
+    kept as bitmaps. A footprint's bitmaps are or-ed and counted; no row is made for a footprint and a supplier.
     """
     from_country = import_flow.select("cn8_code", "iso3").distinct()
     buys = po.select("vendor_id", "cn8_code").distinct().join(suppliers.select("vendor_id"), "vendor_id", "left_semi")
-    via_flow = buys.join(from_country, "cn8_code").select("vendor_id", "iso3")
+    via_flow = spread_join(buys, from_country, ["cn8_code"], spread_by=["vendor_id"]).select("vendor_id", "iso3")
     located = suppliers.filter(F.col("country_iso3").isNotNull()).select(
         "vendor_id", F.col("country_iso3").alias("iso3"))
-    touch = via_flow.union(located).distinct()
-    return (spread_join(touch, countries.select("footprint", "iso3"), ["iso3"], spread_by=["vendor_id"])
-            .select("footprint", "vendor_id").distinct())
+    number = at_rest(suppliers.select("vendor_id").distinct().withColumn(
+        "n", F.monotonically_increasing_id() + 1), "numbers")
+    touch = via_flow.union(located).distinct().join(number, "vendor_id")
+    maps = touch.groupBy("iso3", F.bitmap_bucket_number("n").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("suppliers"))
+    return (countries.select("footprint", "iso3").join(maps, "iso3").groupBy("footprint", "bucket")
+            .agg(F.bitmap_count(F.bitmap_or_agg("suppliers")).alias("n"))
+            .groupBy("footprint").agg(F.sum("n").alias("reached")))
 
 
 # ---- explanation ---------------------------------------------------------------------------------------------
