@@ -16,7 +16,8 @@ from riskloom.operators import actions, contract, exposure as ex, graph, matchin
 from riskloom.plans import build, standins, views  # noqa: E402
 from riskloom.plans.spec import LINKS, OBJECTS  # noqa: E402
 from riskloom.plans.standins import Standins  # noqa: E402
-from riskloom.sources import companies as companies_src, events as events_src, sanctions as sanctions_src  # noqa: E402
+from riskloom.sources import companies as companies_src, erp as erp_src, events as events_src  # noqa: E402
+from riskloom.sources import sanctions as sanctions_src  # noqa: E402
 from riskloom.sources import trade  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,6 +187,14 @@ def po_line_clean(s: Standins) -> DataFrame:
                                   "original_currency", *text("order_date"))
 
 
+@query
+def po_line_from_text(s: Standins) -> DataFrame:
+    """Purchase lines written as text, then typed by the purchase cleaner."""
+    return erp_src.clean_po_lines(s.raw_po_lines).select(
+        "po_line_id", "vendor_id", "cn8_code", "item_description", "amount_gbp", "original_currency",
+        *text("order_date"))
+
+
 @query
 def trailing12_rollup(s: Standins) -> DataFrame:
     t = trade.trailing12(s.monthly, end=s.last_month, chapters=None)
@@ -339,6 +348,26 @@ def apply_edits(s: Standins) -> DataFrame:
             .join(t["link_supplier_resolves_to"], "vendor_id", "left").join(c, "company_number", "left"))
 
 
+@query
+def resolves_to_first_day(s: Standins) -> DataFrame:
+    return s.first_day["link_supplier_resolves_to"]
+
+
+@query
+def criticality_first_day(s: Standins) -> DataFrame:
+    return s.first_day["erp_supplier"].select("vendor_id", "spend_12m_gbp", "criticality")
+
+
+@query
+def company_scope_first_day(s: Standins) -> DataFrame:
+    return s.first_day["company"].select("company_number", "name", "fragility_score")
+
+
+@query
+def review_queue_first_day(s: Standins) -> DataFrame:
+    return views.review_queue(s.first_day)
+
+
 @query
 def data_quality_report(s: Standins) -> DataFrame:
     return build.data_quality_report(s.ontology)
@@ -418,7 +447,8 @@ def supplier_exposure_all_risk(s: Standins) -> DataFrame:
 
 @query
 def priority(s: Standins) -> DataFrame:
-    return s.exposure_table.select("event_id", "vendor_id", "priority")
+    """Of every event, once per footprint and severity."""
+    return s.suppliers.select("footprint", "severity", "vendor_id", "priority")
 
 
 @query
@@ -680,7 +710,7 @@ def entry(spark: SparkSession) -> DataFrame:
 try:  # the one guard: this module works without the subpackage and the pipeline
     import corpus_pipeline
     from riskloom.llm import registry
-except ModuleNotFoundError as e:
+except ImportError as e:  # an empty folder is a package without modules
     if e.name not in ("corpus_pipeline", "riskloom.llm"):
         raise
     LLM_QUERIES, LLM_SQL = {}, {}

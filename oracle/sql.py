@@ -412,6 +412,21 @@ T: dict[str, str] = {
 }
 
 # Recursive and row-function helpers of the status fold.
+def _renamed(name: str, *tables: str) -> str:
+    """The definition of a common table with the first day's tables in place of the ones named."""
+    return re.sub(r"\b(" + "|".join(tables) + r")\b(?! AS)", lambda m: m[1] + "_1", T[name])
+
+
+# The state after the first day's decisions, with the trade of one chapter.
+T["decisions_1"] = "SELECT * FROM decisions WHERE requested_at < (SELECT min(requested_at)::DATE + 1 FROM req)"
+T["match_over_1"] = _renamed("match_over", "decisions")
+T["crit_over_1"] = T["crit_over"].replace(
+    "WHERE reason IS NULL", "WHERE reason IS NULL AND requested_at < (SELECT min(requested_at)::DATE + 1 FROM req)")
+T["crit_1"] = _renamed("crit", "crit_over")
+T["resolves_1"] = _renamed("resolves", "match_over")
+T["imports_link_1"] = T["imports_link"].replace("FROM com)", "FROM com WHERE hs2_code = 'Brand#7')")
+T["company_1"] = _renamed("company", "imports_link", "resolves")
+
 LEGAL = ("(({s} = 'open' AND {t} IN ('acknowledged', 'closed')) OR ({s} = 'acknowledged' AND {t} IN ('mitigating', "
          "'closed')) OR ({s} = 'mitigating' AND {t} = 'closed')) AND ({t} <> 'closed' OR trim(coalesce({n}, '')) <> '')")
 
@@ -737,7 +752,22 @@ QUESTIONS: dict[str, str] = {
         arg_min(via_country, (-part, cn8_code)) FILTER (WHERE via_country IS NOT NULL) AS driver_country,
         max(path_type) AS path_type
         FROM (SELECT *, {share('w * risk')} AS part FROM line) GROUP BY 1""",
-    "priority": "SELECT event_id, vendor_id, priority FROM prio WHERE event_id IN (SELECT event_id FROM now)",
+    "priority": """SELECT DISTINCT footprint, e.severity, vendor_id, priority
+        FROM prio JOIN fp USING (event_id) JOIN ev e USING (event_id)""",
+    "resolves_to_first_day": "SELECT * FROM resolves_1",
+    "criticality_first_day": "SELECT * FROM crit_1",
+    "company_scope_first_day": "SELECT company_number, name, fragility_score FROM company_1",
+    "review_queue_first_day": """SELECT vendor_id, v.vendor_name, v.postcode, v.stated_company_number, r.company_number,
+        c.name AS company_name, c.postcode AS company_postcode, r.match_method, r.match_score, r.confidence
+        FROM resolves_1 r JOIN vendor v USING (vendor_id) LEFT JOIN company_1 c ON c.company_number = r.company_number
+        WHERE r.needs_review""",
+    "po_line_from_text": f"""SELECT l_orderkey || '-' || row_number() OVER (PARTITION BY l_orderkey
+        ORDER BY l_suppkey::VARCHAR, l_partkey::VARCHAR, l_linenumber::VARCHAR) AS po_line_id,
+        l_suppkey::VARCHAR AS vendor_id, lpad(l_partkey::VARCHAR, 8, '0') AS cn8_code,
+        'part ' || l_partkey AS item_description,
+        {AMOUNT.replace('l_extendedprice * (1 - l_discount)', 'l_quantity::DOUBLE * l_extendedprice::DOUBLE')}
+        AS amount_gbp, {CURRENCY} AS original_currency,
+        CAST(strptime(strftime(l_shipdate, '%d-%b-%y'), '%d-%b-%y')::DATE AS VARCHAR) AS order_date FROM lineitem""",
     "event_material_counts": """SELECT e.event_id, count(x.vendor_id) AS reached,
         count(*) FILTER (WHERE x.exposure_score >= 0.1::DOUBLE) AS material FROM ev e LEFT JOIN expo x USING (event_id)
         GROUP BY 1""",

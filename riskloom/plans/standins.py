@@ -228,6 +228,20 @@ class Standins:
     def vendor_home(self) -> DataFrame:
         return self.clean_vendors.select("vendor_id", "country_iso3", "is_home")
 
+    @cached_property
+    def raw_po_lines(self) -> DataFrame:
+        """Purchase lines as a buying system writes them, all text."""
+        currency = F.when(F.col("l_returnflag") == "N", "GBP").when(F.col("l_returnflag") == "A", "EUR").when(
+            F.col("l_linestatus") == "F", "USD").otherwise("JPY")
+        as_text = lambda c: F.col(c).cast("string")
+        return self.given("lineitem").select(
+            as_text("l_orderkey").alias("PO_NUMBER"), as_text("l_linenumber").alias("LINE_NUM"),
+            as_text("l_suppkey").alias("VENDOR_ID"), as_text("l_partkey").alias("CATEGORY_CODE"),
+            F.concat(F.lit("part "), "l_partkey").alias("ITEM_DESCRIPTION"),
+            F.col("l_quantity").cast("double").cast("string").alias("QUANTITY"),
+            F.col("l_extendedprice").cast("double").cast("string").alias("UNIT_PRICE"),
+            currency.alias("CURRENCY_CODE"), F.upper(F.date_format("l_shipdate", "dd-MMM-yy")).alias("CREATION_DATE"))
+
     @cached_property
     def purchases(self) -> DataFrame:
         """Purchase lines without their ids: enough for every sum."""
@@ -375,6 +389,22 @@ class Standins:
     def criticality_override(self) -> DataFrame:
         return actions.criticality_overrides(self.criticality_judged)
 
+    @cached_property
+    def first_day(self) -> Mapping[str, DataFrame]:
+        """Suppliers, matches and companies as they stood after the first day's decisions, with the trade of one
+        chapter: most suppliers are undecided, so the machine's match and the spend's rank stand, and companies without
+        trade in the chapter are out of scope."""
+        end = self.requests.agg(F.date_add(F.min("requested_at").cast("date"), 1).cast("timestamp_ntz")).scalar()
+        until = lambda df: df.filter(F.col("requested_at") < end)
+        chapter = self.commodity.filter("hs2_code = 'Brand#7'")
+        return AtRest(build.apply_edits({
+            "supplier_company": self.supplier_company, "po_line": self.po, "clean_companies": self.companies,
+            "match_override": actions.match_overrides(until(self.confirmed), until(self.rejected)),
+            "criticality_override": actions.criticality_overrides(until(self.criticality_judged)),
+            "clean_erp_supplier": self.clean_vendors,
+            "link_company_imports": build.company_imports(self.trader_company, self.trader_commodity, chapter),
+        }, self.as_of))
+
     # ---- ontology --------------------------------------------------------------------------------------------
 
     @cached_property
