@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.functions.normalize import severity
+from riskloom.sources import documents
 
 PROPERTIES = ("eventtype: string, eventid: string, name: string, description: string, alertlevel: string, "
               "fromdate: string, todate: string, iscurrent: string, url: struct<report: string>, iso3: string, "
@@ -14,15 +15,14 @@ SOURCE = "GDACS"
 def read(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per feature with its properties and position.
 
-    lines: one feature per line, in any number of files, read in parallel. Else each file is one document, which one
-    task reads whole.
+    lines: one feature per line, in any number of files. Else each file is one document. Many tasks read either.
     """
     if lines:
         each = spark.read.schema(f"properties struct<{PROPERTIES}>").json(path)
         return each.select(F.monotonically_increasing_id().alias("position"), "properties.*")
-    raw = (spark.read.option("multiLine", True)
-           .schema(f"features array<struct<properties: struct<{PROPERTIES}>>>").json(path))
-    return raw.select(F.posexplode("features").alias("position", "f")).select("position", "f.properties.*")
+    found, _ = documents.records(spark, path, level=2)
+    return found.select("position", F.from_json("record", f"properties struct<{PROPERTIES}>").alias("f")).select(
+        "position", "f.properties.*")
 
 
 def with_id(features: DataFrame) -> DataFrame:

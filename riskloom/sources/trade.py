@@ -7,12 +7,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom.functions import fixed
 from riskloom.functions.normalize import MONEY, lookup, strip, sum_units
+from riskloom.sources import documents
 
 
 def _json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
-    """lines: one record per line, in any number of files, read in parallel. Else each file is one document, which
-    one task reads whole: for small files, or folders of pages."""
-    return spark.read.option("multiLine", not lines).schema(schema).json(path)
+    """lines: one record per line, in any number of files. Else each file is one document, a list of records. Many
+    tasks read either."""
+    if lines:
+        return spark.read.schema(schema).json(path)
+    found, _ = documents.records(spark, path, level=1)
+    return found.select(F.from_json("record", schema).alias("r")).select("r.*")
 
 
 # ---- reference -----------------------------------------------------------------------------------------------
@@ -60,9 +64,10 @@ def read_trade(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
         return flat.select(F.col("CommodityId").alias("commodity_id"), F.col("CountryId").alias("country_id"),
                            F.col("Value").alias("value_gbp"), F.col("start").alias("period_start"),
                            F.col("end").alias("period_end"))
-    raw = _json(spark, path, f"start int, end int, rows array<struct<{row}>>")
-    return raw.select(F.col("start").alias("period_start"), F.col("end").alias("period_end"),
-                      F.explode("rows").alias("r")).select(
+    found, outer = documents.records(spark, path, level=2)
+    span = outer.select("file", F.from_json("outer", "start int, end int").alias("o")).select(
+        "file", F.col("o.start").alias("period_start"), F.col("o.end").alias("period_end"))
+    return found.select("file", F.from_json("record", row).alias("r")).join(span, "file").select(
         F.col("r.CommodityId").alias("commodity_id"), F.col("r.CountryId").alias("country_id"),
         F.col("r.Value").alias("value_gbp"), "period_start", "period_end")
 
