@@ -52,10 +52,14 @@ def cells(found: Column, size: int = THIRD, seed: int = 0) -> Column:
         _is(d, "key"), _is(_check(d), "check"), *[_is(_cell(d, t, size, seed), f"c{t}") for t in range(3)]))
     zero = F.lit(0).cast("long")
     nothing = F.struct(_is(F.lit(0), "n"), _is(zero, "key"), _is(zero, "check"))
-    return let(entries, lambda rows: F.transform(F.sequence(F.lit(0), F.lit(3 * size - 1)), lambda c: F.aggregate(
-        F.filter(rows, lambda e: (e["c0"] == c) | (e["c1"] == c) | (e["c2"] == c)), nothing,
-        lambda a, e: F.struct(_is(a["n"] + 1, "n"), _is(a["key"].bitwiseXOR(e["key"]), "key"),
-                              _is(a["check"].bitwiseXOR(e["check"]), "check")))))
+
+    def third(rows: Column, t: int) -> Column:
+        return F.transform(F.sequence(F.lit(t * size), F.lit((t + 1) * size - 1)), lambda c: F.aggregate(
+            F.filter(rows, lambda e: e[f"c{t}"] == c), nothing,
+            lambda a, e: F.struct(_is(a["n"] + 1, "n"), _is(a["key"].bitwiseXOR(e["key"]), "key"),
+                                  _is(a["check"].bitwiseXOR(e["check"]), "check"))))
+
+    return let(entries, lambda rows: F.concat(*[third(rows, t) for t in range(3)]))
 
 
 def subtract(a: Column, b: Column) -> Column:

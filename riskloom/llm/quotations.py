@@ -17,7 +17,7 @@ BLOCK_BITS = 10
 def parsed(text: Column) -> Column:
     """(level, body) of each line of a message; null has none. Marks may stand close or apart: ">>", "> >"."""
     def line(x: Column) -> Column:
-        marks = F.regexp_extract(x, r"^((?:>[ \t]?)*)", 1)
+        marks = F.regexp_extract(x, r"^((?:>[ \t]?)*+)", 1)  # possessive: Java's matcher does not recurse
         return F.struct(F.length(F.regexp_replace(marks, r"[^>]", "")).alias("level"),
                         F.substring(x, F.length(marks) + 1, F.length(x)).alias("body"))
 

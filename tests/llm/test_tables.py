@@ -220,3 +220,11 @@ def test_pipeline(spark, table_dir):
     got = corpus_pipeline.run(spark, folder)
     assert {r.doc_id for r in got.collect()} == sizes[2]
     assert got.columns == packing.packed(state).columns
+
+
+def test_a_line_of_very_many_marks(spark):
+    """One hostile mail must not end an executor."""
+    rows = [(1, 0, "hello there", "u"), (1, 1, ">" * 200_000 + " x\n> hello there\nyes", "a"), (1, 2, "> " * 100_000, "u")]
+    got = {r.turn: r for r in quotations.reply_ordered(
+        spark.createDataFrame(rows, "conv_id long, turn long, text string, role string")).collect()}
+    assert got[1].reply_to == 0 and got[1].body == "yes" and got[2].body == ""
