@@ -61,21 +61,23 @@ def quoted_links(lines: DataFrame) -> DataFrame:
 def rooted(parents: DataFrame) -> DataFrame:
     """(thread, position, root, depth) of every message from (thread, position, reply_to), by pointer doubling.
 
-    A reply's target is earlier, so there are no cycles; the rounds grow with the logarithm of the longest chain.
+    A reply's target is earlier, so there are no cycles; the rounds grow with the logarithm of the longest chain. A
+    message that points to a root is done: a round joins only those that are not, so long chains cost short ones nothing.
     """
-    state = at_rest(parents.select("thread", "position", F.coalesce("reply_to", "position").alias("root"),
+    start = at_rest(parents.select("thread", "position", F.coalesce("reply_to", "position").alias("root"),
                                    F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("depth")),
                     "parents")
-    while True:
-        above = state.select("thread", F.col("position").alias("root"), F.col("root").alias("_root"),
-                             F.col("depth").alias("_depth"))
-        state = at_rest(state.join(above, ["thread", "root"], "left").select(
+    done, left = start.filter("depth = 0"), start.filter("depth > 0")
+    while not left.isEmpty():
+        above = done.unionAll(left).select("thread", F.col("position").alias("root"), F.col("root").alias("_root"),
+                                           F.col("depth").alias("_depth"))
+        state = at_rest(left.join(above, ["thread", "root"], "left").select(
             "thread", "position", F.coalesce("_root", "root").alias("root"),
             (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
             (F.coalesce("_depth", F.lit(0)) > 0).alias("moved")), "roots")
-        if state.filter("moved").isEmpty():
-            return state.drop("moved")
-        state = state.drop("moved")
+        done = done.unionAll(state.filter("not moved").drop("moved"))
+        left = state.filter("moved").drop("moved")
+    return done
 
 
 def reply_ordered(messages: DataFrame, thread: str = "conv_id", position: str = "turn",
