@@ -24,12 +24,19 @@ from riskloom.llm.hashing import BASE, mix, powers
 UNKNOWN = "und"
 #: Added to every count, so that no piece is impossible in any language.
 SMOOTHING = 0.1
-#: Runs of letters are scored this many at a time, so that probabilities stay within a double.
-LONGEST = 32
+#: Positions of a run of letters that are looked up at once.
+BLOCK = 512
+#: Positions after which forward sums are scaled, so that they stay within a double.
+SCALED = 8
+#: Numbers that the forward sums of one group of words may hold.
+CELLS = 1_000_000
+#: A text is not in a language if a letter of it is explained worse than the median of that language's labelled texts
+#: by more than FAR times the distance of their lowest share LOWEST, and by more than NATS.
+LOWEST, FAR, NATS = 0.001, 2.0, 1.0
 #: The word start that the vocabulary marks.
 START = "▁"
-#: Words a worker remembers the scores of.
-REMEMBERED = 500_000
+#: Tokens a worker remembers the scores of, and their characters.
+REMEMBERED, REMEMBERED_CHARS = 500_000, 32_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -39,12 +46,8 @@ def tokens_of(text: str) -> list[str]:
 
 
 def words_of(token: str) -> list[str]:
-    """The runs of letters in a token, cut at LONGEST letters; the start mark stands before each run."""
-    out = []
-    for run in _LETTERS.findall(token):
-        run = START + run
-        out += [run[i:i + LONGEST] for i in range(0, len(run), LONGEST)]
-    return out
+    """The runs of letters in a token, whole; the start mark stands before each run."""
+    return [START + run for run in _LETTERS.findall(token)]
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,9 +90,9 @@ class Vocabulary:
         """How often each piece occurs in the vocabulary's own segmentation of the words."""
         found: Counter = Counter()
         keys = list(words)
-        # The file marks word starts itself: the mark is taken off where there is one.
+        # The file marks word starts itself.
         for w, parts in zip(keys, self.model.encode([k.removeprefix(START) for k in keys], out_type=str), strict=True):
-            for p in parts if w[0] == START else [p for p in parts if p != START]:
+            for p in parts:
                 found[self.pieces.get(p, self.other)] += words[w]
         return found
 
@@ -136,65 +139,101 @@ class Scorer:
     def __init__(self, model: Model, path: str | None):
         self.model, self.vocabulary = model, Vocabulary(path)
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.scores = np.zeros((0, len(model.languages)))
         self.letters = np.zeros(0, np.int64)
 
     def forward(self, words: list[str]) -> np.ndarray:
-        """log P(word) for each language: alpha[j] = sum over pieces that end at j of alpha[start] * P(piece)."""
-        if not words:
-            return np.zeros((0, len(self.model.languages)))
-        end, word, start, piece = self.vocabulary.edges(words)
-        order = np.lexsort((word, end))
-        end, word, start, piece = end[order], word[order], start[order], piece[order]
+        """log P(word) for each language, summed over all segmentations of the whole word, however long."""
+        out = np.zeros((len(words), len(self.model.languages)))
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        alpha = np.zeros((len(words), int(lengths.max()) + 1, len(self.model.languages)))
-        alpha[:, 0] = 1
-        edges = np.searchsorted(end, np.arange(1, alpha.shape[1] + 1))
-        for j in range(1, alpha.shape[1]):
-            a, b = edges[j - 1], edges[j]
-            if a == b:
-                continue
-            w = word[a:b]
-            terms = alpha[w, start[a:b]] * self.model.probabilities[piece[a:b]]
-            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            alpha[w[first], j] = np.add.reduceat(terms, first)
-        return np.log(alpha[np.arange(len(words)), lengths])
+        order = np.argsort(lengths, kind="stable")
+        at = 0
+        while at < len(order):
+            # Words of about one length go together, as many as the sums of the longest of them leave room for.
+            width = (np.minimum(lengths[order[at:at + CELLS]], BLOCK) + self.vocabulary.longest + 1) * out.shape[1]
+            n = max(1, int(np.searchsorted(width * np.arange(1, len(width) + 1), CELLS, "right")))
+            group = order[at:at + n]
+            out[group] = self._forward([words[i] for i in group], lengths[group])
+            at += n
+        return out
+
+    def _forward(self, words: list[str], lengths: np.ndarray) -> np.ndarray:
+        """Of words sorted by length: alpha[j] = sum over pieces that end at j of alpha[start] * P(piece).
+
+        Only the sums that a piece can still start from are kept: words go by in blocks of positions, each with the
+        letters before it that a piece may begin with. Every few positions all kept sums of a word are divided by the
+        newest, and its logarithm is carried; every position ends some piece (a letter without one counts as `other`),
+        so the newest is never 0.
+        """
+        back = self.vocabulary.longest
+        last = int(lengths[-1])
+        out = np.zeros((len(words), len(self.model.languages)))
+        carried = np.zeros_like(out)
+        # Column back holds position `base`; the ones before it hold the positions before.
+        alpha = np.zeros((len(words), back + min(last, BLOCK) + 1, out.shape[1]))
+        alpha[:, back] = 1
+        for base in range(0, last, BLOCK):
+            if base:
+                alpha[:, :back + 1] = alpha[:, BLOCK:BLOCK + back + 1]
+                alpha[:, back + 1:] = 0
+            live = int(np.searchsorted(lengths, base, "right"))
+            from_ = max(0, base - back)
+            end, word, start, piece = self.vocabulary.edges([w[from_:base + BLOCK] for w in words[live:]])
+            new = end > base - from_
+            end, word, start, piece = end[new], word[new] + live, start[new], piece[new]
+            order = np.lexsort((word, end))
+            word, start, piece = word[order], start[order] + from_ - base + back, piece[order]
+            stop = min(last - base, BLOCK)
+            edges = np.searchsorted(end[order], base - from_ + np.arange(1, stop + 2))
+            for j in range(1, stop + 1):
+                a, b = edges[j - 1], edges[j]
+                w = word[a:b]
+                terms = alpha[w, start[a:b]] * self.model.probabilities[piece[a:b]]
+                first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                alpha[w[first], back + j] = np.add.reduceat(terms, first)
+                ends = slice(*np.searchsorted(lengths, [base + j, base + j + 1]))
+                out[ends] = np.log(alpha[ends, back + j]) + carried[ends]
+                if j % SCALED == 0 and ends.stop < len(words):
+                    newest = alpha[ends.stop:, back + j].copy()
+                    carried[ends.stop:] += np.log(newest)
+                    alpha[ends.stop:, j:back + j + 1] /= newest[:, None]
+        return out
 
     def learn(self, tokens: list[str]) -> None:
         """Scores of tokens that were not met before."""
         words = [words_of(t) for t in tokens]
         distinct = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
-        logs = np.concatenate([self.forward(part) for part in _chunks(list(distinct), 20_000)] or [
-            np.zeros((0, len(self.model.languages)))])
+        logs = self.forward(list(distinct))
         scores = np.zeros((len(tokens), len(self.model.languages)))
         at = np.repeat(np.arange(len(tokens)), [len(ws) for ws in words])
         np.add.at(scores, at, logs[[distinct[w] for ws in words for w in ws]])
-        if len(self.known) + len(tokens) > REMEMBERED:
-            self.known, self.scores, self.letters = {}, self.scores[:0], self.letters[:0]
         base = len(self.known)
         self.known.update(zip(tokens, range(base, base + len(tokens)), strict=True))
         self.scores = np.concatenate([self.scores, scores])
         self.letters = np.concatenate([self.letters, np.array([sum(map(len, ws)) for ws in words], np.int64)])
+        self.chars += sum(map(len, tokens))
 
-    def predict(self, texts: list[str]) -> Iterator[tuple[str, float]]:
-        """(language, posterior) of each whole text; `und` and 0 for texts without a letter."""
+    def predict(self, texts: list[str]) -> Iterator[tuple[str, float, float | None, int]]:
+        """(language, posterior, log-likelihood a letter, letters) of each whole text, word marks counted as letters.
+
+        `und`, 0, null and 0 for texts without a letter.
+        """
         counted = [Counter(tokens_of(t)) for t in texts]
         new = set().union(*counted)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.scores, self.letters = {}, self.scores[:0], self.letters[:0]
+        if len(self.known) + len(new) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self.known, self.scores, self.letters, self.chars = {}, self.scores[:0], self.letters[:0], 0
         self.learn([t for t in new if t not in self.known])
         for c in counted:
             at = np.fromiter(map(self.known.__getitem__, c), np.int64, len(c))
             if not len(self.model.languages) or not self.letters[at].sum():
-                yield UNKNOWN, 0.0
+                yield UNKNOWN, 0.0, None, 0
                 continue
-            log = np.fromiter(c.values(), np.float64, len(c)) @ self.scores[at]
+            times = np.fromiter(c.values(), np.float64, len(c))
+            log, letters = times @ self.scores[at], int(times @ self.letters[at])
             best = int(np.argmax(log))
-            yield self.model.languages[best], float(1 / np.exp(log - log[best]).sum())
-
-
-def _chunks(items: list, n: int) -> list[list]:
-    return [items[i:i + n] for i in range(0, len(items), n)]
+            yield (self.model.languages[best], float(1 / np.exp(log - log[best]).sum()), float(log[best] / letters),
+                   letters)
 
 
 def held_out(key: Column) -> Column:
@@ -248,26 +287,35 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", path: str | N
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text", path: str | None = None,
-              lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+              lang: str = "lang_pred", score: str = "lang_score", fit: str | None = None,
+              letters: str | None = None) -> DataFrame:
     """docs with the predicted language and its posterior (0 to 1), from the text alone.
 
-    Null and empty texts and texts without a letter get `und` and 0. All rows and columns stay; columns that have the
-    names of the two new ones are replaced. Ties go to the language whose name sorts first.
+    fit and letters, if named, are two more columns: the log-likelihood a letter under the predicted language, and the
+    letters it is taken over. Null and empty texts and texts without a letter get `und`, 0, null and 0. All rows and
+    columns stay; columns that have the names of the new ones are replaced. Ties go to the language whose name sorts
+    first.
     """
     spark = docs.sparkSession
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in (lang.lower(), score.lower())])
+    added = [(lang, "string", 0), (score, "double", 1), (fit, "double", 2), (letters, "long", 3)]
+    added = [x for x in added if x[0] is not None]
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {n.lower() for n, _, _ in added}])
     at = docs.columns.index(text)
     shared = spark.sparkContext.broadcast(model)  # as large as the vocabulary times the languages
     key = ("scorer", path, zlib.crc32(model.probabilities.tobytes()))
+    arrow = {"string": pa.string(), "double": pa.float64(), "long": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = worker_keeps(key, lambda: Scorer(shared.value, path))
         for batch in batches:
             found = [x for (texts,) in slices([batch.column(at)]) for x in scorer.predict([t or "" for t in texts])]
-            yield pa.record_batch([*batch.columns, pa.array([n for n, _ in found], pa.string()),
-                                   pa.array([s for _, s in found], pa.float64())], [*batch.schema.names, lang, score])
+            yield pa.record_batch([*batch.columns, *[pa.array([x[i] for x in found], arrow[t]) for _, t, i in added]],
+                                  [*batch.schema.names, *[n for n, _, _ in added]])
 
-    return docs.transform(mapped, run, T.StructType([*docs.schema.fields]).add(lang, "string").add(score, "double"))
+    schema = T.StructType([*docs.schema.fields])
+    for name, kind, _ in added:
+        schema = schema.add(name, kind)
+    return docs.transform(mapped, run, schema)
 
 
 def identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -278,6 +326,40 @@ def identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
     return predicted(docs.withColumn(flag, held_out(F.col(key))), model, text, path)
 
 
+def floors(labelled: DataFrame, model: Model, text: str = "text", lang: str = "lang",
+           path: str | None = None) -> dict[str, float]:
+    """The least log-likelihood a letter with which a text counts as one of a language: see LOWEST, FAR and NATS.
+
+    Taken over all rows whose label is the language predicted. A language of which no row is predicted right has no
+    floor. One row for each language comes to the driver.
+    """
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).dropna()
+    found = predicted(rows, model, path=path, fit="fit").filter("lang = lang_pred")
+    low, middle = F.percentile_approx("fit", LOWEST), F.percentile_approx("fit", 0.5)
+    floor = middle - F.greatest(FAR * (middle - low), F.lit(NATS))
+    return {r["lang"]: r["floor"] for r in found.groupBy("lang").agg(floor.alias("floor")).collect()}
+
+
+def recognised(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
+               path: str | None = None) -> DataFrame:
+    """The rows of docs that are in a language learned from docs, columns as they are.
+
+    A text is kept if its language is more likely than all others together and explains its letters about as well as
+    that language's labelled texts. So null, empty and letterless texts go, and so do random letters and languages
+    that no label names, of which the posterior alone says nothing: it only compares learned languages. Without any
+    labelled row nothing is recognised. Repeated rows are judged alike and stay.
+    """
+    model = train(docs.filter(~held_out(F.col(key))), text, lang, path)
+    least = floors(docs, model, text, lang, path)
+    taken = list(docs.columns)
+    pred, score, fit = (spare(c, taken) for c in ("lang_pred", "lang_score", "lang_fit"))
+    found = predicted(docs, model, text, path, pred, score, fit)
+    floor = F.lit(None).cast("double")
+    for name, value in sorted(least.items()):  # one for each language
+        floor = F.when(F.col(pred) == name, F.lit(value)).otherwise(floor)
+    return found.filter((F.col(score) >= 0.5) & (F.col(fit) >= floor)).drop(pred, score, fit)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identified(docs).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))

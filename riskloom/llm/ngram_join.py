@@ -381,15 +381,16 @@ def one_of_each(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5
     Texts without words link with nothing, so all of them stay. Of rows that repeat key and set, one stays. Columns
     stay as they are.
     """
-    sid, size, root, copy = (spare(c, docs.columns) for c in ("_sid", "_size", "_root", "_copy"))
+    sid, size, root, copy, least_key, least_set = (
+        spare(c, docs.columns) for c in ("_sid", "_size", "_root", "_copy", "_key", "_set"))
     named = at_rest(set_names(docs, n, text, sid, size), "named")
     links = linked_sets(docs, n, threshold, text).select(F.col("v").alias(sid), F.col("root").alias(root))
     first = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(sid).alias("s")))
     sets = named.filter(F.col(size) > 0).groupBy(sid).agg(first.alias("_first"))
     rooted = sets.join(links, sid, "left").select(F.coalesce(root, sid).alias("root"), "_first")
     chosen = rooted.groupBy("root").agg(F.min("_first").alias("_first")).select(
-        F.col("_first.k").alias("_key"), F.col("_first.s").alias("_set"))
-    kept = named.join(chosen, (named[sid] == F.col("_set")) & named[key].eqNullSafe(F.col("_key"))).drop("_key", "_set")
+        F.col("_first.k").alias(least_key), F.col("_first.s").alias(least_set))
+    kept = named.join(chosen, (F.col(sid) == F.col(least_set)) & F.col(key).eqNullSafe(F.col(least_key)))
     # Rows of one key and one set are copies of a document; the window holds nothing else.
     only = W.partitionBy(sid, key).orderBy(F.xxhash64(text))
     kept = kept.withColumn(copy, F.row_number().over(only)).filter(F.col(copy) == 1).select(docs.columns)

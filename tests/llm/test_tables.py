@@ -5,7 +5,9 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskloom.llm import language, packing, quality, quotations, sharding
@@ -140,6 +142,45 @@ def test_language(spark, spoken, no_docs, table_dir):
     assert set(spoken.columns) <= set(language.identified(spoken).columns)
 
 
+def test_forward_over_long_runs(spark, spoken):
+    """Runs longer than a block and than a double reaches: the recursion in logarithms gives the same."""
+    model = language.train(spoken)
+    scorer = language.Scorer(model, None)
+    pieces, other = scorer.vocabulary.pieces, scorer.vocabulary.other
+    rnd = random.Random(4)
+    words = [language.START + "".join(rnd.choice(["ka", "lo", "schein", "q", "日", "ment"]) for _ in range(n))
+             for n in (1, 3, 40, 40, 100, 170, 400)] + [language.START + "x" * n for n in (511, 512, 513, 1300)]
+    rnd.shuffle(words)
+    logs = np.log(model.probabilities)
+    for w, got in zip(words, scorer.forward(words), strict=True):
+        alpha = [np.zeros(len(model.languages))]
+        for j in range(1, len(w) + 1):
+            ids = [(n, pieces.get(w[j - n:j], other if n == 1 else None)) for n in range(1, min(j, 20) + 1)]
+            alpha.append(np.logaddexp.reduce([alpha[j - n] + logs[i] for n, i in ids if i is not None]))
+        assert alpha[-1].tolist() == pytest.approx(got.tolist())
+    assert language.words_of("a" * 70 + "1bc") == ["▁" + "a" * 70, "▁bc"]
+    name, score, fit, letters = next(scorer.predict(["kalomitu" * 5000]))
+    assert (name, score, letters) == ("aa", 1.0, 40_001) and fit < 0
+
+
+def test_recognised(spark, spoken, no_docs):
+    """Random letters and a language without labels go, as do letterless texts; learned languages stay."""
+    rnd = random.Random(8)
+    gibberish = [(1000 + i, " ".join("".join(rnd.choice("bcdfghjklmnpqrstvwxyz") for _ in range(rnd.randint(3, 9)))
+                                     for _ in range(10 + 4 * i))) for i in range(50)]
+    unlearned = [(2000 + i, " ".join(rnd.choice("szép volt az idő hogyan vagy köszönöm jól kérem egyszer".split())
+                                     for _ in range(10 + 4 * i))) for i in range(50)]
+    rows = [(k, t, None, "s", None, "q", 1, "k", "h", 2) for k, t in gibberish + unlearned]
+    docs = spoken.union(spark.createDataFrame(rows, SCHEMA)).withColumnRenamed("quality", "lang_fit")
+    found = language.recognised(docs)
+    assert found.columns == docs.columns
+    got = [r.doc_id for r in found.collect()]
+    assert not [k for k in got if k is not None and k >= 1000]
+    assert set(range(20, 600)) <= set(got)
+    assert language.recognised(no_docs).count() == 0
+    assert language.recognised(spoken.withColumn("lang", F.lit(None).cast("string"))).count() == 0
+
+
 MAILS = [  # thread, position, text, parent, body
     (1, 0, "Shall we meet on Monday?\nOr Tuesday?", None, "Shall we meet on Monday?\nOr Tuesday?"),
     (1, 1, "> shall we  meet on monday?\nMonday is fine.", 0, "Monday is fine."),
