@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm import language, ngram_join, packing, quality
 from riskloom.llm.common import shared_folder, spare, table
@@ -24,11 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: not `und`, and more likely than all other languages together."""
-    lang, score = spare("_lang_pred", docs.columns), spare("_lang_score", docs.columns)
-    model = language.train(docs.filter(~language.held_out(F.col("doc_id"))).select("text", "lang"))
-    found = language.predicted(docs, model, lang=lang, score=score)
-    return found.filter((F.col(lang) != language.UNKNOWN) & (F.col(score) >= 0.5)).drop(lang, score)
+    """Documents in a learned language: more likely than all others together, and as well explained as labelled texts."""
+    return language.recognised(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
