@@ -2,13 +2,14 @@
 
 DataFrame functions only. Lines are parsed into quote levels by their marks ("> > text" is level 2), normalised
 (case, white space) and hashed. A quoted line links to the latest earlier message of its thread that wrote that line
-itself. The shallowest level names the message replied to; deeper levels name its ancestors.
+itself. The shallowest level names the message replied to; deeper levels name its ancestors. The replies to a root are
+a tree; a tour around it numbers its messages so that each follows what it answers.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from riskloom.llm.common import at_rest, let, table
+from riskloom.llm.common import at_rest, spare, table
 
 #: Positions of a thread that one window may hold for one passage.
 BLOCK_BITS = 10
@@ -44,7 +45,7 @@ def quoted_links(lines: DataFrame) -> DataFrame:
                         normalised(F.col("line.body")).alias("body")).filter("body <> ''")
     said = said.groupBy("thread", "position", "level", F.xxhash64("body").alias("h")).agg(
         F.count(F.lit(1)).alias("n"))
-    said = said.withColumns({"block": F.shiftright("position", BLOCK_BITS),
+    said = at_rest(said, "said").withColumns({"block": F.shiftright("position", BLOCK_BITS),
                              "own": F.when(F.col("level") == 0, F.col("position"))})
     key = ["thread", "h"]
     # A message's own line comes after its quotes of the same line: it cannot answer itself.
@@ -58,44 +59,79 @@ def quoted_links(lines: DataFrame) -> DataFrame:
             .groupBy("thread", "position", "level", "target").agg(F.sum("n").alias("n")))
 
 
+def tour(parents: DataFrame) -> DataFrame:
+    """The steps of a tour around every reply tree, from (thread, position, reply_to): each message is entered and left.
+
+    (thread, position, side: 0 enters, 1 leaves; before_position, before_side: the step before, null for the first).
+    The step before entering a message is leaving its elder sibling, or entering what it answers; before leaving it,
+    leaving its youngest reply, or entering it. Elder siblings come from a window over blocks of positions and one
+    over the blocks, so that a message with very many replies is cut.
+    """
+    replies = parents.filter("reply_to is not null").withColumn("block", F.shiftright("position", BLOCK_BITS))
+    key = ["thread", "reply_to"]
+    blocks = replies.groupBy(*key, "block").agg(F.max("position").alias("last")).select(
+        *key, "block", F.lag("last").over(W.partitionBy(*key).orderBy("block")).alias("carried"))
+    inside = W.partitionBy(*key, "block").orderBy("position")
+    elder = replies.withColumn("near", F.lag("position").over(inside)).join(blocks, [*key, "block"]).select(
+        "thread", "position", "reply_to", F.coalesce("near", "carried").alias("elder"))
+    youngest = replies.groupBy("thread", F.col("reply_to").alias("position")).agg(F.max("position").alias("youngest"))
+    both = parents.select("thread", "position").join(elder, ["thread", "position"], "left").join(
+        youngest, ["thread", "position"], "left")
+    steps = F.array(
+        F.struct(F.lit(0).alias("side"), F.coalesce("elder", "reply_to").alias("before_position"),
+                 F.when(F.col("elder").isNotNull(), 1).when(F.col("reply_to").isNotNull(), 0).alias("before_side")),
+        F.struct(F.lit(1).alias("side"), F.coalesce("youngest", "position").alias("before_position"),
+                 F.when(F.col("youngest").isNotNull(), 1).otherwise(0).alias("before_side")))
+    return both.select("thread", "position", F.inline(steps))
+
+
 def rooted(parents: DataFrame) -> DataFrame:
-    """(thread, position, root, depth) of every message from (thread, position, reply_to), by pointer doubling.
+    """(thread, position, root, depth, place) of every message from (thread, position, reply_to).
 
-    A reply's target is earlier, so there are no cycles; the rounds grow with the logarithm of the longest chain. A
-    message that points to a root is done: a round joins only those that are not, so long chains cost short ones nothing.
+    Steps of the tour are ranked by pointer doubling: a step knows how many messages were entered, and how many of
+    them not left, since the step it points to. A reply's target is earlier, so there are no cycles; the rounds grow
+    with the logarithm of the largest tree. A step that points to a known one is done: a round joins only those that
+    are not, so large trees cost small ones nothing.
     """
-    start = at_rest(parents.select("thread", "position", F.coalesce("reply_to", "position").alias("root"),
-                                   F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("depth")),
-                    "parents")
-    done, left = start.filter("depth = 0"), start.filter("depth > 0")
+    first = F.col("before_position").isNull()
+    start = at_rest(tour(parents).select(
+        "thread", "position", "side", "before_position", "before_side", F.when(first, F.col("position")).alias("root"),
+        (1 - F.col("side")).cast("long").alias("entered"), (1 - 2 * F.col("side")).cast("long").alias("depth")), "tour")
+    done, left = start.filter("root is not null"), start.filter("root is null")
     while not left.isEmpty():
-        above = done.unionAll(left).select("thread", F.col("position").alias("root"), F.col("root").alias("_root"),
-                                           F.col("depth").alias("_depth"))
-        state = at_rest(left.join(above, ["thread", "root"], "left").select(
-            "thread", "position", F.coalesce("_root", "root").alias("root"),
-            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-            (F.coalesce("_depth", F.lit(0)) > 0).alias("moved")), "roots")
-        done = done.unionAll(state.filter("not moved").drop("moved"))
-        left = state.filter("moved").drop("moved")
-    return done
+        above = done.unionAll(left).select("thread", F.col("position").alias("before_position"),
+                                           F.col("side").alias("before_side"), F.struct(
+            "before_position", "before_side", "root", "entered", "depth").alias("above"))
+        state = at_rest(left.join(above, ["thread", "before_position", "before_side"]).select(
+            "thread", "position", "side", "above.before_position", "above.before_side", "above.root",
+            (F.col("entered") + F.col("above.entered")).alias("entered"),
+            (F.col("depth") + F.col("above.depth")).alias("depth")), "steps")
+        done = done.unionAll(state.filter("root is not null"))
+        left = state.filter("root is null")
+    return done.filter("side = 0").select("thread", "position", "root", (F.col("depth") - 1).alias("depth"),
+                                          (F.col("entered") - 1).alias("place"))
 
 
 def reply_ordered(messages: DataFrame, thread: str = "conv_id", position: str = "turn",
                   text: str = "text") -> DataFrame:
-    """messages with `reply_to`, `quotes` (level, target), `thread_root`, `depth` and `body` (text without quotes).
+    """messages with `reply_to`, `quotes` (level, target), `thread_root`, `depth`, `place` and `body` (without quotes).
 
-    Sorted by thread, thread_root, depth and position, the rows are the conversations in reply order. Positions are
-    whole numbers that ascend in time. Messages that quote nothing known are roots: reply_to is null, thread_root
-    their own position, depth 0; so are all with a null thread or position. A null text has a null body. Rows that
+    Sorted by thread, thread_root and place, the rows are the conversations in reply order: a root has place 0, and
+    each message follows what it answers and all that came of earlier answers to that (depth first, siblings by
+    position). Positions are whole numbers that ascend in time. Messages that quote nothing known are roots: reply_to
+    is null, thread_root their own position, depth and place 0; so are all with a null thread or position. A null text
+    has a null body; a table without rows gives none. Rows that
     repeat a thread and position are one message for linking (their lines are taken together) and stay rows. A line
     that several messages wrote counts for the latest; on a tie of lines the later message is the one replied to.
     Columns of messages that have the names of the new ones are replaced; all others stay.
     """
-    new = ("reply_to", "quotes", "thread_root", "depth", "body")
+    new = ("reply_to", "quotes", "thread_root", "depth", "place", "body")
     messages = messages.drop(*[c for c in messages.columns if c.lower() in new])
-    rows = messages.withColumn("_lines", parsed(F.col(text)))
+    split, in_thread, at, root, depth, place = (
+        spare(c, [*messages.columns, *new]) for c in ("_lines", "_t", "_p", "_root", "_depth", "_place"))
+    rows = messages.withColumn(split, parsed(F.col(text)))
     lines = rows.select(F.col(thread).alias("thread"), F.col(position).cast("long").alias("position"),
-                        F.explode("_lines").alias("line")).filter("thread is not null and position is not null")
+                        F.explode(split).alias("line")).filter("thread is not null and position is not null")
     links = at_rest(quoted_links(lines), "quotes")
     replies = links.groupBy("thread", "position").agg(
         F.max(F.struct((-F.col("level")).alias("level"), "n", "target"))["target"].alias("reply_to"),
@@ -105,13 +141,14 @@ def reply_ordered(messages: DataFrame, thread: str = "conv_id", position: str =
     parents = known.distinct().join(replies, ["thread", "position"], "left")
     parents = at_rest(parents, "replies")
     placed = rooted(parents).join(parents, ["thread", "position"])
-    placed = placed.select(F.col("thread").alias("_t"), F.col("position").alias("_p"), "reply_to", "quotes",
-                           F.col("root").alias("_root"), F.col("depth").alias("_depth"))
-    joined = rows.join(placed, (F.col(thread) == F.col("_t")) & (F.col(position).cast("long") == F.col("_p")), "left")
+    placed = placed.select(F.col("thread").alias(in_thread), F.col("position").alias(at), "reply_to", "quotes",
+                           F.col("root").alias(root), F.col("depth").alias(depth), F.col("place").alias(place))
+    joined = rows.join(placed, (F.col(thread) == F.col(in_thread)) & (F.col(position).cast("long") == F.col(at)), "left")
     return joined.withColumns({
-        "thread_root": F.coalesce("_root", F.col(position).cast("long")),
-        "depth": F.coalesce("_depth", F.lit(0).cast("long")),
-        "body": unquoted(F.col("_lines"))}).drop("_lines", "_t", "_p", "_root", "_depth")
+        "thread_root": F.coalesce(root, F.col(position).cast("long")),
+        "depth": F.coalesce(depth, F.lit(0).cast("long")),
+        "place": F.coalesce(place, F.lit(0).cast("long")),
+        "body": unquoted(F.col(split))}).drop(split, in_thread, at, root, depth, place)
 
 
 def quoting(messages: DataFrame) -> DataFrame:
@@ -132,7 +169,7 @@ def quoting(messages: DataFrame) -> DataFrame:
 def op3_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given conversations hold no quotes, so they are first written as mails that quote the turns before."""
     found = reply_ordered(quoting(table(spark, sf_dir, "conversations")))
-    return found.select("conv_id", "turn", "role", "reply_to", "thread_root", "depth",
+    return found.select("conv_id", "turn", "role", "reply_to", "thread_root", "depth", "place",
                         F.array_join(F.transform("quotes", lambda q: F.concat_ws(
                             ":", q["level"].cast("string"), q["target"].cast("string"))), ",").alias("quotes"), "body")
 
@@ -153,10 +190,11 @@ t as (select conv_id, turn, level, target, sum(n) as n
       group by 1, 2, 3, 4),
 r as (select conv_id, turn, arg_max(target, -level * 1000000000 + n * 1000 + target) as reply_to,
       string_agg(level || ':' || target, ',' order by level, target) as quotes from t group by 1, 2),
-walk as (select c.conv_id, c.turn, c.turn as root, 0 as depth from conversations c
+walk as (select c.conv_id, c.turn, c.turn as root, 0 as depth, [c.turn] as path from conversations c
          left join r using (conv_id, turn) where reply_to is null
          union all
-         select r.conv_id, r.turn, w.root, w.depth + 1 from r join walk w on w.conv_id = r.conv_id
+         select r.conv_id, r.turn, w.root, w.depth + 1, list_append(w.path, r.turn) from r join walk w on w.conv_id = r.conv_id
          and w.turn = r.reply_to)
-select c.conv_id, c.turn, role, reply_to, root as thread_root, cast(depth as bigint) as depth, quotes, text as body
+select c.conv_id, c.turn, role, reply_to, root as thread_root, cast(depth as bigint) as depth,
+  row_number() over (partition by c.conv_id, root order by path) - 1 as place, quotes, text as body
 from conversations c left join r using (conv_id, turn) join walk using (conv_id, turn)"""

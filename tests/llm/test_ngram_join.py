@@ -109,3 +109,15 @@ def test_components_of_chains_stars_and_loops(spark):
     assert set(got) == {*range(201), *range(1000, 1200)}
     assert len({got[i] for i in range(201)}) == 1 and len({got[i] for i in range(1000, 1200)}) == 1
     assert got[0] != got[1000]
+
+
+def test_one_of_each_keeps_columns_with_clashing_names(spark):
+    names = ["_sid", "_size", "_root", "_copy", "_key", "_set", "_first"]
+    df = spark.createDataFrame([(k, t, *names) for k, t in planted()],
+                               "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    plain = nj.one_of_each(df.select("doc_id", "text"))
+    found = nj.one_of_each(df)
+    assert found.columns == df.columns
+    rows = found.collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in plain.collect())
+    assert all(r[n] == n for r in rows for n in names)

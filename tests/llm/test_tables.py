@@ -218,6 +218,45 @@ def test_long_chain_and_common_line(spark):
     assert got.filter("depth <> turn or thread_root <> 0 or (turn > 0 and reply_to <> turn - 1)").count() == 0
 
 
+def test_reply_order_of_branching_threads(spark):
+    """Depth first, as a recursive walk gives it; a message with very many replies crosses the windows' blocks."""
+    rnd = random.Random(3)
+    parents = {(1, 0): None, (1, 1): 0, (1, 2): 0, (1, 3): 1, (1, 4): 2}  # B, C answer A; D answers B, E answers C
+    parents |= {(2, p): rnd.choice([None, *range(p)]) if p and rnd.random() < 0.9 else None for p in range(300)}
+    parents |= {(3, p): 0 if p % 3 else p - 1 if p else None for p in range(0, 4000)}
+    # A long chain with a reply to each message beside it.
+    parents |= {(4, p): None if not p else p - 1 if p % 2 else max(0, p - 2) for p in range(200)}
+    rows = [(t, p, f"> line {t} {q}\nline {t} {p}" if q is not None else f"line {t} {p}") for (t, p), q in parents.items()]
+    rnd.shuffle(rows)
+    children = {}
+    for (t, p), q in sorted(parents.items()):
+        children.setdefault((t, q), []).append(p)
+    want = {}
+    for t in (1, 2, 3, 4):
+        for root in children[t, None]:
+            stack, place = [(root, 0)], 0
+            while stack:
+                p, depth = stack.pop()
+                want[t, p] = (parents[t, p], root, depth, place)
+                place += 1
+                stack += [(c, depth + 1) for c in reversed(children.get((t, p), []))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.thread_root, r.depth, r.place)
+           for r in quotations.reply_ordered(df).collect()}
+    assert got == want
+    assert [p for p in sorted(range(5), key=lambda p: got[1, p][3])] == [0, 1, 3, 2, 4]
+
+
+def test_quotations_keep_columns_with_clashing_names(spark):
+    names = ["_lines", "_t", "_p", "_root", "_depth", "_place", "root", "thread", "position"]
+    df = spark.createDataFrame([m[:3] + (*names,) for m in MAILS],
+                               "conv_id long, turn long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = quotations.reply_ordered(df)
+    assert got.columns == df.columns + ["reply_to", "quotes", "thread_root", "depth", "place", "body"]
+    rows = got.collect()
+    assert len(rows) == len(MAILS) and all(r[n] == n for r in rows for n in names)
+
+
 def test_quoting_is_undone(spark, table_dir):
     rows = [(c, t, "user", f"first {c} {t}\nsecond {t}" if t != 2 else None) for c in range(20) for t in range(6)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
