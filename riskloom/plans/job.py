@@ -25,7 +25,7 @@ class ContractBroken(RuntimeError):
     """Raised when a check fails; the results are written before."""
 
 
-def clean_layer(spark: SparkSession, raw: Mapping[str, str]) -> dict[str, DataFrame]:
+def clean_layer(spark: SparkSession, raw: Mapping[str, str], company_lines: DataFrame) -> dict[str, DataFrame]:
     iso = trade.read_iso(spark, raw["iso"])
     lines = importers.split_lines(importers.read_lines(spark, raw["importers"]))
     feats = events.read(spark, raw["events"])
@@ -33,7 +33,7 @@ def clean_layer(spark: SparkSession, raw: Mapping[str, str]) -> dict[str, DataFr
     vendors = erp.clean_vendors(erp.read_vendors(spark, raw["vendors"]))
     codes = iso.select(F.col("alpha2").alias("country"), F.col("iso3").alias("country_iso3"))
     return {
-        "clean_companies": companies.read(spark, raw["companies"]),
+        "clean_companies": companies.clean(companies.split_lines(company_lines)),
         "clean_trader": importers.traders(lines),
         "clean_trader_commodity": importers.trader_commodity(lines),
         "clean_commodity": trade.read_commodity(spark, raw["commodity"]),
@@ -76,7 +76,8 @@ def _progress() -> Column:
 
 def run(spark: SparkSession, raw: Mapping[str, str], warehouse: str, as_of: Column,
         strict: bool = True) -> dict[str, DataFrame]:
-    clean = layers.write_all(clean_layer(spark, raw), warehouse, "clean")
+    company_lines = companies.read_lines(spark, raw["companies"])  # cut once, also counted below
+    clean = layers.write_all(clean_layer(spark, raw, company_lines), warehouse, "clean")
     resolution = layers.write_all({
         "trader_company": matching.resolve(
             matching.trader_records(clean["clean_trader"], clean["clean_trader_commodity"]),
@@ -91,7 +92,7 @@ def run(spark: SparkSession, raw: Mapping[str, str], warehouse: str, as_of: Colu
     checks = layers.write(contract.validate(t).withColumn("run_at", now), warehouse, "meta", "validation")
     t["validation"] = checks
     t["data_quality"] = layers.write(build.data_quality_report(t).unionByName(
-        companies.open_quotes(companies.read_lines(spark, raw["companies"]))).withColumn("run_at", now),
+        companies.open_quotes(company_lines)).withColumn("run_at", now),
         warehouse, "meta", "data_quality")
     failed = checks.filter(~F.col("passed")).collect()  # 49 checks in all
     if failed and strict:

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom.functions import fixed as values
 from riskloom.functions.normalize import core_of, day_month_year, norm_name, norm_postcode, strip
+from riskloom.sources import records
 
 # 0-based field positions, the lowest field count of a usable line, and where SIC codes start.
 FIELDS = {
@@ -26,11 +27,8 @@ def csv_cells(line: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line: each record as written, quoted line breaks inside it. One task per file; a folder may hold many."""
-    # A record of more than one field does not fit this schema, so it is handed over whole.
-    raw = (spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"')
-           .option("columnNameOfCorruptRecord", "record").schema("c0 string, record string").csv(path))
-    return raw.select(F.rtrim(F.coalesce("record", "c0"), F.lit("\r\n")).alias("line"))
+    """line: each record as written, quoted line breaks inside it. One file is read by many tasks, once."""
+    return records.read(spark, path)
 
 
 def split_lines(lines: DataFrame) -> DataFrame:

@@ -5,23 +5,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.functions import fixed
 from riskloom.functions.normalize import lookup, regime_subject
+from riskloom.sources import records
+from riskloom.sources.companies import csv_cells
 
 COLUMNS = {"Unique ID": "unique_id", "Regime Name": "regime", "Designation Type": "designation_type"}
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The three columns used, found by the names in the header row. Quoted line breaks are kept."""
-    # The header line says how wide the file is.
-    title = spark.read.text(path).filter(F.col("value").contains("Unique ID")).first()
-    names = [f"c{i}" for i in range(title["value"].count(",") + 1)] if title else ["c0"]
-    raw = (spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"')
-           .schema(", ".join(f"{n} string" for n in names)).csv(path))
-    # array_contains gives null, not false, beside empty cells.
-    is_header = F.coalesce(F.array_contains(F.array(*names), F.lit("Unique ID")), F.lit(False))
-    header = raw.filter(is_header).limit(1).collect()[0]
-    at = {v: k for k, v in header.asDict().items() if v is not None}
-    return (raw.filter(~is_header & ~F.coalesce(F.col("c0"), F.lit("")).startswith("Report Date"))
-            .select(*[F.col(at[c]).alias(n) for c, n in COLUMNS.items()]))
+    """The three columns used, found by the names in the header row. Quoted line breaks are kept, empty cells are
+    null. One file is read by many tasks."""
+    rows = records.read(spark, path).select(csv_cells(F.col("line")).alias("cells"))
+    is_header = F.array_contains("cells", "Unique ID")
+    header = rows.filter(is_header).limit(1).collect()[0]["cells"]
+    cell = lambda c: F.nullif(F.get("cells", F.lit(header.index(c))), F.lit(""))
+    return (rows.filter(~is_header & ~F.get("cells", F.lit(0)).startswith("Report Date"))
+            .select(*[cell(c).alias(n) for c, n in COLUMNS.items()]))
 
 
 def country_names(iso: DataFrame) -> DataFrame:
