@@ -94,3 +94,24 @@ REGIME_SUBJECT = r"^(?:The )?(.+?) \(Sanctions\)"
 # Industry codes in the company file, and the word for none.
 SIC_CODE = "^[0-9]{5} - "
 NO_SIC_CODE = "^None Supplied$"
+
+# What callers are told when an action is rejected, %s in order of appearance.
+REJECTIONS = {
+    "vendor": "Unknown supplier %s",
+    "event": "Unknown event %s",
+    "alert": "Unknown alert %s",
+    "owner": "An alert needs an owner",
+    "open": "An open alert already exists for this supplier and event (%s)",
+    "move": "Cannot move %s -> %s. Allowed: %s",
+    "no_move": "none (closed)",
+    "closing": "Closing an alert requires a note explaining the outcome",
+    "company": "%s is not a registered company number",
+    "criticality": "Criticality must be one of %s",
+}
+
+# The parts of the sentence that explains an exposure, joined by " > ".
+PATH_TEXTS = {
+    "country": "affects %s",
+    "inferred": "which supplies %s%% of UK imports of %s (%s) > which we buy from %s",
+    "direct": "where %s is located (direct supplier)",
+}

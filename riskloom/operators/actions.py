@@ -34,15 +34,19 @@ def _exists(requests: DataFrame, known: DataFrame, key: str, flag: str) -> DataF
     return requests.join(there, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def _judged(df: DataFrame, *rules: tuple[Column, Column | str]) -> DataFrame:
+def _judged(df: DataFrame, *rules: tuple[Column, Column]) -> DataFrame:
     """Column `reason`: message of the first rule that fails, null when all hold."""
-    reason = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(why) if isinstance(why, str) else why)
-                          for ok, why in rules])
+    reason = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), why) for ok, why in rules])
     return df.withColumn("reason", reason).withColumn("accepted", reason.isNull())
 
 
+def _said(text: str, *values: Column) -> Column:
+    """A rejection's text; a value that is missing reads None."""
+    return F.format_string(fixed.REJECTIONS[text], *[F.coalesce(v.cast("string"), F.lit("None")) for v in values])
+
+
 def _unknown_vendor() -> Column:
-    return F.concat(F.lit("Unknown supplier "), F.coalesce(F.col("vendor_id").cast("string"), F.lit("None")))
+    return _said("vendor", F.col("vendor_id"))
 
 
 # ---- alerts --------------------------------------------------------------------------------------------------
@@ -87,10 +91,8 @@ def raise_alert(requests: DataFrame, suppliers: DataFrame, events: DataFrame, al
     blocking = F.coalesce(F.col("_open"), alert_id(F.col("_first_id")))
     r = _judged(
         r, (F.col("_v"), _unknown_vendor()),
-        (F.col("_e"), F.concat(F.lit("Unknown event "), F.coalesce(F.col("event_id").cast("string"), F.lit("None")))),
-        (~_blank("owner"), "An alert needs an owner"),
-        (F.col("_open").isNull() & own, F.concat(
-            F.lit("An open alert already exists for this supplier and event ("), blocking, F.lit(")"))))
+        (F.col("_e"), _said("event", F.col("event_id"))), (~_blank("owner"), _said("owner")),
+        (F.col("_open").isNull() & own, _said("open", blocking)))
     return r.withColumn("alert_id", F.when(F.col("accepted"), alert_id(F.col("request_id")))).drop(
         "_v", "_e", "_open", "_first_id")
 
@@ -109,7 +111,7 @@ def _may_move(current: Column, to: Column) -> Column:
 
 
 def _allowed(current: Column) -> Column:
-    out = F.lit("none (closed)")
+    out = F.lit(fixed.REJECTIONS["no_move"])
     for frm, tos in fixed.ALERT_TRANSITIONS.items():
         if tos:
             out = F.when(current == frm, F.lit(", ".join(sorted(tos)))).otherwise(out)
@@ -170,11 +172,9 @@ def update_alert_status(requests: DataFrame, alerts: DataFrame) -> tuple[DataFra
         current = F.when(before, m["to"]).otherwise(current)
     judged = judged.withColumn("from", current)
     judged = _judged(
-        judged, (known, F.concat(F.lit("Unknown alert "), F.coalesce("alert_id", F.lit("None")))),
-        (_may_move(F.col("from"), F.col("to")), F.concat(
-            F.lit("Cannot move "), F.col("from"), F.lit(" -> "), F.coalesce("to", F.lit("None")),
-            F.lit(". Allowed: "), _allowed(F.col("from")))),
-        (closing_ok, "Closing an alert requires a note explaining the outcome"))
+        judged, (known, _said("alert", F.col("alert_id"))),
+        (_may_move(F.col("from"), F.col("to")), _said("move", F.col("from"), F.col("to"), _allowed(F.col("from")))),
+        (closing_ok, _said("closing")))
     judged = judged.select("request_id", "alert_id", "from", "to", "note", "actor", "requested_at", "accepted",
                            "reason")
 
@@ -201,7 +201,7 @@ def confirm_match(requests: DataFrame, suppliers: DataFrame, companies: DataFram
         "company_number", company_number_input(F.col("company_number")))
     r = _exists(_exists(r, suppliers, "vendor_id", "_v"), companies, "company_number", "_c")
     r = _judged(r, (F.col("_v"), _unknown_vendor()),
-                (F.col("_c"), F.concat(F.col("company_number"), F.lit(" is not a registered company number"))))
+                (F.col("_c"), _said("company", F.col("company_number"))))
     return r.drop("_v", "_c")
 
 
@@ -214,7 +214,7 @@ def set_criticality(requests: DataFrame, suppliers: DataFrame) -> DataFrame:
     r = requests.filter(F.col("action") == "set_criticality")
     levels = sorted(fixed.CRITICALITY_WEIGHT)
     return _judged(_exists(r, suppliers, "vendor_id", "_v"), (F.col("_v"), _unknown_vendor()),
-                   (F.col("criticality").isin(levels), "Criticality must be one of " + ", ".join(levels))).drop("_v")
+                   (F.col("criticality").isin(levels), _said("criticality", F.lit(", ".join(levels))))).drop("_v")
 
 
 def latest_wins(decisions: DataFrame, key: str, at: str = "requested_at", seq: str = "request_id") -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from riskloom.functions import fixed
 from riskloom.functions.normalize import SHARE, units
 from riskloom.operators.spread import at_rest, spread_join
 from riskloom.plans.spec import LINKS, OBJECTS
@@ -279,22 +280,26 @@ def reached(po: DataFrame, suppliers: DataFrame, import_flow: DataFrame, countri
 
 # ---- explanation ---------------------------------------------------------------------------------------------
 
+def _said(text: str, *values: Column) -> Column:
+    """A part of the sentence; none where a value is missing."""
+    there = reduce(lambda a, b: a & b, [v.isNotNull() for v in values])
+    return F.when(there, F.format_string(fixed.PATH_TEXTS[text], *values))
+
+
 def explain_path(exposure: DataFrame, t: Tables, home: Column) -> DataFrame:
     """The chain behind each exposure as text steps joined by ' > '."""
     ev = t["risk_event"].select("event_id", F.concat(F.col("name"), F.lit(" ("), F.col("alert_level"), F.lit(")"))
                                 .alias("_event"))
     ven = t["erp_supplier"].select("vendor_id", "vendor_name", home.alias("_home"))
-    cty = t["country"].select(F.col("iso3").alias("driver_country"), F.concat(F.lit("affects "), F.col("name"))
-                              .alias("_country"))
+    cty = t["country"].select(F.col("iso3").alias("driver_country"),
+                              _said("country", F.col("name")).alias("_country"))
     com = t["commodity"].select(F.col("cn8_code").alias("driver_commodity"),
                                 F.substring("description", 1, 50).alias("_what"))
     flow = t["import_flow"].select(F.col("cn8_code").alias("driver_commodity"), F.col("iso3").alias("driver_country"),
                                    F.col("share_of_uk_imports").alias("_share"))
     pct = F.floor(F.coalesce("_share", F.lit(0.0)) * 100 + 0.5).cast("bigint").cast("string")
-    inferred = F.concat(
-        F.lit("which supplies "), pct, F.lit("% of UK imports of "), F.col("driver_commodity").cast("string"),
-        F.lit(" ("), F.col("_what"), F.lit(") > which we buy from "), F.col("vendor_name"))
-    direct = F.concat(F.lit("where "), F.col("vendor_name"), F.lit(" is located (direct supplier)"))
+    inferred = _said("inferred", pct, F.col("driver_commodity").cast("string"), F.col("_what"), F.col("vendor_name"))
+    direct = _said("direct", F.col("vendor_name"))
     return (exposure.join(ev, "event_id").join(ven, "vendor_id").join(cty, "driver_country", "left")
             .join(com, "driver_commodity", "left").join(flow, ["driver_commodity", "driver_country"], "left")
             .select("event_id", "vendor_id", F.concat_ws(
