@@ -199,3 +199,20 @@ def test_every_query_has_sql():
     import __spark_entry__ as e
     from oracle.sql import ORACLES
     assert set(ORACLES) == set(e.QUERIES)
+
+
+def test_requests_without_values_are_rejected_with_a_reason(spark):
+    empty = lambda schema: spark.createDataFrame([], schema)
+    at = dt.datetime(2026, 1, 1)
+    cols = ("action", "vendor_id", "event_id", "alert_id", "status", "company_number", "criticality", "owner", "note")
+    rows = [(a, *[None] * 8, f"{a}{i}", "me", at) for a in actions.LOGGED for i in (0,)]
+    rows += [(a, "v", *[None] * 7, f"{a}1", "me", at) for a in actions.LOGGED if a != "reject_match"]
+    req = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols)
+                                + ", request_id string, actor string, requested_at timestamp")
+    vendors = spark.createDataFrame([("v",)], "vendor_id string")
+    alerts = empty("alert_id string, vendor_id string, event_id string, status string, owner string, note string, "
+                   "created_at timestamp, updated_at timestamp")
+    judged, after = actions.judge_all(req, vendors, empty("event_id string"), empty("company_number string"), alerts)
+    got = {r.request_id: r for df in judged.values() for r in df.select("request_id", "accepted", "reason").collect()}
+    assert len(got) == len(rows) and not any(r.accepted for r in got.values()) and all(r.reason for r in got.values())
+    assert got["confirm_match1"].reason.endswith("not a registered company number") and after.count() == 0
