@@ -38,6 +38,41 @@ def test_postcode_pairs_equal_brute_force(spark):
     assert got == want and len(want) > 50
 
 
+def test_close_pairs_equal_brute_force():
+    """Short and long names, blanks that token sorting collapses, empty sorted overlap, several tiles and floors."""
+    r = random.Random(4)
+
+    def name(k):
+        s = " ".join("".join(r.choice("ABCD  ") for _ in range(r.randint(1, 7))) for _ in range(r.randint(1, k))).strip()
+        return (s or "A") + r.choice(["", " BUILDING MATERIALS"])
+
+    for k, floor in ((3, 80), (6, 80), (30, 80), (6, 70)):
+        a, b = [name(k) for _ in range(300)], [name(k) for _ in range(120)]
+        got = [x for i, j in sim.close_pairs(a, b, floor) for x in zip(i.tolist(), j.tolist())]
+        want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if sim.match_score_py(x, y) >= floor}
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_one_large_block_writes_no_rows_of_candidates(spark, monkeypatch):
+    """Names that share a long word: rows at rest are names and found pairs, never what meets on common letters."""
+    r = random.Random(6)
+    names = ["".join(r.choice("ABCDEFGHIJKLMNOP") for _ in range(10)) + " BUILDING" for _ in range(600)]
+    recs = table(spark, [(str(i), n, "A1") for i, n in enumerate(names)], "rec_id string, name string, postcode string")
+    comps = recs.withColumnRenamed("rec_id", "company_number")
+    written, keep = [], matching.at_rest
+
+    def counted(df, name):
+        written.append((kept := keep(df, name)).count())
+        return kept
+
+    monkeypatch.setattr(matching, "at_rest", counted)
+    monkeypatch.setattr(matching, "BLOCK", 100)  # several cells for the one key
+    found = {(x.rec_core, x.cand_core) for x in matching.postcode_pairs(recs, comps).collect()}
+    assert found == {(x, y) for x in names for y in names
+                     if sim.match_score_py(x, y) >= 80 and sim.jaro_winkler_py(x, y) >= 0.8}
+    assert sum(written) < 4 * len(names)
+
+
 COMPANIES = [
     ("00000001", "Acme Steel Limited", "M1 1AA", "Active"), ("00000002", "Acme Steel Group Limited", "M1 1AA", "Active"),
     ("00000003", "Mec Com Limited", "M2 2BB", "Active"), ("00000004", "Twin Pumps Limited", "M3", "Active"),
