@@ -216,3 +216,17 @@ def test_requests_without_values_are_rejected_with_a_reason(spark):
     got = {r.request_id: r for df in judged.values() for r in df.select("request_id", "accepted", "reason").collect()}
     assert len(got) == len(rows) and not any(r.accepted for r in got.values()) and all(r.reason for r in got.values())
     assert got["confirm_match1"].reason.endswith("not a registered company number") and after.count() == 0
+
+
+def test_priority_covers_every_event(spark):
+    """A footprint's suppliers come once for every event of it, not once for the footprint."""
+    from types import SimpleNamespace
+
+    import __spark_entry__ as entry
+    suppliers = spark.createDataFrame([("f", 1.0, 7, 0.5), ("f", 1.0, 8, 0.2), ("g", 0.6, 7, 0.1)],
+                                      "footprint string, severity double, vendor_id int, priority double")
+    events = spark.createDataFrame([("a", "f", 1.0, True), ("b", "f", 1.0, False), ("c", "g", 0.6, False),
+                                    ("d", "f", 0.6, True)], "event_id string, footprint string, severity double, is_current boolean")
+    got = entry.priority(SimpleNamespace(suppliers=suppliers, events=events))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 7, 0.5), ("a", 8, 0.2), ("b", 7, 0.5), ("b", 8, 0.2),
+                                                       ("c", 7, 0.1)]
