@@ -230,3 +230,21 @@ def test_priority_covers_every_event(spark):
     got = entry.priority(SimpleNamespace(suppliers=suppliers, events=events))
     assert sorted(tuple(r) for r in got.collect()) == [("a", 7, 0.5), ("a", 8, 0.2), ("b", 7, 0.5), ("b", 8, 0.2),
                                                        ("c", 7, 0.1)]
+
+
+def test_picture_of_a_kind_is_drawn_for_all_its_events(spark):
+    from riskloom.operators import graph
+    kinds = spark.createDataFrame([("a", "a"), ("a", "b"), ("c", "c")], "kind string, event_id string")
+    lines = [(v, c, f"{c}-{i}" if v < 3 else None, i, c / 10, 1 / (i + c)) for v in (1, 3) for c in (1, 2, 3, 4)
+             for i in (5, 6, 7, 8)]
+    schema = "event_id string, vendor_id int, cn8_code int, flow_id string, iso3 int, contribution double, share double"
+    of = {"a": [x for x in lines if x[0] == 1], "c": [x for x in lines if x[0] == 3]}
+    whole = [(e, *x) for k, e in (("a", "a"), ("a", "b"), ("c", "c")) for x in of[k]]
+    resolves = spark.createDataFrame([(1, "00000009", 0.95)], "vendor_id int, company_number string, confidence double")
+    want = graph.path_subgraph(spark.createDataFrame(whole, schema), {}, resolves)
+    once = spark.createDataFrame([x for x in whole if x[0] != "b"], schema)
+    got = graph.path_subgraph(once, {}, resolves, events=kinds)
+    rows = lambda df: sorted(tuple(r) for r in df.select("event_id", "vendor_id", "src", "dst", "link_type").collect())
+    assert rows(got) == rows(want) and any(r[0] == "b" and r[2] == "RiskEvent:b" for r in rows(got))
+    assert sorted(tuple(r) for r in graph.for_all(once, kinds).collect()) == sorted(
+        tuple(r) for r in spark.createDataFrame(whole, schema).collect())
