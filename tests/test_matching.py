@@ -73,6 +73,55 @@ def test_one_large_block_writes_no_rows_of_candidates(spark, monkeypatch):
     assert sum(written) < 4 * len(names)
 
 
+def test_one_letter_apart_equals_brute_force():
+    r = random.Random(3)
+    distance = lambda x, y: len(x) + len(y) - 2 * sim.lcs_length(x, y)
+    for letters, k in (("AB ", 6), ("ABCDEF ", 12), ("AB", 3)):
+        a, b = ([("".join(r.choice(letters) for _ in range(r.randint(0, k)))).strip() for _ in range(n)]
+                for n in (300, 200))
+        got = [x for i, j in sim.one_letter_apart(a, b) for x in zip(i.tolist(), j.tolist())]
+        want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b)
+                if min(distance(x, y), distance(sim.sort_tokens(x), sim.sort_tokens(y))) <= 1}
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+    for a, b in (([], ["A"]), (["A"], []), (["X" * 300], ["X" * 300])):
+        assert [len(i) for i, _ in sim.one_letter_apart(a, b)] == [0]
+
+
+def test_best_by_postcode_equals_all_pairs(spark, monkeypatch):
+    """Names with and without a company one letter apart, several cells for one postcode, names too long for cuts."""
+    long = [("l1", "Q" * 300 + " WORKS", "A1"), ("l2", "Z" * 256, "A1")]
+    recs = table(spark, names(7, 300) + long, "rec_id string, name string, postcode string").withColumn(
+        "stated_company_number", F.lit(None).cast("string"))
+    comps = table(spark, names(8, 300) + [("l3", "Q" * 301 + " WORKS", "A1"), ("l4", "Z" * 257, "A1")],
+                  "company_number string, name string, postcode string").withColumn("status", F.lit("Active"))
+    monkeypatch.setattr(matching, "CUT_BLOCK", 40)
+    got = {tuple(r) for r in matching.best_by_postcode(recs, comps).collect()}
+    every = matching.postcode_pairs(recs, comps)
+    assert got == {tuple(r) for r in matching.best_by_postcode(recs, comps, every).collect()} and len(got) > 50
+    assert {r[0] for r in got} >= {"l1", "l2"}
+
+
+def test_settled_names_meet_no_other_name(spark, monkeypatch):
+    """Records that are a company, or one letter away from one, take no part in the comparison with a whole postcode."""
+    r = random.Random(9)
+    known = ["".join(r.choice("ABCDEFGHIJKLMNOP") for _ in range(10)) + " BUILDING" for _ in range(200)]
+    other = [n[9::-1] + " BUILDING" for n in known[:5]]
+    written = [n if i % 2 else n[:4] + n[5:] for i, n in enumerate(known)]
+    recs = table(spark, [(str(i), n, "A1") for i, n in enumerate(written + other)],
+                 "rec_id string, name string, postcode string").withColumn("stated_company_number", F.lit(None).cast("string"))
+    comps = table(spark, [(str(i), n, "A1") for i, n in enumerate(known)],
+                  "company_number string, name string, postcode string").withColumn("status", F.lit("Active"))
+    left_over, keep = [], matching._all_pairs
+
+    def counted(left, right, floor):
+        left_over.append({x.core for x in left.collect()})
+        return keep(left, right, floor)
+
+    monkeypatch.setattr(matching, "_all_pairs", counted)
+    best = {x.rec_id: x.company_number for x in matching.best_by_postcode(recs, comps).collect()}
+    assert left_over == [set(other)] and all(best[str(i)] == str(i) for i in range(len(known)))
+
+
 COMPANIES = [
     ("00000001", "Acme Steel Limited", "M1 1AA", "Active"), ("00000002", "Acme Steel Group Limited", "M1 1AA", "Active"),
     ("00000003", "Mec Com Limited", "M2 2BB", "Active"), ("00000004", "Twin Pumps Limited", "M3", "Active"),
