@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import actions, contract, exposure as ex, graph
-from riskloom.plans import build, standins
+from riskloom.plans import build, standins, views
 from riskloom.plans.spec import LINKS, OBJECTS
 
 SF = "/root/testdata/sf0.001"
@@ -248,3 +248,79 @@ def test_picture_of_a_kind_is_drawn_for_all_its_events(spark):
     assert rows(got) == rows(want) and any(r[0] == "b" and r[2] == "RiskEvent:b" for r in rows(got))
     assert sorted(tuple(r) for r in graph.for_all(once, kinds).collect()) == sorted(
         tuple(r) for r in spark.createDataFrame(whole, schema).collect())
+
+
+def test_a_hop_from_few_nodes_is_dealt_over_tasks(spark):
+    """Two countries hold all suppliers: the hop makes a row for each event and supplier there."""
+    there = spark.range(400).selectExpr("concat('e', id) as event", "concat('c', id % 2) as country").distinct()
+    e = spark.range(5000).selectExpr("concat('s', id) as src", "concat('c', id % 2) as dst",
+                                     "'located_in' as link_type").distinct()
+    hop = graph.step(there, e, "located_in", "country", "supplier", forward=False)
+    assert hop.columns == ["country", "event", "supplier"]
+    per_task = [r["count"] for r in hop.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()]
+    assert sum(per_task) == 400 * 2500 and len(per_task) > 1
+    assert hop.distinct().count() == 400 * 2500
+    assert hop.join(there, ["event", "country"], "left_anti").isEmpty()
+
+
+def test_tables_that_nobody_reads_are_not_planned(spark):
+    """Matches are resolved for the tables that need them, and only when one of these is asked for."""
+    parts = spark.createDataFrame([("c1", "steel", "72", "7201", "pig iron")],
+                                  "cn8_code string, description string, hs2_code string, hs4_code string, "
+                                  "hs4_description string")
+    event = spark.createDataFrame([("e1", 1.0, True)], "event_id string, severity double, is_current boolean")
+    hits = spark.createDataFrame([("e1", "TWN"), ("e1", "TWN")], "event_id string, iso3 string")
+    asked = []
+
+    def of(name, table=None):
+        def plan():
+            asked.append(name)
+            assert table is not None, f"{name} was planned"
+            return table
+        return plan
+
+    iso = spark.createDataFrame([("TWN",)], "iso3 string")
+    t = build.Planned({
+        "clean_commodity": of("clean_commodity", parts), "clean_risk_event": of("clean_risk_event", event),
+        "clean_event_country": of("clean_event_country", hits), "clean_imports": of("clean_imports", iso),
+        "clean_sanctions": of("clean_sanctions", spark.createDataFrame([("TWN", 2)], "iso3 string, designations int")),
+        "clean_erp_supplier": of("clean_erp_supplier", iso.withColumnRenamed("iso3", "country_iso3")),
+        "country_names": of("country_names", spark.createDataFrame([("TWN", "Taiwan")], "iso3 string, name string")),
+        **{name: of(name) for name in ("trader_company", "supplier_company", "match_override", "clean_companies",
+                                       "clean_trader_commodity", "clean_po_line", "criticality_override", "alert")}})
+    out = build.build(t, F.current_date())
+    assert asked == [] and "company" in out and "company" not in asked
+    assert [tuple(r) for r in out["country"].select("iso3", "name", "country_risk").collect()] == [("TWN", "Taiwan", 1.0)]
+    assert out["link_event_affects"].count() == 1 and out["commodity"].count() == 1
+    with pytest.raises(AssertionError, match="trader_company was planned"):
+        out["link_company_imports"]
+
+
+def test_names_of_one_file_are_normalised_in_many_tasks(spark):
+    few = spark.range(200).coalesce(1).selectExpr("id as c_custkey", "concat('Name ', id, ' Ltd') as name",
+                                                  "'N 1' as postcode")
+    named = standins._named(few, "c_custkey").withColumn("task", F.spark_partition_id())
+    assert named.select("task").distinct().count() > 1
+    assert named.select("c_custkey").distinct().count() == named.count() == 200
+
+
+def test_suppliers_spend_is_summed_once(spark):
+    s = spark.createDataFrame([("v1", "A", "1", "x", "N", None), ("v2", "B", "1", "x", "N", None)],
+                              "vendor_id string, vendor_name string, postcode string, country string, "
+                              "country_iso3 string, stated_company_number string")
+    po = spark.createDataFrame([("v1", 2.0), ("v1", 3.5)], "vendor_id string, amount_gbp double")
+    none = spark.createDataFrame([], "vendor_id string, criticality string")
+    out = build.erp_supplier(s, po, none)
+    assert any("supplier-spend" in f for f in out.inputFiles())
+    assert {(r.vendor_id, r.spend_12m_gbp, r.criticality) for r in out.collect()} == {
+        ("v1", 5.5, "high"), ("v2", 0.0, "low")}
+
+
+def test_exposure_table_scores_only_what_it_is_asked_for(spark):
+    """The same rows as from the scores of all events, and none of these are put at rest."""
+    own = standins.Standins(spark, SF)
+    got = own.exposure_table
+    assert not {"scored", "suppliers"} & set(vars(own))
+    keys = ["event_id", "vendor_id", "exposure_score", "priority"]
+    want = views.exposure_table(own.ontology, own.suppliers, own.current).select(keys)
+    assert sorted(map(tuple, got.select(keys).collect())) == sorted(map(tuple, want.collect())) != []

@@ -29,6 +29,15 @@ def test_hot_keys_are_cut_on_both_sides(spark):
     assert "InMemory" not in met._jdf.queryExecution().toString()
 
 
+def test_few_rows_that_make_many_are_dealt_over_tasks(spark):
+    """Both sides are small and come out of a shuffle: Spark would put all their keys together in one task."""
+    a = spark.range(600).selectExpr("id % 6 as k", "id as i").distinct()
+    b = spark.range(300).selectExpr("id % 6 as k", "id as j").distinct()
+    met = spread.skew_join(a, b, ["k"], ["i"], ["j"], 20).withColumn("task", F.spark_partition_id())
+    per_task = [r["count"] for r in met.groupBy("task").count().collect()]
+    assert sum(per_task) == 600 * 50 and len(per_task) > 1 and max(per_task) < 600 * 50 * 0.6
+
+
 def test_numbering_of_a_hot_key_matches_the_window(spark):
     rows = [("hot" if i % 3 else f"k{i % 7}", i % 11 or None, i % 5) for i in range(2000)]  # full of copies
     df = spark.createDataFrame(rows, "k string, a int, b int")
