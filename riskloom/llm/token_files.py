@@ -162,7 +162,8 @@ def read(spark: SparkSession, folder: str, key: int | None = None) -> DataFrame:
     """(key, start, n_tokens, ids): the documents of a folder, start counted over all documents before.
 
     With a key, only the documents that have it; only their ends are then selected and only their ids are cut out.
-    Segment sizes are summed in segment order: a row for each segment, read without the ids.
+    Segment sizes are summed in segment order: a row for each segment, read without the ids. These rows of three numbers
+    are broadcast, so that the ids are not shuffled again.
     """
     segments = spark.read.schema(SEGMENT).parquet(folder)
     sizes = segments.select("bucket", "part", "n_tokens")
@@ -193,7 +194,7 @@ def read(spark: SparkSession, folder: str, key: int | None = None) -> DataFrame:
                     pa.array([ids[a:b].astype("<u4").tobytes() for a, b in places], pa.binary())],
                     ["key", "start", "n_tokens", "ids"])
 
-    return segments.join(starts, ["bucket", "part"]).drop("n_tokens").transform(mapped,
+    return segments.join(F.broadcast(starts), ["bucket", "part"]).drop("n_tokens").transform(mapped,
         run, "key long, start long, n_tokens long, ids binary")
 
 

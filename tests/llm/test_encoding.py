@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -102,6 +103,20 @@ def test_token_files(spark, edge_docs, no_docs, table_dir, library, tmp_path):
     assert token_files.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_token_files_are_read_without_a_shuffle_of_ids(spark, edge_docs, tmp_path):
+    folder = str(tmp_path / "tokens")
+    token_files.write(edge_docs, folder, segment_tokens=100)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the estimates were above it
+    try:
+        plan = token_files.read(spark, folder)._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert moved and not any(re.search(r"\bids#", columns) for columns in moved)
+
+
 def test_token_files_by_key(spark, edge_docs, tmp_path):
     """Documents are found by their key and by select; ids that two bytes cannot hold are not wrapped."""
     folder = str(tmp_path / "keyed")
