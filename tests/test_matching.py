@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -73,6 +74,37 @@ def test_one_large_block_writes_no_rows_of_candidates(spark, monkeypatch):
     assert sum(written) < 4 * len(names)
 
 
+def test_names_of_no_company_length_are_not_shuffled(spark, monkeypatch):
+    """What no company's name is long or short enough for is left out below the first exchange of names."""
+    recs = table(spark, [(str(i), n * k, "A1") for i, n in enumerate(["WIRE", "STEEL MEC"]) for k in (1, 500)],
+                 "rec_id string, name string, postcode string").withColumn("stated_company_number", F.lit(None).cast("string"))
+    comps = table(spark, [("7", "WIRE", "A1"), ("8", "WIRES", "B2"), ("9", "STEEL MEC", "A1")],
+                  "company_number string, name string, postcode string").withColumn("status", F.lit("Active"))
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = plan_of(df)
+        return df
+
+    def plan_of(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    monkeypatch.setattr(matching, "at_rest", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many companies
+    try:
+        left, _ = matching._usable_names(recs, comps, 80.0)
+        block = matching.block_name(recs, comps)
+        plans["block"] = plan_of(block)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for name, key in (("record-names", r"postcode_norm#\d+, core#\d+"), ("block", r"rec_full#\d+")):
+        first = re.split(rf"Exchange hashpartitioning\({key}, \d+\), ENSURE_REQUIREMENTS", plans[name])[1]
+        assert "BroadcastNestedLoopJoin" in re.split(r" Exchange ", first)[0], name
+    assert {r.core for r in left.collect()} == {"WIRE", "STEEL MEC"}
+    assert {(r.rec_id, r.n_exact) for r in block.collect()} == {("0", 1), ("1", 1)}
+
+
 def test_one_letter_apart_equals_brute_force():
     r = random.Random(3)
     distance = lambda x, y: len(x) + len(y) - 2 * sim.lcs_length(x, y)
