@@ -680,8 +680,14 @@ QUESTIONS: dict[str, str] = {
         period_end FROM imp""",
     # entity resolution
     "er_block_number": "SELECT rec_id, company_number, rec_core, cand_core FROM by_number",
-    "er_block_postcode": """SELECT postcode_norm, rec_core, cand_core,
-        round(jaro_winkler_similarity(cand_core, rec_core), 6) AS jw, round(score, 6) AS match_score FROM pairs""",
+    "er_block_postcode": f"""SELECT postcode_norm, rec_core, cand_core, round(jw, 6) AS jw, round(CASE
+        WHEN rec_core = cand_core THEN 100.0::DOUBLE ELSE greatest({ratio('cand_core', 'rec_core')},
+        {ratio(tokens('cand_core'), tokens('rec_core'))}) END, 6) AS match_score
+        FROM (SELECT postcode_norm, a.name_core AS rec_core, b.name_core AS cand_core,
+              jaro_winkler_similarity(b.name_core, a.name_core) AS jw
+              FROM (SELECT DISTINCT postcode_norm, name_core FROM rec WHERE name_core <> '') a
+              JOIN (SELECT DISTINCT postcode_norm, name_core FROM reg WHERE name_core <> '') b USING (postcode_norm))
+        WHERE jw >= 0.80""",
     "er_block_name": """SELECT r.rec_id, CASE WHEN u.n_exact = 1 THEN u.company_number END AS company_number, u.n_exact
         FROM rec r JOIN uniq u USING (name_norm)""",
     "er_ambiguous": "SELECT r.rec_id, u.n_exact FROM rec r JOIN uniq u USING (name_norm) WHERE u.n_exact > 1",

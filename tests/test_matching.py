@@ -3,8 +3,10 @@ import re
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from riskloom.functions import normalize as nz, similarity as sim
 from riskloom.operators import matching
+from riskloom.plans import standins
 
 WORDS = "ALPHA BETA GAMMA STEEL WIRE NORTH SOUTH TRADING GROUP HOLDINGS MEC COM OM PUMP VALVE".split()
 
@@ -54,6 +56,55 @@ def test_close_pairs_equal_brute_force():
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
 
 
+def test_scored_pairs_equal_brute_force(monkeypatch):
+    """Either way of taking pairs, names of several words of bits and longer, letters beyond ASCII, both parts."""
+    r = random.Random(5)
+
+    def like(s, letters):
+        s = list(s)
+        for _ in range(r.randint(0, max(1, len(s) // 4))):
+            k = r.randrange(len(s))
+            s[k] = r.choice([s[k] + r.choice(letters), r.choice(letters), ""])
+        return "".join(s).strip() or "B"
+
+    for n, letters in ((3, "AB "), (6, "ABCDEF "), (25, "ABCDEFGHIJKLMNOPQRSTUVWXYZ  "), (60, "XY É")):
+        base = [" ".join("".join(r.choice(letters) for _ in range(r.randint(1, 8))) for _ in range(r.randint(1, n))).strip()
+                or "A" for _ in range(12)]
+        a, b = (list({like(r.choice(base), letters) for _ in range(50)}) for _ in range(2))
+        both = {(i, j): (sim.match_score_py(x, y), sim.jaro_winkler_py(x, y)) for i, x in enumerate(a)
+                for j, y in enumerate(b) if sim.jaro_winkler_py(x, y) >= 0.8}
+        for many, words, places in ((1, 8, 1 << 21), (10 ** 9, 8, 1 << 10), (8, 1, 1 << 21)):
+            monkeypatch.setattr(sim, "MANY", many)
+            monkeypatch.setattr(sim, "MOST_WORDS", words)
+            monkeypatch.setattr(sim, "MOST_PLACES", places)
+            got = {}
+            for floor, part in ((80.0, "all"), (0.0, "all"), (0.0, "near"), (0.0, "far")):
+                got[floor, part] = [(x[:2], x[2:]) for found in sim.scored_pairs(a, b, floor, 0.8, part)
+                                    for x in zip(*(f.tolist() for f in found))]
+                assert len(got[floor, part]) == len(dict(got[floor, part]))
+            assert dict(got[80.0, "all"]) == {k: v for k, v in both.items() if v[0] >= 80}
+            assert dict(got[0.0, "all"]) == both and sorted(got[0.0, "near"] + got[0.0, "far"]) == sorted(both.items())
+        assert len(both) > 20
+
+
+def test_postcode_block_lists_pairs_of_any_score(spark, tmp_path):
+    """Every pair of a postcode with Jaro-Winkler >= 0.80, also under the lowest score of the rules and of unlike length."""
+    lines = names(11, 150) + [("l", "NORTH PUMP ALPHA STEEL GROUP OF THE SOUTH AND ALL ITS VALVES", "A1"), ("m", "", "A1")]
+    titles = names(12, 60) + [("t", "NORTHPU", "A1"), ("u", "NORTH PUMP ALP", "A1")]
+    spark.createDataFrame([(k, n, p.lower()) for k, (_, n, p) in enumerate(lines)], "doc_id long, text string, lang string"
+                          ).write.parquet(f"{tmp_path}/documents.parquet")
+    html = [(k, "https://a", f'<html lang="{p.lower()[0]}"><title>{n}</title>') for k, (_, n, p) in enumerate(titles)]
+    spark.createDataFrame(html, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    s = standins.Standins(spark, str(tmp_path))
+    s.records = s.records.withColumn("postcode_norm", F.substring("postcode_norm", 1, 1))
+    got = [tuple(r) for r in entry.er_block_postcode(s).collect()]
+    a, b = ({(r.postcode_norm, r.name_core) for r in d.collect() if r.name_core} for d in (s.records, s.registry))
+    want = {(p, x, y, round(sim.jaro_winkler_py(x, y), 6), round(sim.match_score_py(x, y), 6)) for p, x in a for q, y in b
+            if p == q and sim.jaro_winkler_py(x, y) >= 0.8}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sum(r[4] < 80 for r in want) > 20 and any(len(r[1]) > 4 * len(r[2]) for r in want)
+
+
 def test_one_large_block_writes_no_rows_of_candidates(spark, monkeypatch):
     """Names that share a long word: rows at rest are names and found pairs, never what meets on common letters."""
     r = random.Random(6)
