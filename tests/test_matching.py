@@ -87,15 +87,30 @@ def test_scored_pairs_equal_brute_force(monkeypatch):
         assert len(both) > 20
 
 
+def given(spark, path, lines, titles):
+    """Stand-ins over documents (a line each) and pages (a title each): (key, text, language)."""
+    spark.createDataFrame(lines, "doc_id long, text string, lang string").write.parquet(f"{path}/documents.parquet")
+    html = [(k, "https://a", f'<html lang="{p}"><title>{n}</title>') for k, n, p in titles]
+    spark.createDataFrame(html, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    return standins.Standins(spark, str(path))
+
+
+def test_candidate_queries_normalise_names_once(spark, tmp_path):
+    """Records and companies come from rest: no query cleans every line again for each of its blocks."""
+    lines, titles = ([(k, n, "a") for k, (_, n, _) in enumerate(names(seed, n))] for seed, n in ((13, 40), (14, 20)))
+    s = given(spark, tmp_path, lines, titles)
+    for query in (entry.er_candidates, entry.er_match_score, entry.er_confidence, entry.er_best_match):
+        found = query(s)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "LIMITED" not in plan and found.count() > 0, query.__name__
+
+
 def test_postcode_block_lists_pairs_of_any_score(spark, tmp_path):
     """Every pair of a postcode with Jaro-Winkler >= 0.80, also under the lowest score of the rules and of unlike length."""
     lines = names(11, 150) + [("l", "NORTH PUMP ALPHA STEEL GROUP OF THE SOUTH AND ALL ITS VALVES", "A1"), ("m", "", "A1")]
     titles = names(12, 60) + [("t", "NORTHPU", "A1"), ("u", "NORTH PUMP ALP", "A1")]
-    spark.createDataFrame([(k, n, p.lower()) for k, (_, n, p) in enumerate(lines)], "doc_id long, text string, lang string"
-                          ).write.parquet(f"{tmp_path}/documents.parquet")
-    html = [(k, "https://a", f'<html lang="{p.lower()[0]}"><title>{n}</title>') for k, (_, n, p) in enumerate(titles)]
-    spark.createDataFrame(html, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    s = standins.Standins(spark, str(tmp_path))
+    s = given(spark, tmp_path, [(k, n, p.lower()) for k, (_, n, p) in enumerate(lines)],
+              [(k, n, p.lower()[0]) for k, (_, n, p) in enumerate(titles)])
     s.records = s.records.withColumn("postcode_norm", F.substring("postcode_norm", 1, 1))
     got = [tuple(r) for r in entry.er_block_postcode(s).collect()]
     a, b = ({(r.postcode_norm, r.name_core) for r in d.collect() if r.name_core} for d in (s.records, s.registry))
